@@ -43,7 +43,7 @@ def _map(spark, folder):
         F.col("event_type").alias("kind"),
         F.col("payload").alias("body"),
         F.col("metadata").alias("headers"),
-        F.unix_millis("timestamp").alias("occurred_at"),
+        F.unix_seconds("timestamp").alias("occurred_at"),
     )
     return shown(map_event_columns(physical, {"event_type": "kind"}))
 
@@ -70,7 +70,7 @@ def _events_for(spark, folder):
 )
 def _events_page(spark, folder):
     page = ops.events_page(activity_log(spark, folder), 20, 10)
-    return short(page).withColumn("step", F.lit(0)) if False else page.select(
+    return page.select(
         "aggregate_id", "sequence_number", "event_type",
         instant_text(F.col("timestamp")).alias("ts_text"), "step",
     )

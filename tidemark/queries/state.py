@@ -84,7 +84,7 @@ def _event_diffs(spark, folder):
 
 STATE_AFTER = """
 state_rows AS (
-  SELECT e.aggregate_id, e.sequence_number AS at, w.key, arg_max(w.value_json, w.sequence_number) AS value_json,
+  SELECT e.aggregate_id, e.sequence_number AS at_seq, w.key, arg_max(w.value_json, w.sequence_number) AS value_json,
          arg_max(w.value_json, w.sequence_number) FILTER (w.sequence_number < e.sequence_number) AS before_json
   FROM order_log e JOIN order_writes w ON w.aggregate_id = e.aggregate_id AND w.sequence_number <= e.sequence_number
   GROUP BY 1, 2, 3)"""
@@ -93,7 +93,7 @@ state_rows AS (
 @query(
     "transition_states",
     order_states(
-        """SELECT aggregate_id, at AS sequence_number,
+        """SELECT aggregate_id, at_seq AS sequence_number,
         '{' || coalesce(string_agg('"' || key || '":' || before_json, ',' ORDER BY key) FILTER (before_json IS NOT NULL), '') || '}' AS state_before,
         '{' || string_agg('"' || key || '":' || value_json, ',' ORDER BY key) || '}' AS state_after
         FROM state_rows GROUP BY 1, 2""",
@@ -123,8 +123,8 @@ def _state_at(spark, folder):
 @query(
     "states_at_events",
     order_states(
-        """SELECT aggregate_id, at AS sequence_number, key, value_json FROM state_rows JOIN
-        (SELECT aggregate_id, sequence_number AS at FROM order_log WHERE event_type IN ('ORDER_CANCELLED', 'ORDER_COMPLETED')) USING (aggregate_id, at)""",
+        """SELECT aggregate_id, at_seq AS sequence_number, key, value_json FROM state_rows JOIN
+        (SELECT aggregate_id, sequence_number AS at_seq FROM order_log WHERE event_type IN ('ORDER_CANCELLED', 'ORDER_COMPLETED')) USING (aggregate_id, at_seq)""",
         STATE_AFTER,
     ),
 )
