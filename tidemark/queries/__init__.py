@@ -2,8 +2,10 @@
 
 from . import (  # noqa: F401 - importing enters the queries
     difference,
+    protect,
     retrieval,
     state,
+    statistic,
 )
 from .catalog import ENTRIES
 
