@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_values import object_fields
 from ..plans.running import DEFAULT_WIDTH, chunk_of, running
 from ..sources.schema import ORDER
 from .replay import KEYS, transitions
@@ -124,15 +125,21 @@ def replay_fold(events: DataFrame, fold: FoldReducer, batch: int = 5_000) -> Dat
     return _sorted_by_aggregate(events).mapInPandas(run, schema)
 
 
-def reduce_events(events: DataFrame, reduce: Callable[[Iterable[dict]], object]) -> DataFrame:
+def reduce_events(
+    events: DataFrame, reduce: Callable[[Iterable[dict]], object], batch: int = 5_000
+) -> DataFrame:
     """One JSON state per aggregate from a function over its ordered events (an iterator)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
         for aggregate, rows in groupby(_rows(batches), key=lambda r: r["aggregate_id"]):
             parsed = ({**r, "payload": _parsed(r["payload"])} for r in rows)
-            yield pd.DataFrame({"aggregate_id": [aggregate], "state": [_dump(reduce(parsed))]})
-            for _ in rows:  # the reducer may stop early
-                pass
+            out.append((aggregate, _dump(reduce(parsed))))
+            if len(out) >= batch:
+                yield pd.DataFrame(out, columns=["aggregate_id", "state"])
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=["aggregate_id", "state"])
 
     return _sorted_by_aggregate(events).mapInPandas(run, "aggregate_id string, state string")
 
@@ -158,8 +165,6 @@ def replay_with(
             )
             rows = replayed.select(*KEYS, cells).filter(F.col("value_json").isNotNull())
         else:
-            from ..functions.json_values import object_fields
-
             folded = replay_fold(part, reducer)
             rows = folded.select(*KEYS, F.explode(object_fields("state"))).select(
                 *KEYS, "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value_json")

@@ -137,7 +137,7 @@ def statistics_rows(events: DataFrame, bucket_hours: int = 1, max_buckets: int =
         F.inline(
             F.array(
                 F.struct(F.lit("events").alias("name"), F.col("total_events").alias("event_count")),
-                F.struct(F.lit("aggregates"), F.col("distinct_aggregates")),
+                F.struct(F.lit("aggregates").alias("name"), F.col("distinct_aggregates").alias("event_count")),
             )
         )
     )

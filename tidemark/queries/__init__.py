@@ -1,6 +1,7 @@
 """Queries over the sample tables, each with its SQL twin where one exists."""
 
 from . import (  # noqa: F401 - importing enters the queries
+    continuous,
     difference,
     protect,
     retrieval,

@@ -168,7 +168,7 @@ def _classify(spark, folder):
 @query(
     "normalize_timestamps",
     f"""SELECT event_id, {iso('ts')} AS from_iso, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%SZ') AS from_seconds,
-    {iso("(to_timestamp(epoch_ms(ts) / 1000.0) AT TIME ZONE 'UTC')")} AS from_millis FROM events""",
+    {iso("date_trunc('millisecond', ts)")} AS from_millis FROM events""",
 )
 def _normalize(spark, folder):
     events = activity_log(spark, folder)
