@@ -15,10 +15,6 @@ def _changed(old: Column, new: Column) -> Column:
     return F.coalesce(old, null) != F.coalesce(new, null)
 
 
-def _change_kind(old: Column, new: Column) -> Column:
-    return F.when(old.isNull(), "added").when(new.isNull(), "removed").otherwise("changed")
-
-
 def field_diff(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     """Changed, added and removed fields between two long-form states keyed by ``by`` and ``key``.
 
@@ -35,13 +31,22 @@ def diff_aggregates(events: DataFrame, pairs: DataFrame) -> DataFrame:
     An id without events has an empty state.
     """
     asked = pairs.select("left_id", "right_id").distinct()
-    ids = asked.select(F.explode(F.array("left_id", "right_id")).alias("aggregate_id")).distinct()
-    state = current_state(events.join(ids, "aggregate_id", "left_semi"))
-
-    def side(column: str) -> DataFrame:
-        return asked.join(state.withColumnRenamed("aggregate_id", column), column)
-
-    return field_diff(side("left_id"), side("right_id"), ["left_id", "right_id"])
+    sides = asked.select(
+        "left_id",
+        "right_id",
+        F.inline(
+            F.array(
+                F.struct(F.lit(True).alias("is_left"), F.col("left_id").alias("aggregate_id")),
+                F.struct(F.lit(False).alias("is_left"), F.col("right_id").alias("aggregate_id")),
+            )
+        ),
+    )
+    state = current_state(events.join(sides.select("aggregate_id").distinct(), "aggregate_id", "left_semi"))
+    fields = sides.join(state, "aggregate_id").groupBy("left_id", "right_id", "key").agg(
+        F.max(F.when(F.col("is_left"), F.col("value_json"))).alias("old_json"),
+        F.max(F.when(~F.col("is_left"), F.col("value_json"))).alias("new_json"),
+    )
+    return fields.filter(_changed(F.col("old_json"), F.col("new_json")))
 
 
 def diff_at_sequences(events: DataFrame, requests: DataFrame) -> DataFrame:

@@ -1,10 +1,11 @@
 """Replay with custom reducers per aggregate type.
 
-Three ways, best first: a ``ColumnReducer`` states each field as a running
-aggregate and runs on the same chunked plan as everything else; a fold in
-Python streams each aggregate's events through one task with the memory of one
-state; a whole-history reducer gets that stream as an iterator. An opaque
-Python fold is sequential within an aggregate, so use columns for long ones.
+Best first: a ``ColumnReducer`` states each field as a running aggregate and
+runs on the same chunked plan as everything else. A ``MergeableFold`` is Python
+that folds the chunks of a history side by side. A plain Python fold, or a
+function over the whole ordered history, has to see the events of an aggregate
+one after the other: they stream through one task with the memory of one state,
+so long histories want one of the first two.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_values import object_fields
-from ..plans.running import DEFAULT_WIDTH, chunk_of, running
+from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, running
 from ..sources.schema import ORDER
 from .replay import KEYS, transitions
 
@@ -37,6 +38,18 @@ class ColumnReducer:
 FoldReducer = Callable[[dict, dict], dict]
 
 
+@dataclass(frozen=True)
+class MergeableFold:
+    """A fold whose results over adjacent stretches can be merged.
+
+    ``merge(earlier, later)`` must give what folding both stretches in a row
+    would. Long histories are then folded chunk by chunk in parallel.
+    """
+
+    fold: FoldReducer
+    merge: Callable[[dict, dict], dict]
+
+
 class ReducerError(RuntimeError):
     """A reducer failed; the message names sequence, type and aggregate."""
 
@@ -47,13 +60,13 @@ def with_first_type(events: DataFrame) -> DataFrame:
     return events.join(first, "aggregate_id")
 
 
-def replay_columns(events: DataFrame, reducer: ColumnReducer, width: int = DEFAULT_WIDTH) -> DataFrame:
+def replay_columns(events: DataFrame, reducer: ColumnReducer, width: Width = DEFAULT_WIDTH) -> DataFrame:
     """Every event with the reducer's fields after it."""
     return running(
         events,
         ["aggregate_id"],
         ORDER,
-        chunk_of("sequence_number", width),
+        event_chunks(width),
         sums={n: F.coalesce(v, F.lit(0)) for n, v in reducer.sums.items()},
         latest=dict(reducer.latest or {}),
     ).select(*KEYS, "event_type", *reducer.sums, *(reducer.latest or {}))
@@ -83,9 +96,12 @@ def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
         yield from batch.to_dict("records")
 
 
-def _sorted_by_aggregate(events: DataFrame) -> DataFrame:
-    order = ["aggregate_id", *ORDER]
-    return events.select(*CARRIED).repartition("aggregate_id").sortWithinPartitions(*order)
+def _sorted(events: DataFrame, group: list[str]) -> DataFrame:
+    return (
+        events.select(*CARRIED, *[c for c in group if c not in CARRIED])
+        .repartition(*group)
+        .sortWithinPartitions(*group, *ORDER)
+    )
 
 
 def _dump(value) -> str:
@@ -98,31 +114,76 @@ def replay_fold(events: DataFrame, fold: FoldReducer, batch: int = 5_000) -> Dat
     Events arrive sorted, one aggregate after the other; a task holds one state
     and one batch, never a whole history.
     """
+    return _fold_groups(events, ["aggregate_id"], fold, batch)
+
+
+def _fold_groups(events: DataFrame, group: list[str], fold: FoldReducer, batch: int) -> DataFrame:
+    columns = [*KEYS, *[c for c in group if c not in KEYS], "event_type"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, current, state = [], None, {}
         for row in _rows(batches):
-            if row["aggregate_id"] != current:
-                current, state = row["aggregate_id"], {}
+            if [row[c] for c in group] != current:
+                current, state = [row[c] for c in group], {}
             try:
                 state = fold(dict(state), {**row, "payload": _parsed(row["payload"])})
             except Exception as error:
                 raise ReducerError(
                     f"reducer failed at sequence {row['sequence_number']} ({row['event_type']}) "
-                    f"of aggregate '{current}'"
+                    f"of aggregate '{row['aggregate_id']}'"
                 ) from error
-            out.append([row[k] for k in KEYS] + [row["event_type"], _dump(state)])
+            out.append([row[c] for c in columns] + [_dump(state)])
             if len(out) >= batch:
-                yield pd.DataFrame(out, columns=[*KEYS, "event_type", "state"])
+                yield pd.DataFrame(out, columns=[*columns, "state"])
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=[*KEYS, "event_type", "state"])
+            yield pd.DataFrame(out, columns=[*columns, "state"])
+
+    types = dict(events.dtypes)
+    schema = ", ".join(f"`{c}` {types[c]}" for c in columns) + ", state string"
+    return _sorted(events, group).mapInPandas(run, schema)
+
+
+def replay_mergeable(events: DataFrame, reducer: MergeableFold, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """State after every event by a mergeable fold.
+
+    Chunks fold side by side from an empty state; the chunks' results are merged
+    along each aggregate, and every event adds what came before its chunk.
+    """
+    merge = reducer.merge
+    chunked = events.withColumn("__chunk", event_chunks(width)[0])
+    part = ["aggregate_id", "__chunk"]
+    local = _fold_groups(chunked, part, reducer.fold, 5_000)
+    ends = local.groupBy(*part).agg(F.max_by("state", F.struct(*ORDER)).alias("state"))
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, {}
+        for chunk in batches:
+            out = []
+            for aggregate, number, text in chunk.itertuples(index=False):
+                if aggregate != current:
+                    current, state = aggregate, {}
+                else:
+                    out.append((aggregate, number, _dump(state)))
+                state = merge(state, json.loads(text)) if state else json.loads(text)
+            yield pd.DataFrame(out, columns=["aggregate_id", "__chunk", "__before"])
+
+    before = (
+        ends.select(*part, "state")
+        .repartition("aggregate_id")
+        .sortWithinPartitions(*part)
+        .mapInPandas(carry, "aggregate_id string, __chunk long, __before string")
+    )
+
+    @F.pandas_udf("string")
+    def merged(earlier: pd.Series, later: pd.Series) -> pd.Series:
+        return pd.Series(
+            [b if a is None else _dump(merge(json.loads(a), json.loads(b))) for a, b in zip(earlier, later)]
+        )
 
-    schema = (
-        "aggregate_id string, sequence_number long, global_position long, event_id string, "
-        "event_type string, state string"
+    return local.join(before, part, "left").select(
+        *KEYS, "event_type", merged("__before", "state").alias("state")
     )
-    return _sorted_by_aggregate(events).mapInPandas(run, schema)
 
 
 def reduce_events(
@@ -141,11 +202,13 @@ def reduce_events(
         if out:
             yield pd.DataFrame(out, columns=["aggregate_id", "state"])
 
-    return _sorted_by_aggregate(events).mapInPandas(run, "aggregate_id string, state string")
+    return _sorted(events, ["aggregate_id"]).mapInPandas(run, "aggregate_id string, state string")
 
 
 def replay_with(
-    events: DataFrame, reducers: Mapping[str, ColumnReducer | FoldReducer], width: int = DEFAULT_WIDTH
+    events: DataFrame,
+    reducers: Mapping[str, ColumnReducer | MergeableFold | FoldReducer],
+    width: Width = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Replay with the reducer registered for each aggregate's first type, else the generic one.
 
@@ -165,7 +228,10 @@ def replay_with(
             )
             rows = replayed.select(*KEYS, cells).filter(F.col("value_json").isNotNull())
         else:
-            folded = replay_fold(part, reducer)
+            if isinstance(reducer, MergeableFold):
+                folded = replay_mergeable(part, reducer, width if isinstance(width, int) else width[0])
+            else:
+                folded = replay_fold(part, reducer)
             rows = folded.select(*KEYS, F.explode(object_fields("state"))).select(
                 *KEYS, "key", F.coalesce(F.to_json("value"), F.lit("null")).alias("value_json")
             )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json_values import field_json, json_string, object_fields, object_text
 from ..functions.text import has_any_word, instant_text
-from ..plans.running import DEFAULT_WIDTH, chunk_of, running
+from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, running
 from ..sources.schema import ORDER
 
 # Words in event types that open or end an aggregate's life.
@@ -83,18 +83,18 @@ def _differs(old: Column, new: Column) -> Column:
     return F.coalesce(old, null) != F.coalesce(new, null)
 
 
-def _stepped(events: DataFrame, width: int) -> DataFrame:
+def _stepped(events: DataFrame, width: Width) -> DataFrame:
     """Every write with the value it replaces (NULL for a new field)."""
     return running(
         field_changes(events),
         ["aggregate_id", "key"],
         ORDER,
-        chunk_of("sequence_number", width),
+        event_chunks(width),
         previous={"old_json": F.col("value_json")},
     )
 
 
-def transitions(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def transitions(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
     """Field diffs of a full replay: one row per (event, changed field)."""
     stepped = _stepped(events, width)
     return stepped.filter(_differs(F.col("old_json"), F.col("value_json"))).select(
@@ -109,7 +109,7 @@ def event_diffs(changed: DataFrame) -> DataFrame:
     )
 
 
-def states_at_events(events: DataFrame, marks: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def states_at_events(events: DataFrame, marks: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
     """State after each marked event ``marks(aggregate_id, sequence_number, …order)``, long form.
 
     Each mark becomes one empty write per field of its aggregate, placed right
@@ -127,7 +127,7 @@ def states_at_events(events: DataFrame, marks: DataFrame, width: int = DEFAULT_W
         both,
         ["aggregate_id", "key"],
         [*ORDER, "__mark"],
-        chunk_of("sequence_number", width),
+        event_chunks(width),
         latest={"state_json": F.col("value_json")},
     )
     return filled.filter((F.col("__mark") == 1) & F.col("state_json").isNotNull()).select(
@@ -135,7 +135,7 @@ def states_at_events(events: DataFrame, marks: DataFrame, width: int = DEFAULT_W
     )
 
 
-def transition_states(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def transition_states(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
     """State maps before and after every event, as JSON objects."""
     states = states_at_events(events, events, width)
     written = _stepped(events, width).select(*KEYS, "key", "old_json", F.lit(True).alias("__written"))

@@ -6,8 +6,9 @@ summary row, and a second window over the summaries gives every chunk what the
 chunks before it add up to. The work is spread over as many tasks as there are
 chunks, and only the summaries of a group meet in one place.
 
-``chunk`` must grow with the order, so that all rows of a lower chunk come
-before all rows of a higher one. Group columns must not be NULL.
+Chunks may be nested, coarse to fine; the summaries of one level are then
+spread over the level above. All rows of a lower chunk must come before all
+rows of a higher one. Group columns must not be NULL.
 """
 
 from __future__ import annotations
@@ -17,84 +18,124 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = "__chunk"
 DEFAULT_WIDTH = 65_536
 
+# A number of sequences per chunk; a pair (sequences, positions) also cuts the
+# copies of one sequence by their position.
+Width = int | tuple[int, int]
 
-def chunk_of(position: Column | str, width: int = DEFAULT_WIDTH) -> Column:
-    """Chunk number of a position; at most ``width`` distinct positions share one."""
-    position = F.col(position) if isinstance(position, str) else position
-    return F.floor(position / F.lit(width)).cast("long")
 
+def _cut(position: str, width: int) -> Column:
+    return F.floor(F.col(position) / F.lit(width)).cast("long")
 
-def running(
-    df: DataFrame,
-    group: Sequence[str],
-    order: Sequence[str],
-    chunk: Column,
-    *,
-    sums: Mapping[str, Column] | None = None,
-    latest: Mapping[str, Column] | None = None,
-    previous: Mapping[str, Column] | None = None,
-    totals: Mapping[str, Column] | None = None,
-) -> DataFrame:
-    """Add running columns to ``df``.
 
-    ``sums``: sum up to and including the row. ``latest``: last non-NULL value
-    up to and including the row. ``previous``: last non-NULL value before the
-    row. ``totals``: sum over the whole group.
+def event_chunks(width: Width = DEFAULT_WIDTH) -> list[Column]:
+    """Chunks of an event log along its sequence.
+
+    A plain width bounds a chunk when (aggregate, sequence) is unique. For logs
+    in which one sequence may have masses of copies, give a pair: copies are
+    then cut by position too.
     """
-    sums, latest = dict(sums or {}), dict(latest or {})
-    previous, totals = dict(previous or {}), dict(totals or {})
-    carried = {**latest, **previous}
-    group, order, part = list(group), list(order), [*group, CHUNK]
-    chunked = df.withColumn(CHUNK, chunk)
+    if isinstance(width, int):
+        return [_cut("sequence_number", width)]
+    return [_cut("sequence_number", width[0]), F.col("sequence_number"), _cut("global_position", width[1])]
 
+
+def _spread(
+    df: DataFrame,
+    group: list[str],
+    order: list[str],
+    chunks: list[str],
+    through: tuple[Mapping[str, Column], Mapping[str, Column]],
+    before: tuple[Mapping[str, Column], Mapping[str, Column]],
+    totals: Mapping[str, Column],
+) -> DataFrame:
+    """Add running sums and last values; ``through`` includes the row, ``before`` does not."""
+    (sums, lasts), (sums_before, lasts_before) = through, before
+    part = [*group, *chunks]
     rows = Window.partitionBy(*part).orderBy(*order)
-    through = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = rows.rowsBetween(Window.unboundedPreceding, -1)
-    inside = chunked.select(
+    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*part)
+    inside = df.select(
         "*",
-        *[F.sum(v).over(through).alias(n) for n, v in sums.items()],
-        *[F.last(v, ignorenulls=True).over(through).alias(n) for n, v in latest.items()],
-        *[F.last(v, ignorenulls=True).over(before).alias(n) for n, v in previous.items()],
+        *[F.sum(v).over(upto).alias(n) for n, v in sums.items()],
+        *[F.sum(v).over(earlier).alias(n) for n, v in sums_before.items()],
+        *[F.last(v, ignorenulls=True).over(upto).alias(n) for n, v in lasts.items()],
+        *[F.last(v, ignorenulls=True).over(earlier).alias(n) for n, v in lasts_before.items()],
+        *([] if chunks else [F.sum(v).over(whole).alias(n) for n, v in totals.items()]),
     )
+    if not chunks:
+        return inside
 
-    summaries = chunked.groupBy(*part).agg(
+    all_sums, all_lasts = {**sums, **sums_before}, {**lasts, **lasts_before}
+    summaries = df.groupBy(*part).agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.sum(v).alias(f"__sum_{n}") for n, v in sums.items()],
-        *[F.sum(v).alias(f"__total_{n}") for n, v in totals.items()],
+        *[F.sum(v).alias(f"__s_{n}") for n, v in all_sums.items()],
+        *[F.sum(v).alias(f"__t_{n}") for n, v in totals.items()],
         *[
-            F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias(f"__last_{n}")
-            for n, v in carried.items()
+            F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias(f"__l_{n}")
+            for n, v in all_lasts.items()
         ],
     )
-    earlier = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
-    carries = summaries.select(
-        *part,
-        F.sum("__rows").over(earlier).alias("__before"),
-        *[F.sum(f"__sum_{n}").over(earlier).alias(f"__sum_{n}") for n in sums],
-        *[F.last(f"__last_{n}", ignorenulls=True).over(earlier).alias(f"__last_{n}") for n in carried],
-        *[F.sum(f"__total_{n}").over(whole).alias(n) for n in totals],
+    carries = _spread(
+        summaries,
+        group,
+        chunks,
+        chunks[:-1],
+        ({}, {}),
+        (
+            {"__before": F.col("__rows"), **{f"__cs_{n}": F.col(f"__s_{n}") for n in all_sums}},
+            {f"__cl_{n}": F.col(f"__l_{n}") for n in all_lasts},
+        ),
+        {n: F.col(f"__t_{n}") for n in totals},
+    ).select(
+        *part, "__before", *[f"__cs_{n}" for n in all_sums], *[f"__cl_{n}" for n in all_lasts], *totals
     )
     if not totals:
         # the first chunk of a group receives nothing: most groups drop out here
         carries = carries.filter(F.col("__before").isNotNull())
-
-    return inside.join(carries, part, "left").select(
+    return inside.join(carries.drop("__before"), part, "left").select(
         *df.columns,
-        *[(F.col(n) + F.coalesce(f"__sum_{n}", F.lit(0))).alias(n) for n in sums],
-        *[F.coalesce(n, f"__last_{n}").alias(n) for n in carried],
+        *[(F.col(n) + F.coalesce(f"__cs_{n}", F.lit(0))).alias(n) for n in sums],
+        *[
+            F.when(F.coalesce(n, f"__cs_{n}").isNotNull(), F.coalesce(n, F.lit(0)) + F.coalesce(f"__cs_{n}", F.lit(0))).alias(n)
+            for n in sums_before
+        ],
+        *[F.coalesce(n, f"__cl_{n}").alias(n) for n in all_lasts],
         *totals,
     )
 
 
+def running(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    chunks: Sequence[Column],
+    *,
+    sums: Mapping[str, Column] | None = None,
+    latest: Mapping[str, Column] | None = None,
+    previous: Mapping[str, Column] | None = None,
+    totals: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Add running columns to ``df``.
+
+    ``sums``: sum up to and including the row. ``latest``: last non-NULL value
+    up to and including the row. ``previous``: last non-NULL value before the
+    row. ``totals``: sum over the whole group.
+    """
+    sums, latest, previous, totals = (dict(x or {}) for x in (sums, latest, previous, totals))
+    names = [f"__chunk{i}" for i in range(len(chunks))]
+    chunked = df.withColumns(dict(zip(names, chunks)))
+    spread = _spread(chunked, list(group), list(order), names, (sums, latest), ({}, previous), totals)
+    return spread.select(*df.columns, *sums, *latest, *previous, *totals)
+
+
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
-    chunk: Column,
+    chunks: Sequence[Column],
     name: str,
     upto: int | None = None,
 ) -> DataFrame:
@@ -102,20 +143,21 @@ def number_rows(
 
     Chunks that start beyond ``upto`` are dropped before anything is sorted.
     """
+    one = F.lit(1).cast("long")
     if upto is None:
-        return running(df, group, order, chunk, sums={name: F.lit(1).cast("long")})
-    group, order, part = list(group), list(order), [*group, CHUNK]
-    chunked = df.withColumn(CHUNK, chunk)
-    earlier = Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carries = (
-        chunked.groupBy(*part)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .select(*part, F.coalesce(F.sum("__rows").over(earlier), F.lit(0)).alias("__before"))
-        .filter(F.col("__before") < upto)
+        return running(df, group, order, chunks, sums={name: one})
+    group, order = list(group), list(order)
+    names = [f"__chunk{i}" for i in range(len(chunks))]
+    part = [*group, *names]
+    chunked = df.withColumns(dict(zip(names, chunks)))
+    sizes = chunked.groupBy(*part).agg(F.count(F.lit(1)).alias("__rows"))
+    starts = _spread(sizes, group, names, names[:-1], ({}, {}), ({"__before": F.col("__rows")}, {}), {})
+    reached = starts.select(*part, F.coalesce("__before", F.lit(0)).alias("__before")).filter(
+        F.col("__before") < upto
     )
     inside = Window.partitionBy(*part).orderBy(*order)
     return (
-        chunked.join(carries, part)
+        chunked.join(reached, part)
         .withColumn(name, (F.row_number().over(inside) + F.col("__before")).cast("long"))
         .filter(F.col(name) <= upto)
         .select(*df.columns, name)

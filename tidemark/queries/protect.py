@@ -471,6 +471,24 @@ def _replay_fold(spark, folder):
     return reducers.replay_fold(order_log(spark, folder), _fold_lines).drop("global_position", "event_id")
 
 
+def _merge_lines(earlier: dict, later: dict) -> dict:
+    return {k: earlier.get(k, 0) + later.get(k, 0) for k in earlier.keys() | later.keys()}
+
+
+@query(
+    "replay_mergeable",
+    activity(
+        """SELECT aggregate_id, sequence_number, '{"n":' || count(*) OVER w || ',"qty":0}' AS state
+        FROM activity WINDOW w AS (PARTITION BY aggregate_id ORDER BY sequence_number)"""
+    ),
+)
+def _replay_mergeable(spark, folder):
+    fold = reducers.MergeableFold(_fold_lines, _merge_lines)
+    return reducers.replay_mergeable(activity_log(spark, folder), fold, 1024).drop(
+        "global_position", "event_id", "event_type"
+    )
+
+
 def _reduce_lines(events) -> dict:
     parts = [e["payload"]["part"] for e in events if "part" in e["payload"]]
     return {"parts": parts}

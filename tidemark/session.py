@@ -12,6 +12,10 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot join partition even where that costs one more shuffle after it
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # a grouping by (aggregate, field) must not settle for partitioning by aggregate
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
 }
 
 
