@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json_values import FIELD_MAP
 from ..sources.schema import ORDER
-from .replay import current_state, field_changes
+from .replay import current_state, packed_writes, unpacked
 
 
 def _changed(old: Column, new: Column) -> Column:
@@ -63,11 +63,12 @@ def diff_at_sequences(events: DataFrame, requests: DataFrame) -> DataFrame:
     order = F.struct(*ORDER)
 
     def last_until(limit: str) -> Column:
-        return F.max_by("value_json", F.when(F.col("sequence_number") <= F.col(limit), order))
+        return F.max_by("w", F.when(F.col("sequence_number") <= F.col(limit), order))
 
-    sides = field_changes(reached, keep=by[1:]).groupBy(*by, "key").agg(
-        last_until("from_sequence").alias("old_json"), last_until("to_sequence").alias("new_json")
+    packed = packed_writes(reached, keep=by[1:]).groupBy(*by, "key", "is_book").agg(
+        last_until("from_sequence").alias("w_old"), last_until("to_sequence").alias("w_new")
     )
+    sides = unpacked(packed, {"w_old": "old_json", "w_new": "new_json"})
     return sides.filter(_changed(F.col("old_json"), F.col("new_json")))
 
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_values import json_string, object_fields, object_text, text, variant
+from ..functions.json_values import FIELD_MAP, json_string, object_text, text, variant
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,14 @@ def mask_text(plain: Column, rules: Sequence[MaskRule] = DEFAULT_MASKS) -> Colum
     return masked.otherwise(plain) if rules else plain
 
 
+def _masked_json(value_json: Column, plain: Column, rules: Sequence[MaskRule]) -> Column:
+    """The JSON string of a text, or of its mask; an unmasked text is not written anew."""
+    masked = F
+    for rule in rules:
+        masked = masked.when(plain.rlike(_jvm_regex(rule.regex)), json_string(F.lit(rule.mask)))
+    return masked.otherwise(value_json) if rules else value_json
+
+
 def _mask_tree(rules: Sequence[MaskRule]):
     """Arrow-batched masking of JSON texts with nested values; NULL in, NULL out."""
     compiled = [(re.compile(r.regex, re.ASCII), r.mask) for r in rules]
@@ -74,8 +82,9 @@ def _nested(value_json: Column) -> Column:
 
 def mask_value(value_json: Column, rules: Sequence[MaskRule] = DEFAULT_MASKS) -> Column:
     """Mask canonical JSON of one value; only nested values leave the JVM."""
-    plain = text(value_json)
-    flat = F.when(F.substring(value_json, 1, 1) == '"', json_string(mask_text(plain, rules))).otherwise(value_json)
+    flat = F.when(
+        F.substring(value_json, 1, 1) == '"', _masked_json(value_json, text(value_json), rules)
+    ).otherwise(value_json)
     deep = _mask_tree(rules)(F.when(_nested(value_json), value_json))
     return F.when(_nested(value_json), deep).otherwise(flat)
 
@@ -87,38 +96,54 @@ def mask_payload(events: DataFrame, rules: Sequence[MaskRule] = DEFAULT_MASKS, c
     with nested values pass through Arrow. Text that is not JSON stays as it is.
     Results are canonical JSON.
     """
-    parsed = variant(column)
-    canonical = F.to_json(parsed)
-    entries = F.map_entries(object_fields(column))
-    rendered = F.transform(
-        entries,
-        lambda e: F.struct(
-            e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value_json")
-        ),
+    # each step is a column of its own, so JSON is parsed and texts decoded once
+    staged = events.withColumn("__variant", variant(column))
+    staged = staged.withColumns(
+        {
+            "__canonical": F.to_json("__variant"),
+            "__cells": F.transform(
+                F.map_entries(F.try_variant_get("__variant", "$", FIELD_MAP)),
+                lambda e: F.struct(
+                    e["key"].alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value_json")
+                ),
+            ),
+        }
+    )
+    staged = staged.withColumns(
+        {
+            "__nested": F.coalesce(F.exists("__cells", lambda e: _nested(e["value_json"])), F.lit(False))
+            | F.coalesce(F.col("__canonical").startswith("["), F.lit(False)),
+            "__texts": F.transform(
+                "__cells",
+                lambda e: F.struct(
+                    e["key"].alias("key"), e["value_json"].alias("value_json"), text(e["value_json"]).alias("plain")
+                ),
+            ),
+        }
     )
-    has_nested = F.exists(rendered, lambda e: _nested(e["value_json"])) | canonical.startswith("[")
     flat = object_text(
         F.transform(
-            rendered,
+            "__texts",
             lambda e: F.struct(
                 e["key"].alias("key"),
-                F.when(
-                    F.substring(e["value_json"], 1, 1) == '"', json_string(mask_text(text(e["value_json"]), rules))
-                )
+                F.when(F.substring(e["value_json"], 1, 1) == '"', _masked_json(e["value_json"], e["plain"], rules))
                 .otherwise(e["value_json"])
                 .alias("value_json"),
             ),
         )
     )
-    bare = F.when(F.substring(canonical, 1, 1) == '"', json_string(mask_text(text(canonical), rules))).otherwise(canonical)
-    deep = _mask_tree(rules)(F.when(has_nested, canonical))
+    canonical = F.col("__canonical")
+    bare = F.when(
+        canonical.startswith('"'), _masked_json(canonical, text(canonical), rules)
+    ).otherwise(canonical)
+    deep = _mask_tree(rules)(F.when(F.col("__nested"), canonical))
     masked = (
         F.when(canonical.isNull(), F.col(column))
-        .when(has_nested, deep)
-        .when(canonical.startswith("{"), flat)
+        .when(F.col("__nested"), deep)
+        .when(F.col("__texts").isNotNull(), flat)
         .otherwise(bare)
     )
-    return events.withColumn(column, masked)
+    return staged.select(*[masked.alias(c) if c == column else F.col(c) for c in events.columns])
 
 
 def mask_transitions(changes: DataFrame, rules: Sequence[MaskRule] = DEFAULT_MASKS) -> DataFrame:

@@ -7,7 +7,7 @@ after an event is the last value written to it. That makes replay a matter of
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,9 @@ OPENING_WORDS = ["created", "opened", "placed", "submitted"]
 CLOSING_WORDS = ["deleted", "closed", "cancelled", "rejected"]
 DELETED_STATUS = "DELETED"
 
+# Fields that every event writes.
+BOOKKEEPING = ["_version", "_lastEventType", "_lastUpdated"]
+
 KEYS = ["aggregate_id", *ORDER]
 
 
@@ -163,13 +166,57 @@ def state_as_of(events: DataFrame, targets: DataFrame) -> DataFrame:
     return _last_writes(reached, ["aggregate_id", "as_of"])
 
 
+def packed_writes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Writes as ``key, w``, for aggregations that keep whole writes.
+
+    Every event writes the three bookkeeping fields, so they travel as one row
+    per event (``is_book``) and ``unpacked`` takes them apart in the end.
+    """
+    parsed = events.withColumn("__fields", object_fields("payload"))
+    book = F.array(
+        *[
+            F.coalesce(field_json(F.col("__fields"), name), _system_values()[name]).alias(name)
+            for name in BOOKKEEPING
+        ]
+    )
+    no_book = F.lit(None).cast("array<string>")
+
+    def row(key: Column, value: Column, book: Column) -> Column:
+        return F.struct(key.alias("key"), value.alias("value_json"), book.alias("book"))
+
+    written = F.transform(
+        F.filter(F.map_entries("__fields"), lambda e: ~e["key"].isin(*BOOKKEEPING)),
+        lambda e: row(e["key"], F.coalesce(F.to_json(e["value"]), F.lit("null")), no_book),
+    )
+    closed = closes(F.col("event_type")) & ~F.map_contains_key("__fields", F.lit("status"))
+    none = F.array().cast("array<struct<key:string,value_json:string,book:array<string>>>")
+    status = row(F.lit("status"), json_string(F.lit(DELETED_STATUS)), no_book)
+    own = row(F.lit(""), F.lit(None).cast("string"), book)
+    rows = F.concat(F.array(own), F.when(closed, F.array(status)).otherwise(none), written)
+    return parsed.select(*KEYS, *keep, F.inline(rows)).select(
+        *KEYS, *keep, "key", F.col("book").isNotNull().alias("is_book"), F.struct("value_json", "book").alias("w")
+    )
+
+
+def unpacked(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Turn packed write columns (name to new name) back into one row per field."""
+    rest = [c for c in df.columns if c not in ("key", "is_book", *columns)]
+
+    def row(key: Column, value) -> Column:
+        return F.struct(key.alias("key"), *[value(F.col(c)).alias(n) for c, n in columns.items()])
+
+    plain = F.array(row(F.col("key"), lambda w: w["value_json"]))
+    apart = F.array(*[row(F.lit(n), lambda w, i=i: w["book"][i]) for i, n in enumerate(BOOKKEEPING)])
+    return df.select(*rest, F.inline(F.when(F.col("is_book"), apart).otherwise(plain)))
+
+
 def _last_writes(events: DataFrame, group: list[str]) -> DataFrame:
-    writes = field_changes(events, keep=[c for c in group if c != "aggregate_id"])
-    # partial max_by runs before the shuffle: a long history shrinks to its fields
-    return writes.groupBy(*group, "key").agg(
-        F.max_by("value_json", F.struct(*ORDER)).alias("value_json"),
-        F.max("sequence_number").alias("set_at"),
+    # partial aggregation runs before the shuffle: a long history shrinks to its fields
+    writes = packed_writes(events, [c for c in group if c != "aggregate_id"])
+    last = writes.groupBy(*group, "key", "is_book").agg(
+        F.max_by("w", F.struct(*ORDER)).alias("w"), F.max("sequence_number").alias("set_at")
     )
+    return unpacked(last, {"w": "value_json"}).select(*group, "key", "value_json", "set_at")
 
 
 def current_state(events: DataFrame) -> DataFrame:

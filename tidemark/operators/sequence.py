@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, running
+from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, kept_chunks, running
 from ..sources.schema import ORDER
 
 MIN_RUN = 4  # fixed value: shortest run shown as a group
@@ -21,18 +21,19 @@ def _runs(events: DataFrame, width: Width) -> DataFrame:
         event_chunks(width),
         sums={"step": F.lit(1).cast("long")},
         previous={"before": F.struct("event_type")},
+        keep_chunks=True,
     )
     starts = ~F.coalesce(F.col("before.event_type").eqNullSafe(F.col("event_type")), F.lit(False))
     starts = F.col("before").isNull() | starts
     flagged = placed.select(
         "aggregate_id", *ORDER, "event_type", "step",
-        F.when(starts, F.col("step")).alias("start_step"),
+        F.when(starts, F.col("step")).alias("start_step"), *kept_chunks(placed),
     )
     return running(
         flagged,
         ["aggregate_id"],
         ORDER,
-        event_chunks(width),
+        kept_chunks(flagged),
         latest={"run_step": F.col("start_step")},
     ).drop("start_step")
 

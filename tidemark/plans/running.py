@@ -41,6 +41,11 @@ def event_chunks(width: Width = DEFAULT_WIDTH) -> list[Column]:
     return [_cut("sequence_number", width[0]), F.col("sequence_number"), _cut("global_position", width[1])]
 
 
+def kept_chunks(df: DataFrame) -> list[Column]:
+    """The chunk columns that ``running`` left in."""
+    return [F.col(c) for c in df.columns if c.startswith("__chunk")]
+
+
 def _spread(
     df: DataFrame,
     group: list[str],
@@ -117,18 +122,22 @@ def running(
     latest: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
+    keep_chunks: bool = False,
 ) -> DataFrame:
     """Add running columns to ``df``.
 
     ``sums``: sum up to and including the row. ``latest``: last non-NULL value
     up to and including the row. ``previous``: last non-NULL value before the
-    row. ``totals``: sum over the whole group.
+    row. ``totals``: sum over the whole group. ``keep_chunks`` leaves the chunk
+    columns in, so a second pass along the same order (``kept_chunks``) needs no
+    new shuffle of the rows.
     """
     sums, latest, previous, totals = (dict(x or {}) for x in (sums, latest, previous, totals))
     names = [f"__chunk{i}" for i in range(len(chunks))]
     chunked = df.withColumns(dict(zip(names, chunks)))
     spread = _spread(chunked, list(group), list(order), names, (sums, latest), ({}, previous), totals)
-    return spread.select(*df.columns, *sums, *latest, *previous, *totals)
+    kept = names if keep_chunks else []
+    return spread.select(*[c for c in df.columns if c not in names], *sums, *latest, *previous, *totals, *kept)
 
 
 def number_rows(
