@@ -73,41 +73,47 @@ def _spread(
     if not chunks:
         return inside
 
+    # names carry the level, as the levels' columns meet in the joins
+    level = len(chunks)
+    starts = f"__start{level}"
+
+    def own(kind: str, name: str) -> str:
+        return f"__{kind}{level}_{name}"
+
     all_sums, all_lasts = {**sums, **sums_before}, {**lasts, **lasts_before}
     summaries = df.groupBy(*part).agg(
         F.count(F.lit(1)).alias("__rows"),
-        *[F.sum(v).alias(f"__s_{n}") for n, v in all_sums.items()],
-        *[F.sum(v).alias(f"__t_{n}") for n, v in totals.items()],
+        *[F.sum(v).alias(own("sum", n)) for n, v in all_sums.items()],
+        *[F.sum(v).alias(own("total", n)) for n, v in totals.items()],
         *[
-            F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias(f"__l_{n}")
+            F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias(own("last", n))
             for n, v in all_lasts.items()
         ],
     )
+    carried_sums = {own("before", n): F.col(own("sum", n)) for n in all_sums}
+    carried_lasts = {own("before", n): F.col(own("last", n)) for n in all_lasts}
     carries = _spread(
         summaries,
         group,
         chunks,
         chunks[:-1],
         ({}, {}),
-        (
-            {"__before": F.col("__rows"), **{f"__cs_{n}": F.col(f"__s_{n}") for n in all_sums}},
-            {f"__cl_{n}": F.col(f"__l_{n}") for n in all_lasts},
-        ),
-        {n: F.col(f"__t_{n}") for n in totals},
-    ).select(
-        *part, "__before", *[f"__cs_{n}" for n in all_sums], *[f"__cl_{n}" for n in all_lasts], *totals
-    )
+        ({starts: F.col("__rows"), **carried_sums}, carried_lasts),
+        {n: F.col(own("total", n)) for n in totals},
+    ).select(*part, starts, *carried_sums, *carried_lasts, *totals)
     if not totals:
         # the first chunk of a group receives nothing: most groups drop out here
-        carries = carries.filter(F.col("__before").isNotNull())
-    return inside.join(carries.drop("__before"), part, "left").select(
+        carries = carries.filter(F.col(starts).isNotNull())
+
+    def plus(name: str) -> Column:
+        earlier_sum = F.col(own("before", name))
+        known = F.coalesce(name, earlier_sum).isNotNull()
+        return F.when(known, F.coalesce(name, F.lit(0)) + F.coalesce(earlier_sum, F.lit(0))).alias(name)
+
+    return inside.join(carries.drop(starts), part, "left").select(
         *df.columns,
-        *[(F.col(n) + F.coalesce(f"__cs_{n}", F.lit(0))).alias(n) for n in sums],
-        *[
-            F.when(F.coalesce(n, f"__cs_{n}").isNotNull(), F.coalesce(n, F.lit(0)) + F.coalesce(f"__cs_{n}", F.lit(0))).alias(n)
-            for n in sums_before
-        ],
-        *[F.coalesce(n, f"__cl_{n}").alias(n) for n in all_lasts],
+        *[plus(n) for n in all_sums],
+        *[F.coalesce(n, own("before", n)).alias(n) for n in all_lasts],
         *totals,
     )
 
