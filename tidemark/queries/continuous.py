@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import instant_text
 from ..session import run_folder
 from ..sources.sample_logs import activity_events, activity_log, read_sample
+from ..sources.stream_records import parse_stream_records, split_malformed
 from ..streaming.carry import stream_anomalies, stream_replay
 from ..streaming.tail import (
     in_batches, keep_latest, live_tail, newest_per_source, read_latest, run_to_folder, stream_throughput,
 )
 from .catalog import query
 from .difference import RULES, _hits
-from .sql_logs import activity, activity_changes, iso
+from .protect import PARSED_RECORDS, RECORDS, as_records
+from .sql_logs import activity, activity_changes, iso, with_logs
 
 
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,8 +98,8 @@ def _newest(spark, folder):
 @query(
     "live_tail",
     activity(
-        f"""SELECT event_id, {iso('ts')} AS ts_text, CASE WHEN r <= 100 THEN 'backfill' ELSE 'live' END AS part FROM (
-        SELECT *, row_number() OVER (ORDER BY global_position DESC) AS r FROM activity) WHERE r <= 100
+        f"""SELECT event_id, {iso('ts')} AS ts_text, 'backfill' AS part FROM (
+        SELECT * FROM activity ORDER BY global_position DESC LIMIT 100)
         UNION ALL SELECT event_id, {iso('ts')}, 'live' FROM activity"""
     ),
 )
@@ -111,3 +113,10 @@ def _tail(spark, folder):
     return shown(tail.backfill, "backfill").unionByName(shown(live, "live"))
 
 
+@query("read_stream_events", with_logs(RECORDS, body=PARSED_RECORDS))
+def _stream_events(spark, folder):
+    schema = read_sample(spark, folder, "events").schema
+    table = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    good, _ = split_malformed(parse_stream_records(as_records(table)))
+    events = run_to_folder(good, run_folder(spark, "records"))
+    return events.withColumn("ts_text", instant_text(F.col("timestamp"))).drop("timestamp", "topic", "partition")

@@ -10,9 +10,10 @@ from ..functions.text import instant_text
 from ..operators import export, governance, reducers
 from ..operators.detect import scan_anomalies, attach_states, load_rules
 from ..operators.replay import current_state, transitions
+from ..session import run_folder
 from ..sources import registry
 from ..sources.sample_logs import activity_log, conversation_log, document_log, order_log, read_sample
-from ..sources.schema import EVENT_COLUMNS
+from ..sources.schema import EVENT_COLUMNS, event_time, load_event_table
 from ..sources.stream_records import parse_stream_records, split_malformed
 from .catalog import query
 from .sql_logs import (
@@ -345,8 +346,18 @@ records AS (
     ELSE '[' || event_id || ']' END AS value, user_id, user_id % 5 AS form, event_type, props, ts FROM events)"""
 
 
-def _records(spark, folder):
-    """Stream records of every form made from the events table."""
+PARSED_RECORDS = f"""SELECT CASE WHEN form < 2 THEN 'e-' || off ELSE 'events-0-' || off END AS event_id,
+  CASE WHEN form < 2 THEN 'U-' || user_id ELSE CAST(user_id AS VARCHAR) END AS aggregate_id,
+  CASE WHEN form = 0 THEN 'USER' ELSE 'unknown' END AS aggregate_type, off AS sequence_number,
+  CASE WHEN form IN (0, 2) THEN event_type ELSE 'UnknownEvent' END AS event_type,
+  CASE form WHEN 0 THEN '{{"k":' || json_extract_string(props, '$.k') || '}}' WHEN 1 THEN '{{}}' ELSE value END AS payload,
+  CASE form WHEN 0 THEN '{{"a":1}}' ELSE '{{}}' END AS metadata,
+  CASE WHEN form = 1 THEN '2024-01-01T00:00:00Z' ELSE {iso('ts')} END AS ts_text, off AS global_position
+  FROM records WHERE form < 3"""
+
+
+def as_records(table):
+    """Stream records of every form made from an events table, batch or streaming."""
     text = lambda c: F.col(c).cast("string")
     form = F.col("user_id") % 5
     full = F.concat(
@@ -364,7 +375,7 @@ def _records(spark, folder):
         .when(form == 3, F.concat(F.lit("not json "), text("event_id")))
         .otherwise(F.concat(F.lit("["), text("event_id"), F.lit("]")))
     )
-    return read_sample(spark, folder, "events").select(
+    return table.select(
         text("user_id").alias("key"), value.alias("value"), F.lit("events").alias("topic"), F.lit(0).alias("partition"),
         F.col("event_id").alias("offset"), F.col("ts").cast("timestamp").alias("timestamp"),
     )
@@ -374,24 +385,17 @@ def _records(spark, folder):
     "parse_stream_records",
     with_logs(
         RECORDS,
-        body=f"""SELECT CASE WHEN form < 2 THEN 'e-' || off ELSE 'events-0-' || off END AS event_id,
-        CASE WHEN form < 2 THEN 'U-' || user_id ELSE CAST(user_id AS VARCHAR) END AS aggregate_id,
-        CASE WHEN form = 0 THEN 'USER' ELSE 'unknown' END AS aggregate_type, off AS sequence_number,
-        CASE WHEN form IN (0, 2) THEN event_type ELSE 'UnknownEvent' END AS event_type,
-        CASE form WHEN 0 THEN '{{"k":' || json_extract_string(props, '$.k') || '}}' WHEN 1 THEN '{{}}' ELSE value END AS payload,
-        CASE form WHEN 0 THEN '{{"a":1}}' ELSE '{{}}' END AS metadata,
-        CASE WHEN form = 1 THEN '2024-01-01T00:00:00Z' ELSE {iso('ts')} END AS ts_text, off AS global_position
-        FROM records WHERE form < 3""",
+        body=PARSED_RECORDS,
     ),
 )
 def _parse_records(spark, folder):
-    good, _ = split_malformed(parse_stream_records(_records(spark, folder)))
+    good, _ = split_malformed(parse_stream_records(as_records(read_sample(spark, folder, "events"))))
     return good.withColumn("ts_text", instant_text(F.col("timestamp"))).drop("timestamp", "topic", "partition")
 
 
 @query("split_malformed", with_logs(RECORDS, body='SELECT off AS "offset", value FROM records WHERE form >= 3'))
 def _split_malformed(spark, folder):
-    _, bad = split_malformed(parse_stream_records(_records(spark, folder)))
+    _, bad = split_malformed(parse_stream_records(as_records(read_sample(spark, folder, "events"))))
     return bad.select("offset", "value")
 
 
@@ -522,3 +526,70 @@ def _replay_with(spark, folder):
     cents = F.get_json_object("payload", "$.cents").try_cast("long")
     chosen = {"USER": reducers.ColumnReducer({"spent": cents}), "CONVERSATION": _fold_lines}
     return reducers.replay_with(events, chosen).drop("global_position", "event_id")
+
+
+@query(
+    "append_audit",
+    f"""SELECT 'VIEW_' || upper(event_type) AS action, 'U-' || user_id AS user_id, CAST(event_id AS VARCHAR) AS resource_id,
+    {iso('ts')} AS at_text FROM events""",
+)
+def _append_audit(spark, folder):
+    """Two appends to one audit table, read back."""
+    records = read_sample(spark, folder, "events").select(
+        F.concat(F.lit("VIEW_"), F.upper("event_type")).alias("action"),
+        F.concat(F.lit("U-"), F.col("user_id").cast("string")).alias("user_id"),
+        F.col("event_id").cast("string").alias("resource_id"),
+        F.col("ts").cast("timestamp").alias("created_at"),
+    )
+    path = run_folder(spark, "audit")
+    views = F.col("action") == "VIEW_VIEW"
+    governance.append_audit(records.filter(views), path)
+    governance.append_audit(records.filter(~views), path)
+    kept = spark.read.parquet(path)
+    return kept.select("action", "user_id", "resource_id", instant_text(F.col("created_at")).alias("at_text"))
+
+
+@query(
+    "write_json_events",
+    conversation("SELECT event_id, aggregate_id, aggregate_type, sequence_number, payload FROM conversation_log"),
+)
+def _write_json(spark, folder):
+    path = run_folder(spark, "json")
+    events = conversation_log(spark, folder)
+    export.write_json_events(events, path)
+    back = spark.read.schema(events.schema).json(path)
+    return back.select("event_id", "aggregate_id", "aggregate_type", "sequence_number", "payload")
+
+
+@query(
+    "write_lines",
+    order(
+        f"""SELECT 'sequence,event_type,timestamp,payload' AS line FROM order_log GROUP BY aggregate_id
+        UNION ALL SELECT sequence_number || ',"' || event_type || '","' || {iso('ts')} || '","' || replace(payload, '"', '""') || '"' FROM order_log"""
+    ),
+)
+def _write_lines(spark, folder):
+    path = run_folder(spark, "csv")
+    export.write_lines(export.export_csv(order_log(spark, folder)), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("load_event_table", order("SELECT event_id, aggregate_id, sequence_number, event_type FROM order_log"))
+def _load(spark, folder):
+    order_log(spark, folder).createOrReplaceTempView("tidemark_order_events")
+    events = load_event_table(spark, "tidemark_order_events")
+    return events.select("event_id", "aggregate_id", "sequence_number", "event_type")
+
+
+@query(
+    "event_time",
+    f"SELECT o_orderkey AS id, {iso('o_orderdate')} AS stated, {iso('o_orderdate')} AS recorded FROM orders",
+)
+def _event_time(spark, folder):
+    at = F.col("o_orderdate").cast("timestamp")
+    payload = F.to_json(F.struct(instant_text(at).alias("createdDate")))
+    return read_sample(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        instant_text(event_time(payload, F.lit(None).cast("timestamp"))).alias("stated"),
+        instant_text(event_time(F.lit("{}"), at)).alias("recorded"),
+    )

@@ -136,6 +136,12 @@ def normalize_timestamps(value: Column) -> Column:
     )
 
 
+def event_time(payload: Column, created_at: Column, now: Column | None = None) -> Column:
+    """Time of a mapped event: the payload's ``createdDate``, else the row's own time, else now."""
+    stated = normalize_timestamps(F.get_json_object(payload, "$.createdDate"))
+    return F.coalesce(stated, created_at.cast("timestamp"), F.current_timestamp() if now is None else now)
+
+
 def validate_events(df: DataFrame) -> DataFrame:
     """Flag columns: which of id, event type and aggregate type have a bad shape."""
 
