@@ -80,12 +80,6 @@ def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], max_
     deeper than ``max_depth`` raise an error.
     """
 
-    def as_map(value: Column) -> Column:
-        return F.try_variant_get(value, "$", FIELD_MAP)
-
-    def as_array(value: Column) -> Column:
-        return F.try_variant_get(value, "$", "array<variant>")
-
     def node(path: Column, old: Column, new: Column) -> Column:
         return F.struct(path.alias("path"), old.alias("old"), new.alias("new"))
 
@@ -93,41 +87,41 @@ def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], max_
         head = F.substring(F.to_json(value), 1, 1)
         return F.when(head.isin("{", "["), head)
 
+    old, new, path = F.col("__node.old"), F.col("__node.new"), F.col("__node.path")
+    old_text, new_text = F.to_json(old), F.to_json(new)
+    differs = _changed(old_text, new_text)
+    old_map, new_map, old_list, new_list = (F.col(f"__{s}_{k}") for k in ("map", "list") for s in ("old", "new"))
+    members = F.transform(
+        F.array_union(F.map_keys(old_map), F.map_keys(new_map)),
+        lambda k: node(
+            F.concat(path, F.lit("."), k), F.try_element_at(old_map, k), F.try_element_at(new_map, k)
+        ),
+    )
+    longest = F.greatest(F.size(old_list), F.size(new_list))
+    items = F.transform(
+        F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>")),
+        lambda i: node(
+            F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), F.get(old_list, i), F.get(new_list, i)
+        ),
+    )
     nodes = documents.select(
         *keep, node(F.lit("$"), F.try_parse_json(left), F.try_parse_json(right)).alias("__node")
     )
-    old, new = F.col("__node.old"), F.col("__node.new")
-    old_text, new_text = F.to_json(old), F.to_json(new)
-    differs = _changed(old_text, new_text)
     for _ in range(max_depth):
-        nodes = nodes.select("*", shape(old).alias("__old_shape"), shape(new).alias("__new_shape"))
+        # taken apart in a step of its own: members and items look into the parts many times
         nodes = nodes.select(
             *keep,
             "__node",
-            F.when(F.col("__old_shape") == F.col("__new_shape"), F.col("__old_shape")).alias("__shape"),
-        )
-        members = F.transform(
-            F.array_union(F.map_keys(as_map(old)), F.map_keys(as_map(new))),
-            lambda k: node(
-                F.concat(F.col("__node.path"), F.lit("."), k),
-                F.try_element_at(as_map(old), k),
-                F.try_element_at(as_map(new), k),
-            ),
-        )
-        longest = F.greatest(F.size(as_array(old)), F.size(as_array(new)))
-        items = F.transform(
-            F.when(longest > 0, F.sequence(F.lit(0), longest - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: node(
-                F.concat(F.col("__node.path"), F.lit("["), i.cast("string"), F.lit("]")),
-                F.get(as_array(old), i),
-                F.get(as_array(new), i),
-            ),
+            F.try_variant_get(old, "$", FIELD_MAP).alias("__old_map"),
+            F.try_variant_get(new, "$", FIELD_MAP).alias("__new_map"),
+            F.try_variant_get(old, "$", "array<variant>").alias("__old_list"),
+            F.try_variant_get(new, "$", "array<variant>").alias("__new_list"),
         )
         nodes = nodes.select(
             *keep,
             F.explode(
-                F.when(F.col("__shape") == "{", members)
-                .when(F.col("__shape") == "[", items)
+                F.when(old_map.isNotNull() & new_map.isNotNull(), members)
+                .when(old_list.isNotNull() & new_list.isNotNull(), items)
                 .otherwise(F.array("__node"))
             ).alias("__node"),
         ).filter(differs)

@@ -81,6 +81,50 @@ def field_changes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     return parsed.select(*KEYS, *keep, F.inline(F.concat(standing, written)))
 
 
+def packed_writes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Writes as ``key, w``, for aggregations that keep whole writes.
+
+    Every event writes the three bookkeeping fields, so they travel as one row
+    per event (``is_book``) and ``unpacked`` takes them apart in the end.
+    """
+    parsed = events.withColumn("__fields", object_fields("payload"))
+    book = F.array(
+        *[
+            F.coalesce(field_json(F.col("__fields"), name), _system_values()[name]).alias(name)
+            for name in BOOKKEEPING
+        ]
+    )
+    no_book = F.lit(None).cast("array<string>")
+
+    def row(key: Column, value: Column, book: Column) -> Column:
+        return F.struct(key.alias("key"), value.alias("value_json"), book.alias("book"))
+
+    written = F.transform(
+        F.filter(F.map_entries("__fields"), lambda e: ~e["key"].isin(*BOOKKEEPING)),
+        lambda e: row(e["key"], F.coalesce(F.to_json(e["value"]), F.lit("null")), no_book),
+    )
+    closed = closes(F.col("event_type")) & ~F.map_contains_key("__fields", F.lit("status"))
+    none = F.array().cast("array<struct<key:string,value_json:string,book:array<string>>>")
+    status = row(F.lit("status"), json_string(F.lit(DELETED_STATUS)), no_book)
+    own = row(F.lit(""), F.lit(None).cast("string"), book)
+    rows = F.concat(F.array(own), F.when(closed, F.array(status)).otherwise(none), written)
+    return parsed.select(*KEYS, *keep, F.inline(rows)).select(
+        *KEYS, *keep, "key", F.col("book").isNotNull().alias("is_book"), F.struct("value_json", "book").alias("w")
+    )
+
+
+def unpacked(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """Turn packed write columns (name to new name) back into one row per field."""
+    rest = [c for c in df.columns if c not in ("key", "is_book", *columns)]
+
+    def row(key: Column, value) -> Column:
+        return F.struct(key.alias("key"), *[value(F.col(c)).alias(n) for c, n in columns.items()])
+
+    plain = F.array(row(F.col("key"), lambda w: w["value_json"]))
+    apart = F.array(*[row(F.lit(n), lambda w, i=i: w["book"][i]) for i, n in enumerate(BOOKKEEPING)])
+    return df.select(*rest, F.inline(F.when(F.col("is_book"), apart).otherwise(plain)))
+
+
 def _differs(old: Column, new: Column) -> Column:
     null = F.lit("null")
     return F.coalesce(old, null) != F.coalesce(new, null)
@@ -88,13 +132,14 @@ def _differs(old: Column, new: Column) -> Column:
 
 def _stepped(events: DataFrame, width: Width) -> DataFrame:
     """Every write with the value it replaces (NULL for a new field)."""
-    return running(
-        field_changes(events),
-        ["aggregate_id", "key"],
+    stepped = running(
+        packed_writes(events),
+        ["aggregate_id", "key", "is_book"],
         ORDER,
         event_chunks(width),
-        previous={"old_json": F.col("value_json")},
+        previous={"old_w": F.col("w")},
     )
+    return unpacked(stepped, {"old_w": "old_json", "w": "value_json"})
 
 
 def transitions(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
@@ -119,23 +164,18 @@ def states_at_events(events: DataFrame, marks: DataFrame, width: Width = DEFAULT
     after the event, and picks up the last value: work is linear in the writes
     plus the rows returned, whatever the number of marks per aggregate.
     """
-    writes = field_changes(events)
-    names = writes.select("aggregate_id", "key").distinct()
+    writes = packed_writes(events)
+    field = ["aggregate_id", "key", "is_book"]
+    names = writes.select(*field).distinct()
     asked = marks.select(*KEYS).distinct().join(names, "aggregate_id")
-    columns = [*KEYS, "key"]
-    both = writes.select(*columns, "value_json", F.lit(0).alias("__mark")).unionByName(
-        asked.select(*columns, F.lit(None).cast("string").alias("value_json"), F.lit(1).alias("__mark"))
-    )
-    filled = running(
-        both,
-        ["aggregate_id", "key"],
-        [*ORDER, "__mark"],
-        event_chunks(width),
-        latest={"state_json": F.col("value_json")},
-    )
-    return filled.filter((F.col("__mark") == 1) & F.col("state_json").isNotNull()).select(
-        *columns, F.col("state_json").alias("value_json")
+    columns = [*KEYS, "key", "is_book"]
+    nothing = F.lit(None).cast(writes.schema["w"].dataType)
+    both = writes.select(*columns, "w", F.lit(0).alias("__mark")).unionByName(
+        asked.select(*columns, nothing.alias("w"), F.lit(1).alias("__mark"))
     )
+    filled = running(both, field, [*ORDER, "__mark"], event_chunks(width), latest={"last_w": F.col("w")})
+    at_marks = filled.filter((F.col("__mark") == 1) & F.col("last_w").isNotNull()).select(*columns, "last_w")
+    return unpacked(at_marks, {"last_w": "value_json"}).select(*KEYS, "key", "value_json")
 
 
 def transition_states(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
@@ -166,50 +206,6 @@ def state_as_of(events: DataFrame, targets: DataFrame) -> DataFrame:
     return _last_writes(reached, ["aggregate_id", "as_of"])
 
 
-def packed_writes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Writes as ``key, w``, for aggregations that keep whole writes.
-
-    Every event writes the three bookkeeping fields, so they travel as one row
-    per event (``is_book``) and ``unpacked`` takes them apart in the end.
-    """
-    parsed = events.withColumn("__fields", object_fields("payload"))
-    book = F.array(
-        *[
-            F.coalesce(field_json(F.col("__fields"), name), _system_values()[name]).alias(name)
-            for name in BOOKKEEPING
-        ]
-    )
-    no_book = F.lit(None).cast("array<string>")
-
-    def row(key: Column, value: Column, book: Column) -> Column:
-        return F.struct(key.alias("key"), value.alias("value_json"), book.alias("book"))
-
-    written = F.transform(
-        F.filter(F.map_entries("__fields"), lambda e: ~e["key"].isin(*BOOKKEEPING)),
-        lambda e: row(e["key"], F.coalesce(F.to_json(e["value"]), F.lit("null")), no_book),
-    )
-    closed = closes(F.col("event_type")) & ~F.map_contains_key("__fields", F.lit("status"))
-    none = F.array().cast("array<struct<key:string,value_json:string,book:array<string>>>")
-    status = row(F.lit("status"), json_string(F.lit(DELETED_STATUS)), no_book)
-    own = row(F.lit(""), F.lit(None).cast("string"), book)
-    rows = F.concat(F.array(own), F.when(closed, F.array(status)).otherwise(none), written)
-    return parsed.select(*KEYS, *keep, F.inline(rows)).select(
-        *KEYS, *keep, "key", F.col("book").isNotNull().alias("is_book"), F.struct("value_json", "book").alias("w")
-    )
-
-
-def unpacked(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Turn packed write columns (name to new name) back into one row per field."""
-    rest = [c for c in df.columns if c not in ("key", "is_book", *columns)]
-
-    def row(key: Column, value) -> Column:
-        return F.struct(key.alias("key"), *[value(F.col(c)).alias(n) for c, n in columns.items()])
-
-    plain = F.array(row(F.col("key"), lambda w: w["value_json"]))
-    apart = F.array(*[row(F.lit(n), lambda w, i=i: w["book"][i]) for i, n in enumerate(BOOKKEEPING)])
-    return df.select(*rest, F.inline(F.when(F.col("is_book"), apart).otherwise(plain)))
-
-
 def _last_writes(events: DataFrame, group: list[str]) -> DataFrame:
     # partial aggregation runs before the shuffle: a long history shrinks to its fields
     writes = packed_writes(events, [c for c in group if c != "aggregate_id"])
