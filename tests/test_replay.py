@@ -109,3 +109,38 @@ def test_closing_event_sets_status_unless_payload_does(spark):
 def test_numbers_compare_by_value(spark):
     df = events_df(spark, [event("A", "T", 1, "X", '{"v":1.0}'), event("A", "T", 2, "X", '{"v":1}')])
     assert replay.transitions(df).filter("key = 'v'").count() == 1
+
+
+def test_a_hot_aggregate_is_spread_over_tasks(spark):
+    """One aggregate with most rows must not end up in one partition."""
+    from pyspark.sql import functions as F
+    from tidemark.operators import detect, timeline
+
+    events = spark.range(40_000).select(
+        F.col("id").cast("string").alias("event_id"),
+        F.when(F.col("id") % 4 > 0, "HOT").otherwise(F.concat(F.lit("A-"), (F.col("id") % 997).cast("string"))).alias("aggregate_id"),
+        F.lit("T").alias("aggregate_type"),
+        F.col("id").alias("sequence_number"),
+        F.lit("Set").alias("event_type"),
+        F.concat(F.lit('{"v":'), (F.col("id") % 7).cast("string"), F.lit("}")).alias("payload"),
+        F.lit("{}").alias("metadata"),
+        F.timestamp_seconds("id").alias("timestamp"),
+        F.col("id").alias("global_position"),
+    )
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # joins as on a cluster, where neither side is small
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        ids = events.select("aggregate_id").distinct()
+        for result in (
+            replay.transitions(events, 500),
+            detect.scan_anomalies(events, [detect.condition_rule("V", "v >= 0")], 500),
+            timeline.events_page(timeline.events_for(events, ids), 1_000_000, 0, 500),
+        ):
+            sizes = [r["count"] for r in result.groupBy(F.spark_partition_id()).count().collect()]
+            assert max(sizes) < 0.25 * sum(sizes)
+    finally:
+        for k, v in saved.items():
+            spark.conf.set(k, v)

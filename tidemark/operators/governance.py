@@ -16,32 +16,47 @@ from ..functions.json_values import FIELD_MAP, json_string, object_text, text, v
 
 @dataclass(frozen=True)
 class MaskRule:
+    """A pattern and its mask. ``needs`` is a literal that every match contains,
+    if there is one: texts without it skip the pattern."""
+
     name: str
     regex: str
     mask: str
+    needs: str = ""
 
 
 # The default mask rules, first match wins.
 DEFAULT_MASKS = (
-    MaskRule("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "***@***.***"),
+    MaskRule("email", r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}", "***@***.***", "@"),
     MaskRule("credit-card", r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b", "****-****-****-****"),
     MaskRule("phone", r"\+?[1-9]\d{7,14}", "***-***-****"),
-    MaskRule("ssn", r"\d{3}-\d{2}-\d{4}", "***-**-****"),
+    MaskRule("ssn", r"\d{3}-\d{2}-\d{4}", "***-**-****", "-"),
 )
 
 # \b between ASCII word characters; the JVM's own \b also counts other letters
 _ASCII_BOUNDARY = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
-def _jvm_regex(regex: str) -> str:
-    return re.sub(r"\\(.)", lambda m: _ASCII_BOUNDARY if m.group(1) == "b" else m.group(0), regex, flags=re.DOTALL)
+def _outside_escapes(regex: str, boundary: str) -> str:
+    """The regex with each word boundary replaced."""
+    return re.sub(r"\\(.)", lambda m: boundary if m.group(1) == "b" else m.group(0), regex, flags=re.DOTALL)
+
+
+def _found(plain: Column, rule: MaskRule) -> Column:
+    """Whether the rule's pattern occurs in the text, cheap tests first."""
+    exact = _outside_escapes(rule.regex, _ASCII_BOUNDARY)
+    found = plain.rlike(exact)
+    if exact != rule.regex and "(?" not in rule.regex:
+        # without its boundaries the pattern matches more and runs faster
+        found = plain.rlike(_outside_escapes(rule.regex, "")) & found
+    return F.contains(plain, F.lit(rule.needs)) & found if rule.needs else found
 
 
 def mask_text(plain: Column, rules: Sequence[MaskRule] = DEFAULT_MASKS) -> Column:
     """A text as a whole replaced by the mask of the first rule found in it."""
     masked = F
     for rule in rules:
-        masked = masked.when(plain.rlike(_jvm_regex(rule.regex)), F.lit(rule.mask))
+        masked = masked.when(_found(plain, rule), F.lit(rule.mask))
     return masked.otherwise(plain) if rules else plain
 
 
@@ -49,7 +64,7 @@ def _masked_json(value_json: Column, plain: Column, rules: Sequence[MaskRule]) -
     """The JSON string of a text, or of its mask; an unmasked text is not written anew."""
     masked = F
     for rule in rules:
-        masked = masked.when(plain.rlike(_jvm_regex(rule.regex)), json_string(F.lit(rule.mask)))
+        masked = masked.when(_found(plain, rule), json_string(F.lit(rule.mask)))
     return masked.otherwise(value_json) if rules else value_json
 
 
