@@ -53,6 +53,15 @@ def field_json(fields: Column, key: Column | str) -> Column:
     )
 
 
+def field_of(parsed: Column, name: str) -> Column:
+    """Canonical JSON of one field of a parsed document, without building the others.
+
+    ``null`` when present and null, NULL when absent or not in an object.
+    """
+    path = "$." + name if name.isidentifier() and name.isascii() else "$['" + name + "']"
+    return F.to_json(F.try_variant_get(parsed, path, "variant"))
+
+
 def kind(value_json: Column) -> Column:
     """string, object, array, boolean, null or number, from canonical text."""
     head = F.substring(value_json, 1, 1)

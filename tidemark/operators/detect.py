@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Condition, ConditionError, compile_condition
-from ..functions.json_values import number
+from ..functions.json_values import number, variant
 from ..functions.text import SEVERITY_LABELS, instant_text, severity_label
 from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, running
 from ..plans.small import broadcast_rows
@@ -32,6 +32,14 @@ def filter_states(states: DataFrame, condition: str | Condition) -> DataFrame:
     return states.filter((F.col("key") == condition.field) & condition.holds(F.col("value_json")))
 
 
+def narrow_writes(events: DataFrame, fields: Iterable[str]) -> DataFrame:
+    """Events without payload, but with what each writes to the named fields (``w_<field>``)."""
+    parsed = events.withColumn("__payload", variant("payload"))
+    return parsed.select(
+        *KEYS, "event_type", "timestamp", *[written_value(f, F.col("__payload")).alias(f"w_{f}") for f in fields]
+    )
+
+
 def field_history(
     events: DataFrame, fields: Iterable[str], width: Width = DEFAULT_WIDTH, numbered: bool = False
 ) -> DataFrame:
@@ -41,9 +49,7 @@ def field_history(
     event count (``steps``).
     """
     fields = list(dict.fromkeys(fields))
-    narrow = events.select(
-        *KEYS, "event_type", "timestamp", *[written_value(f).alias(f"w_{f}") for f in fields]
-    )
+    narrow = narrow_writes(events, fields)
     one = {"step": F.lit(1).cast("long")} if numbered else {}
     history = running(
         narrow,

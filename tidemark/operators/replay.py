@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.json_values import field_json, json_string, object_fields, object_text
+from ..functions.json_values import field_json, field_of, json_string, object_fields, object_text
 from ..functions.text import has_any_word, instant_text
 from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, running
 from ..sources.schema import ORDER
@@ -44,9 +44,12 @@ def _system_values() -> dict[str, Column]:
     }
 
 
-def written_value(field: str, payload: Column | str = "payload") -> Column:
-    """Canonical JSON an event writes to one field, NULL when it leaves it alone."""
-    from_payload = field_json(object_fields(payload), field)
+def written_value(field: str, parsed: Column) -> Column:
+    """Canonical JSON an event writes to one field, NULL when it leaves it alone.
+
+    ``parsed`` is the event's payload as a VARIANT column.
+    """
+    from_payload = field_of(parsed, field)
     system = _system_values().get(field)
     return from_payload if system is None else F.coalesce(from_payload, system)
 

@@ -12,6 +12,7 @@ from ..operators.detect import scan_anomalies, attach_states, load_rules
 from ..operators.replay import current_state, transitions
 from ..session import run_folder
 from ..sources import registry
+from ..sources.layout import read_event_table, write_event_table
 from ..sources.sample_logs import activity_log, conversation_log, document_log, order_log, read_sample
 from ..sources.schema import EVENT_COLUMNS, event_time, load_event_table
 from ..sources.stream_records import parse_stream_records, split_malformed
@@ -593,3 +594,13 @@ def _event_time(spark, folder):
         instant_text(event_time(payload, F.lit(None).cast("timestamp"))).alias("stated"),
         instant_text(event_time(F.lit("{}"), at)).alias("recorded"),
     )
+
+
+@query(
+    "write_event_table",
+    order("SELECT event_id, aggregate_id, aggregate_type, sequence_number, event_type, payload, metadata, global_position FROM order_log"),
+)
+def _write_table(spark, folder):
+    path = run_folder(spark, "events")
+    write_event_table(order_log(spark, folder), path)
+    return read_event_table(spark, path).drop("timestamp")

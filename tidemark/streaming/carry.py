@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.detect import SNAPSHOT_RULE, Rule, tag_anomalies
-from ..operators.replay import KEYS, field_changes, written_value
+from ..operators.detect import SNAPSHOT_RULE, Rule, narrow_writes, tag_anomalies
+from ..operators.replay import KEYS, field_changes
 from ..sources.schema import ORDER
 
 STATE_SCHEMA = "last string, applied string, buffer string"
@@ -85,9 +85,7 @@ def stream_replay(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
 def stream_field_history(events: DataFrame, fields: Iterable[str], delay: str = "10 minutes") -> DataFrame:
     """Events with the value of each named field after them, as they arrive."""
     fields = list(dict.fromkeys(fields))
-    narrow = events.select(
-        *KEYS, "event_type", "timestamp", *[written_value(f).alias(f"w_{f}") for f in fields]
-    ).withWatermark("timestamp", delay)
+    narrow = narrow_writes(events, fields).withWatermark("timestamp", delay)
     carried = _carried(_timed(narrow), ["aggregate_id"], [f"w_{f}" for f in fields], ["event_type"])
     return carried.filter(~F.col("late")).select(
         *KEYS,
