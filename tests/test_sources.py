@@ -4,7 +4,7 @@ import pytest
 from helpers import T0, canonical_events, event, events_df
 from pyspark.sql import functions as F
 from tidemark.functions.text import decode_cursor, encode_cursor, instant_text
-from tidemark.sources import jdbc, registry, schema
+from tidemark.sources import jdbc, layout, registry, schema
 from tidemark.sources.stream_records import parse_stream_records, split_malformed
 
 
@@ -144,6 +144,14 @@ def test_routes(spark):
     assert got == {"main": "s2", "own": "own", "bound": "s2", "none": None, "lost": None}
 
 
-def test_jdbc_ranges_need_bounds(spark):
-    with pytest.raises(ValueError, match="bounds"):
-        jdbc.read_jdbc_events(spark, "jdbc:x", "events", partition_column="global_position")
+def test_jdbc_bounds_take_plain_names_only(spark):
+    with pytest.raises(ValueError, match="unsafe"):
+        jdbc.jdbc_bounds(spark, "jdbc:x", "events", "id; drop")
+
+
+def test_event_table_layout(spark, tmp_path):
+    path = str(tmp_path / "events")
+    layout.write_event_table(canonical_events(spark), path)
+    one = layout.read_event_table(spark, path).filter("aggregate_id = 'ACC-001'")
+    assert [r.sequence_number for r in one.orderBy("sequence_number").collect()] == [1, 2, 3]
+    assert "EqualTo(aggregate_id,ACC-001)" in one._jdf.queryExecution().executedPlan().toString()

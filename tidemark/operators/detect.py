@@ -14,7 +14,7 @@ from ..functions.text import SEVERITY_LABELS, instant_text, severity_label
 from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, running
 from ..plans.small import broadcast_rows
 from ..sources.schema import ORDER
-from .replay import KEYS, states_at_events, transitions, written_value
+from .replay import KEYS, state_map, states_at_events, transitions, written_value
 from .timeline import clamp_limit, recent_events
 
 # The built-in rule and the listing limits.
@@ -120,18 +120,20 @@ def _search_node(width: int) -> Column:
     return F.when(F.col("steps") <= width, start).otherwise(halved)
 
 
-def _probe(low: Column, high: Column, rounds: Column, holds_at: Callable[[Column], Column]) -> Column:
+FLAG = "struct<step:bigint,holds:boolean,sequence_number:bigint,global_position:bigint,event_id:string>"
+
+
+def _probe(low: Column, high: Column, rounds: Column, flag_at: Callable[[Column], Column]) -> Column:
     """Binary search as a fold: narrow [low, high], remember the last hit, count probes."""
-    nothing = F.lit(None).cast("long")
 
     def step(s: Column, _: Column) -> Column:
         middle = _middle(s["low"], s["high"])
-        hit = holds_at(middle)
+        hit = flag_at(middle)["holds"]
         return F.when(s["low"] > s["high"], s).otherwise(
             F.struct(
                 F.when(hit, s["low"]).otherwise(middle + 1).alias("low"),
                 F.when(hit, middle - 1).otherwise(s["high"]).alias("high"),
-                F.when(hit, middle).otherwise(s["found"]).alias("found"),
+                F.when(hit, flag_at(middle)).otherwise(s["found"]).alias("found"),
                 (s["probes"] + 1).alias("probes"),
             )
         )
@@ -139,7 +141,7 @@ def _probe(low: Column, high: Column, rounds: Column, holds_at: Callable[[Column
     start = F.struct(
         low.cast("long").alias("low"),
         high.cast("long").alias("high"),
-        nothing.alias("found"),
+        F.lit(None).cast(FLAG).alias("found"),
         F.lit(0).cast("long").alias("probes"),
     )
     return F.aggregate(F.sequence(F.lit(1), rounds), start, step)
@@ -165,10 +167,10 @@ def bisect(
     condition = compile_condition(condition) if isinstance(condition, str) else condition
     history = condition_history(events, condition, width)
     placed = history.withColumn("__node", _search_node(part)).select(
-        "aggregate_id", "steps", "step", "holds", "__node.low", "__node.high"
+        "aggregate_id", *ORDER, "steps", "step", "holds", "__node.low", "__node.high"
     )
     flags = placed.groupBy("aggregate_id", "steps", "low", "high").agg(
-        F.array_sort(F.collect_list(F.struct("step", "holds"))).alias("flags"),
+        F.array_sort(F.collect_list(F.struct("step", "holds", *ORDER))).alias("flags"),
         F.max_by("holds", "step").alias("last_holds"),
     )
     depth = F.ceil(F.log2(F.size("flags") + 1)).cast("int") + 1
@@ -182,7 +184,7 @@ def bisect(
             F.col("low"),
             F.col("high"),
             depth,
-            lambda i: F.get("flags", (i - F.col("low")).cast("int"))["holds"],
+            lambda i: F.get("flags", (i - F.col("low")).cast("int")),
         ).alias("hit"),
     ).select("aggregate_id", "steps", "low", "high", "last_holds", "hit.found", "hit.probes")
     # above the parts: a map from a part's first index to its result
@@ -208,7 +210,7 @@ def bisect(
         above = F.struct(
             F.when(hit, s["low"]).otherwise(middle + 1).alias("low"),
             F.when(hit, middle - 1).otherwise(s["high"]).alias("high"),
-            F.when(hit, middle).otherwise(s["found"]).alias("found"),
+            F.coalesce(alone["found"], s["found"]).alias("found"),
             (s["probes"] + 1).alias("probes"),
         )
         return F.when(s["low"] > s["high"], s).when(wide, above).otherwise(inside)
@@ -216,7 +218,7 @@ def bisect(
     start = F.struct(
         F.lit(0).cast("long").alias("low"),
         (F.col("steps") - 1).alias("high"),
-        F.lit(None).cast("long").alias("found"),
+        F.lit(None).cast(FLAG).alias("found"),
         F.lit(0).cast("long").alias("probes"),
     )
     levels = F.greatest(F.ceil(F.log2(F.col("steps") / F.lit(part))).cast("int"), F.lit(0)) + 2
@@ -227,11 +229,12 @@ def bisect(
     ).select(
         "aggregate_id",
         "at_end",
-        F.when(F.col("at_end"), F.col("s.found") + 1).alias("step"),
+        *[F.when(F.col("at_end"), F.col(f"s.found.{c}")).alias(c) for c in ORDER],
         F.when(F.col("at_end"), F.col("s.probes") + 1).otherwise(F.lit(1)).cast("long").alias("replays"),
     )
-    culprits = history.select("aggregate_id", "step", *ORDER, "event_type", "timestamp")
-    found = outcome.join(culprits, ["aggregate_id", "step"], "left")
+    culprits = events.select(*KEYS, "event_type", "timestamp")
+    # one row per aggregate even if the culprit itself was stored several times
+    found = outcome.join(culprits, KEYS, "left").dropDuplicates(["aggregate_id"])
     if asked is not None:
         found = asked.select("aggregate_id").distinct().join(found, "aggregate_id", "left")
     summary = (
@@ -352,6 +355,12 @@ def attach_states(events: DataFrame, anomalies: DataFrame, width: Width = DEFAUL
     return states_at_events(affected, marks, width)
 
 
+def report_states(events: DataFrame, anomalies: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+    """Anomaly rows with the whole state at the event as a JSON object (``state``)."""
+    states = state_map(attach_states(events, anomalies, width), KEYS)
+    return anomalies.join(states, KEYS, "left")
+
+
 def recent_aggregates(
     events: DataFrame,
     limit: int | None = None,

@@ -327,6 +327,22 @@ def _attach(spark, folder):
     return detect.attach_states(events, detect.scan_anomalies(events, rules)).drop("global_position", "event_id")
 
 
+@query(
+    "report_states",
+    order_states(
+        """SELECT 'GONE' AS code, aggregate_id, sequence_number, '{' || string_agg('"' || key || '":' || value_json, ',' ORDER BY key) || '}' AS state
+        FROM (SELECT w.aggregate_id, e.sequence_number, w.key, arg_max(w.value_json, w.sequence_number) AS value_json
+              FROM order_log e JOIN order_writes w ON w.aggregate_id = e.aggregate_id AND w.sequence_number <= e.sequence_number
+              WHERE e.event_type = 'ORDER_CANCELLED' GROUP BY 1, 2, 3) GROUP BY 1, 2, 3"""
+    ),
+)
+def _report_states(spark, folder):
+    events = order_log(spark, folder)
+    rules, _ = detect.load_rules([{"code": "GONE", "condition": "status == DELETED"}])
+    reports = detect.report_states(events, detect.scan_anomalies(events, rules))
+    return reports.select("code", "aggregate_id", "sequence_number", "state")
+
+
 @query("scan_recent", activity(f"SELECT {REPORT} FROM hits", RECENT, _hits("recent_log")))
 def _scan_recent(spark, folder):
     return detect.scan_recent(activity_log(spark, folder), RULES).select(*REPORT.split(", "))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,23 @@ from .schema import map_event_columns
 QUERY_TIMEOUT_SECONDS = 30  # fixed value: default time allowed for a query
 
 
+def jdbc_bounds(
+    spark: SparkSession, url: str, table: str, column: str, properties: Mapping[str, str] | None = None
+) -> tuple[int, int]:
+    """Lowest and highest value of a column, asked of the database as one row."""
+    if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", column):
+        raise ValueError(f"unsafe column name '{column}'")
+    ends = (
+        spark.read.format("jdbc")
+        .option("url", url)
+        .option("query", f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}")
+        .options(**dict(properties or {}))
+        .load()
+        .first()
+    )
+    return int(ends["low"] or 0), int(ends["high"] or 0)
+
+
 def read_jdbc_events(
     spark: SparkSession,
     url: str,
@@ -26,9 +44,9 @@ def read_jdbc_events(
 ) -> DataFrame:
     """A table of a PostgreSQL, MySQL or other JDBC database as events.
 
-    With ``partition_column`` and ``bounds`` (its lowest and highest value) the
-    table is read in ranges, in parallel; filters and columns are pushed into
-    the queries either way.
+    With ``partition_column`` (and ``bounds``, its lowest and highest value, else
+    asked of the database) the table is read in ranges, in parallel; filters and
+    columns are pushed into the queries either way.
     """
     reader = (
         spark.read.format("jdbc")
@@ -40,7 +58,7 @@ def read_jdbc_events(
     )
     if partition_column is not None:
         if bounds is None:
-            raise ValueError("partition_column needs bounds")
+            bounds = jdbc_bounds(spark, url, table, partition_column, properties)
         reader = (
             reader.option("partitionColumn", partition_column)
             .option("lowerBound", bounds[0])
