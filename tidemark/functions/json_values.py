@@ -41,7 +41,13 @@ def canonical(text: Column | str) -> Column:
 
 def json_string(text: Column | str) -> Column:
     """A string as a JSON literal; NULL becomes ``null``."""
-    return F.coalesce(F.to_json(_col(text).cast("variant")), F.lit("null"))
+    text = _col(text)
+    # names and numbers, the usual case, need no escaping
+    return (
+        F.when(text.rlike(r"\A[A-Za-z0-9_.:/@ -]*\z"), F.concat(F.lit('"'), text, F.lit('"')))
+        .when(text.isNull(), "null")
+        .otherwise(F.to_json(text.cast("variant")))
+    )
 
 
 def field_json(fields: Column, key: Column | str) -> Column:

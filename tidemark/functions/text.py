@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 def instant_text(ts: Column) -> Column:
     """ISO-8601 in UTC with as many fraction digits as needed, in groups of three."""
-    micros = F.pmod(F.unix_micros(ts), F.lit(1_000_000))
+    # one conversion: "2024-01-01 00:00:07[.fraction without trailing zeros]"
+    plain = ts.cast("string")
+    seconds = F.substring_index(plain, ".", 1)
+    fraction = F.substring(plain, F.length(seconds) + 1, F.lit(7))
+    width = F.ceil((F.length(fraction) - 1) / 3).cast("int") * 3 + 1
     return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(micros == 0, "")
-        .when(F.pmod(micros, F.lit(1000)) == 0, F.date_format(ts, ".SSS"))
-        .otherwise(F.date_format(ts, ".SSSSSS")),
+        F.translate(seconds, " ", "T"),
+        F.when(F.length(fraction) == 0, "").otherwise(F.rpad(fraction, width, "0")),
         F.lit("Z"),
     )
 

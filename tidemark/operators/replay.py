@@ -39,7 +39,7 @@ def _system_values() -> dict[str, Column]:
     return {
         "_version": F.col("sequence_number").cast("string"),
         "_lastEventType": json_string("event_type"),
-        "_lastUpdated": json_string(instant_text(F.col("timestamp"))),
+        "_lastUpdated": F.concat(F.lit('"'), instant_text(F.col("timestamp")), F.lit('"')),
         "status": F.when(closes(F.col("event_type")), json_string(F.lit(DELETED_STATUS))),
     }
 
@@ -103,7 +103,7 @@ def packed_writes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         return F.struct(key.alias("key"), value.alias("value_json"), book.alias("book"))
 
     written = F.transform(
-        F.filter(F.map_entries("__fields"), lambda e: ~e["key"].isin(*BOOKKEEPING)),
+        F.map_entries("__fields"),
         lambda e: row(e["key"], F.coalesce(F.to_json(e["value"]), F.lit("null")), no_book),
     )
     closed = closes(F.col("event_type")) & ~F.map_contains_key("__fields", F.lit("status"))
@@ -111,8 +111,11 @@ def packed_writes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     status = row(F.lit("status"), json_string(F.lit(DELETED_STATUS)), no_book)
     own = row(F.lit(""), F.lit(None).cast("string"), book)
     rows = F.concat(F.array(own), F.when(closed, F.array(status)).otherwise(none), written)
-    return parsed.select(*KEYS, *keep, F.inline(rows)).select(
-        *KEYS, *keep, "key", F.col("book").isNotNull().alias("is_book"), F.struct("value_json", "book").alias("w")
+    is_book = F.col("book").isNotNull()
+    return (
+        parsed.select(*KEYS, *keep, F.inline(rows))
+        .filter(is_book | ~F.col("key").isin(*BOOKKEEPING))
+        .select(*KEYS, *keep, "key", is_book.alias("is_book"), F.struct("value_json", "book").alias("w"))
     )
 
 
