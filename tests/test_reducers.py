@@ -45,7 +45,7 @@ def test_folds_agree(spark):
     expected = expected_states(rows)
     plain = reducers.replay_fold(df, account, batch=7).collect()
     assert {(r.aggregate_id, r.sequence_number): json.loads(r.state) for r in plain} == expected
-    merged = reducers.replay_mergeable(df, reducers.MergeableFold(account, add), width=4).collect()
+    merged = reducers.replay_mergeable(df, reducers.MergeableFold(account, add), width=3).collect()
     assert {(r.aggregate_id, r.sequence_number): json.loads(r.state) for r in merged} == expected
     sign = F.when(F.col("event_type") == "MoneyWithdrawn", -1).otherwise(1)
     amount = F.get_json_object("payload", "$.amount").cast("long")

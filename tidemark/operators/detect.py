@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.conditions import Condition, ConditionError, compile_condition
 from ..functions.json_values import number, variant
 from ..functions.text import SEVERITY_LABELS, instant_text, severity_label
-from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, running
+from ..plans.running import DEFAULT_WIDTH, event_chunks, running
 from ..plans.small import broadcast_rows
 from ..sources.schema import ORDER
 from .replay import KEYS, state_map, states_at_events, transitions, written_value
@@ -41,7 +41,7 @@ def narrow_writes(events: DataFrame, fields: Iterable[str]) -> DataFrame:
 
 
 def field_history(
-    events: DataFrame, fields: Iterable[str], width: Width = DEFAULT_WIDTH, numbered: bool = False
+    events: DataFrame, fields: Iterable[str], width: int = DEFAULT_WIDTH, numbered: bool = False
 ) -> DataFrame:
     """Every event with the value each named field has after it, as ``f_<field>``.
 
@@ -55,7 +55,7 @@ def field_history(
         narrow,
         ["aggregate_id"],
         ORDER,
-        event_chunks(width),
+        event_chunks(events, width),
         sums=one,
         latest={f"f_{f}": F.col(f"w_{f}") for f in fields},
         totals={"steps": F.lit(1).cast("long")} if numbered else {},
@@ -63,14 +63,14 @@ def field_history(
     return history.drop(*[f"w_{f}" for f in fields])
 
 
-def condition_history(events: DataFrame, condition: str | Condition, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def condition_history(events: DataFrame, condition: str | Condition, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Every event, numbered, with whether the state after it satisfies the condition."""
     condition = compile_condition(condition) if isinstance(condition, str) else condition
     history = field_history(events, [condition.field], width, numbered=True)
     return history.withColumn("holds", condition.holds(F.col(f"f_{condition.field}"))).drop(f"f_{condition.field}")
 
 
-def first_occurrence(events: DataFrame, condition: str | Condition, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def first_occurrence(events: DataFrame, condition: str | Condition, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Earliest event whose state satisfies the condition, per aggregate where there is one.
 
     ``is_monotone`` says whether it stays satisfied from there on.
@@ -151,7 +151,7 @@ def bisect(
     events: DataFrame,
     condition: str | Condition,
     asked: DataFrame | None = None,
-    width: Width = DEFAULT_WIDTH,
+    width: int = DEFAULT_WIDTH,
     part: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """The event that a binary search over the history names as the culprit, per aggregate.
@@ -257,7 +257,7 @@ def bisect(
     )
 
 
-def bisect_transitions(events: DataFrame, found: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def bisect_transitions(events: DataFrame, found: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Field diffs of the culprit events of ``bisect``."""
     culprits = found.filter(F.col("sequence_number").isNotNull()).select(*KEYS)
     return transitions(events.join(culprits.select("aggregate_id"), "aggregate_id", "left_semi"), width).join(
@@ -316,7 +316,7 @@ def load_rules(configs: Iterable[Mapping[str, str]]) -> tuple[list[Rule], list[t
     return rules, rejected
 
 
-def scan_anomalies(events: DataFrame, rules: Iterable[Rule] = (), width: Width = DEFAULT_WIDTH) -> DataFrame:
+def scan_anomalies(events: DataFrame, rules: Iterable[Rule] = (), width: int = DEFAULT_WIDTH) -> DataFrame:
     """One row per event and rule that holds on the state after it.
 
     Only the fields that rules name are parsed; the built-in rule always runs.
@@ -348,14 +348,14 @@ def tag_anomalies(history: DataFrame, rules: Iterable[Rule]) -> DataFrame:
     return history.select(*KEYS, "event_type", "timestamp", F.inline(F.array_compact(reports)))
 
 
-def attach_states(events: DataFrame, anomalies: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def attach_states(events: DataFrame, anomalies: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Long-form state at each anomalous event, one row per field."""
     marks = anomalies.select(*KEYS).distinct()
     affected = events.join(marks.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
     return states_at_events(affected, marks, width)
 
 
-def report_states(events: DataFrame, anomalies: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def report_states(events: DataFrame, anomalies: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Anomaly rows with the whole state at the event as a JSON object (``state``)."""
     states = state_map(attach_states(events, anomalies, width), KEYS)
     return anomalies.join(states, KEYS, "left")
@@ -385,7 +385,7 @@ def scan_recent(
     limit: int | None = None,
     max_aggregates: int = MAX_AGGREGATES,
     newest_first: bool = False,
-    width: Width = DEFAULT_WIDTH,
+    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """``scan_anomalies`` over the whole history of recently active aggregates."""
     chosen = broadcast_rows(recent_aggregates(events, limit, max_aggregates, newest_first), max_aggregates)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json_values import json_string, text
 from ..functions.text import csv_field, identifier, instant_text, source_string
-from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, number_rows, running
+from ..plans.running import DEFAULT_WIDTH, event_chunks, number_rows, running
 from ..sources.schema import ORDER
 from .governance import DEFAULT_MASKS, MaskRule, mask_payload
 from .replay import KEYS, transitions
@@ -26,12 +26,12 @@ CSV_HEADER = "sequence,event_type,timestamp,payload"
 LAST_LINE = 2**62
 
 
-def _numbered(events: DataFrame, width: Width) -> DataFrame:
+def _numbered(events: DataFrame, width: int) -> DataFrame:
     return running(
         events,
         ["aggregate_id"],
         ORDER,
-        event_chunks(width),
+        event_chunks(events, width),
         sums={"step": F.lit(1).cast("long")},
         totals={"steps": F.lit(1).cast("long")},
     )
@@ -41,7 +41,7 @@ def _lines(df: DataFrame, number: Column, line: Column) -> DataFrame:
     return df.select("aggregate_id", number.cast("long").alias("line_no"), line.alias("line"))
 
 
-def export_csv(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def export_csv(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Header line, then one line per event in sequence order."""
     ids = events.select("aggregate_id").distinct()
     row = F.concat_ws(
@@ -51,7 +51,7 @@ def export_csv(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
         csv_field(instant_text(F.col("timestamp"))),
         csv_field(F.col("payload")),
     )
-    body = number_rows(events, ["aggregate_id"], ORDER, event_chunks(width), "step")
+    body = number_rows(events, ["aggregate_id"], ORDER, event_chunks(events, width), "step")
     return _lines(ids, F.lit(0), F.lit(CSV_HEADER)).unionByName(_lines(body, F.col("step"), row))
 
 
@@ -77,7 +77,7 @@ def event_json(payload: Column) -> Column:
 
 
 def export_json(
-    events: DataFrame, exported_at: datetime | None = None, limit: int | None = None, width: Width = DEFAULT_WIDTH
+    events: DataFrame, exported_at: datetime | None = None, limit: int | None = None, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """A JSON document per aggregate: opening line, one line per event, closing line.
 
@@ -101,7 +101,7 @@ def export_json(
     )
 
 
-def export_markdown(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def export_markdown(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Title, table header, then one table line per event with its field changes."""
     ids = events.select("aggregate_id").distinct()
     titles = [
@@ -125,7 +125,7 @@ def export_markdown(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFram
         .agg(F.array_join(F.array_sort(F.collect_list(change)), ", ").alias("changes"))
     )
     body = number_rows(
-        events.select(*KEYS, "event_type", "timestamp"), ["aggregate_id"], ORDER, event_chunks(width), "step"
+        events.select(*KEYS, "event_type", "timestamp"), ["aggregate_id"], ORDER, event_chunks(events, width), "step"
     ).join(changes, KEYS, "left")
     row = F.concat(
         F.lit("| "), F.col("sequence_number").cast("string"),
@@ -136,7 +136,7 @@ def export_markdown(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFram
     return head.unionByName(_lines(body, F.col("step"), row))
 
 
-def export_fixture(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def export_fixture(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Source text of a test fixture per aggregate; an event is one multi-line block."""
     ids = events.select("aggregate_id").distinct()
     opening = F.concat(
@@ -163,11 +163,11 @@ def bulk_export(
     events: DataFrame,
     limit: int | None = None,
     rules: Sequence[MaskRule] | None = DEFAULT_MASKS,
-    width: Width = DEFAULT_WIDTH,
+    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """The first events of every aggregate, masked, as many as asked for and allowed."""
     size = DEFAULT_EXPORT if limit is None else max(1, min(limit, MAX_EXPORT))
-    kept = number_rows(events, ["aggregate_id"], ORDER, event_chunks(width), "step", size)
+    kept = number_rows(events, ["aggregate_id"], ORDER, event_chunks(events, width), "step", size)
     return kept.drop("step") if rules is None else mask_payload(kept.drop("step"), rules)
 
 

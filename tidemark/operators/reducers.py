@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_values import object_fields
-from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, running
+from ..plans.running import CHUNK, CHUNK_FIELDS, DEFAULT_WIDTH, event_chunks, running
 from ..sources.schema import ORDER
 from .replay import KEYS, transitions
 
@@ -60,13 +60,13 @@ def with_first_type(events: DataFrame) -> DataFrame:
     return events.join(first, "aggregate_id")
 
 
-def replay_columns(events: DataFrame, reducer: ColumnReducer, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def replay_columns(events: DataFrame, reducer: ColumnReducer, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Every event with the reducer's fields after it."""
     return running(
         events,
         ["aggregate_id"],
         ORDER,
-        event_chunks(width),
+        event_chunks(events, width),
         sums={n: F.coalesce(v, F.lit(0)) for n, v in reducer.sums.items()},
         latest=dict(reducer.latest or {}),
     ).select(*KEYS, "event_type", *reducer.sums, *(reducer.latest or {}))
@@ -151,28 +151,29 @@ def replay_mergeable(events: DataFrame, reducer: MergeableFold, width: int = DEF
     along each aggregate, and every event adds what came before its chunk.
     """
     merge = reducer.merge
-    chunked = events.withColumn("__chunk", event_chunks(width)[0])
-    part = ["aggregate_id", "__chunk"]
+    chunked = event_chunks(events, width)(events).select("*", f"{CHUNK}.*")
+    part = ["aggregate_id", *CHUNK_FIELDS]
     local = _fold_groups(chunked, part, reducer.fold, 5_000)
     ends = local.groupBy(*part).agg(F.max_by("state", F.struct(*ORDER)).alias("state"))
 
     def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, state = None, {}
+        current, state = None, None
         for chunk in batches:
             out = []
-            for aggregate, number, text in chunk.itertuples(index=False):
-                if aggregate != current:
-                    current, state = aggregate, {}
+            for *key, text in chunk.itertuples(index=False):
+                if key[0] != current:
+                    current, state = key[0], None
                 else:
-                    out.append((aggregate, number, _dump(state)))
-                state = merge(state, json.loads(text)) if state else json.loads(text)
-            yield pd.DataFrame(out, columns=["aggregate_id", "__chunk", "__before"])
+                    out.append((*key, _dump(state)))
+                local = json.loads(text)
+                state = local if state is None else merge(state, local)
+            yield pd.DataFrame(out, columns=[*part, "__before"])
 
     before = (
         ends.select(*part, "state")
         .repartition("aggregate_id")
         .sortWithinPartitions(*part)
-        .mapInPandas(carry, "aggregate_id string, __chunk long, __before string")
+        .mapInPandas(carry, "aggregate_id string, stretch long, sequence long, stored long, __before string")
     )
 
     @F.pandas_udf("string")
@@ -208,7 +209,7 @@ def reduce_events(
 def replay_with(
     events: DataFrame,
     reducers: Mapping[str, ColumnReducer | MergeableFold | FoldReducer],
-    width: Width = DEFAULT_WIDTH,
+    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Replay with the reducer registered for each aggregate's first type, else the generic one.
 
@@ -229,7 +230,7 @@ def replay_with(
             rows = replayed.select(*KEYS, cells).filter(F.col("value_json").isNotNull())
         else:
             if isinstance(reducer, MergeableFold):
-                folded = replay_mergeable(part, reducer, width if isinstance(width, int) else width[0])
+                folded = replay_mergeable(part, reducer, width)
             else:
                 folded = replay_fold(part, reducer)
             rows = folded.select(*KEYS, F.explode(object_fields("state"))).select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json_values import field_json, field_of, json_string, object_fields, object_text
 from ..functions.text import has_any_word, instant_text
-from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, running
+from ..plans.running import DEFAULT_WIDTH, event_chunks, running
 from ..sources.schema import ORDER
 
 # Words in event types that open or end an aggregate's life.
@@ -136,19 +136,19 @@ def _differs(old: Column, new: Column) -> Column:
     return F.coalesce(old, null) != F.coalesce(new, null)
 
 
-def _stepped(events: DataFrame, width: Width) -> DataFrame:
+def _stepped(events: DataFrame, width: int) -> DataFrame:
     """Every write with the value it replaces (NULL for a new field)."""
     stepped = running(
         packed_writes(events),
         ["aggregate_id", "key", "is_book"],
         ORDER,
-        event_chunks(width),
+        event_chunks(events, width),
         previous={"old_w": F.col("w")},
     )
     return unpacked(stepped, {"old_w": "old_json", "w": "value_json"})
 
 
-def transitions(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def transitions(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Field diffs of a full replay: one row per (event, changed field)."""
     stepped = _stepped(events, width)
     return stepped.filter(_differs(F.col("old_json"), F.col("value_json"))).select(
@@ -163,7 +163,7 @@ def event_diffs(changed: DataFrame) -> DataFrame:
     )
 
 
-def states_at_events(events: DataFrame, marks: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def states_at_events(events: DataFrame, marks: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """State after each marked event ``marks(aggregate_id, sequence_number, …order)``, long form.
 
     Each mark becomes one empty write per field of its aggregate, placed right
@@ -179,12 +179,12 @@ def states_at_events(events: DataFrame, marks: DataFrame, width: Width = DEFAULT
     both = writes.select(*columns, "w", F.lit(0).alias("__mark")).unionByName(
         asked.select(*columns, nothing.alias("w"), F.lit(1).alias("__mark"))
     )
-    filled = running(both, field, [*ORDER, "__mark"], event_chunks(width), latest={"last_w": F.col("w")})
+    filled = running(both, field, [*ORDER, "__mark"], event_chunks(events, width), latest={"last_w": F.col("w")})
     at_marks = filled.filter((F.col("__mark") == 1) & F.col("last_w").isNotNull()).select(*columns, "last_w")
     return unpacked(at_marks, {"last_w": "value_json"}).select(*KEYS, "key", "value_json")
 
 
-def transition_states(events: DataFrame, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def transition_states(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """State maps before and after every event, as JSON objects."""
     states = states_at_events(events, events, width)
     written = _stepped(events, width).select(*KEYS, "key", "old_json", F.lit(True).alias("__written"))

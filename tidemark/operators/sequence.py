@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, kept_chunks, running
+from ..plans.running import CHUNK, DEFAULT_WIDTH, event_chunks, running
 from ..sources.schema import ORDER
 
 MIN_RUN = 4  # fixed value: shortest run shown as a group
 
 
-def _runs(events: DataFrame, width: Width) -> DataFrame:
+def _runs(events: DataFrame, width: int) -> DataFrame:
     """Every event with its index from 0 and the index its run starts at."""
     narrow = events.select("aggregate_id", *ORDER, "event_type")
     placed = running(
         narrow,
         ["aggregate_id"],
         ORDER,
-        event_chunks(width),
+        event_chunks(events, width),
         sums={"step": F.lit(1).cast("long")},
         previous={"before": F.struct("event_type")},
         keep_chunks=True,
@@ -27,18 +27,18 @@ def _runs(events: DataFrame, width: Width) -> DataFrame:
     starts = F.col("before").isNull() | starts
     flagged = placed.select(
         "aggregate_id", *ORDER, "event_type", "step",
-        F.when(starts, F.col("step")).alias("start_step"), *kept_chunks(placed),
+        F.when(starts, F.col("step")).alias("start_step"), CHUNK,
     )
     return running(
         flagged,
         ["aggregate_id"],
         ORDER,
-        kept_chunks(flagged),
+        None,
         latest={"run_step": F.col("start_step")},
     ).drop("start_step")
 
 
-def collapse_runs(events: DataFrame, min_run: int = MIN_RUN, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def collapse_runs(events: DataFrame, min_run: int = MIN_RUN, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Segments of a timeline: a group per run of ``min_run`` or more, else single events.
 
     Runs fold on the map side, so one run holding most events costs no task
@@ -86,7 +86,7 @@ def timeline_rows(
     expanded_key: str | None = None,
     selected_sequence: int | None = None,
     min_run: int = MIN_RUN,
-    width: Width = DEFAULT_WIDTH,
+    width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
     """Display rows after collapsing: single, group and, for the expanded group, its items.
 

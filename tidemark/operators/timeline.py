@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_cursor, encode_cursor
-from ..plans.running import DEFAULT_WIDTH, Width, event_chunks, number_rows
+from ..plans.running import DEFAULT_WIDTH, event_chunks, number_rows
 from ..plans.small import broadcast_rows
 from ..sources.schema import ORDER
 
@@ -22,8 +22,8 @@ def clamp_limit(limit: int | None, default: int, largest: int = MAX_ROWS) -> int
     return default if limit is None else max(1, min(limit, largest))
 
 
-def _number(events: DataFrame, width: Width, upto: int | None = None) -> DataFrame:
-    return number_rows(events, ["aggregate_id"], ORDER, event_chunks(width), "step", upto)
+def _number(events: DataFrame, width: int, upto: int | None = None) -> DataFrame:
+    return number_rows(events, ["aggregate_id"], ORDER, event_chunks(events, width), "step", upto)
 
 
 def events_for(events: DataFrame, ids: DataFrame) -> DataFrame:
@@ -31,20 +31,20 @@ def events_for(events: DataFrame, ids: DataFrame) -> DataFrame:
     return events.join(ids.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
 
 
-def events_page(events: DataFrame, limit: int, offset: int = 0, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def events_page(events: DataFrame, limit: int, offset: int = 0, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Events number offset+1 to offset+limit of every aggregate, with their ``step``."""
     offset = max(0, offset)
     return _number(events, width, offset + limit).filter(F.col("step") > offset)
 
 
 def events_after_sequence(
-    events: DataFrame, after: int, limit: int, width: Width = DEFAULT_WIDTH
+    events: DataFrame, after: int, limit: int, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """The first ``limit`` events past a sequence, for every aggregate."""
     return _number(events.filter(F.col("sequence_number") > after), width, limit).drop("step")
 
 
-def timeline_page(events: DataFrame, limit: int, after: int = 0, width: Width = DEFAULT_WIDTH) -> DataFrame:
+def timeline_page(events: DataFrame, limit: int, after: int = 0, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Page header per aggregate: what ``events_after_sequence`` returns and where to go on.
 
     One row beyond the limit shows whether there is more.
@@ -74,7 +74,7 @@ def timeline_page(events: DataFrame, limit: int, after: int = 0, width: Width =
 
 
 def events_after_cursor(
-    events: DataFrame, cursors: DataFrame, limit: int, width: Width = DEFAULT_WIDTH
+    events: DataFrame, cursors: DataFrame, limit: int, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """Next page of each aggregate listed in ``cursors(aggregate_id, cursor)``."""
     starts = cursors.select("aggregate_id", decode_cursor(F.col("cursor"))["sequence"].alias("__after"))
@@ -159,7 +159,7 @@ def event_at(events: DataFrame, sequence: int) -> DataFrame:
 
 
 def timeline(
-    events: DataFrame, limit: int | None = None, offset: int = 0, width: Width = DEFAULT_WIDTH
+    events: DataFrame, limit: int | None = None, offset: int = 0, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """A page of events with the aggregate's whole event count and the page's type."""
     page = events_page(events, clamp_limit(limit, DEFAULT_PAGE), offset, width)
@@ -173,7 +173,7 @@ def timeline(
 
 
 def timeline_header(
-    events: DataFrame, limit: int | None = None, offset: int = 0, width: Width = DEFAULT_WIDTH
+    events: DataFrame, limit: int | None = None, offset: int = 0, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """Per aggregate: total, events in the page and type, ``unknown`` for an empty page."""
     page = events_page(events, clamp_limit(limit, DEFAULT_PAGE), offset, width)

@@ -6,123 +6,68 @@ summary row, and a second window over the summaries gives every chunk what the
 chunks before it add up to. The work is spread over as many tasks as there are
 chunks, and only the summaries of a group meet in one place.
 
-Chunks may be nested, coarse to fine; the summaries of one level are then
-spread over the level above. All rows of a lower chunk must come before all
-rows of a higher one. Group columns must not be NULL.
+All rows of a lower chunk come before all rows of a higher one. Group columns
+must not be NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+CHUNK = "__chunk"
+CHUNK_FIELDS = ["stretch", "sequence", "stored"]
 DEFAULT_WIDTH = 65_536
 
-# A number of sequences per chunk; a pair (sequences, positions) also cuts the
-# copies of one sequence by their position.
-Width = int | tuple[int, int]
+# A stretch counts as heavy beyond so many widths, and beyond this share of all rows.
+HEAVY_WIDTHS = 4
+MAX_HEAVY = 100_000
+
+Assign = Callable[[DataFrame], DataFrame]
 
 
 def _cut(position: str, width: int) -> Column:
     return F.floor(F.col(position) / F.lit(width)).cast("long")
 
 
-def event_chunks(width: Width = DEFAULT_WIDTH) -> list[Column]:
-    """Chunks of an event log along its sequence.
+def event_chunks(events: DataFrame, width: int = DEFAULT_WIDTH) -> Assign:
+    """How rows made from ``events`` are cut: into stretches of ``width`` sequences.
 
-    A plain width bounds a chunk when (aggregate, sequence) is unique. For logs
-    in which one sequence may have masses of copies, give a pair: copies are
-    then cut by position too.
+    A stretch is small as long as (aggregate, sequence) is unique. Where copies
+    make it heavy, it is cut further by sequence and position. Heavy stretches
+    are counted first; each has more than one in ``MAX_HEAVY`` of all rows, so
+    there are fewer than ``MAX_HEAVY`` and their list can be broadcast.
     """
-    if isinstance(width, int):
-        return [_cut("sequence_number", width)]
-    return [_cut("sequence_number", width[0]), F.col("sequence_number"), _cut("global_position", width[1])]
-
-
-def kept_chunks(df: DataFrame) -> list[Column]:
-    """The chunk columns that ``running`` left in."""
-    return [F.col(c) for c in df.columns if c.startswith("__chunk")]
-
-
-def _spread(
-    df: DataFrame,
-    group: list[str],
-    order: list[str],
-    chunks: list[str],
-    through: tuple[Mapping[str, Column], Mapping[str, Column]],
-    before: tuple[Mapping[str, Column], Mapping[str, Column]],
-    totals: Mapping[str, Column],
-) -> DataFrame:
-    """Add running sums and last values; ``through`` includes the row, ``before`` does not."""
-    (sums, lasts), (sums_before, lasts_before) = through, before
-    part = [*group, *chunks]
-    rows = Window.partitionBy(*part).orderBy(*order)
-    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = rows.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*part)
-    inside = df.select(
-        "*",
-        *[F.sum(v).over(upto).alias(n) for n, v in sums.items()],
-        *[F.sum(v).over(earlier).alias(n) for n, v in sums_before.items()],
-        *[F.last(v, ignorenulls=True).over(upto).alias(n) for n, v in lasts.items()],
-        *[F.last(v, ignorenulls=True).over(earlier).alias(n) for n, v in lasts_before.items()],
-        *([] if chunks else [F.sum(v).over(whole).alias(n) for n, v in totals.items()]),
+    stretch = _cut("sequence_number", width)
+    sizes = events.groupBy("aggregate_id", stretch.alias("__stretch")).agg(F.count(F.lit(1)).alias("__size"))
+    share = sizes.agg(F.coalesce(F.sum("__size"), F.lit(0)) / MAX_HEAVY).scalar()
+    heavy = sizes.filter(F.col("__size") > F.greatest(F.lit(float(HEAVY_WIDTHS * width)), share)).select(
+        "aggregate_id", "__stretch", F.lit(True).alias("__heavy")
     )
-    if not chunks:
-        return inside
-
-    # names carry the level, as the levels' columns meet in the joins
-    level = len(chunks)
-    starts = f"__start{level}"
-
-    def own(kind: str, name: str) -> str:
-        return f"__{kind}{level}_{name}"
 
-    all_sums, all_lasts = {**sums, **sums_before}, {**lasts, **lasts_before}
-    summaries = df.groupBy(*part).agg(
-        F.count(F.lit(1)).alias("__rows"),
-        *[F.sum(v).alias(own("sum", n)) for n, v in all_sums.items()],
-        *[F.sum(v).alias(own("total", n)) for n, v in totals.items()],
-        *[
-            F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias(own("last", n))
-            for n, v in all_lasts.items()
-        ],
-    )
-    carried_sums = {own("before", n): F.col(own("sum", n)) for n in all_sums}
-    carried_lasts = {own("before", n): F.col(own("last", n)) for n in all_lasts}
-    carries = _spread(
-        summaries,
-        group,
-        chunks,
-        chunks[:-1],
-        ({}, {}),
-        ({starts: F.col("__rows"), **carried_sums}, carried_lasts),
-        {n: F.col(own("total", n)) for n in totals},
-    ).select(*part, starts, *carried_sums, *carried_lasts, *totals)
-    if not totals:
-        # the first chunk of a group receives nothing: most groups drop out here
-        carries = carries.filter(F.col(starts).isNotNull())
+    def assign(df: DataFrame) -> DataFrame:
+        def if_heavy(value: Column) -> Column:
+            return F.when(F.col("__heavy"), value).otherwise(F.lit(-1).cast("long"))
 
-    def plus(name: str) -> Column:
-        earlier_sum = F.col(own("before", name))
-        known = F.coalesce(name, earlier_sum).isNotNull()
-        return F.when(known, F.coalesce(name, F.lit(0)) + F.coalesce(earlier_sum, F.lit(0))).alias(name)
+        placed = df.withColumn("__stretch", stretch)
+        joined = placed.join(F.broadcast(heavy), ["aggregate_id", "__stretch"], "left")
+        chunk = F.struct(
+            F.col("__stretch").alias("stretch"),
+            if_heavy(F.col("sequence_number")).alias("sequence"),
+            if_heavy(_cut("global_position", width)).alias("stored"),
+        )
+        return joined.select(*df.columns, chunk.alias(CHUNK))
 
-    return inside.join(carries.drop(starts), part, "left").select(
-        *df.columns,
-        *[plus(n) for n in all_sums],
-        *[F.coalesce(n, own("before", n)).alias(n) for n in all_lasts],
-        *totals,
-    )
+    return assign
 
 
 def running(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
-    chunks: Sequence[Column],
+    assign: Assign | None,
     *,
     sums: Mapping[str, Column] | None = None,
     latest: Mapping[str, Column] | None = None,
@@ -135,22 +80,64 @@ def running(
     ``sums``: sum up to and including the row. ``latest``: last non-NULL value
     up to and including the row. ``previous``: last non-NULL value before the
     row. ``totals``: sum over the whole group. ``keep_chunks`` leaves the chunk
-    columns in, so a second pass along the same order (``kept_chunks``) needs no
-    new shuffle of the rows.
+    in, so a second pass (without ``assign``) needs no new shuffle of the rows.
     """
     sums, latest, previous, totals = (dict(x or {}) for x in (sums, latest, previous, totals))
-    names = [f"__chunk{i}" for i in range(len(chunks))]
-    chunked = df.withColumns(dict(zip(names, chunks)))
-    spread = _spread(chunked, list(group), list(order), names, (sums, latest), ({}, previous), totals)
-    kept = names if keep_chunks else []
-    return spread.select(*[c for c in df.columns if c not in names], *sums, *latest, *previous, *totals, *kept)
+    carried = {**latest, **previous}
+    chunked = df if assign is None else assign(df)
+    columns = [c for c in df.columns if c != CHUNK]
+    group, order, part = list(group), list(order), [*group, CHUNK]
+
+    rows = Window.partitionBy(*part).orderBy(*order)
+    upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = rows.rowsBetween(Window.unboundedPreceding, -1)
+    inside = chunked.select(
+        "*",
+        *[F.sum(v).over(upto).alias(n) for n, v in sums.items()],
+        *[F.last(v, ignorenulls=True).over(upto).alias(n) for n, v in latest.items()],
+        *[F.last(v, ignorenulls=True).over(before).alias(n) for n, v in previous.items()],
+    )
+
+    summaries = chunked.groupBy(*part).agg(
+        F.count(F.lit(1)).alias("__rows"),
+        *[F.sum(v).alias(f"__sum_{n}") for n, v in sums.items()],
+        *[F.sum(v).alias(f"__total_{n}") for n, v in totals.items()],
+        *[
+            F.max_by(v, F.when(v.isNotNull(), F.struct(*order))).alias(f"__last_{n}")
+            for n, v in carried.items()
+        ],
+    )
+    earlier = _earlier(group)
+    whole = Window.partitionBy(*group)
+    carries = summaries.select(
+        *part,
+        F.sum("__rows").over(earlier).alias("__start"),
+        *[F.sum(f"__sum_{n}").over(earlier).alias(f"__sum_{n}") for n in sums],
+        *[F.last(f"__last_{n}", ignorenulls=True).over(earlier).alias(f"__last_{n}") for n in carried],
+        *[F.sum(f"__total_{n}").over(whole).alias(n) for n in totals],
+    )
+    if not totals:
+        # the first chunk of a group receives nothing: most groups drop out here
+        carries = carries.filter(F.col("__start").isNotNull())
+
+    return inside.join(carries.drop("__start"), part, "left").select(
+        *columns,
+        *[(F.col(n) + F.coalesce(f"__sum_{n}", F.lit(0))).alias(n) for n in sums],
+        *[F.coalesce(n, f"__last_{n}").alias(n) for n in carried],
+        *totals,
+        *([CHUNK] if keep_chunks else []),
+    )
+
+
+def _earlier(group: Sequence[str]):
+    return Window.partitionBy(*group).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
-    chunks: Sequence[Column],
+    assign: Assign,
     name: str,
     upto: int | None = None,
 ) -> DataFrame:
@@ -158,22 +145,20 @@ def number_rows(
 
     Chunks that start beyond ``upto`` are dropped before anything is sorted.
     """
-    one = F.lit(1).cast("long")
     if upto is None:
-        return running(df, group, order, chunks, sums={name: one})
-    group, order = list(group), list(order)
-    names = [f"__chunk{i}" for i in range(len(chunks))]
-    part = [*group, *names]
-    chunked = df.withColumns(dict(zip(names, chunks)))
-    sizes = chunked.groupBy(*part).agg(F.count(F.lit(1)).alias("__rows"))
-    starts = _spread(sizes, group, names, names[:-1], ({}, {}), ({"__before": F.col("__rows")}, {}), {})
-    reached = starts.select(*part, F.coalesce("__before", F.lit(0)).alias("__before")).filter(
-        F.col("__before") < upto
+        return running(df, group, order, assign, sums={name: F.lit(1).cast("long")})
+    group, order, part = list(group), list(order), [*group, CHUNK]
+    chunked = assign(df)
+    starts = (
+        chunked.groupBy(*part)
+        .agg(F.count(F.lit(1)).alias("__rows"))
+        .select(*part, F.coalesce(F.sum("__rows").over(_earlier(group)), F.lit(0)).alias("__start"))
+        .filter(F.col("__start") < upto)
     )
     inside = Window.partitionBy(*part).orderBy(*order)
     return (
-        chunked.join(reached, part)
-        .withColumn(name, (F.row_number().over(inside) + F.col("__before")).cast("long"))
+        chunked.join(starts, part)
+        .withColumn(name, (F.row_number().over(inside) + F.col("__start")).cast("long"))
         .filter(F.col(name) <= upto)
         .select(*df.columns, name)
     )
