@@ -1,5 +1,6 @@
 import random
 from datetime import timedelta
+from types import SimpleNamespace
 
 import pytest
 from helpers import T0, event, events_df
@@ -81,17 +82,19 @@ def test_live_tail_without_stream(spark):
     assert [r.global_position for r in found.backfill.collect()] == list(range(30, 130))
 
 
-def test_shared_folder_comes_from_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path)) if _settable(spark) else pytest.skip("static setting")
-    assert shared_folder(spark) == str(tmp_path)
-    assert run_folder(spark, "x").startswith(f"{tmp_path}/x-")
-    spark.conf.unset("spark.checkpoint.dir")
+def fake_session(folder, master):
+    return SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else default),
+        sparkContext=SimpleNamespace(master=master),
+    )
+
+
+def test_shared_folder_comes_from_the_session():
+    session = fake_session("hdfs://shared/work/", "yarn")
+    assert shared_folder(session) == "hdfs://shared/work"
+    assert run_folder(session, "x").startswith("hdfs://shared/work/x-")
 
 
-def _settable(spark):
-    try:
-        spark.conf.set("spark.checkpoint.dir", "/tmp")
-        spark.conf.unset("spark.checkpoint.dir")
-        return True
-    except Exception:
-        return False
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(fake_session(None, "yarn"))
