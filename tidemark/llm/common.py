@@ -47,3 +47,13 @@ def write_files(rows: DataFrame, path: str, compression: str = "none", per_file:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """The files of a folder as rows (path, content)."""
     return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def sized_broadcast(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
+    """Mark a staged table for broadcast if its measured text is small, else leave the join to Spark."""
+    texts = [c for c, kind in df.dtypes if kind == "string"]
+    width = F.lit(16 * len(df.columns))
+    for column in texts:
+        width = width + F.coalesce(F.octet_length(column), F.lit(0))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= most_bytes else df

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoded
 
 PER_GROUP = 4096  # pieces packed together; bounds a task's memory at any input size
 GIVEN_UP = 4  # sequences given up per sequence above the bound
@@ -89,11 +89,10 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     def cut(batches):
         import pyarrow as pa
 
-        code = encoder(tokenizer).encode
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = code(text.as_py() or "") + end
+            for doc_id, coded in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1))):
+                ids = coded + end
                 n = len(ids) // 4
                 for number, start in enumerate(range(0, n, capacity)):
                     part = ids[4 * start : 4 * (start + capacity)]

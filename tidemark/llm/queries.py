@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..queries.catalog import Entry
-from . import packing, token_files
+from . import archives, decontaminate, knn, packing, token_files, tool_calls
 from .common import table
 
 ENTRIES: dict[str, Entry] = {}
@@ -19,11 +19,99 @@ def query(name: str, sql: str | None = None):
     return enter
 
 
+@query(
+    "op2_voronoi_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS e
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    ), s AS (
+      SELECT q.vec_id AS query_id, d.vec_id,
+             CAST(list_sum(list_transform(list_zip(q.e, d.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v d ON d.vec_id <> q.vec_id AND len(d.e) = len(q.e)
+      WHERE q.vec_id % 20 = 0
+    ), r AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+    )
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return knn.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
 @query("op3_best_fit_packing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query(
+    "op8_archive_converter",
+    """
+    WITH p AS (
+      SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first,
+             sha1(coalesce(html, '')) AS hex
+      FROM pages
+    )
+    SELECT page_id, CAST(octet_length(encode(payload)) AS BIGINT) AS payload_bytes,
+      array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        CAST(1 + ((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT)
+                   >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+      CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+    FROM p
+    """,
+)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    records = archives.archive_pages(table(spark, folder, "pages"), least_revisit=0)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query(
+    "op4_decontamination",
+    r"""
+    WITH docs AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM documents
+    ), items AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark
+    ), wins AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS size,
+        array_to_string(list_slice(w, s, s + least(len(w), 10) - 1), ' ') AS win
+      FROM items, range(1, 1000000) r(s) WHERE s <= len(w) - least(len(w), 10) + 1 AND len(w) > 0
+    ), sizes AS (SELECT DISTINCT size FROM wins),
+    places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM docs),
+    found AS (
+      SELECT p.doc_id, p.s, z.size, array_to_string(list_slice(p.w, p.s, p.s + z.size - 1), ' ') AS win
+      FROM places p, sizes z WHERE p.s + z.size - 1 <= len(p.w)
+    ), hits AS (SELECT f.doc_id, f.s, f.size, x.item_id FROM found f JOIN wins x ON x.win = f.win AND x.size = f.size),
+    covered AS (
+      SELECT doc_id, count(DISTINCT pos) AS n FROM (SELECT doc_id, unnest(range(s, s + size)) AS pos FROM hits) GROUP BY doc_id
+    ), listed AS (
+      SELECT doc_id, count(*) AS n, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+      FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+    )
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_hit,
+      CAST(coalesce(l.n, 0) AS BIGINT) AS n_items, sha256(coalesce(l.ids, '')) AS items_sha256,
+      coalesce(c.n, 0) > 0 AS contaminated
+    FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN listed l USING (doc_id)
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op6_tool_call_linking")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return tool_calls.link_conversations(table(spark, folder, "conversations"))
+
+
 @query("op10_token_files")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(table(spark, folder, "documents"))

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..session import run_folder
 from .common import read_files, staged, write_files
 from .elias_fano import EliasFano, encode
-from .tokens import default_tokenizer, encoder
+from .tokens import default_tokenizer, encoded
 
 MAGIC = b"EFTOKEN1"
 HEAD = "<8sBB6xqqQQQ"  # magic, id width, nulls, partition, file, documents, tokens, bytes of doc_ids
@@ -80,15 +80,14 @@ def write_token_files(documents: DataFrame, path: str, tokenizer: str | None = N
         import pyarrow as pa
         from pyspark import TaskContext
 
-        code = encoder(tokenizer).encode
         partition = TaskContext.get().partitionId()
         number = held = 0
         doc_ids: list = []
         ids: list[bytes] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, coded in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1))):
                 doc_ids.append(doc_id)
-                ids.append(code(text.as_py()) + end)
+                ids.append(coded + end)
                 held += len(ids[-1]) // 4
                 if held >= file_tokens:
                     yield pa.RecordBatch.from_arrays([pa.array([pack_file(partition, number, doc_ids, ids)], pa.binary())], ["content"])
