@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..queries.catalog import Entry
-from . import archives, decontaminate, knn, packing, token_files, tool_calls
+from . import archives, decontaminate, knn, near_dup, packing, page_text, token_files, tool_calls
 from .common import table
 
 ENTRIES: dict[str, Entry] = {}
@@ -107,11 +107,21 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op5_consensus_text")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.main_text(table(spark, folder, "pages"))
+
+
 @query("op6_tool_call_linking")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return tool_calls.link_conversations(table(spark, folder, "conversations"))
 
 
+@query("op9_circulant_minhash")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), shingle=2, percent=80)
+
+
 @query("op10_token_files")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_files(table(spark, folder, "documents"))
