@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..queries.catalog import Entry
-from . import archives, decontaminate, knn, near_dup, packing, page_text, token_files, tool_calls
+from . import archives, decontaminate, knn, near_dup, ngram_trie, packing, page_text, token_files, tool_calls
 from .common import table
 
 ENTRIES: dict[str, Entry] = {}
@@ -19,6 +20,16 @@ def query(name: str, sql: str | None = None):
     return enter
 
 
+def fold(parts: int) -> Column:
+    """The part of all documents that a doc_id belongs to."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query("op1_elias_fano_scores")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_trie.score_documents(table(spark, folder, "documents"), fold(7) != 2)
+
+
 @query(
     "op2_voronoi_top_k",
     """
