@@ -1,22 +1,50 @@
-"""The training-data pipeline: reject, deduplicate, decontaminate, pack."""
+"""The training-data pipeline: reject, deduplicate, decontaminate, pack.
+
+Every stage takes the documents that its predecessor kept and returns whole rows
+of ``documents``; the last returns the pieces of all that is left with their
+places in sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import packing
+from tidemark.llm import decontaminate, near_dup, packing, quality
 from tidemark.llm.common import staged, table
+from tidemark.llm.queries import fold
 from tidemark.queries.catalog import Entry
 
 
+def reject(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Keep documents that the quality classifier scores 0.3 or more."""
+    score = quality.scorer(quality.fit(docs, table(spark, folder, "labels"), fold(5) != 0))
+    return docs.filter(score(F.col("text")) >= 0.3)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Keep one document of each group that links of similarity 0.8 on five-word shingles connect."""
+    return near_dup.without_near_duplicates(docs, shingle=5, percent=80)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Drop documents that hold ten consecutive words of a benchmark item, or a shorter item."""
+    return decontaminate.uncontaminated(docs, table(spark, folder, "benchmark"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Place every document in sequences of 4096 tokens."""
     return packing.pack_documents(docs)
 
 
-STAGES = [("best-fit packing", pack)]
+STAGES = [
+    ("quality classifier", reject),
+    ("MinHash near-dedup", deduplicate),
+    ("benchmark decontamination", decontaminated),
+    ("best-fit packing", pack),
+]
 
-# No stage but decontamination can be put into SQL.
+# Classifier, signatures and tokenizer have no SQL form; tests compare run() with plain Python.
 ORACLE_SQL = None
 
 

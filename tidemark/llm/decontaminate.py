@@ -61,12 +61,28 @@ def prefixes(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def row_key() -> Column:
+    """Rows with the same key hold the same doc_id and text."""
+    return F.xxhash64(F.col("doc_id"), F.col("text"))
+
+
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """Per document doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return judged(documents, benchmark, size).drop("_key")
+
+
+def uncontaminated(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """The documents, whole rows, in which no window of the benchmark occurs."""
+    found = judged(documents, benchmark, size).filter("contaminated").select("_key").distinct()
+    found = sized_broadcast(staged(found, "contaminated"))
+    return documents.join(found, row_key() == found["_key"], "left_anti")
+
+
+def judged(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     wanted = staged(windows(benchmark, size), "benchmark-windows")
     prefix = staged(prefixes(documents, wanted), "benchmark-prefixes")
     docs = documents.select("doc_id", "text")
-    key = F.xxhash64(F.col("doc_id"), F.col("text")).alias("_key")
+    key = row_key().alias("_key")
     places = (
         docs.select(key, words("text").alias("w"))
         .select("_key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
@@ -111,6 +127,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) ->
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
     return verified.join(items, "_key", "left").select(
+        "_key",
         "doc_id",
         "n_words",
         "n_hit",

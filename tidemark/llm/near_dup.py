@@ -222,6 +222,24 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     )
 
 
+def without_near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, whole rows, with the smallest doc_id of each component.
+
+    Where doc_ids are missing or repeated, rows are told apart by their place instead.
+    """
+    ids = documents.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("named")).first()
+    if ids["n"] == ids["named"]:
+        found = near_duplicates(documents, shingle, percent)
+        return documents.join(sized_broadcast(staged(found.filter("NOT kept").select("doc_id"), "dropped")), "doc_id", "left_anti")
+    name = "_row"
+    while name in documents.columns:
+        name += "_"
+    numbered = staged(documents.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(numbered.select(F.col(name).alias("doc_id"), "text"), shingle, percent)
+    dropped = staged(found.filter("NOT kept").select(F.col("doc_id").alias(name)), "dropped")
+    return numbered.join(sized_broadcast(dropped), name, "left_anti").drop(name)
+
+
 def hub_pairs(named: DataFrame, fits, first: bool) -> DataFrame:
     """For each class one class of another component from its buckets: the first, or the last, by label."""
     pick = F.min if first else F.max

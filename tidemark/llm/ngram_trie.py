@@ -358,7 +358,7 @@ def finisher(common: dict[int, int], shards: int, trained: int, distinct: int, m
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(documents: DataFrame, training: Column, mu: float = 30.0) -> DataFrame:
+def score_documents(documents: DataFrame, training: Column, mu: float = 1000.0) -> DataFrame:
     """Train on the rows where ``training`` holds and score every row."""
     spark = documents.sparkSession
     path = run_folder(spark, "lm-blocks")

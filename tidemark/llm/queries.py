@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries.catalog import Entry
-from . import archives, decontaminate, knn, near_dup, ngram_trie, packing, page_text, token_files, tool_calls
+from . import archives, decontaminate, knn, near_dup, ngram_trie, packing, page_text, quality, token_files, tool_calls
 from .common import table
 
 ENTRIES: dict[str, Entry] = {}
@@ -59,6 +59,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+@query("op7_neighbour_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    found = quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"), fold(5) != 0)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
 @query(
     "op8_archive_converter",
     """
