@@ -6,12 +6,14 @@ coordinate is the smallest image. Bands of coordinates are bucket keys. Texts
 with equal shingle sets are one class from the start, so copies cost nothing.
 
 Within buckets no group is multiplied out. A round links each class to the first
-class of its buckets; verified links join components; further rounds look at
-what different components still share a bucket. The last round compares every
-remaining pair of classes of different components, after the sizes and then the
-signatures have ruled out what cannot reach the threshold. Every link is
-confirmed on the full sets. At similarity 0.8 a pair shares no bucket with a
-chance of about 1e-7, and a signature errs by more than 0.2 with one of 1e-11.
+(then the last) class of its buckets; confirmed links join components. The last
+round compares what different components still share a bucket: pairs of small
+buckets as rows, large buckets in blocks of classes inside tasks, where a pair is
+looked at in its first common bucket only and becomes a row only if it may reach
+the threshold by its sizes, by its signatures, and by counts of shingles in 256
+bins, which bound the common shingles from above. Every link is confirmed on the
+full sets. At similarity 0.8 a pair shares no bucket with a chance of about 1e-7,
+and a signature errs by more than 0.2 with one of 1e-11.
 
 Null and blank texts have no shingles and are linked with nothing. A null doc_id
 is linked but names no component, unless all of a component are null. Rows that
@@ -21,6 +23,8 @@ gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,9 @@ from .word_hash import Words, mixed, shingles
 
 BANDS, ROWS = 40, 5
 SLACK = 0.2  # a signature may underestimate by as much before exact sets decide
+SMALL = 16  # classes in a bucket whose pairs are rows
+CHUNK = 512  # classes of a larger bucket that meet as many others in one task
+PAYLOAD = ["n", "keys", "sketch", "bins"]
 
 
 def permuted(x: np.ndarray) -> np.ndarray:
@@ -57,8 +64,23 @@ def band_keys(coordinates: np.ndarray, bands: int) -> np.ndarray:
     return key.astype(np.int64)
 
 
+def binned(hashes: np.ndarray) -> bytes:
+    """How many shingles fall in each of 256 bins; all 255 if one holds more."""
+    counts = np.bincount((mixed(hashes, 9) >> np.uint64(56)).astype(np.int64), minlength=256)
+    return (counts if counts.max() < 256 else np.full(256, 255)).astype(np.uint8).tobytes()
+
+
+def possible(x: dict, y: dict, percent: int) -> np.ndarray:
+    """Which rows of two sides may reach the similarity; arrays n, sketch, bins, row by row."""
+    alike = (x["sketch"] == y["sketch"]).mean(axis=1) >= percent / 100 - SLACK
+    common = np.minimum(x["bins"], y["bins"]).sum(axis=1, dtype=np.int64)
+    common[(x["bins"].min(axis=1) == 255) | (y["bins"].min(axis=1) == 255)] = np.iinfo(np.int32).max
+    common = np.minimum(common, np.minimum(x["n"], y["n"]))
+    return alike & (100 * common >= percent * (x["n"] + y["n"] - common))
+
+
 def described(documents: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document doc_id, n, set (hash of its shingles, null if none), keys, sketch (a byte per coordinate)."""
+    """Per document doc_id, n, set (hash of its shingles, null if none), keys, sketch (a byte per coordinate), bins."""
 
     def describe(batches):
         import pyarrow as pa
@@ -67,27 +89,29 @@ def described(documents: DataFrame, shingle: int, bands: int = BANDS, rows: int
         for batch in batches:
             ids = batch.column(0)
             for row, hashes, begins in words.stretches(batch.column(1)):
-                n, sets, keys, sketches = [], [], [], []
+                n, sets, keys, sketches, bins = [], [], [], [], []
                 for own in shingles(hashes, begins, shingle):
                     n.append(len(own))
                     if not len(own):
-                        sets.append(None), keys.append(None), sketches.append(None)
+                        for column in (sets, keys, sketches, bins):
+                            column.append(None)
                         continue
                     sums = [int(mixed(own, s).sum(dtype=np.uint64)) for s in (1, 2)]
                     sets.append(b"".join(x.to_bytes(8, "little") for x in sums))
                     coordinates = signature(own, bands * rows)
                     keys.append(band_keys(coordinates, bands))
                     sketches.append(coordinates.astype(np.uint8).tobytes())
+                    bins.append(binned(own))
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(row, len(n)), pa.array(n, pa.int64()), pa.array(sets, pa.binary()),
-                        pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()),
+                        pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(bins, pa.binary()),
                     ],
-                    ["doc_id", "n", "set", "keys", "sketch"],
+                    ["doc_id", "n", "set", "keys", "sketch", "bins"],
                 )
 
     return documents.select("doc_id", "text").mapInArrow(
-        describe, "doc_id long, n long, set binary, keys array<long>, sketch binary"
+        describe, "doc_id long, n long, set binary, keys array<long>, sketch binary, bins binary"
     )
 
 
@@ -129,23 +153,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def similar_sketches(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose signatures do not rule the similarity out."""
-    least = percent / 100 - SLACK
+def possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes, signatures and bins do not rule out."""
 
     def keep(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for row in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[row].as_buffer(), np.uint8) for c in (2, 3))
-                rows.append(bool((x == y).mean() >= least))
-            yield batch.select([0, 1]).filter(pa.array(rows, pa.bool_()))
+            x, y = (
+                {
+                    "n": batch.column(2 + at).to_numpy(),
+                    "sketch": stacked(batch.column(3 + at)),
+                    "bins": stacked(batch.column(4 + at)),
+                }
+                for at in (0, 3)
+            )
+            if batch.num_rows:
+                yield batch.select([0, 1]).filter(pa.array(possible(x, y, percent), pa.bool_()))
+
+    parts = ["n", "sketch", "bins"]
+    left = classes.select(F.col("id").alias("a"), *[F.col(c).alias(f"x_{c}") for c in parts])
+    right = classes.select(F.col("id").alias("b"), *[F.col(c).alias(f"y_{c}") for c in parts])
+    order = ["a", "b", *[f"x_{c}" for c in parts], *[f"y_{c}" for c in parts]]
+    return pairs.join(left, "a").join(right, "b").select(*order).mapInArrow(keep, "a long, b long")
 
-    left = classes.select(F.col("id").alias("a"), F.col("sketch").alias("x"))
-    right = classes.select(F.col("id").alias("b"), F.col("sketch").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
+
+def stacked(column) -> np.ndarray:
+    """Equally long binaries as rows of a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -171,55 +206,65 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per document doc_id, n_shingles, component_id (smallest linked doc_id), kept."""
-    spark = documents.sparkSession
-    rows = staged(described(documents, shingle), "near-dup-rows")
-    classes = staged(
-        rows.filter("set IS NOT NULL")
-        .groupBy("set")
-        .agg(
-            F.min("doc_id").alias("low"), F.first("n").alias("n"),
-            F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+    with small_batches(documents.sparkSession):
+        rows = staged(described(documents, shingle), "near-dup-rows")
+        classes = staged(
+            rows.filter("set IS NOT NULL")
+            .groupBy("set")
+            .agg(F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in PAYLOAD])
+            .withColumn("id", F.monotonically_increasing_id()),
+            "near-dup-classes",
         )
-        .withColumn("id", F.monotonically_increasing_id()),
-        "near-dup-classes",
+        names = linked_classes(documents, rows, classes, shingle, percent)
+        labelled = classes.join(names, "id", "left").select("set", "low", F.coalesce("label", "id").alias("label"))
+        lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
+        answer = staged(labelled.join(lowest, "label").select("set", "component_id"), "near-dup-answer")
+    linked = rows.filter("set IS NOT NULL").select("doc_id", "n", "set").join(answer, "set").drop("set")
+    alone = rows.filter("set IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return linked.union(alone).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+@contextmanager
+def small_batches(spark):
+    """Rows here are wide; a few at a time bound the memory of Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "2000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def linked_classes(documents: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(id, label) of the classes that have links."""
+    spark = documents.sparkSession
+    keys = classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held"))
     members = staged(
-        classes.select("id", "n", F.explode("keys").alias("key")).join(
-            classes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("held")).filter("held > 1"),
-            "key",
-        ).drop("held"),
+        classes.select("id", "n", F.explode("keys").alias("key")).join(keys.filter("held > 1"), "key").drop("held"),
         "near-dup-members",
     )  # of buckets with more than one class
     names = spark.createDataFrame([], "id long, label long")
+    tried = links = spark.createDataFrame([], "a long, b long")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    tried = spark.createDataFrame([], "a long, b long")
-    links = tried
-    sets = None
     for turn in ("first", "last", "all"):
         named = members.join(names, "id", "left").select("id", "n", "key", F.coalesce("label", "id").alias("label"))
         if turn == "all":
-            pairs = unlike_pairs(staged(named, "near-dup-named"), fits)
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = staged(similar_sketches(pairs, classes, percent), "near-dup-pairs")
+            pairs = unlike_pairs(staged(named, "near-dup-named"), classes, fits, percent)
         else:
-            pairs = staged(hub_pairs(named, fits, turn == "first"), "near-dup-pairs")
-            pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "near-dup-pairs") if turn != "first" else pairs
+            pairs = hub_pairs(named, fits, turn == "first")
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "near-dup-pairs")
         if not pairs.limit(1).count():
             continue
-        used = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-dup-used")
-        sets = texts_of(documents, rows, classes, used, shingle)
+        used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        sets = texts_of(documents, rows, classes, staged(used, "near-dup-used"), shingle)
         links = staged(links.union(confirmed(pairs, sets, percent)), "near-dup-links")
         tried = staged(tried.union(pairs), "near-dup-tried")
         names = components(links)
-    labelled = classes.join(names, "id", "left").select("set", "low", F.coalesce("label", "id").alias("label"))
-    lowest = labelled.groupBy("label").agg(F.min("low").alias("component_id"))
-    answer = staged(labelled.join(lowest, "label").select("set", "component_id"), "near-dup-answer")
-    linked = rows.filter("set IS NOT NULL").select("doc_id", "n", "set").join(answer, "set").drop("set")
-    alone = rows.filter("set IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return linked.union(alone).select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id",
-        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-    )
+    return names
 
 
 def without_near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -251,21 +296,89 @@ def hub_pairs(named: DataFrame, fits, first: bool) -> DataFrame:
     return one.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def unlike_pairs(named: DataFrame, fits) -> DataFrame:
-    """All pairs of classes of different components that share a bucket and may be similar by size."""
-    here = named.groupBy("key", "label").count().select("key", "label")
-    mixed_keys = here.groupBy("key").count().filter("count > 1").select("key")
-    here = staged(here.join(mixed_keys, "key"), "near-dup-mixed")
-    there = here.withColumnRenamed("label", "theirs")
-    labels = here.join(there, "key").filter("label < theirs")
-    other = named.select("key", F.col("label").alias("theirs"), F.col("id").alias("other"), F.col("n").alias("m"))
-    return (
-        labels.join(named, ["key", "label"])
-        .join(other, ["key", "theirs"])
+def unlike_pairs(named: DataFrame, classes: DataFrame, fits, percent: int) -> DataFrame:
+    """Pairs of classes of different components that share a bucket and may be similar."""
+    counted = named.groupBy("key", "label").agg(F.count("*").alias("held"))
+    buckets = staged(
+        counted.groupBy("key")
+        .agg(
+            F.count("*").alias("labels"), F.sum("held").alias("held"),
+            F.max(F.struct("held", "label")).alias("most"),
+        )
+        .filter("labels > 1"),
+        "near-dup-buckets",
+    )
+    few = named.join(buckets.filter(F.col("held") <= SMALL).select("key"), "key")
+    few = staged(few, "near-dup-few")
+    other = few.select("key", F.col("id").alias("other"), F.col("n").alias("m"), F.col("label").alias("theirs"))
+    rows = (
+        few.join(other, "key")
+        .filter("id < other AND label != theirs")
         .filter(fits)
-        .select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+        .select(F.col("id").alias("a"), F.col("other").alias("b"))
         .distinct()
     )
+    return possible_pairs(rows, classes, percent).union(block_pairs(named, buckets, classes, percent))
+
+
+def block_pairs(named: DataFrame, buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The same for large buckets: classes of the largest component there meet the others in blocks."""
+    large = buckets.filter(F.col("held") > SMALL).select(
+        "key",
+        F.col("most.label").alias("main"),
+        F.ceil(F.col("most.held") / CHUNK).alias("mains"),
+        F.ceil((F.col("held") - F.col("most.held")) / CHUNK).alias("others"),
+    )
+    rows = named.join(large, "key").withColumn("ours", F.col("label") == F.col("main"))
+    chunk = F.pmod(F.xxhash64("id"), F.when(F.col("ours"), F.col("mains")).otherwise(F.col("others")))
+    rows = rows.withColumn("chunk", chunk)
+    # unit (i, j): chunk i of the main component and chunk j of the others; unit (-1 - i, j): two chunks of others
+    with_main = F.when(
+        F.col("ours"),
+        F.transform(F.sequence(F.lit(0), F.col("others") - 1), lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j"))),
+    ).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("mains") - 1), lambda i: F.struct(i.alias("i"), F.col("chunk").alias("j")))
+    )
+    among = F.when(
+        ~F.col("ours") & (F.col("others") > 1),
+        F.transform(
+            F.filter(F.sequence(F.lit(0), F.col("others") - 1), lambda j: j != F.col("chunk")),
+            lambda j: F.struct((-1 - F.least(j, F.col("chunk"))).alias("i"), F.greatest(j, F.col("chunk")).alias("j")),
+        ),
+    ).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<i: BIGINT, j: BIGINT>>)"))
+    units = rows.select("key", "id", "label", "ours", F.explode(F.concat(with_main, among)).alias("unit")).select(
+        "key", "id", "label", "ours", "unit.i", "unit.j"
+    )
+    payload = classes.select("id", *PAYLOAD)
+
+    def compare(rows):
+        import pandas as pd
+
+        key, first = rows["key"].iloc[0], rows["i"].iloc[0]
+        ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
+        ours = rows["ours"].to_numpy(dtype=bool)
+        side = {
+            "n": rows["n"].to_numpy(dtype=np.int64),
+            "sketch": np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1),
+            "bins": np.frombuffer(b"".join(rows["bins"]), np.uint8).reshape(len(rows), -1),
+        }
+        keys = np.stack(rows["keys"].to_numpy())
+        band = int(np.flatnonzero(keys[0] == key)[0])
+        found = []
+        for k in np.flatnonzero(~ours).tolist():
+            # the others meet the main chunk; among themselves they meet in the unit of the first main chunk
+            meets = (labels != labels[k]) & (ours | ((first <= 0) & (ids > ids[k])))
+            small, big = np.minimum(side["n"], side["n"][k]), np.maximum(side["n"], side["n"][k])
+            meets &= 100 * small >= percent * big
+            at = np.flatnonzero(meets)
+            at = at[~(keys[at, :band] == keys[k, :band]).any(axis=1)]  # met in an earlier bucket
+            if len(at):
+                one = {c: np.repeat(v[k : k + 1], len(at), axis=0) for c, v in side.items()}
+                for x in at[possible(one, {c: v[at] for c, v in side.items()}, percent)].tolist():
+                    found.append((min(ids[k], ids[x]), max(ids[k], ids[x])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return units.join(payload, "id").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def texts_of(documents: DataFrame, rows: DataFrame, classes: DataFrame, used: DataFrame, shingle: int) -> DataFrame:
