@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 def instant_text(ts: Column) -> Column:
     """ISO-8601 in UTC with as many fraction digits as needed, in groups of three."""
-    # one conversion: "2024-01-01 00:00:07[.fraction without trailing zeros]"
-    plain = ts.cast("string")
+    # without the session's zone: "2024-01-01 00:00:07[.fraction without trailing zeros]"
+    since = (F.unix_micros(ts).cast("decimal(18,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    epoch = F.expr("TIMESTAMP_NTZ '1970-01-01 00:00:00'")
+    plain = (epoch + F.make_dt_interval(secs=since)).cast("string")
     seconds = F.substring_index(plain, ".", 1)
     fraction = F.substring(plain, F.length(seconds) + 1, F.lit(7))
     width = F.ceil((F.length(fraction) - 1) / 3).cast("int") * 3 + 1

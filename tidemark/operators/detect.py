@@ -15,13 +15,13 @@ from ..plans.running import DEFAULT_WIDTH, event_chunks, running
 from ..plans.small import broadcast_rows
 from ..sources.schema import ORDER
 from .replay import KEYS, state_map, states_at_events, transitions, written_value
-from .timeline import clamp_limit, recent_events
+from .timeline import chosen_limit, recent_events
 
 # The built-in rule and the listing limits.
 SNAPSHOT_CODE = "SNAPSHOT_NEEDED"
 SNAPSHOT_TEXT = "Aggregate has many events without snapshot (performance risk)"
 SNAPSHOT_EVERY = 50
-DEFAULT_SCAN, MAX_SCAN, MAX_AGGREGATES = 100, 500, 20
+DEFAULT_SCAN, MAX_AGGREGATES = 100, 20
 NO_EVENTS = "No events found"
 NEVER = "Condition never becomes true in entire history"
 
@@ -370,7 +370,7 @@ def recent_aggregates(
 ) -> DataFrame:
     """The aggregates a recent scan covers: the first to appear in the newest events."""
     recent = recent_events(
-        events.select("aggregate_id", *ORDER, "timestamp"), clamp_limit(limit, DEFAULT_SCAN, MAX_SCAN), order_by
+        events.select("aggregate_id", *ORDER, "timestamp"), chosen_limit(limit, DEFAULT_SCAN), order_by
     )
     seen = recent.groupBy("aggregate_id").agg(
         (F.max if newest_first else F.min)(F.struct(order_by, "global_position", "event_id")).alias("__at")

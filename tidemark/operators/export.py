@@ -20,8 +20,7 @@ from .governance import DEFAULT_MASKS, MaskRule, mask_payload
 from .replay import KEYS, transitions
 from .timeline import count_events
 
-# Rows per aggregate of a bulk export.
-DEFAULT_EXPORT, MAX_EXPORT = 50_000, 100_000
+# The CSV head, and a line number behind all others.
 CSV_HEADER = "sequence,event_type,timestamp,payload"
 LAST_LINE = 2**62
 
@@ -81,8 +80,10 @@ def export_json(
 ) -> DataFrame:
     """A JSON document per aggregate: opening line, one line per event, closing line.
 
-    ``limit`` is only named in the document, as bulk exports do.
+    With a ``limit`` the document holds the first events up to it and names it.
     """
+    if limit is not None:
+        events = first_events(events, limit, width)
     at = F.current_timestamp() if exported_at is None else F.lit(exported_at).cast("timestamp")
     limit_part = "" if limit is None else f',"limit":{limit}'
     opening = F.concat(
@@ -165,10 +166,15 @@ def bulk_export(
     rules: Sequence[MaskRule] | None = DEFAULT_MASKS,
     width: int = DEFAULT_WIDTH,
 ) -> DataFrame:
-    """The first events of every aggregate, masked, as many as asked for and allowed."""
-    size = DEFAULT_EXPORT if limit is None else max(1, min(limit, MAX_EXPORT))
-    kept = number_rows(events, ["aggregate_id"], ORDER, event_chunks(events, width), "step", size)
-    return kept.drop("step") if rules is None else mask_payload(kept.drop("step"), rules)
+    """All events, or the first ``limit`` of every aggregate, masked."""
+    kept = events if limit is None else first_events(events, limit, width)
+    return kept if rules is None else mask_payload(kept, rules)
+
+
+def first_events(events: DataFrame, limit: int, width: int = DEFAULT_WIDTH) -> DataFrame:
+    """The first ``limit`` events of every aggregate, one at least."""
+    chunks = event_chunks(events, width)
+    return number_rows(events, ["aggregate_id"], ORDER, chunks, "step", max(1, limit)).drop("step")
 
 
 def write_lines(lines: DataFrame, path: str) -> None:

@@ -71,7 +71,7 @@ def throughput(
     as_of: datetime | None = None,
     compat: bool = False,
 ) -> DataFrame:
-    """Events per bucket in the last ``bucket_hours * max_buckets`` hours, oldest first.
+    """Events per bucket in the ``bucket_hours * max_buckets`` hours up to ``as_of``, oldest first.
 
     Buckets without events are absent. ``compat`` keeps hourly buckets whatever
     the width and drops the newest ones beyond ``max_buckets``.
@@ -79,7 +79,8 @@ def throughput(
     _check(bucket_hours, max_buckets)
     end = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
     seconds = bucket_hours * max_buckets * 3600
-    recent = events.filter(F.col("timestamp") >= end - F.expr(f"interval {seconds} seconds"))
+    start = end - F.expr(f"interval {seconds} seconds")
+    recent = events.filter((F.col("timestamp") >= start) & (F.col("timestamp") <= end))
     buckets = _buckets(recent, 1 if compat else bucket_hours)
     kept = buckets.orderBy(F.asc("start") if compat else F.desc("start")).limit(max_buckets)
     return kept.orderBy("start").select(_label(F.col("start")).alias("bucket"), "event_count")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_cursor, encode_cursor
@@ -12,14 +12,15 @@ from ..plans.running import DEFAULT_WIDTH, event_chunks, number_rows
 from ..plans.small import broadcast_rows
 from ..sources.schema import ORDER
 
-# Default and largest number of rows per listing.
-DEFAULT_PAGE, MAX_ROWS = 500, 1000
+# Default number of rows per listing; a stated limit is obeyed.
+DEFAULT_PAGE = 500
 DEFAULT_RECENT, DEFAULT_SEARCH = 50, 20
 ZOOM_HOURS = (1, 6, 24, 168)
 
 
-def clamp_limit(limit: int | None, default: int, largest: int = MAX_ROWS) -> int:
-    return default if limit is None else max(1, min(limit, largest))
+def chosen_limit(limit: int | None, default: int) -> int:
+    """The stated limit, one row at least, whatever its size; the default where none is stated."""
+    return default if limit is None else max(1, limit)
 
 
 def _number(events: DataFrame, width: int, upto: int | None = None) -> DataFrame:
@@ -65,7 +66,7 @@ def timeline_page(events: DataFrame, limit: int, after: int = 0, width: int = DE
     return joined.select(
         "aggregate_id",
         F.coalesce("page_type", F.lit("unknown")).alias("aggregate_type"),
-        F.least("event_count", F.lit(2**31 - 1)).alias("total_events"),
+        F.col("event_count").alias("total_events"),
         F.coalesce("page_events", F.lit(0)).alias("page_events"),
         has_more.alias("has_more"),
         F.coalesce("last_sequence", F.lit(after)).cast("long").alias("next_after"),
@@ -94,7 +95,7 @@ def recent_events(events: DataFrame, limit: int | None = None, order_by: str = "
     """The newest events of the whole store, oldest first."""
     newest = [F.desc(order_by)] + [F.desc(c) for c in ("global_position", "event_id") if c != order_by]
     oldest = [F.asc(order_by)] + [F.asc(c) for c in ("global_position", "event_id") if c != order_by]
-    return events.orderBy(*newest).limit(clamp_limit(limit, DEFAULT_RECENT)).orderBy(*oldest)
+    return events.orderBy(*newest).limit(chosen_limit(limit, DEFAULT_RECENT)).orderBy(*oldest)
 
 
 def events_after_position(events: DataFrame, position: int, limit: int) -> DataFrame:
@@ -128,14 +129,14 @@ def search_aggregates(
     if not query or not query.strip():
         raise ValueError("search text must not be blank")
     ids = events.filter(_contains(F.col("aggregate_id"), query, wildcards)).select("aggregate_id").distinct()
-    return ids.orderBy("aggregate_id").limit(clamp_limit(limit, DEFAULT_SEARCH))
+    return ids.orderBy("aggregate_id").limit(chosen_limit(limit, DEFAULT_SEARCH))
 
 
 def search_summaries(
     events: DataFrame, query: str, limit: int | None = None, wildcards: bool = False
 ) -> DataFrame:
     """First event of each aggregate found by ``search_aggregates``."""
-    limit = clamp_limit(limit, DEFAULT_SEARCH)
+    limit = chosen_limit(limit, DEFAULT_SEARCH)
     found = broadcast_rows(search_aggregates(events, query, limit, wildcards), limit)
     return first_event(events.join(found, "aggregate_id", "left_semi"))
 
@@ -162,28 +163,24 @@ def timeline(
     events: DataFrame, limit: int | None = None, offset: int = 0, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """A page of events with the aggregate's whole event count and the page's type."""
-    page = events_page(events, clamp_limit(limit, DEFAULT_PAGE), offset, width)
-    # a page holds at most MAX_ROWS rows per aggregate, so this window is small
-    first = Window.partitionBy("aggregate_id").orderBy("step")
-    totals = count_events(events).withColumn("event_count", F.least("event_count", F.lit(2**31 - 1)))
-    return (
-        page.withColumn("timeline_type", F.first("aggregate_type").over(first))
-        .join(totals.withColumnRenamed("event_count", "total_events"), "aggregate_id")
-    )
+    page = events_page(events, chosen_limit(limit, DEFAULT_PAGE), offset, width)
+    types = page.groupBy("aggregate_id").agg(F.min_by("aggregate_type", "step").alias("timeline_type"))
+    totals = count_events(events).withColumnRenamed("event_count", "total_events")
+    return page.join(types, "aggregate_id").join(totals, "aggregate_id")
 
 
 def timeline_header(
     events: DataFrame, limit: int | None = None, offset: int = 0, width: int = DEFAULT_WIDTH
 ) -> DataFrame:
     """Per aggregate: total, events in the page and type, ``unknown`` for an empty page."""
-    page = events_page(events, clamp_limit(limit, DEFAULT_PAGE), offset, width)
+    page = events_page(events, chosen_limit(limit, DEFAULT_PAGE), offset, width)
     sizes = page.groupBy("aggregate_id").agg(
         F.count(F.lit(1)).alias("page_events"), F.min_by("aggregate_type", "step").alias("page_type")
     )
     return count_events(events).join(sizes, "aggregate_id", "left").select(
         "aggregate_id",
         F.coalesce("page_type", F.lit("unknown")).alias("aggregate_type"),
-        F.least("event_count", F.lit(2**31 - 1)).alias("total_events"),
+        F.col("event_count").alias("total_events"),
         F.coalesce("page_events", F.lit(0)).alias("page_events"),
     )
 

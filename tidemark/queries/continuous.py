@@ -99,12 +99,14 @@ def _newest(spark, folder):
     "live_tail",
     activity(
         f"""SELECT event_id, {iso('ts')} AS ts_text, 'backfill' AS part FROM (
-        SELECT * FROM activity ORDER BY global_position DESC LIMIT 100)
-        UNION ALL SELECT event_id, {iso('ts')}, 'live' FROM activity"""
+        SELECT * FROM activity WHERE global_position <= 5000 ORDER BY global_position DESC LIMIT 100)
+        UNION ALL SELECT event_id, {iso('ts')}, 'live' FROM activity
+        WHERE global_position > (SELECT max(global_position) FROM activity WHERE global_position <= 5000)"""
     ),
 )
 def _tail(spark, folder):
-    tail = live_tail(activity_log(spark, folder), event_stream(spark, folder))
+    seen = activity_log(spark, folder).filter("global_position <= 5000")
+    tail = live_tail(seen, event_stream(spark, folder))
     live = run_to_folder(tail.stream.select("event_id", "timestamp"), run_folder(spark, "tail"))
 
     def shown(events: DataFrame, part: str) -> DataFrame:

@@ -233,7 +233,7 @@ def _authorize(spark, folder):
 @query(
     "recent_audit",
     f"""SELECT 'VIEW_' || upper(event_type) AS action, 'U-' || user_id AS user_id, event_id AS audit_id, {iso('ts')} AS at_text
-    FROM events WHERE event_type = 'purchase' ORDER BY ts DESC LIMIT 500""",
+    FROM events WHERE event_type = 'purchase' ORDER BY ts DESC LIMIT 5000""",
 )
 def _recent_audit(spark, folder):
     audit = read_sample(spark, folder, "events").select(

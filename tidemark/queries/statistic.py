@@ -51,7 +51,7 @@ def _bucket(hours: int) -> str:
     activity(
         f"""SELECT {HOUR_LABEL} AS bucket, event_count FROM (
         SELECT {_bucket(2)} AS start, count(*) AS event_count FROM activity
-        WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 48 HOUR GROUP BY 1 ORDER BY 1 DESC LIMIT 24)"""
+        WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 48 HOUR AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1 ORDER BY 1 DESC LIMIT 24)"""
     ),
 )
 def _throughput(spark, folder):
@@ -63,7 +63,7 @@ def _throughput(spark, folder):
     activity(
         f"""SELECT {HOUR_LABEL} AS bucket, event_count FROM (
         SELECT date_trunc('hour', ts) AS start, count(*) AS event_count FROM activity
-        WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 48 HOUR GROUP BY 1 ORDER BY 1 LIMIT 24)"""
+        WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 48 HOUR AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1 ORDER BY 1 LIMIT 24)"""
     ),
 )
 def _throughput_compat(spark, folder):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,7 +66,7 @@ def resolve_columns(columns: list[str], overrides: Mapping[str, str] | None = No
     for logical, physical in overrides.items():
         if logical not in COLUMN_CANDIDATES:
             raise SchemaError(f"unknown logical column '{logical}'")
-        if physical is not None and not re.match(COLUMN_NAME_PATTERN, physical):
+        if physical is not None and not re.fullmatch(COLUMN_NAME_PATTERN, physical):
             raise SchemaError(f"unsafe column name '{physical}' for '{logical}'")
     present = {c.lower(): c for c in columns}
     resolved: dict[str, str | None] = {}
@@ -85,43 +85,75 @@ def _instant(df: DataFrame, physical: str) -> Column:
     return F.col(physical).cast("timestamp")
 
 
-def map_event_columns(df: DataFrame, overrides: Mapping[str, str] | None = None) -> DataFrame:
-    """Project a physical table onto the event schema; one narrow select."""
+def map_event_columns(
+    df: DataFrame, overrides: Mapping[str, str] | None = None, not_null: Collection[str] = ()
+) -> DataFrame:
+    """Project a physical table onto the event schema; one narrow select.
+
+    NULLs become defaults. A logical column that is named in ``not_null``, or
+    that the table's schema declares so, needs none: where its type fits too it
+    stays bare, and filters on it reach the scan.
+    """
     at = resolve_columns(df.columns, overrides)
+    unknown = set(not_null) - set(COLUMN_CANDIDATES)
+    if unknown:
+        raise SchemaError(f"unknown logical columns {sorted(unknown)}")
+
+    def bare(logical: str, kind: T.DataType) -> Column | None:
+        physical = at[logical]
+        field = None if physical is None else df.schema[physical]
+        if field is None or field.dataType != kind or (field.nullable and logical not in not_null):
+            return None
+        return F.col(physical)
 
     def text(logical: str, default: str | None = None) -> Column:
         if at[logical] is None:
             return F.lit(default)
+        known = bare(logical, T.StringType())
+        if known is not None:
+            return known
         value = F.col(at[logical]).cast("string")
         return value if default is None else F.coalesce(value, F.lit(default))
 
+    def whole(known: Column | None, mended: Column) -> Column:
+        return mended if known is None else known
+
     epoch = F.timestamp_seconds(F.lit(0))
     ts = epoch if at["timestamp"] is None else F.coalesce(_instant(df, at["timestamp"]), epoch)
+    ts = whole(bare("timestamp", T.TimestampType()), ts)
     position = at["global_position"] or at["event_id"]
     return df.select(
         text("event_id", "").alias("event_id"),
         text("aggregate_id", "").alias("aggregate_id"),
         text("aggregate_type", "unknown").alias("aggregate_type"),
-        F.coalesce(F.col(at["sequence_number"]).try_cast("long"), F.lit(0)).alias("sequence_number"),
+        whole(
+            bare("sequence_number", T.LongType()),
+            F.coalesce(F.col(at["sequence_number"]).try_cast("long"), F.lit(0)),
+        ).alias("sequence_number"),
         text("event_type").alias("event_type"),
         text("payload").alias("payload"),
         text("metadata", "{}").alias("metadata"),
         ts.alias("timestamp"),
-        F.coalesce(F.col(position).try_cast("long"), F.lit(0)).alias("global_position"),
+        whole(
+            bare("global_position", T.LongType()), F.coalesce(F.col(position).try_cast("long"), F.lit(0))
+        ).alias("global_position"),
     )
 
 
 def load_event_table(
-    spark: SparkSession, name: str | None = None, overrides: Mapping[str, str] | None = None
+    spark: SparkSession,
+    name: str | None = None,
+    overrides: Mapping[str, str] | None = None,
+    not_null: Collection[str] = (),
 ) -> DataFrame:
     """The named table, or the first candidate table that exists, as events."""
     if name is not None:
         if not spark.catalog.tableExists(name):
             raise SchemaError(f"table or view '{name}' not found")
-        return map_event_columns(spark.table(name), overrides)
+        return map_event_columns(spark.table(name), overrides, not_null)
     for candidate in TABLE_CANDIDATES:
         if spark.catalog.tableExists(candidate):
-            return map_event_columns(spark.table(candidate), overrides)
+            return map_event_columns(spark.table(candidate), overrides, not_null)
     raise SchemaError(f"no event table found; searched {TABLE_CANDIDATES}")
 
 
@@ -146,7 +178,9 @@ def validate_events(df: DataFrame) -> DataFrame:
     """Flag columns: which of id, event type and aggregate type have a bad shape."""
 
     def bad(column: str, pattern: str) -> Column:
-        return ~F.coalesce(F.col(column).rlike(pattern), F.lit(False))
+        # the whole value must fit; "$" alone would let a last line feed through
+        whole = pattern.removesuffix("$") + r"\z"
+        return ~F.coalesce(F.col(column).rlike(whole), F.lit(False))
 
     return df.withColumns(
         {

@@ -26,8 +26,15 @@ class Tail:
 
 
 def live_tail(events: DataFrame, stream: DataFrame | None = None, backfill: int = BACKFILL) -> Tail:
-    """The most recent events of a source, oldest first, and its stream if it has one."""
-    return Tail(recent_events(events, backfill), stream, None if stream is not None else NO_LIVE_STREAM)
+    """The most recent events of a source, oldest first, and what its stream, if it has one, adds to them.
+
+    The stream goes on past the last position of the backfill, so no event comes twice.
+    """
+    recent = recent_events(events, backfill)
+    if stream is None:
+        return Tail(recent, None, NO_LIVE_STREAM)
+    last = recent.agg(F.max("global_position")).first()[0]
+    return Tail(recent, stream if last is None else stream.filter(F.col("global_position") > last), None)
 
 
 def newest_per_source(events: DataFrame, size: int = BUFFER) -> DataFrame:
