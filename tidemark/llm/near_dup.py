@@ -34,7 +34,7 @@ from .word_hash import Words, mixed, shingles
 
 BANDS, ROWS = 40, 5
 SLACK = 0.2  # a signature may underestimate by as much before exact sets decide
-SMALL = 16  # classes in a bucket whose pairs are rows
+SMALL = 4  # classes in a bucket whose pairs are rows
 CHUNK = 512  # classes of a larger bucket that meet as many others in one task
 PAYLOAD = ["n", "keys", "sketch", "bins"]
 
