@@ -203,3 +203,17 @@ def test_quality_of_awkward_rows(spark, docs, no_docs):
     none = quality.quality(docs, labels.limit(0), F.lit(True)).collect()
     assert all(r.score == 0 for r in none)
     assert quality.quality(no_docs, labels, F.lit(True)).collect() == []
+
+
+def test_components_of_random_links(spark):
+    random = np.random.default_rng(8)
+    links = [(int(a), int(b)) for a, b in random.integers(0, 400, (330, 2))] + [(500 + i, 501 + i) for i in range(60)]
+    low = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+    for _ in range(500):
+        for a, b in links:
+            if a != b:
+                low[a] = low[b] = min(low[a], low[b])
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r.id: r.label for r in near_dup.components(df).collect()} == low
+    first, rest = spark.createDataFrame(links[:150], "a long, b long"), spark.createDataFrame(links[150:], "a long, b long")
+    assert {r.id: r.label for r in near_dup.joined_names(near_dup.components(first), rest).collect()} == low

@@ -184,24 +184,36 @@ def stacked(column) -> np.ndarray:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label): the smallest id that links (a, b) reach, by label passing and pointer jumping."""
-    both = staged(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = staged(both.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct(), "labels")
-    moved = labels.count()
-    while moved:
-        heard = (
-            both.join(labels, both["a"] == labels["id"])
-            .groupBy("b")
-            .agg(F.min("label").alias("heard"))
-            .withColumnRenamed("b", "id")
-        )
-        nearer = labels.join(heard, "id").select("id", "label", F.least("label", "heard").alias("near"))
-        nearer = staged(nearer, "labels")
-        ahead = nearer.select(F.col("id").alias("near"), F.col("near").alias("far"))
-        jumped = staged(nearer.join(ahead, "near").select("id", F.col("far").alias("label"), F.col("label").alias("old")), "labels")
-        moved = jumped.filter("label != old").count()
-        labels = jumped.select("id", "label")
-    return labels
+    """(id, label): the smallest id that links (a, b) reach, by contraction.
+
+    Every id hooks on to its smallest neighbour's; links inside what has become
+    one are dropped, so that the links left shrink at least by half a round.
+    """
+    ends = links.filter("a != b")
+    edges = staged(ends.select("a", "b").union(ends.select("b", "a")).distinct(), "links")
+    names = staged(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct(), "labels")
+    while edges.limit(1).count():
+        hooks = staged(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("hook")), "hooks")
+        ahead = hooks.select(F.col("a").alias("hook"), F.col("hook").alias("far"))
+        hooks = staged(hooks.join(ahead, "hook").select(F.col("a").alias("was"), F.col("far").alias("now")), "hooks")
+        names = staged(renamed(names, "label", hooks), "labels")
+        edges = staged(renamed(renamed(edges, "a", hooks), "b", hooks).filter("a != b").distinct(), "links")
+    return names
+
+
+def renamed(df: DataFrame, column: str, hooks: DataFrame) -> DataFrame:
+    """``column`` with its values replaced where ``hooks`` (was, now) has them."""
+    kept = [F.coalesce("now", column).alias(column) if c == column else c for c in df.columns]
+    return df.join(hooks.withColumnRenamed("was", column), column, "left").select(*kept)
+
+
+def joined_names(names: DataFrame, links: DataFrame) -> DataFrame:
+    """``names`` (id, label) after more links, which need only join the labels known so far."""
+    known = names.select(F.col("id").alias("was"), F.col("label").alias("now"))
+    over = components(renamed(renamed(links, "a", known), "b", known))
+    single = over.join(names.select("id"), "id", "left_anti")  # ids without a name so far
+    merged = renamed(names, "label", over.select(F.col("id").alias("was"), F.col("label").alias("now")))
+    return staged(merged.union(single), "near-dup-names")
 
 
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -248,7 +260,7 @@ def linked_classes(documents: DataFrame, rows: DataFrame, classes: DataFrame, sh
         "near-dup-members",
     )  # of buckets with more than one class
     names = spark.createDataFrame([], "id long, label long")
-    tried = links = spark.createDataFrame([], "a long, b long")
+    tried = spark.createDataFrame([], "a long, b long")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     for turn in ("first", "last", "all"):
         named = members.join(names, "id", "left").select("id", "n", "key", F.coalesce("label", "id").alias("label"))
@@ -261,9 +273,8 @@ def linked_classes(documents: DataFrame, rows: DataFrame, classes: DataFrame, sh
             continue
         used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         sets = texts_of(documents, rows, classes, staged(used, "near-dup-used"), shingle)
-        links = staged(links.union(confirmed(pairs, sets, percent)), "near-dup-links")
+        names = joined_names(names, staged(confirmed(pairs, sets, percent), "near-dup-links"))
         tried = staged(tried.union(pairs), "near-dup-tried")
-        names = components(links)
     return names
 
 
