@@ -34,6 +34,11 @@ def worker_store() -> dict:
     return module.__dict__.setdefault("store", {})
 
 
+def release_store() -> None:
+    """Give back what earlier operators kept in this worker; called by those that need the memory."""
+    worker_store().clear()
+
+
 def write_files(rows: DataFrame, path: str, compression: str = "none", per_file: int = 0) -> None:
     """Write binary column ``content`` as plain files, in row order within a partition.
 

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized_broadcast, staged
+from .common import release_store, sized_broadcast, staged
 from .word_hash import Words, mixed, shingles
 
 BANDS, ROWS = 40, 5
@@ -85,6 +85,7 @@ def described(documents: DataFrame, shingle: int, bands: int = BANDS, rows: int
     def describe(batches):
         import pyarrow as pa
 
+        release_store()
         words = Words()
         for batch in batches:
             ids = batch.column(0)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from .common import release_store
 from .word_hash import Words, mixed
 
 SAMPLE = 4096  # labelled documents that vote
@@ -169,6 +170,7 @@ def scorer(model: Model) -> Callable[[Column], Column]:
     def score(texts):
         import pyarrow as pa
 
+        release_store()
         scores = []
         for start in range(0, len(texts), 512):
             scores.append(model.vote(frequencies(texts.slice(start, 512))))
