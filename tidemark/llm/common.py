@@ -35,8 +35,19 @@ def worker_store() -> dict:
 
 
 def release_store() -> None:
-    """Give back what earlier operators kept in this worker; called by those that need the memory."""
+    """Give back what earlier operators kept in this worker, and what its allocators hold unused.
+
+    Workers outlive tasks and operators, and idle ones count against an executor's memory too.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
     worker_store().clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def write_files(rows: DataFrame, path: str, compression: str = "none", per_file: int = 0) -> None:

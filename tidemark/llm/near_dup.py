@@ -103,13 +103,15 @@ def described(documents: DataFrame, shingle: int, bands: int = BANDS, rows: int
                     keys.append(band_keys(coordinates, bands))
                     sketches.append(coordinates.astype(np.uint8).tobytes())
                     bins.append(binned(own))
-                yield pa.RecordBatch.from_arrays(
+                out = pa.RecordBatch.from_arrays(
                     [
                         ids.slice(row, len(n)), pa.array(n, pa.int64()), pa.array(sets, pa.binary()),
                         pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary()), pa.array(bins, pa.binary()),
                     ],
                     ["doc_id", "n", "set", "keys", "sketch", "bins"],
                 )
+                yield out
+        release_store()
 
     return documents.select("doc_id", "text").mapInArrow(
         describe, "doc_id long, n long, set binary, keys array<long>, sketch binary, bins binary"
@@ -129,6 +131,7 @@ def shingle_sets(documents: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(row, len(found)), pa.array(found, pa.binary())], ["id", "shingles"]
                 )
+        release_store()
 
     return documents.select("id", "text").mapInArrow(sets, "id long, shingles binary")
 
@@ -146,6 +149,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release_store()
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
