@@ -34,7 +34,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Place every document in sequences of 4096 tokens."""
-    return packing.pack_documents(docs)
+    # earlier stages leave the executors little memory, so fewer chunks are remembered
+    return packing.pack_documents(docs, kept=100_000)
 
 
 STAGES = [

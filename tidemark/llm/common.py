@@ -34,7 +34,7 @@ def worker_store() -> dict:
     return module.__dict__.setdefault("store", {})
 
 
-def release_store() -> None:
+def release_store(clear: bool = True) -> None:
     """Give back what earlier operators kept in this worker, and what its allocators hold unused.
 
     Workers outlive tasks and operators, and idle ones count against an executor's memory too.
@@ -43,7 +43,8 @@ def release_store() -> None:
 
     import pyarrow as pa
 
-    worker_store().clear()
+    if clear:
+        worker_store().clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
     if trim is not None:

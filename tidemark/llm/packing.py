@@ -21,8 +21,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
-from .tokens import default_tokenizer, encoded
+from .common import release_store, staged
+from .tokens import CHUNKS_KEPT, default_tokenizer, encoded
 
 PER_GROUP = 4096  # pieces packed together; bounds a task's memory at any input size
 GIVEN_UP = 4  # sequences given up per sequence above the bound
@@ -78,7 +78,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def pieces(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
+def pieces(
+    documents: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096, kept: int = CHUNKS_KEPT
+) -> DataFrame:
     """Token counts of whole texts, cut only where a document is longer than a sequence.
 
     Returns doc_id, piece, start, length, ids_crc32.
@@ -89,9 +91,10 @@ def pieces(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1,
     def cut(batches):
         import pyarrow as pa
 
+        release_store(clear=False)
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, coded in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1))):
+            for doc_id, coded in zip(batch.column(0).to_pylist(), encoded(tokenizer, batch.column(1), kept=kept)):
                 ids = coded + end
                 n = len(ids) // 4
                 for number, start in enumerate(range(0, n, capacity)):
@@ -168,6 +171,11 @@ def pack(items: DataFrame, capacity: int = 4096, per_group: int = PER_GROUP) ->
     return items.join(placed, "_item").drop("_item")
 
 
-def pack_documents(documents: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """Pieces of all documents with the sequence and the offset where each is placed."""
-    return pack(pieces(documents, tokenizer, end_id, capacity), capacity)
+def pack_documents(
+    documents: DataFrame, tokenizer: str | None = None, end_id: int = 1, capacity: int = 4096, kept: int = CHUNKS_KEPT
+) -> DataFrame:
+    """Pieces of all documents with the sequence and the offset where each is placed.
+
+    ``kept`` chunks of text are remembered per worker: memory against time, never results.
+    """
+    return pack(pieces(documents, tokenizer, end_id, capacity, kept), capacity)

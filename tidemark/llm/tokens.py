@@ -27,7 +27,8 @@ def default_tokenizer() -> str:
 class ChunkEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = CHUNKS_KEPT):
+        self.kept = kept
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,7 +54,7 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text; the chunks not yet known are encoded together."""
-        if len(self.young) > CHUNKS_KEPT:
+        if len(self.young) > self.kept:
             self.old, self.young = self.young, {}
         get = self.young.get
         found, missing = [], set()
@@ -93,19 +94,19 @@ class ChunkEncoder:
             self.young[chunk] = self.young[chunk[:-1]] + self.stops[chunk[-1]]
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, kept: int = CHUNKS_KEPT) -> ChunkEncoder:
     """The worker's encoder, kept between tasks."""
     # the cached chunks hold no cycles; looking through them for some costs a quarter of the time
     gc.set_threshold(200_000, 50, 1000)
     store = worker_store()
-    key = ("chunk_encoder", path)
+    key = ("chunk_encoder", path, kept)
     if key not in store:
-        store[key] = ChunkEncoder(path)
+        store[key] = ChunkEncoder(path, kept)
     return store[key]
 
 
-def encoded(path: str, texts, at_once: int = 64):
+def encoded(path: str, texts, at_once: int = 64, kept: int = CHUNKS_KEPT):
     """The ids of an Arrow column of texts, null as empty, a few texts at a time."""
-    code = encoder(path).encode
+    code = encoder(path, kept).encode
     for start in range(0, len(texts), at_once):
         yield from code([t or "" for t in texts.slice(start, at_once).to_pylist()])
