@@ -149,13 +149,13 @@ def pack(items: DataFrame, capacity: int = 4096, per_group: int = PER_GROUP) ->
     items = staged(items.withColumn("_item", F.monotonically_increasing_id()), "pack-items")
     open_, left = items.select("_item", "length"), items.count()
     done: list[DataFrame] = []
-    turn = 0
+    turn, settle = 0, False
     while left:
         groups = max(1, -(-left // per_group))
         dealt = open_.withColumn("_group", F.pmod(F.xxhash64("_item", F.lit(turn)), F.lit(groups)))
         solved = staged(
             dealt.groupBy("_group").applyInPandas(
-                solver(capacity, turn, groups == 1), "_item long, length long, sequence_id long, offset long, _keep boolean"
+                solver(capacity, turn, settle or groups == 1), "_item long, length long, sequence_id long, offset long, _keep boolean"
             ),
             "pack-round",
         )
@@ -163,8 +163,7 @@ def pack(items: DataFrame, capacity: int = 4096, per_group: int = PER_GROUP) ->
         open_ = solved.filter("NOT _keep").select("_item", "length")
         before, left = left, open_.count()
         turn += 1
-        if left * 2 > before:  # exchanging so much again would not pay; settle in one more round
-            per_group = max(per_group, left // 2)
+        settle = left * 2 > before  # exchanging so much again would not pay: the next groups keep all they hold
     if not done:
         return items.drop("_item").withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     placed = reduce(DataFrame.unionByName, done)
