@@ -39,6 +39,26 @@ def test_masking(spark):
     assert json.loads(got[9]) == {"t": "****-****-****-****"}
 
 
+def test_nested_masking_is_native_and_keeps_digits(spark):
+    exact = '{"a":[12345678901234567.89,0.12345678901234567890123,123456789012345678],"b":{"n":{}}}'
+    texts = [
+        exact,
+        json.dumps({"k": {'a"b@c.de': 'x"y', "back\\\\": "end\\", "n": "a\\\"b\n@"}}),
+        json.dumps({"k": ["say \"hi\" to a@b.co \\", "", ":", "\\", "tab\t\u0001\u0002"]}),
+        json.dumps([[], {}, "é a@b.co", ["4111 1111 1111 1111", {"x": ":a@b.co"}]]),
+        json.dumps({"long": ["\\\"" * 50_000]}),
+    ]
+    got = masked(spark, texts)
+    assert got[0] == exact
+    assert json.loads(got[1]) == json.loads(texts[1])
+    assert json.loads(got[2]) == {"k": ["***@***.***", "", ":", "\\", "tab\t\u0001\u0002"]}
+    assert json.loads(got[3]) == [[], {}, "***@***.***", ["****-****-****-****", {"x": "***@***.***"}]]
+    assert json.loads(got[4]) == json.loads(texts[4])
+    df = spark.createDataFrame([(texts[3],)], "payload string")
+    for plan in (gov.mask_payload(df), df.select(gov.mask_value(F.col("payload")))):
+        assert "Python" not in plan._jdf.queryExecution().toString()
+
+
 def test_rule_order_decides(spark):
     phone_first = [gov.DEFAULT_MASKS[2], gov.DEFAULT_MASKS[1]]
     df = spark.createDataFrame([('{"c":"4111111111111111"}',)], "payload string")

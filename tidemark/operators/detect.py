@@ -260,9 +260,9 @@ def bisect(
 def bisect_transitions(events: DataFrame, found: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Field diffs of the culprit events of ``bisect``."""
     culprits = found.filter(F.col("sequence_number").isNotNull()).select(*KEYS)
-    return transitions(events.join(culprits.select("aggregate_id"), "aggregate_id", "left_semi"), width).join(
-        culprits, KEYS, "left_semi"
-    )
+    affected = events.join(culprits.select("aggregate_id"), "aggregate_id", "left_semi")
+    # the cut of the whole log holds for a part of it; planning one from the part would repeat the search
+    return transitions(affected, assign=event_chunks(events, width)).join(culprits, KEYS, "left_semi")
 
 
 @dataclass(frozen=True)
@@ -352,7 +352,8 @@ def attach_states(events: DataFrame, anomalies: DataFrame, width: int = DEFAULT_
     """Long-form state at each anomalous event, one row per field."""
     marks = anomalies.select(*KEYS).distinct()
     affected = events.join(marks.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
-    return states_at_events(affected, marks, width)
+    # as in bisect_transitions, so that the scan behind the anomalies is not repeated
+    return states_at_events(affected, marks, assign=event_chunks(events, width))
 
 
 def report_states(events: DataFrame, anomalies: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,27 +66,47 @@ def _masked_json(value_json: Column, plain: Column, rules: Sequence[MaskRule]) -
     return masked.otherwise(value_json) if rules else value_json
 
 
-def _mask_tree(rules: Sequence[MaskRule]):
-    """Arrow-batched masking of JSON texts with nested values; NULL in, NULL out."""
-    compiled = [(re.compile(r.regex, re.ASCII), r.mask) for r in rules]
-
-    def walk(node):
-        if isinstance(node, str):
-            return next((mask for pattern, mask in compiled if pattern.search(node)), node)
-        if isinstance(node, dict):
-            return {k: walk(v) for k, v in node.items()}
-        if isinstance(node, list):
-            return [walk(v) for v in node]
-        return node
-
-    @F.pandas_udf("string")
-    def mask(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: json.dumps(walk(json.loads(t)), ensure_ascii=False, separators=(",", ":")),
-            na_action="ignore",
-        )
+# canonical JSON holds no raw control characters, so these two can stand for escapes
+_BACKSLASH, _QUOTE = "\x01", "\x02"
+
+
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _mask_nested(value_json: Column, rules: Sequence[MaskRule]) -> Column:
+    """Mask the text values inside canonical JSON; names, numbers and all other text stay as they are.
+
+    Cut at its quotes, the text alternates between structure and strings; a
+    string is a name if the structure after it starts with a colon.
+    """
+    plain_quotes = F.replace(
+        F.replace(value_json, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE)
+    )
+
+    def whole(part: Column) -> Column:
+        return F.replace(F.replace(part, F.lit(_QUOTE), F.lit('\\"')), F.lit(_BACKSLASH), F.lit("\\\\"))
+
+    def masked(part: Column) -> Column:
+        escaped = part.rlike(r"[\\\x01\x02]")
+        quoted = F.concat(F.lit('"'), whole(part), F.lit('"'))
+        decoded = F.when(escaped, text(quoted)).otherwise(part)
+        return _with(decoded, lambda plain: _masked_json(quoted, plain, rules))
+
+    def joined(parts: Column) -> Column:
+        def piece(part: Column, i: Column) -> Column:
+            is_string = i % 2 == 1
+            is_name = F.get(parts, i + 1).startswith(":")
+            return (
+                F.when(~is_string, part)
+                .when(is_name, F.concat(F.lit('"'), whole(part), F.lit('"')))
+                .otherwise(masked(part))
+            )
+
+        return F.array_join(F.transform(parts, piece), "")
 
-    return mask
+    return _with(F.split(plain_quotes, '"', -1), joined)
 
 
 def _nested(value_json: Column) -> Column:
@@ -96,20 +114,18 @@ def _nested(value_json: Column) -> Column:
 
 
 def mask_value(value_json: Column, rules: Sequence[MaskRule] = DEFAULT_MASKS) -> Column:
-    """Mask canonical JSON of one value; only nested values leave the JVM."""
+    """Mask canonical JSON of one value."""
     flat = F.when(
         F.substring(value_json, 1, 1) == '"', _masked_json(value_json, text(value_json), rules)
     ).otherwise(value_json)
-    deep = _mask_tree(rules)(F.when(_nested(value_json), value_json))
-    return F.when(_nested(value_json), deep).otherwise(flat)
+    return F.when(_nested(value_json), _mask_nested(value_json, rules)).otherwise(flat)
 
 
 def mask_payload(events: DataFrame, rules: Sequence[MaskRule] = DEFAULT_MASKS, column: str = "payload") -> DataFrame:
     """Replace text values of a JSON column in which a rule's pattern is found.
 
-    Flat objects are rewritten by native expressions inside the row; only rows
-    with nested values pass through Arrow. Text that is not JSON stays as it is.
-    Results are canonical JSON.
+    Everything is a native expression inside the row; numbers keep every digit.
+    Text that is not JSON stays as it is. Results are canonical JSON.
     """
     # each step is a column of its own, so JSON is parsed and texts decoded once
     staged = events.withColumn("__variant", variant(column))
@@ -151,10 +167,9 @@ def mask_payload(events: DataFrame, rules: Sequence[MaskRule] = DEFAULT_MASKS, c
     bare = F.when(
         canonical.startswith('"'), _masked_json(canonical, text(canonical), rules)
     ).otherwise(canonical)
-    deep = _mask_tree(rules)(F.when(F.col("__nested"), canonical))
     masked = (
         F.when(canonical.isNull(), F.col(column))
-        .when(F.col("__nested"), deep)
+        .when(F.col("__nested"), _mask_nested(canonical, rules))
         .when(F.col("__texts").isNotNull(), flat)
         .otherwise(bare)
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json_values import field_json, field_of, json_string, object_fields, object_text
 from ..functions.text import has_any_word, instant_text
-from ..plans.running import DEFAULT_WIDTH, event_chunks, running
+from ..plans.running import DEFAULT_WIDTH, Assign, event_chunks, running
 from ..sources.schema import ORDER
 
 # Words in event types that open or end an aggregate's life.
@@ -136,21 +136,25 @@ def _differs(old: Column, new: Column) -> Column:
     return F.coalesce(old, null) != F.coalesce(new, null)
 
 
-def _stepped(events: DataFrame, width: int) -> DataFrame:
+def _stepped(events: DataFrame, assign: Assign) -> DataFrame:
     """Every write with the value it replaces (NULL for a new field)."""
     stepped = running(
         packed_writes(events),
         ["aggregate_id", "key", "is_book"],
         ORDER,
-        event_chunks(events, width),
+        assign,
         previous={"old_w": F.col("w")},
     )
     return unpacked(stepped, {"old_w": "old_json", "w": "value_json"})
 
 
-def transitions(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Field diffs of a full replay: one row per (event, changed field)."""
-    stepped = _stepped(events, width)
+def transitions(events: DataFrame, width: int = DEFAULT_WIDTH, assign: Assign | None = None) -> DataFrame:
+    """Field diffs of a full replay: one row per (event, changed field).
+
+    ``assign`` is the cut of a log that ``events`` is part of; without it one is
+    planned from ``events``, which costs a pass over whatever made them.
+    """
+    stepped = _stepped(events, assign or event_chunks(events, width))
     return stepped.filter(_differs(F.col("old_json"), F.col("value_json"))).select(
         *KEYS, "key", "old_json", F.col("value_json").alias("new_json")
     )
@@ -163,13 +167,17 @@ def event_diffs(changed: DataFrame) -> DataFrame:
     )
 
 
-def states_at_events(events: DataFrame, marks: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
+def states_at_events(
+    events: DataFrame, marks: DataFrame, width: int = DEFAULT_WIDTH, assign: Assign | None = None
+) -> DataFrame:
     """State after each marked event ``marks(aggregate_id, sequence_number, …order)``, long form.
 
     Each mark becomes one empty write per field of its aggregate, placed right
     after the event, and picks up the last value: work is linear in the writes
     plus the rows returned, whatever the number of marks per aggregate.
+    ``assign`` is as in ``transitions``.
     """
+    assign = assign or event_chunks(events, width)
     writes = packed_writes(events)
     field = ["aggregate_id", "key", "is_book"]
     names = writes.select(*field).distinct()
@@ -179,15 +187,16 @@ def states_at_events(events: DataFrame, marks: DataFrame, width: int = DEFAULT_W
     both = writes.select(*columns, "w", F.lit(0).alias("__mark")).unionByName(
         asked.select(*columns, nothing.alias("w"), F.lit(1).alias("__mark"))
     )
-    filled = running(both, field, [*ORDER, "__mark"], event_chunks(events, width), latest={"last_w": F.col("w")})
+    filled = running(both, field, [*ORDER, "__mark"], assign, latest={"last_w": F.col("w")})
     at_marks = filled.filter((F.col("__mark") == 1) & F.col("last_w").isNotNull()).select(*columns, "last_w")
     return unpacked(at_marks, {"last_w": "value_json"}).select(*KEYS, "key", "value_json")
 
 
 def transition_states(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """State maps before and after every event, as JSON objects."""
-    states = states_at_events(events, events, width)
-    written = _stepped(events, width).select(*KEYS, "key", "old_json", F.lit(True).alias("__written"))
+    assign = event_chunks(events, width)
+    states = states_at_events(events, events, assign=assign)
+    written = _stepped(events, assign).select(*KEYS, "key", "old_json", F.lit(True).alias("__written"))
     joined = states.join(written, [*KEYS, "key"], "left")
     before = F.when(F.col("__written"), F.col("old_json")).otherwise(F.col("value_json"))
     return joined.groupBy(*KEYS).agg(
