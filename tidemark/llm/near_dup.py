@@ -196,9 +196,9 @@ def components(links: DataFrame) -> DataFrame:
     """
     ends = links.filter("a != b")
     edges = staged(ends.select("a", "b").union(ends.select("b", "a")).distinct(), "links")
-    names = staged(edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct(), "labels")
+    names = edges.select(F.col("a").alias("id"), F.col("a").alias("label")).distinct()
     while edges.limit(1).count():
-        hooks = staged(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("hook")), "hooks")
+        hooks = edges.groupBy("a").agg(F.least("a", F.min("b")).alias("hook"))
         ahead = hooks.select(F.col("a").alias("hook"), F.col("hook").alias("far"))
         hooks = staged(hooks.join(ahead, "hook").select(F.col("a").alias("was"), F.col("far").alias("now")), "hooks")
         names = staged(renamed(names, "label", hooks), "labels")
@@ -277,9 +277,9 @@ def linked_classes(documents: DataFrame, rows: DataFrame, classes: DataFrame, sh
         if not pairs.limit(1).count():
             continue
         used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        sets = texts_of(documents, rows, classes, staged(used, "near-dup-used"), shingle)
+        sets = texts_of(documents, rows, classes, used, shingle)
         names = joined_names(names, staged(confirmed(pairs, sets, percent), "near-dup-links"))
-        tried = staged(tried.union(pairs), "near-dup-tried")
+        tried = tried.union(pairs)  # of written tables
     return names
 
 
