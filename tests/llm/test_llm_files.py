@@ -245,6 +245,41 @@ def test_tool_calls_of_conversations(spark):
     assert {r.conv_id for r in got} == {1, 2}
 
 
+def test_whole_conversations_give_back_every_text(spark, sample_folder):
+    """Every row and every text, whatever its length, role, conversation, number or copies."""
+    said = "Say \"ünï\",\n\ttwo words and "
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", said + "x" * (t // 2)) for t in range(40)]
+    rows += [(5, 0, "system", said + "s"), (5, 1, None, said + "n"), (5, 2, "tool", said + "t"), (5, 2, "tool", said + "t")]
+    rows += [(None, 1, "user", said + "c"), (3, None, "assistant", said + "d"), (6, 0, "system", None)]
+    rows += [(7, 0, "user", said + "first"), (7, 0, "user", said + "other"), (7, 0, "user", said + "other")]
+    rows += [(7, 1, "assistant", said + "a"), (7, 1, "assistant", said + "b"), (7, 4, "user", None), (7, 4, "user", "")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = tool_calls.whole_conversations(table).collect()
+    back, kinds, of_one = [], {}, []
+    for r in got:
+        message = json.loads(r.message)
+        assert r.message == json.dumps(message, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        if r.status in ("other", "unlinked"):
+            back.append((r.conv_id, r.call_turn, message["role"], message["text"]))
+            assert message["turn"] == r.call_turn
+        else:
+            if r.call_copies:
+                text = [(message["arguments"] or {}).get(k) for k in ("query", "topic", "text")]
+                back.append((r.conv_id, r.call_turn, "user", max(text, key=lambda x: x is not None)))
+            if r.result_copies:
+                back.append((r.conv_id, r.result_turn, "assistant", message["result"]))
+        kinds[r.status] = kinds.get(r.status, 0) + 1
+        of_one += [r.errors] if r.conv_id == 1 else []
+    assert sorted(set(back), key=repr) == sorted(set(rows), key=repr)
+    assert len(back) == len(rows) - 1  # only the two equal rows of a user are one, counted twice
+    assert sum(r.call_copies for r in got if r.conv_id == 7 and r.call_turn == 0 and r.status == "copy") == 2
+    assert kinds == {"answered": 21, "unanswered": 1, "other": 5, "unlinked": 2, "copy": 3}
+    assert set(of_one) == {"", "unknown urgent", "type limit", "missing limit"}
+    assert tool_calls.whole_conversations(table.limit(0)).collect() == []
+    given = spark.read.parquet(f"{sample_folder}/conversations.parquet").filter("role NOT IN ('user', 'assistant')").count()
+    assert entry.queries()["op6_tool_call_linking"](spark, sample_folder).filter("status = 'other'").count() == given > 0
+
+
 def test_no_python_in_native_plans(spark, docs, tmp_path):
     from tidemark.llm import decontaminate
 

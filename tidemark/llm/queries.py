@@ -131,7 +131,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_tool_call_linking")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return tool_calls.link_conversations(table(spark, folder, "conversations"))
+    return tool_calls.whole_conversations(table(spark, folder, "conversations"))
 
 
 @query("op9_circulant_minhash")

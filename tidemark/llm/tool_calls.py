@@ -12,6 +12,12 @@ calls (or results) with one identifier the first by turn, then by content,
 counts; ``call_copies`` and ``result_copies`` tell how many there were. A call to
 an unknown tool, arguments that are no JSON object, and a result without a call
 are reported, not dropped. Empty tables give no rows; other columns are not read.
+
+``whole_conversations`` adds to the links of plain conversations a row for every
+turn that ``link`` leaves out, so that all their text comes back: turns of other
+roles (``other``), turns without conversation or number (``unlinked``), and texts
+that stand on a turn's number beside the one that counts (``copy``, a row per
+text, whose copies are its own only).
 """
 
 from __future__ import annotations
@@ -83,6 +89,12 @@ def argument_errors(arguments: Column, parameters: Column) -> Column:
     return F.array_sort(F.concat(missing, unknown, wrong))
 
 
+def linked_message(arguments: Column, call_id: Column, name: Column, result: Column) -> Column:
+    """Canonical JSON of a link."""
+    fields = [arguments.alias("arguments"), call_id.alias("id"), name.alias("name"), result.alias("result")]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
 def link(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFrame:
     """One row per identifier that a call or a result carries.
 
@@ -129,12 +141,7 @@ def link(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFra
         .when(F.col("result_turn") < F.col("call_turn"), "early")
         .otherwise("answered")
     )
-    message = F.to_json(
-        F.struct(
-            F.col("value").alias("arguments"), F.col("call_id").alias("id"), "name", F.col("content").alias("result")
-        ),
-        {"ignoreNullFields": "false"},
-    )
+    message = linked_message(F.col("value"), F.col("call_id"), F.col("name"), F.col("content"))
     return both.select(
         *ID, "call_turn", "result_turn", "name", "depth", status.alias("status"),
         F.array_join("errors", ";").alias("errors"),
@@ -157,16 +164,18 @@ PARAMETERS = [  # name, parameter, type, required
 def calls_of(conversations: DataFrame) -> DataFrame:
     """Calls that the user turns of plain conversations stand for.
 
-    A turn's length picks the tool; some lengths leave out or mistype an
-    argument. A call comes after the one two turns before, if there is one.
+    A turn's length picks the tool; every tool carries the whole text, and some
+    lengths leave out or mistype another argument. A call comes after the one two
+    turns before, if there is one.
     """
     n = F.length("text")
-    text = F.coalesce("text", F.lit(""))
+    text, exact = F.col("text"), (n > 50).alias("exact")
     arguments = (
         F.when(n % 4 == 0, F.to_json(F.struct(n.alias("limit"), text.alias("query"))))
-        .when(n % 4 == 1, F.to_json(F.struct((n * 0.5).alias("weight"), F.substring_index(text, " ", 1).alias("topic"))))
-        .when(n % 4 == 2, F.to_json(F.struct(text.alias("text"), (n > 100).alias("urgent"))))
-        .otherwise(F.to_json(F.struct(n.cast("string").alias("limit"), (n > 50).alias("exact"))))
+        .when(n % 4 == 1, F.to_json(F.struct((n * 0.5).alias("weight"), text.alias("topic"))))
+        .when(n % 4 == 2, F.to_json(F.struct(text, (n > 100).alias("urgent"))))
+        .when(n % 8 == 3, F.to_json(F.struct(n.cast("string").alias("limit"), exact, text.alias("query"))))
+        .otherwise(F.to_json(F.struct(exact, text.alias("query"))))
     )
     name = F.when(n % 4 == 1, "lookup").when(n % 4 == 2, "note").otherwise("search")
     return conversations.filter("role = 'user'").select(
@@ -195,3 +204,35 @@ def link_conversations(conversations: DataFrame) -> DataFrame:
         PARAMETERS, "name string, parameter string, type string, required boolean"
     )
     return link(calls_of(conversations), results_of(conversations), parameters)
+
+
+def later_copies(rows: DataFrame, content: list[str]) -> DataFrame:
+    """The contents that an identifier carries beside the one that counts, and how often."""
+    sound = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
+    kinds = rows.filter(sound).groupBy(*ID, F.struct("turn", *content).alias("kind")).agg(F.count("*").alias("copies"))
+    several = kinds.groupBy(*ID).agg(F.min("kind").alias("first"), F.count("*").alias("kinds")).filter("kinds > 1")
+    return kinds.join(several, ID).filter(F.col("kind") > F.col("first")).select(*ID, "kind.*", "copies")
+
+
+def whole_conversations(conversations: DataFrame) -> DataFrame:
+    """The links of plain conversations, and a row for every turn or text that is in none of them."""
+    links = link_conversations(conversations)
+    role, none = F.coalesce("role", F.lit("")), F.lit(None)
+    spoken = role.isin("user", "assistant")
+    turn = F.to_json(F.struct("role", "text", "turn"), {"ignoreNullFields": "false"})
+    others = conversations.filter(~spoken | F.col("conv_id").isNull() | F.col("turn").isNull()).select(
+        "conv_id", F.col("turn").alias("call_turn"), F.when(spoken, "unlinked").otherwise("other").alias("status"),
+        turn.alias("message"),
+    )
+    calls = later_copies(calls_of(conversations), ["name", "arguments", "after"]).select(
+        *ID, F.col("turn").alias("call_turn"), "name", F.lit("copy").alias("status"), F.col("copies").alias("call_copies"),
+        linked_message(F.try_parse_json("arguments"), F.col("call_id"), F.col("name"), none.cast("string")).alias("message"),
+    )
+    results = later_copies(results_of(conversations), ["content"]).select(
+        *ID, F.col("turn").alias("result_turn"), F.lit("copy").alias("status"), F.col("copies").alias("result_copies"),
+        linked_message(none.cast("variant"), F.col("call_id"), none.cast("string"), F.col("content")).alias("message"),
+    )
+    for rows in (others, calls, results):
+        counts = {c: F.col(c) if c in rows.columns else F.lit(0).cast("long") for c in ("call_copies", "result_copies")}
+        links = links.unionByName(rows.withColumns(counts), allowMissingColumns=True)
+    return links
