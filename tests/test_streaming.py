@@ -1,3 +1,4 @@
+import json
 import random
 from datetime import timedelta
 from types import SimpleNamespace
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from test_replay import random_log
 from tidemark.operators import detect, replay
 from tidemark.session import run_folder, shared_folder
+from tidemark.sources import stream_records
 from tidemark.sources.schema import EVENT_SCHEMA
 from tidemark.streaming import carry, tail
 
@@ -82,6 +84,47 @@ def test_live_tail_without_stream(spark):
     assert [r.global_position for r in found.backfill.collect()] == list(range(30, 130))
 
 
+def kafka_records(spark, folder, rows):
+    """A stream of Kafka records from (partition, offset, value)."""
+    kinds = "key binary, value binary, topic string, partition int, offset long, timestamp timestamp"
+    whole = [(b"A", json.dumps(v).encode(), "t", p, o, T0) for p, o, v in rows]
+    spark.createDataFrame(whole, kinds).write.parquet(str(folder))
+    return stream_records.parse_stream_records(spark.readStream.schema(kinds).parquet(str(folder)))
+
+
+@pytest.mark.parametrize("first_position", [0, 10**9])
+def test_live_tail_of_two_partitions(spark, tmp_path, first_position):
+    """Offsets and the store's positions are different scales; only what the backfill shows is left out."""
+    scale = 0 if first_position == 0 else 1  # a store without positions has 0 throughout
+    rows = [event("A", "T", i, "X", {}, first_position + scale * i, event_id=f"e{i}") for i in range(1, 21)]
+    rows.append(event("", "T", 0, "X", {}, first_position + scale * 21, event_id=""))
+
+    def record(i):
+        return {"eventId": f"e{i}", "aggregateId": "A", "sequenceNumber": i}
+
+    records = [(i % 2, (10**6 if i % 2 else 3) + i, record(i)) for i in range(15, 31)]  # e15 to e20 are in the store
+    records += [(0, 40, {"type": "Y"}), (1, 10**6 + 40, {"eventId": "", "aggregateId": "B"})]
+    found = tail.live_tail(events_df(spark, rows), kafka_records(spark, tmp_path / "in", records))
+    got = sorted(r.event_id for r in tail.run_to_folder(found.stream, str(tmp_path / "out")).collect())
+    assert got == sorted(["", "t-0-40", *(f"e{i}" for i in range(21, 31))])
+    assert len(found.backfill.collect()) == 21
+
+
+def test_live_tail_keeps_the_backfill_as_shown(spark, tmp_path):
+    """Events that reach store and stream after the backfill was taken are live, whatever the limit."""
+    store = str(tmp_path / "store")
+    rows = [event("A", "T", i, "X", {}, i) for i in range(1, 31)]
+    events_df(spark, rows[:20]).write.parquet(store)
+    stream = as_stream(spark, tmp_path / "in", [rows[:15], rows[15:]])
+    log = spark.read.schema(EVENT_SCHEMA).parquet(store)
+    loose, shared = (tail.live_tail(log, stream, 10, shared_position=known) for known in (False, True))
+    events_df(spark, rows[20:]).write.mode("append").parquet(store)
+    for found, live in ((loose, [*range(1, 11), *range(21, 31)]), (shared, list(range(21, 31)))):
+        got = tail.run_to_folder(found.stream, str(tmp_path / f"out{len(live)}")).collect()
+        assert sorted(r.global_position for r in got) == live
+        assert [r.global_position for r in found.backfill.collect()] == list(range(11, 21))
+
+
 def fake_session(folder, master):
     return SimpleNamespace(
         conf=SimpleNamespace(get=lambda key, default: folder if key == "spark.checkpoint.dir" else default),

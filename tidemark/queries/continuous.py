@@ -106,7 +106,7 @@ def _newest(spark, folder):
 )
 def _tail(spark, folder):
     seen = activity_log(spark, folder).filter("global_position <= 5000")
-    tail = live_tail(seen, event_stream(spark, folder))
+    tail = live_tail(seen, event_stream(spark, folder), shared_position=True)
     live = run_to_folder(tail.stream.select("event_id", "timestamp"), run_folder(spark, "tail"))
 
     def shown(events: DataFrame, part: str) -> DataFrame:
