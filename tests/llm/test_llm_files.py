@@ -199,6 +199,16 @@ def test_top_k_by_hand(spark):
     assert knn.top_k(vectors.limit(0), vectors.limit(0)).collect() == []
 
 
+def test_a_query_repeated_in_a_tight_cell_finds_its_neighbours(spark):
+    rows = [(0, [10.0, 0.0])] * 30 + [(1 + i, [5.0 + i / 10, 3.0]) for i in range(10)]
+    rows += [(50 + i, [-8.0 - i / 10, 6.0]) for i in range(10)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    scores = sorted((-640 * int(np.floor(64 * e[0])), i) for i, e in rows if i)[:7]
+    expected = [(0, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    got = knn.top_k(vectors, spark.createDataFrame(rows[:1], vectors.schema), k=7, pivots=3)
+    assert sorted(map(tuple, got.collect())) == expected
+
+
 def test_products_are_exact_beyond_doubles():
     q, x = np.array([[2.0**40, 1.0]]), np.array([[2.0**20, 1.0]])
     assert knn.products(q, x).tolist() == [[2**60 + 1]]

@@ -53,7 +53,7 @@ def chosen_pivots(data: DataFrame, count: int, sample: int) -> np.ndarray:
 
 
 def blocked(data: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
-    """Blocks of vectors of one cell: cell, ids, matrix, count, radius."""
+    """Blocks of vectors of one cell: cell, ids, matrix, count, radius, own (the largest of a third column)."""
 
     def assign(batches):
         import pyarrow as pa
@@ -62,7 +62,8 @@ def blocked(data: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
 
         def block(cell):
             ids = np.concatenate([x[0] for x in held[cell]])
-            matrix = np.concatenate([x[1] for x in held.pop(cell)])
+            matrix = np.concatenate([x[1] for x in held[cell]])
+            own = max(int(x[2].max()) for x in held.pop(cell))
             radius = float(np.sqrt(((matrix - pivots[cell]) ** 2).sum(axis=1).max()))
             return pa.RecordBatch.from_pydict(
                 {
@@ -71,6 +72,7 @@ def blocked(data: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
                     "matrix": pa.array([matrix.astype("<f8").tobytes()], pa.binary()),
                     "count": pa.array([len(ids)], pa.int64()),
                     "radius": pa.array([radius], pa.float64()),
+                    "own": pa.array([own], pa.int64()),
                 }
             )
 
@@ -79,36 +81,36 @@ def blocked(data: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
                 part = batch.slice(start, size)
                 ids = part.column(0).to_numpy()
                 matrix = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+                copies = part.column(2).to_numpy() if part.num_columns > 2 else np.ones(len(ids), dtype=np.int64)
                 far = (pivots**2).sum(axis=1) - 2 * matrix @ pivots.T
                 cells = far.argmin(axis=1)
                 for cell in np.unique(cells).tolist():
                     mine = cells == cell
-                    held.setdefault(cell, []).append((ids[mine], matrix[mine]))
+                    held.setdefault(cell, []).append((ids[mine], matrix[mine], copies[mine]))
                     if sum(len(x[0]) for x in held[cell]) >= size:
                         yield block(cell)
         for cell in list(held):
             yield block(cell)
 
-    return data.mapInArrow(assign, "cell int, ids binary, matrix binary, count long, radius double")
+    return data.mapInArrow(assign, "cell int, ids binary, matrix binary, count long, radius double, own long")
 
 
 def allowed(pivots: np.ndarray, cells: list, groups: list, k: int) -> list[tuple[int, int, float]]:
     """(group, cell, upper bound) of what a group of queries may need, from the summaries alone."""
     out = []
-    for group, _, rho in groups:
+    for group, _, rho, own in groups:
         g = pivots[group]
         bounds = []
-        for cell, count, radius in cells:
+        for cell, count, radius, _ in cells:
             middle = float(g @ pivots[cell])
             slack = np.linalg.norm(g) * radius + rho * np.linalg.norm(pivots[cell]) + rho * radius
             slack += 1e-9 * (abs(middle) + slack)  # rounding must not lose a cell
             bounds.append((middle - slack, middle + slack, cell, count))
-        # a group may hold a query's own row, and rows of the same id: one more than k is not a proof for them,
-        # but a bound by k + 1 rows is, as at most the query's own id is left out
+        # rows of a query's own id are left out of its search: at most ``own`` of the rows counted
         seen, floor = 0, -np.inf
         for low, _, _, count in sorted(bounds, reverse=True):
             seen += count
-            if seen >= k + 1:
+            if seen >= k + own:
                 floor = low
                 break
         out += [(group, cell, high) for _, high, cell, _ in bounds if high >= floor]
@@ -131,7 +133,9 @@ def top_k(
     spark = vectors.sparkSession
     kinds = "query_id long, vec_id long, score long"
     data = staged(quantised(vectors, id_column, vector_column, scale), "knn-data")
-    wanted = staged(quantised(queries, id_column, vector_column, scale), "knn-queries")
+    repeated = data.groupBy("id").agg(F.count("*").alias("copies")).filter("copies > 1")
+    wanted = quantised(queries, id_column, vector_column, scale).join(repeated, "id", "left")
+    wanted = staged(wanted.select("id", "v", F.coalesce("copies", F.lit(1)).alias("copies")), "knn-queries")
     lengths = [r[0] for r in wanted.select(F.size("v")).distinct().orderBy(F.size("v")).limit(1000).collect()]
     if len(lengths) == 1000:
         raise ValueError("the queries have a thousand different lengths; these are not vectors of one space")
@@ -144,7 +148,7 @@ def top_k(
         cells = staged(blocked(own, centres, BLOCK), "knn-cells")
         groups = staged(blocked(wanted.filter(F.size("v") == length), centres, QUERIES), "knn-groups")
         summary = [
-            sorted(tuple(r) for r in x.groupBy("cell").agg(F.sum("count"), F.max("radius")).collect())
+            sorted(tuple(r) for r in x.groupBy("cell").agg(F.sum("count"), F.max("radius"), F.max("own")).collect())
             for x in (cells, groups)
         ]  # one row a cell
         plan = allowed(centres, *summary, k)
