@@ -65,6 +65,15 @@ def test_scores_match_plain_counts(docs):
         assert abs(g[6] - e[6]) <= 0.02 * e[2]  # a byte of quantisation
 
 
+def test_rare_successors_of_very_frequent_words_are_not_raised(spark, monkeypatch):
+    real, mu = ngram_trie.common_words, 1e-12
+    monkeypatch.setattr(ngram_trie, "common_words", lambda blocks: {w: n * 10**9 for w, n in real(blocks).items()})
+    docs = spark.createDataFrame([(1, "the rare"), (2, "the other")], "doc_id long, text string")
+    got = ngram_trie.score_documents(docs, F.lit(True), mu).collect()
+    # an occurrence or two after contexts seen 1e9 or 2e9 times: 2 / 2e9, 1 / 2e9, 1 / 1e9
+    assert [r.score for r in got] == [pytest.approx(-9 - 9.30103 - 9, abs=0.06)] * 2
+
+
 def test_scores_of_nothing(no_docs):
     assert ngram_trie.score_documents(no_docs, F.lit(True)).collect() == []
 

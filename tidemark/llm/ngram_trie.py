@@ -7,7 +7,8 @@ The model is a bigram model over words and an end mark:
 A shard's trie has two levels. The first holds the contexts v as an Elias-Fano
 sequence with monotone Elias-Fano pointers to their successors; the second holds
 the successors, made monotone by the place of their context, with one byte of
-quantised log10 c(v, w) / (c(v) + mu) each. A query finds the context, follows its
+quantised log10 c(v, w) / (c(v) + mu) each, over a range that reaches down to one
+occurrence after the most frequent context. A query finds the context, follows its
 pointers and searches for the successor among that context's own. The levels lie
 one after the other in a file that is memory-mapped.
 
@@ -41,7 +42,6 @@ BLOCK = 1 << 20  # tokens in a block
 SHARD = 1 << 21  # tokens per shard
 COMMON = 2000  # a word with one in so many tokens of a block is looked at for splitting
 SPLITS = 64
-LOW = -8.0  # least log10 that the quantisation tells apart
 HEAD = "<QQQ"  # where the pointers, the successors and the probabilities begin
 SUCCESSOR_BITS = 40
 
@@ -89,13 +89,20 @@ class Trie:
         return found
 
 
-def quantise(logs: np.ndarray) -> np.ndarray:
-    return (1 + np.rint(254 * (1 - np.clip(logs, LOW, 0.0) / LOW))).astype(np.uint8)
+def lowest(common: dict[int, int], tokens: int, mu: float) -> float:
+    """A log10 that no stored probability is below."""
+    # a word that is not among the common ones makes up less than 2 / COMMON of all tokens
+    most = max([*common.values(), 2 * tokens // COMMON])
+    return -max(1.0, float(np.log10(most + mu)))
 
 
-def restored() -> np.ndarray:
+def quantise(logs: np.ndarray, low: float) -> np.ndarray:
+    return (1 + np.rint(254 * (1 - np.clip(logs, low, 0.0) / low))).astype(np.uint8)
+
+
+def restored(low: float) -> np.ndarray:
     """The probability of each code."""
-    values = 10.0 ** (LOW * (1 - (np.arange(256) - 1) / 254))
+    values = 10.0 ** (low * (1 - (np.arange(256) - 1) / 254))
     values[0] = 0.0
     return values
 
@@ -261,7 +268,7 @@ def asked(blocks: DataFrame, common: dict[int, int], shards: int) -> DataFrame:
     )
 
 
-def shard_answers(common: dict[int, int], mu: float):
+def shard_answers(common: dict[int, int], mu: float, low: float):
     """Build one shard's trie from all blocks' counts and answer the blocks from it."""
     often = np.array(sorted(common), dtype=np.uint64)
     often_counts = np.array([common[int(w)] for w in often], dtype=np.int64)
@@ -287,7 +294,8 @@ def shard_answers(common: dict[int, int], mu: float):
         totals[split] = often_counts[spot[split]]  # a split context is counted in many shards
         logs = np.log10(counts / (totals[owner] + mu)) if len(keys) else np.zeros(0)
         data = Trie.build(
-            names, np.bincount(owner, minlength=len(names)), keys & np.uint64((1 << SUCCESSOR_BITS) - 1), quantise(logs)
+            names, np.bincount(owner, minlength=len(names)), keys & np.uint64((1 << SUCCESSOR_BITS) - 1),
+            quantise(logs, low),
         )
         with tempfile.TemporaryFile() as file:  # a nameless file of this task, mapped while it answers
             file.write(data)
@@ -315,7 +323,7 @@ def shard_answers(common: dict[int, int], mu: float):
     return answer
 
 
-def finisher(common: dict[int, int], shards: int, trained: int, distinct: int, mu: float):
+def finisher(common: dict[int, int], shards: int, trained: int, distinct: int, mu: float, low: float):
     """Put a block's answers together into scores of its documents."""
     often = np.array(sorted(common), dtype=np.uint64)
     often_counts = np.array([common[int(w)] for w in often], dtype=np.int64)
@@ -336,7 +344,7 @@ def finisher(common: dict[int, int], shards: int, trained: int, distinct: int, m
         split = often[spot] == words
         counts[split] = often_counts[spot[split]]
         single = (counts + 1.0) / (trained + distinct + 1.0)
-        pair = restored()[codes] + mu / (counts[routes.v] + mu) * single[routes.w]
+        pair = restored(low)[codes] + mu / (counts[routes.v] + mu) * single[routes.w]
         lengths = np.frombuffer(row["lengths"], "<u4").astype(np.int64) + 1
         begins = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         flags = np.frombuffer(row["training"], bool)
@@ -368,10 +376,11 @@ def score_documents(documents: DataFrame, training: Column, mu: float = 1000.0)
     if not every:
         return spark.createDataFrame([], RESULT)
     common = common_words(blocks)
+    low = lowest(common, every, mu)
     shards = max(12, -(-every // SHARD))
     path = run_folder(spark, "lm-answers")
     asked(blocks, common, shards).groupBy("shard").applyInPandas(
-        shard_answers(common, mu), "block long, shard int, codes binary, totals binary, distinct long"
+        shard_answers(common, mu, low), "block long, shard int, codes binary, totals binary, distinct long"
     ).write.parquet(path)
     answers = spark.read.parquet(path)
     distinct = answers.agg(F.sum("distinct")).first()[0] + sum(n > 0 for n in common.values())
@@ -379,5 +388,5 @@ def score_documents(documents: DataFrame, training: Column, mu: float = 1000.0)
     return (
         sent.groupBy("block")
         .cogroup(answers.select("block", "shard", "codes", "totals").groupBy("block"))
-        .applyInPandas(finisher(common, shards, trained, distinct, mu), RESULT)
+        .applyInPandas(finisher(common, shards, trained, distinct, mu, low), RESULT)
     )
