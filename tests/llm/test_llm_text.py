@@ -203,6 +203,16 @@ def test_quality_on_held_out_labels(spark, sample_folder):
     assert right >= 0.93 * n and rejected <= 0.02 * good
 
 
+def test_repetition_does_not_depend_on_length():
+    import pyarrow as pa
+
+    junk = [" ".join(f"w{i * i % 23}" for i in range(n)) for n in (300, 999, 1000, 5000)]
+    varied = " ".join(f"v{i % 400}" for i in range(5000))
+    got = quality.frequencies(pa.array([*junk, varied, "one two one"]))[:, -1]
+    assert got[:4].min() > 0.9 and np.ptp(got[1:3]) < 0.001 and np.ptp(got[:4]) < 0.05
+    assert got[4] == 0 and got[5] == pytest.approx(1 / 3)
+
+
 def test_quality_of_awkward_rows(spark, docs, no_docs):
     kinds = "doc_id long, quality int, toxic int, text string"
     labels = spark.createDataFrame([(1, 1, 0, "x"), (7, 1, 0, "x"), (8, 0, 0, "x"), (8, 1, 0, "x"), (3, None, 0, "x"), (None, 1, 0, "x")], kinds)

@@ -2,8 +2,8 @@
 
 A text's terms are its pairs of neighbouring character classes (letters, digits,
 blanks, line ends, every ASCII sign for itself) and its repetitions: words equal
-to the one before, word pairs and lines seen earlier, and how few words make up
-the text. Term frequencies, weighted by rarity, are projected on the leading
+to the one before, word pairs and lines seen earlier, and words that stand among
+the ``WINDOW`` - 1 before them, whatever the text's length. Term frequencies, weighted by rarity, are projected on the leading
 singular vectors of a bounded sample of labelled documents. Every document is
 compared with every vector of that sample by exact cosines, a block at a time,
 and the nearest neighbours' labels, weighted by similarity, are its score.
@@ -35,6 +35,7 @@ BLOCK = 2048  # documents compared at once
 SIGNS = 8  # classes before those of the ASCII signs
 CLASSES = 41
 EXTRA = 4
+WINDOW = 100  # words in which a word counts as repeated
 
 
 def character_classes() -> np.ndarray:
@@ -76,7 +77,9 @@ def frequencies(texts) -> np.ndarray:
             mine[pairs] = (own[:-1] == own[1:]).mean() if b - a > 1 else 0
             mine[pairs + 1] = 1 - len(np.unique(two)) / max(1, len(two))
             mine[pairs + 2] = 1 - len(set(lines)) / len(lines)
-            mine[pairs + 3] = 1 - len(np.unique(own)) / (b - a) if b - a < 1000 else 0
+            places = np.argsort(own, kind="stable")
+            again = (own[places[1:]] == own[places[:-1]]) & (np.diff(places) < WINDOW)
+            mine[pairs + 3] = again.sum() / (b - a)
     return out
 
 
