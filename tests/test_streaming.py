@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_replay import random_log
 from tidemark.operators import detect, replay
 from tidemark.session import run_folder, shared_folder
-from tidemark.sources import stream_records
+from tidemark.sources import schema, stream_records
 from tidemark.sources.schema import EVENT_SCHEMA
 from tidemark.streaming import carry, tail
 
@@ -54,29 +54,157 @@ def test_resent_events_change_nothing(spark, tmp_path):
     assert {key(r) for r in got if not r.late} <= batch
 
 
-def test_stream_anomalies_equal_batch(spark, tmp_path):
-    rows, arrival = shuffled_log(23)
-    rules, _ = detect.load_rules(
-        [{"code": "GONE", "condition": "status == DELETED"}, {"code": "A2", "condition": "a >= 2"}]
+def run(stream, tmp_path, name):
+    """Rows of a streaming query and its progress reports."""
+    query = (
+        stream.writeStream.format("parquet")
+        .option("path", str(tmp_path / name / "rows"))
+        .option("checkpointLocation", str(tmp_path / name / "checkpoint"))
+        .trigger(availableNow=True)
+        .start()
     )
-    stream = as_stream(spark, tmp_path / "in", [arrival[i : i + 100] for i in range(0, len(arrival), 100)])
-    got = tail.run_to_folder(carry.stream_anomalies(stream, rules, "30 minutes"), str(tmp_path / "out")).collect()
+    query.awaitTermination()
+    rows = stream.sparkSession.read.schema(stream.schema).parquet(str(tmp_path / name / "rows")).collect()
+    return rows, query.recentProgress
+
+
+def test_released_rows_leave_the_state(spark, tmp_path):
+    """One key, a write a minute in ten micro-batches: what waits is a few rows, not the history."""
+    rows = [event("A", "T", i, "X", {"n": i}, i, minutes=i) for i in range(1, 201)]
+    stream = as_stream(spark, tmp_path / "in", [rows[i : i + 20] for i in range(0, 200, 20)] + [[event("Z", "T", 1, "X", {}, 999, minutes=9999)]])
+    got, progress = run(carry.stream_replay(stream, "5 minutes"), tmp_path, "out")
+    assert sorted(r.new_json for r in got if r.key == "n") == sorted(map(str, range(1, 201)))
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in progress]
+    # four fields, each with its rows of some 5 minutes and of the batch at hand, its timer and its last value
+    assert max(held) < 4 * 60 and held[-1] < 40
+
+
+def test_late_rows_come_out_apart(spark, tmp_path):
+    """Every event is in one of the two outputs, whatever the order of arrival."""
+    rows = [event("A", "T", i, "X", {"a": i}, i, minutes=10 * i) for i in range(1, 31)]
+    # 5 and 9 arrive when later ones are released; B's event comes behind the watermark, but nothing after it was released
+    batches = [[r for i, r in enumerate(rows[:15], 1) if i not in (5, 9)], rows[15:25], [rows[4], rows[8]], rows[25:]]
+    batches += [[event("B", "T", 1, "X", {"a": 7}, 500, minutes=20)], [event("END", "T", 1, "X", {}, 999, minutes=9999)]]
+    rules, _ = detect.load_rules([{"code": "BIG", "condition": "a >= 3"}])
+    stream = as_stream(spark, tmp_path / "in", batches)
+    carry.write_apart(carry.stream_anomalies(stream, rules, "30 minutes"), str(tmp_path / "out")).awaitTermination()
+    found = spark.read.parquet(str(tmp_path / "out/rows")).collect()
+    late = spark.read.parquet(str(tmp_path / "out/late")).collect()
+    assert sorted((r.aggregate_id, r.sequence_number, r.fields) for r in late) == [("A", 5, "a"), ("A", 9, "a")]
+    assert all(r.code is None and r.late for r in late)
+    assert sorted((r.aggregate_id, r.sequence_number) for r in found if r.code == "BIG") == sorted(
+        [("A", i) for i in range(3, 31) if i not in (5, 9)] + [("B", 1)]
+    )
+    history = carry.stream_field_history(stream, [["a"], ["a", "b"]], "30 minutes").filter("aggregate_id != 'END'")
+    steps, _ = run(history, tmp_path, "steps")
+    assert sorted((r.aggregate_id, r.sequence_number, r.unit) for r in steps) == sorted(
+        [("A", i, u) for i in range(1, 31) for u in (0, 1)] + [("B", 1, 0), ("B", 1, 1)]
+    )
+
+
+def test_rows_without_time_are_given_out(spark, tmp_path):
+    rows = [event("A", "T", 1, "X", {"a": 1}, 1), (*event("A", "T", 2, "X", {"a": 2}, 2)[:7], None, 2)]
+    stream = as_stream(spark, tmp_path / "in", [[rows[0]], [rows[1]], [event("END", "T", 1, "X", {}, 9, minutes=9999)]])
+    got, _ = run(carry.stream_replay(stream, "1 minute"), tmp_path, "out")
+    assert sorted((r.sequence_number, r.late) for r in got if r.key == "a") == [(1, True), (2, False)]
+
+
+def test_rules_on_several_fields_equal_batch(spark, tmp_path):
+    rows, arrival = shuffled_log(24, 120)
+    rules = [
+        detect.Rule("PAIR", "both are set", "HIGH", ("status", "a"), lambda v: v("status").isNotNull() & v("a").isNotNull()),
+        detect.condition_rule("A2", "a >= 2"),
+    ]
+    stream = as_stream(spark, tmp_path / "in", [arrival[i : i + 40] for i in range(0, len(arrival), 40)])
+    carry.write_apart(carry.stream_anomalies(stream, rules, "30 minutes"), str(tmp_path / "out")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out/rows")).collect()
     expected = detect.scan_anomalies(events_df(spark, rows), rules).collect()
     pick = lambda r: (r.aggregate_id, r.sequence_number, r.code)
     assert sorted(map(pick, got)) == sorted(map(pick, expected))
+    assert "PAIR" in {r.code for r in got}
+
+
+def test_resent_stream_equals_batch_and_feeds_replay(spark, tmp_path):
+    rows, arrival = shuffled_log(25, 120)
+    resent = [(*r[:8], r[8] + 10_000) for r in arrival[:-1:3]]  # the same events at later places of the topic
+    both = arrival[:60] + resent[:10] + arrival[60:-1] + resent[10:] + [event("END", "T", 1, "X", {}, 99_999, minutes=9999)]
+    stream = as_stream(spark, tmp_path / "in", [both[i : i + 50] for i in range(0, len(both), 50)])
+    once, progress = run(tail.drop_resent_stream(stream, "5 hours"), tmp_path, "once")
+    wanted = schema.drop_resent(events_df(spark, both)).collect()
+    assert sorted((r.aggregate_id, r.sequence_number, r.global_position) for r in once) == sorted(
+        (r.aggregate_id, r.sequence_number, r.global_position) for r in wanted
+    )
+    assert progress[-1]["stateOperators"][0]["numRowsTotal"] < 10  # old keys are forgotten
+    stepped, _ = run(carry.stream_replay(tail.drop_resent_stream(stream, "5 hours"), None), tmp_path, "replay")
+    expected = {key(r) for r in replay.transitions(events_df(spark, rows)).collect()}
+    assert not any(r.late for r in stepped) and len(stepped) == len(expected) and {key(r) for r in stepped} == expected
 
 
 def test_keep_latest_over_batches(spark, tmp_path):
     rows = [event("A", "T", i, "X", {}, i) for i in range(1, 261)]
     stream = as_stream(spark, tmp_path / "in", [rows[:100], rows[100:180], rows[180:]])
     tagged = stream.select(F.lit("src").alias("source_id"), "event_id", "global_position")
-    kept = str(tmp_path / "kept")
-    tail.keep_latest(tagged, kept, str(tmp_path / "check"), 200, available_now=True).awaitTermination()
-    latest = tail.in_batches(tail.read_latest(spark, kept)).orderBy("global_position").collect()
+    checkpoint = str(tmp_path / "check")
+    query = tail.keep_latest(tagged, checkpoint, 200, available_now=True)
+    query.awaitTermination()
+    latest = tail.in_batches(tail.read_latest(spark, checkpoint, 200)).orderBy("global_position").collect()
     assert [r.global_position for r in latest] == list(range(61, 261))
     assert [r.batch_no for r in latest] == [i // 50 for i in range(200)]
 
 
+def test_keep_latest_is_bounded_and_starts_anew(spark, tmp_path):
+    rows = [event("A", "T", i, "X", {}, i) for i in range(1, 401)]
+    events_df(spark, rows[:250]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(EVENT_SCHEMA).parquet(str(tmp_path / "in"))
+    tagged = stream.select((F.col("global_position") % 2).cast("string").alias("source_id"), "event_id", "global_position")
+    seen = lambda c: sorted(r.global_position for r in tail.read_latest(spark, c, 5).collect())
+    first = str(tmp_path / "first")
+    tail.keep_latest(tagged, first, 5, available_now=True).awaitTermination()
+    assert seen(first) == list(range(241, 251))
+    # the same checkpoint goes on, and no more than its parts hold is kept
+    events_df(spark, rows[250:]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = tail.keep_latest(tagged, first, 5, available_now=True)
+    query.awaitTermination()
+    assert seen(first) == list(range(391, 401))
+    kept = spark.read.format("statestore").option("stateVarName", tail.KEPT).load(first)
+    assert kept.count() <= 2 * tail.PARTS * 5
+    # a fresh checkpoint knows nothing of what was kept before
+    events_df(spark, rows[:20]).coalesce(1).write.parquet(str(tmp_path / "other"))
+    other = spark.readStream.schema(EVENT_SCHEMA).parquet(str(tmp_path / "other"))
+    tagged = other.select(F.lit("src").alias("source_id"), "event_id", "global_position")
+    tail.keep_latest(tagged, str(tmp_path / "second"), 5, available_now=True).awaitTermination()
+    assert seen(str(tmp_path / "second")) == list(range(16, 21))
+
+
+def test_newest_changes_tell_what_came_in(spark, tmp_path):
+    rows = [event("A", "T", i, "X", {}, i) for i in range(1, 41)]
+    stream = as_stream(spark, tmp_path / "in", [rows[20:], rows[:20]])
+    tagged = stream.select(F.lit("src").alias("source_id"), "event_id", "global_position")
+    seen = []
+    query = (
+        tail.newest_changes(tagged, 40)
+        .writeStream.outputMode("update")
+        .foreachBatch(lambda batch, n: seen.append(sorted(r.global_position for r in batch.collect())))
+        .option("checkpointLocation", str(tmp_path / "c"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert [s for s in seen if s] == [list(range(21, 41)), list(range(1, 21))]
+
+
+def test_state_needs_its_store(spark, tmp_path):
+    stream = as_stream(spark, tmp_path / "in", [[event("A", "T", 1, "X", {}, 1)]])
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        with pytest.raises(ValueError, match="providerClass"):
+            carry.stream_replay(stream)
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_live_tail_without_stream(spark):
     rows = [event("A", "T", i, "X", {}, i) for i in range(1, 130)]
     found = tail.live_tail(events_df(spark, rows))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -326,8 +326,12 @@ def scan_anomalies(events: DataFrame, rules: Iterable[Rule] = (), width: int = D
     return tag_anomalies(history, rules)
 
 
-def tag_anomalies(history: DataFrame, rules: Iterable[Rule]) -> DataFrame:
-    """Rule hits over rows that carry the fields' values as ``f_<field>``."""
+def tag_anomalies(history: DataFrame, rules: Iterable[Rule], untested: Sequence[str] = ()) -> DataFrame:
+    """Rule hits over rows that carry the fields' values as ``f_<field>``.
+
+    With ``untested`` these columns stay, and rows where the first of them holds
+    come back too, without code, description and severity.
+    """
 
     def value(name: str) -> Column:
         return F.col(f"f_{name}")
@@ -345,7 +349,11 @@ def tag_anomalies(history: DataFrame, rules: Iterable[Rule]) -> DataFrame:
             for r in rules
         ]
     )
-    return history.select(*KEYS, "event_type", "timestamp", F.inline(F.array_compact(reports)))
+    hits = F.array_compact(reports)
+    if untested:
+        nothing = F.struct(*[F.lit(None).cast("string").alias(c) for c in ("code", "description", "severity")])
+        hits = F.when(F.col(untested[0]), F.array(nothing)).otherwise(hits)
+    return history.select(*KEYS, "event_type", "timestamp", *untested, F.inline(hits))
 
 
 def attach_states(events: DataFrame, anomalies: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:

@@ -9,9 +9,9 @@ from ..functions.text import instant_text
 from ..session import run_folder
 from ..sources.sample_logs import activity_events, activity_log, read_sample
 from ..sources.stream_records import parse_stream_records, split_malformed
-from ..streaming.carry import stream_anomalies, stream_replay
+from ..streaming.carry import stream_anomalies, stream_replay, write_apart
 from ..streaming.tail import (
-    in_batches, keep_latest, live_tail, newest_per_source, read_latest, run_to_folder, stream_throughput,
+    drop_resent_stream, in_batches, keep_latest, live_tail, newest_per_source, read_latest, run_to_folder, stream_throughput,
 )
 from .catalog import query
 from .difference import RULES, _hits
@@ -26,46 +26,73 @@ def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return activity_events(table)
 
 
-# the watermark is a whole millisecond behind the newest event by the delay
-WATERMARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM events)"
+CLOSING = "~closing"
+
+
+def closed(spark: SparkSession, folder: str, stream: DataFrame) -> DataFrame:
+    """The stream with one event a day after all others: once it has arrived, nothing waits for later ones."""
+    last = activity_log(spark, folder).agg(F.max("timestamp").alias("at"))
+    kinds = dict(stream.dtypes)
+    set_to = {"aggregate_id": F.lit(CLOSING), "timestamp": F.col("at") + F.expr("INTERVAL 1 DAY"), "payload": F.lit("{}")}
+    # beyond every sequence, and no event of any rule or count
+    one = last.select(*[set_to.get(c, F.lit(None).cast(kinds[c])).alias(c) for c in stream.columns])
+    path = run_folder(spark, "closing")
+    one.write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(one.schema).parquet(path))
 
 
 @query(
     "stream_throughput",
     activity(
-        f"""SELECT strftime(start, '%Y-%m-%dT%H:00:00Z') AS bucket, event_count FROM (
-        SELECT date_trunc('hour', ts) AS start, count(*) AS event_count FROM activity GROUP BY 1)
-        WHERE start + INTERVAL 1 HOUR <= {WATERMARK}"""
+        """SELECT strftime(start, '%Y-%m-%dT%H:00:00Z') AS bucket, event_count FROM (
+        SELECT date_trunc('hour', ts) AS start, count(*) AS event_count FROM activity GROUP BY 1)"""
     ),
 )
 def _throughput(spark, folder):
-    return run_to_folder(stream_throughput(event_stream(spark, folder)), run_folder(spark, "throughput"))
+    stream = closed(spark, folder, event_stream(spark, folder))
+    return run_to_folder(stream_throughput(stream), run_folder(spark, "throughput"))
 
 
 @query(
     "stream_replay",
-    activity_changes(
-        f"SELECT aggregate_id, sequence_number, key, old_json, new_json FROM activity_diffs WHERE ts <= {WATERMARK}"
-    ),
+    activity_changes("SELECT aggregate_id, sequence_number, key, old_json, new_json FROM activity_diffs"),
 )
 def _replay(spark, folder):
-    changes = run_to_folder(stream_replay(event_stream(spark, folder)), run_folder(spark, "replay"))
+    stream = closed(spark, folder, event_stream(spark, folder))
+    changes = run_to_folder(stream_replay(stream), run_folder(spark, "replay"))
     return changes.filter("NOT late").drop("late", "global_position", "event_id")
 
 
 @query(
     "stream_anomalies",
-    activity(
-        "SELECT code, severity, aggregate_id, sequence_number FROM hits",
-        f"closed AS (SELECT * FROM activity WHERE ts <= {WATERMARK})",
-        _hits("closed"),
-    ),
+    activity("SELECT code, severity, aggregate_id, sequence_number FROM hits", _hits("activity")),
 )
 def _anomalies(spark, folder):
-    found = run_to_folder(stream_anomalies(event_stream(spark, folder), RULES), run_folder(spark, "anomalies"))
+    stream = closed(spark, folder, event_stream(spark, folder))
+    work = run_folder(spark, "anomalies")
+    write_apart(stream_anomalies(stream, RULES), work).awaitTermination()
+    found = spark.read.parquet(f"{work}/rows").filter(F.col("aggregate_id") != CLOSING)
     return found.select("code", "severity", "aggregate_id", "sequence_number")
 
 
+@query(
+    "drop_resent_stream",
+    activity(
+        """SELECT aggregate_id, sequence_number, event_id, event_type, payload FROM (
+        SELECT *, row_number() OVER (PARTITION BY aggregate_id, sequence_number ORDER BY global_position, event_id) AS copy
+        FROM (SELECT * FROM activity UNION ALL SELECT * FROM activity WHERE k % 2 = 0)) WHERE copy = 1"""
+    ),
+)
+def _resent_stream(spark, folder):
+    """Every other event is sent twice, by the value in its payload."""
+    stream = event_stream(spark, folder)
+    again = event_stream(spark, folder).filter(F.get_json_object("payload", "$.k").cast("long") % 2 == 0)
+    once = drop_resent_stream(stream.unionByName(again)).select(
+        "aggregate_id", "sequence_number", "event_id", "event_type", "payload"
+    )
+    return run_to_folder(once, run_folder(spark, "resent"))
+
+
 @query(
     "keep_latest",
     activity(
@@ -78,9 +105,9 @@ def _keep(spark, folder):
     tagged = event_stream(spark, folder).select(
         F.col("event_type").alias("source_id"), "event_id", "global_position"
     )
-    work = run_folder(spark, "latest")
-    keep_latest(tagged, f"{work}/kept", f"{work}/checkpoint", available_now=True).awaitTermination()
-    return in_batches(read_latest(spark, f"{work}/kept")).select("source_id", "event_id", "batch_no")
+    checkpoint = run_folder(spark, "latest")
+    keep_latest(tagged, checkpoint, available_now=True).awaitTermination()
+    return in_batches(read_latest(spark, checkpoint)).select("source_id", "event_id", "batch_no")
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # a grouping by (aggregate, field) must not settle for partitioning by aggregate
     "spark.sql.requireAllClusterKeysForDistribution": "true",
+    # keyed state of the streaming operators, an entry per row
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -26,6 +28,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stateful(stream: DataFrame) -> DataFrame:
+    """``stream``, if its session keeps state in a way that the streaming operators can use."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if stream.sparkSession.conf.get(name, "") != SETTINGS[name]:
+        raise ValueError(f"set {name} to {SETTINGS[name]}, as session.configure does")
+    return stream
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 

@@ -1,80 +1,134 @@
 """Replay and rules on a stream of events.
 
-Events may arrive out of order. Each key buffers its rows until the watermark
-has passed them, then releases them in sequence order; a row that comes after a
-later one was released is marked ``late`` and changes nothing.
+Events may arrive out of order. Each key keeps the rows that the watermark has
+not passed, a state entry per row, and releases them in order of sequence once it
+has: a released row leaves the state, the others are not touched. What stays of a
+key is its last value and the order of its last released row. A row that comes
+after a later one was released, or that is there already, is marked ``late`` and
+changes nothing; rows behind the watermark are not lost, they are released or late.
+
+The state lives in Spark's RocksDB state store; ``session.configure`` selects it.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from ..operators.detect import SNAPSHOT_RULE, Rule, narrow_writes, tag_anomalies
-from ..operators.replay import KEYS, field_changes
+from ..operators.replay import BOOKKEEPING, KEYS, field_changes
+from ..session import stateful
 from ..sources.schema import ORDER
 
-STATE_SCHEMA = "last string, applied string, buffer string"
+EARLIEST = "sequence_number bigint, global_position bigint, event_id string"
+
+
+def _place(order: Sequence) -> tuple:
+    """An order that can be compared although parts of it may be missing."""
+    return tuple((x is not None, x) if x is not None else (False, 0) for x in order)
+
+
+def _ms(us: int | None, behind: int) -> int:
+    """Milliseconds; a row without a time waits for none."""
+    return behind - 1 if us is None else us // 1000
+
+
+class _Release(StatefulProcessor):
+    """Gives out each row with the values before it (``last_<name>``), in order."""
+
+    def __init__(self, keys: list[str], rest: list[str], rest_types: str, names: list[str]):
+        self.keys, self.rest, self.rest_types, self.names = keys, rest, rest_types, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", EARLIEST, self.rest_types)
+        values = ", ".join(f"v{i} string" for i in range(len(self.names)))
+        self.last = handle.getValueState("last", f"{EARLIEST}, {values}")
+        self.out = Row(*self.keys, *ORDER, *self.rest, *[f"last_{n}" for n in self.names], "late")
+        self.at = self.rest.index("__us")
+        self.values = [self.rest.index(n) for n in self.names]
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        behind = timerValues.getCurrentWatermarkInMs()
+        soonest, passed = None, False
+        for row in rows:
+            order, rest = tuple(row[c] for c in ORDER), tuple(row[c] for c in self.rest)
+            if self.waiting.containsKey(order):
+                yield self.told(key, order, rest, late=True)
+                continue
+            self.waiting.updateValue(order, rest)
+            ms = _ms(row["__us"], behind)
+            if ms < behind:
+                passed = True
+            elif soonest is None or ms < soonest:
+                soonest = ms
+        if soonest is not None:
+            self.handle.registerTimer(soonest + 1)
+        if passed:
+            yield from self.release(key, behind)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        return self.release(key, timerValues.getCurrentWatermarkInMs())
+
+    def release(self, key, behind: int) -> Iterator[Row]:
+        """The rows that the watermark has passed; the next timer is set for those that are left."""
+        ready, soonest = [], None
+        for order, rest in self.waiting.iterator():
+            ms = _ms(rest[self.at], behind)
+            if ms < behind:
+                ready.append((tuple(order), tuple(rest)))
+            elif soonest is None or ms < soonest:
+                soonest = ms
+        if not ready:
+            return
+        known = self.last.get()
+        applied, last = (tuple(known[:3]), list(known[3:])) if known is not None else (None, [None] * len(self.names))
+        for order, rest in sorted(ready, key=lambda r: _place(r[0])):
+            self.waiting.removeKey(order)
+            late = applied is not None and _place(order) <= _place(applied)
+            yield self.told(key, order, rest, late, last)
+            if not late:
+                applied = order
+                last = [old if rest[i] is None else rest[i] for i, old in zip(self.values, last)]
+        self.last.update((*applied, *last))
+        if soonest is not None:
+            self.handle.registerTimer(soonest + 1)
+
+    def told(self, key, order, rest, late: bool, last: Sequence | None = None) -> Row:
+        return self.out(*key, *order, *rest, *(last or [None] * len(self.names)), late)
 
 
-def _carried(stream: DataFrame, keys: Sequence[str], names: Sequence[str], extra: Sequence[str]) -> DataFrame:
+def _carried(stream: DataFrame, keys: Sequence[str], names: Sequence[str], extra: Sequence[str], delay: str | None) -> DataFrame:
     """Each row with, per name, the last value before it (``last_<name>``)."""
-    columns = [*ORDER, *extra, "__us", *names]
-    out_columns = [*keys, *ORDER, *extra, "__us", *names, *[f"last_{n}" for n in names], "late"]
-
-    def release(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, applied, buffer = state.get if state.exists else ("{}", "null", "[]")
-        last, applied, buffer = json.loads(last), json.loads(applied), json.loads(buffer)
-        for batch in batches:
-            # None, not NaN: a missing value must survive the JSON round trip
-            cells = batch[columns].astype(object).where(batch[columns].notna(), None)
-            buffer.extend(json.loads(json.dumps(r, default=int)) for r in cells.values.tolist())
-        watermark_us = state.getCurrentWatermarkMs() * 1000
-        at = columns.index("__us")
-        width = len(ORDER)
-        ready = sorted((r for r in buffer if r[at] <= watermark_us), key=lambda r: r[:width])
-        buffer = [r for r in buffer if r[at] > watermark_us]
-        out = []
-        for row in ready:
-            late = applied is not None and row[:width] <= applied
-            values = row[at + 1 :]
-            out.append([*key, *row, *[last.get(n) for n in names], late])
-            if not late:
-                applied = row[:width]
-                last.update({n: v for n, v in zip(names, values) if v is not None})
-        state.update((json.dumps(last), json.dumps(applied), json.dumps(buffer)))
-        if buffer:
-            state.setTimeoutTimestamp(max(min(r[at] for r in buffer) // 1000 + 1, watermark_us // 1000 + 1))
-        if out:
-            yield pd.DataFrame(out, columns=out_columns)
-
-    types = dict(stream.dtypes)
-    schema = ", ".join(
-        f"`{c}` " + ("boolean" if c == "late" else types[c.removeprefix("last_") if c not in types else c])
-        for c in out_columns
-    )
-    return stream.groupBy(*keys).applyInPandasWithState(
-        release, schema, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout
-    )
+    types = dict(stream.dtypes) | {"__us": "bigint"}
+    rest = [*extra, "__us", *names]
+    # the watermark moves with the timestamps, but the column itself stays behind:
+    # Spark would drop rows that are older than the watermark before they are seen
+    timed = stream.withWatermark("timestamp", delay) if delay is not None else stream
+    timed = timed.withColumn("__us", F.unix_micros("timestamp"))
+    timed = timed.select(*keys, *ORDER, *rest)
 
+    def kinds(columns: Sequence[str]) -> str:
+        return ", ".join(f"`{c}` {types[c]}" for c in columns)
 
-def _timed(stream: DataFrame) -> DataFrame:
-    return stream.withColumn("__us", F.unix_micros("timestamp"))
+    out = f"{kinds([*keys, *ORDER, *rest])}, " + ", ".join(f"`last_{n}` {types[n]}" for n in names) + ", late boolean"
+    step = _Release(list(keys), rest, kinds(rest), list(names))
+    return stateful(timed).groupBy(*keys).transformWithState(step, out, "append", "EventTime")
 
 
-def stream_replay(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def stream_replay(events: DataFrame, delay: str | None = "10 minutes") -> DataFrame:
     """Field diffs as events arrive, equal to ``transitions`` on the events so far.
 
     Keyed by aggregate and field, the smallest unit whose order matters, so a
-    busy aggregate is spread over its fields.
+    busy aggregate is spread over its fields. A stream that has a watermark already,
+    such as one of ``drop_resent_stream``, is given with ``delay`` None.
     """
-    writes = field_changes(events, keep=["timestamp"]).withWatermark("timestamp", delay)
-    stepped = _carried(_timed(writes), ["aggregate_id", "key"], ["value_json"], [])
+    writes = field_changes(events, keep=["timestamp"])
+    stepped = _carried(writes, ["aggregate_id", "key"], ["value_json"], [], delay)
     null = F.lit("null")
     changed = F.coalesce("last_value_json", null) != F.coalesce("value_json", null)
     return stepped.filter(changed | F.col("late")).select(
@@ -82,20 +136,82 @@ def stream_replay(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     )
 
 
-def stream_field_history(events: DataFrame, fields: Iterable[str], delay: str = "10 minutes") -> DataFrame:
-    """Events with the value of each named field after them, as they arrive."""
-    fields = list(dict.fromkeys(fields))
-    narrow = narrow_writes(events, fields).withWatermark("timestamp", delay)
-    carried = _carried(_timed(narrow), ["aggregate_id"], [f"w_{f}" for f in fields], ["event_type"])
-    return carried.filter(~F.col("late")).select(
-        *KEYS,
-        "event_type",
-        F.timestamp_micros("__us").alias("timestamp"),
-        *[F.coalesce(f"w_{f}", f"last_w_{f}").alias(f"f_{f}") for f in fields],
+def stream_field_history(
+    events: DataFrame, units: Iterable[Sequence[str]], delay: str = "10 minutes"
+) -> DataFrame:
+    """Events with the values of named fields after them, as they arrive.
+
+    ``units`` are groups of fields that are asked for together. Each event gives a
+    row per unit (``unit``, its number) in which the fields of the other units are
+    NULL; order matters within an aggregate and unit only, so that is the key.
+    Rows marked ``late`` have no values.
+    """
+    units = [list(dict.fromkeys(u)) for u in units]
+    fields = list(dict.fromkeys(f for u in units for f in u))
+    narrow = narrow_writes(events, fields)
+    own = [
+        F.struct(F.lit(n).alias("unit"), *[(F.col(f"w_{f}") if f in u else F.lit(None).cast("string")).alias(f"w_{f}") for f in fields])
+        for n, u in enumerate(units)
+    ]
+    apart = narrow.select(*KEYS, "event_type", "timestamp", F.inline(F.array(*own)))
+    carried = _carried(apart, ["aggregate_id", "unit"], [f"w_{f}" for f in fields], ["event_type"], delay)
+    value = {f: F.when(~F.col("late"), F.coalesce(f"w_{f}", f"last_w_{f}")).alias(f"f_{f}") for f in fields}
+    return carried.select(
+        *KEYS, "event_type", F.timestamp_micros("__us").alias("timestamp"), "unit", "late", *value.values()
     )
 
 
 def stream_anomalies(events: DataFrame, rules: Iterable[Rule] = (), delay: str = "10 minutes") -> DataFrame:
-    """``scan_anomalies`` on a stream."""
+    """``scan_anomalies`` on a stream, and the events that came too late for it.
+
+    Rules that read the same fields share a key with the aggregate, so rules on
+    other fields of a busy aggregate run beside each other. Fields that every event
+    writes need no order: rules on these alone are tested as events arrive. A row
+    marked ``late`` is an event whose rules on ``fields`` were not tested any more
+    (its code, description and severity are NULL). ``write_apart`` parts the two.
+    """
     rules = [SNAPSHOT_RULE, *rules]
-    return tag_anomalies(stream_field_history(events, [f for r in rules for f in r.fields], delay), rules)
+    fields = {r.fields: sorted(set(r.fields)) for r in rules}
+    units = [list(u) for u in dict.fromkeys(tuple(f) for f in fields.values() if not set(f) <= set(BOOKKEEPING))]
+    direct = [r for r in rules if set(r.fields) <= set(BOOKKEEPING)]
+    none = F.lit(None).cast("string")
+    columns = [*KEYS, "event_type", "timestamp", "code", "description", "severity", "late", "fields"]
+    parts = []
+    if direct:
+        named = sorted({f for r in direct for f in r.fields})
+        now = narrow_writes(events, named).withColumnsRenamed({f"w_{f}": f"f_{f}" for f in named})
+        parts.append(tag_anomalies(now, direct).withColumns({"late": F.lit(False), "fields": none}))
+    if units:
+        history = stream_field_history(events, units, delay)
+        read = F.array(*[F.lit(", ".join(u)) for u in units])
+        tests = [F.when(F.lit(n) == F.col("unit"), F.lit(True)) for n in range(len(units))]
+        standing = [
+            Rule(
+                r.code, r.description, r.severity, r.fields,
+                lambda value, r=r: r.test(value) & F.coalesce(tests[units.index(fields[r.fields])] & ~F.col("late"), F.lit(False)),
+            )
+            for r in rules
+            if r not in direct
+        ]
+        found = tag_anomalies(history, standing, ["late", "unit"])
+        parts.append(found.withColumn("fields", F.when(F.col("late"), F.get(read, F.col("unit")))))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.select(columns).unionByName(more.select(columns))
+    return out.select(columns)
+
+
+def write_apart(stream: DataFrame, folder: str, available_now: bool = True):
+    """Write rows to ``folder``/rows and late ones to ``folder``/late, a sub-folder per micro-batch.
+
+    A repeated micro-batch overwrites its own sub-folders.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        batch.filter("NOT late").write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        batch.filter("late").write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

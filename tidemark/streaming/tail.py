@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection
+import heapq
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from ..operators.timeline import recent_events
-from ..session import run_folder
+from ..session import run_folder, stateful
 
 # Sizes of the live tail.
 BACKFILL, BUFFER, BATCH, CLIENT_ROWS = 100, 200, 50, 100
 NO_LIVE_STREAM = "NO_LIVE_STREAM"
 SALTS = 64
+PARTS = 8  # of a source's buffer in the state store
+KEPT = "kept"
 
 
 @dataclass(frozen=True)
@@ -78,34 +82,64 @@ def in_batches(kept: DataFrame, size: int = BATCH) -> DataFrame:
     return kept.withColumn("batch_no", F.floor((F.row_number().over(oldest) - 1) / size).cast("long"))
 
 
-def keep_latest(
-    stream: DataFrame, folder: str, checkpoint: str, size: int = BUFFER, available_now: bool = False
-) -> StreamingQuery:
-    """Maintain the newest events of each source in ``folder``, one small version per micro-batch.
+class _Newest(StatefulProcessor):
+    """Keeps the ``size`` newest rows of a key and gives out those that came in."""
 
-    A repeated micro-batch rewrites its own version from the one before, so a
-    restart changes nothing. Pace the input with the source's own rate options.
-    """
+    def __init__(self, names: list[str], types: str, size: int):
+        self.names, self.types, self.size = names, types, size
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        candidates = batch
-        if batch_id > 0:
-            candidates = batch.unionByName(read_version(batch.sparkSession, folder, batch_id - 1))
-        newest_per_source(candidates, size).write.mode("overwrite").parquet(f"{folder}/version={batch_id}")
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState(KEPT, self.types)
+        self.order = [self.names.index(c) for c in ("global_position", "event_id")]
+        self.out = Row(*self.names, "salt")
 
-    writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    def newest(self, rows: Iterable[tuple]) -> list[tuple]:
+        # at most ``size`` rows are held, however many come in
+        return heapq.nlargest(self.size, rows, key=lambda r: [(r[i] is not None, r[i]) for i in self.order])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        came = self.newest(tuple(r[c] for c in self.names) for r in rows)
+        before = [tuple(r) for r in self.kept.get()]
+        kept = self.newest([*before, *came])
+        self.kept.put(kept)
+        old = set(before)
+        for row in kept:
+            if row not in old:
+                yield self.out(*row, key[1])
+
+
+def newest_changes(stream: DataFrame, size: int = BUFFER) -> DataFrame:
+    """Bounded buffers as a stream: rows that enter a source's newest ``size``, in update mode.
+
+    A source is kept in salted parts of ``size`` rows each, so a busy one is spread
+    over tasks; state and memory are bounded by the number of sources.
+    """
+    kinds = [f"`{c}` {kind}" for c, kind in stream.dtypes]
+    salted = stateful(stream).withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(PARTS)).cast("int"))
+    step = _Newest(stream.columns, ", ".join(kinds), size)
+    return salted.groupBy("source_id", "salt").transformWithState(step, ", ".join([*kinds, "salt int"]), "update", "None")
 
 
-def read_version(spark: SparkSession, folder: str, version: int) -> DataFrame:
-    return spark.read.parquet(f"{folder}/version={version}")
+def keep_latest(
+    stream: DataFrame, checkpoint: str, size: int = BUFFER, available_now: bool = False, name: str | None = None
+) -> StreamingQuery:
+    """Maintain the newest ``size`` events of each source as the keyed state of a running query.
+
+    The state store is the buffer: ``read_latest`` reads it, Spark keeps and compacts
+    its versions, and a restart goes on with it. A fresh checkpoint starts empty.
+    Pace the input with the source's own rate options. The changes themselves, for
+    subscribers, are ``newest_changes``.
+    """
+    writer = newest_changes(stream, size).writeStream.format("noop").outputMode("update")
+    writer = writer.option("checkpointLocation", checkpoint)
+    writer = writer.queryName(name) if name else writer
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def read_latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest version of a buffer kept by ``keep_latest``."""
-    versions = spark.read.parquet(folder)
-    newest = versions.agg(F.max("version")).scalar()
-    return versions.filter(F.col("version") == newest).drop("version")
+def read_latest(spark: SparkSession, checkpoint: str, size: int = BUFFER) -> DataFrame:
+    """The newest events of each source as the last finished micro-batch of ``keep_latest`` left them."""
+    state = spark.read.format("statestore").option("stateVarName", KEPT).load(checkpoint)
+    return newest_per_source(state.select("list_element.*"), size)
 
 
 def stream_throughput(events: DataFrame, bucket_hours: int = 1, delay: str = "10 minutes") -> DataFrame:
@@ -120,6 +154,16 @@ def stream_throughput(events: DataFrame, bucket_hours: int = 1, delay: str = "10
     )
 
 
+def drop_resent_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """One event per (aggregate_id, sequence_number) of a stream, as long as copies come within ``delay``.
+
+    The first to arrive stays; what is remembered of a key leaves the state once the
+    watermark is past it by ``delay``.
+    """
+    keys = ["aggregate_id", "sequence_number"]
+    return events.withWatermark("timestamp", delay).dropDuplicatesWithinWatermark(keys)
+
+
 def run_to_folder(stream: DataFrame, folder: str) -> DataFrame:
     """Process what is available now into ``folder`` and read the result."""
     query = (
