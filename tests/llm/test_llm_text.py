@@ -133,6 +133,45 @@ def test_near_duplicates_of_large_families(spark):
     assert sorted(map(tuple, got.collect()), key=repr) == components_by_hand(rows, 2, 80)
 
 
+def test_links_of_a_family_grow_with_its_members(spark, monkeypatch):
+    """The hubs are unlike their family, whose members are linked where their changes meet: rows stay linear."""
+    monkeypatch.setattr(near_dup, "CHUNK", 64)
+    counts = []
+    confirmed = near_dup.confirmed
+    monkeypatch.setattr(
+        near_dup, "confirmed", lambda pairs, sets, percent: (counts.append(pairs.count()), confirmed(pairs, sets, percent))[1]
+    )
+    seen = {}
+    for n in (60, 240):
+        counts.clear()
+        far = " ".join(f"b6x{i}" if i % 8 else f"far{i}" for i in range(100))
+        rows = [(i, t) for i, t in enumerate([far, *family(6, n, 3), far + " end"])]
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2)
+        assert sorted(map(tuple, got.collect()), key=repr) == components_by_hand(rows, 2, 80)
+        seen[n] = sum(counts)
+    assert seen[240] < 6 * seen[60] and seen[240] < 240 * 12
+
+
+def test_forest_joins_what_its_pairs_join():
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        n = int(rng.integers(2, 30))
+        pairs = np.array([p for p in rng.integers(0, n, (40, 2)) if p[0] != p[1]]).reshape(-1, 2)
+        alike, labels = rng.random(len(pairs)), rng.integers(0, n, n)
+        chosen = near_dup.forest(pairs, alike, labels)
+        tops = [near_dup.forest(np.array([[a, b]]), np.ones(1), labels) for a, b in chosen]
+        assert len(chosen) < len(set(labels.tolist())) and all(len(t) for t in tops)
+
+        def joined(some):
+            parent = {x: x for x in labels.tolist()}
+            root = lambda x: x if parent[x] == x else root(parent[x])
+            for a, b in some:
+                parent[root(labels[a])] = root(labels[b])
+            return [[root(x) == root(y) for y in parent] for x in parent]
+
+        assert joined(chosen) == joined(pairs)
+
+
 def test_large_buckets_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "SMALL", 1)
     monkeypatch.setattr(near_dup, "CHUNK", 7)

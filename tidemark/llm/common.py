@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import sys
 import types
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,18 @@ def release_store(clear: bool = True) -> None:
         trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Python workers get rows a few at a time from what is run inside: whole texts are wide."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_files(rows: DataFrame, path: str, compression: str = "none", per_file: int = 0) -> None:
     """Write binary column ``content`` as plain files, in row order within a partition.
 

@@ -7,12 +7,15 @@ with equal shingle sets are one class from the start, so copies cost nothing.
 
 Within buckets no group is multiplied out. A round links each class to the first
 (then the last) class of its buckets; confirmed links join components. The last
-round compares what different components still share a bucket: pairs of small
+two rounds compare what different components still share a bucket: pairs of small
 buckets as rows, large buckets in blocks of classes inside tasks, where a pair is
-looked at in its first common bucket only and becomes a row only if it may reach
+looked at in its first common bucket only and counts only if it may reach
 the threshold by its sizes, by its signatures, and by counts of shingles in 256
-bins, which bound the common shingles from above. Every link is confirmed on the
-full sets. At similarity 0.8 a pair shares no bucket with a chance of about 1e-7,
+bins, which bound the common shingles from above. The first of them takes from each
+block a spanning forest of its likest pairs, which joins families whose hubs are
+unlike them by as many rows as they have members; the second takes all pairs
+of what is still apart, so that no link is lost. Every link is confirmed on the
+full sets. Very long texts are sets like others; of extra columns none is read. At similarity 0.8 a pair shares no bucket with a chance of about 1e-7,
 and a signature errs by more than 0.2 with one of 1e-11.
 
 Null and blank texts have no shingles and are linked with nothing. A null doc_id
@@ -23,13 +26,11 @@ gives no rows. Only doc_id and text are read.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_store, sized_broadcast, staged
+from .common import release_store, sized_broadcast, small_batches, staged
 from .word_hash import Words, mixed, shingles
 
 BANDS, ROWS = 40, 5
@@ -70,13 +71,34 @@ def binned(hashes: np.ndarray) -> bytes:
     return (counts if counts.max() < 256 else np.full(256, 255)).astype(np.uint8).tobytes()
 
 
-def possible(x: dict, y: dict, percent: int) -> np.ndarray:
-    """Which rows of two sides may reach the similarity; arrays n, sketch, bins, row by row."""
-    alike = (x["sketch"] == y["sketch"]).mean(axis=1) >= percent / 100 - SLACK
+def likeness(x: dict, y: dict, percent: int) -> np.ndarray:
+    """Estimated similarities of the rows of two sides, -1 where it cannot be reached; arrays n, sketch, bins, row by row."""
+    alike = (x["sketch"] == y["sketch"]).mean(axis=1)
     common = np.minimum(x["bins"], y["bins"]).sum(axis=1, dtype=np.int64)
     common[(x["bins"].min(axis=1) == 255) | (y["bins"].min(axis=1) == 255)] = np.iinfo(np.int32).max
     common = np.minimum(common, np.minimum(x["n"], y["n"]))
-    return alike & (100 * common >= percent * (x["n"] + y["n"] - common))
+    possible = (alike >= percent / 100 - SLACK) & (100 * common >= percent * (x["n"] + y["n"] - common))
+    return np.where(possible, alike, -1.0)
+
+
+def forest(pairs: np.ndarray, alike: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Of pairs of places the likest ones that join all that any of them join; equal labels are one already."""
+    _, up = np.unique(labels, return_inverse=True)
+    up = up.tolist()
+    place = np.arange(len(up)).tolist()
+
+    def top(k: int) -> int:
+        while place[k] != k:
+            place[k] = k = place[place[k]]
+        return k
+
+    chosen = []
+    for at in np.lexsort((pairs[:, 1], pairs[:, 0], -alike)).tolist():
+        a, b = (top(up[k]) for k in pairs[at])
+        if a != b:
+            place[a] = b
+            chosen.append(at)
+    return pairs[chosen]
 
 
 def described(documents: DataFrame, shingle: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -174,7 +196,7 @@ def possible_pairs(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFr
                 for at in (0, 3)
             )
             if batch.num_rows:
-                yield batch.select([0, 1]).filter(pa.array(possible(x, y, percent), pa.bool_()))
+                yield batch.select([0, 1]).filter(pa.array(likeness(x, y, percent) >= 0, pa.bool_()))
 
     parts = ["n", "sketch", "bins"]
     left = classes.select(F.col("id").alias("a"), *[F.col(c).alias(f"x_{c}") for c in parts])
@@ -244,18 +266,6 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80) -
     )
 
 
-@contextmanager
-def small_batches(spark):
-    """Rows here are wide; a few at a time bound the memory of Python workers."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "2000")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def linked_classes(documents: DataFrame, rows: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(id, label) of the classes that have links."""
     spark = documents.sparkSession
@@ -267,10 +277,10 @@ def linked_classes(documents: DataFrame, rows: DataFrame, classes: DataFrame, sh
     names = spark.createDataFrame([], "id long, label long")
     tried = spark.createDataFrame([], "a long, b long")
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    for turn in ("first", "last", "all"):
+    for turn in ("first", "last", "likest", "all"):
         named = members.join(names, "id", "left").select("id", "n", "key", F.coalesce("label", "id").alias("label"))
-        if turn == "all":
-            pairs = unlike_pairs(staged(named, "near-dup-named"), classes, fits, percent)
+        if turn in ("likest", "all"):
+            pairs = unlike_pairs(staged(named, "near-dup-named"), classes, fits, percent, turn == "likest")
         else:
             pairs = hub_pairs(named, fits, turn == "first")
         pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"), "near-dup-pairs")
@@ -312,8 +322,11 @@ def hub_pairs(named: DataFrame, fits, first: bool) -> DataFrame:
     return one.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def unlike_pairs(named: DataFrame, classes: DataFrame, fits, percent: int) -> DataFrame:
-    """Pairs of classes of different components that share a bucket and may be similar."""
+def unlike_pairs(named: DataFrame, classes: DataFrame, fits, percent: int, likest: bool = False) -> DataFrame:
+    """Pairs of classes of different components that share a bucket and may be similar.
+
+    With ``likest`` each block of a large bucket gives a forest of its likest pairs only.
+    """
     counted = named.groupBy("key", "label").agg(F.count("*").alias("held"))
     buckets = staged(
         counted.groupBy("key")
@@ -334,10 +347,10 @@ def unlike_pairs(named: DataFrame, classes: DataFrame, fits, percent: int) -> Da
         .select(F.col("id").alias("a"), F.col("other").alias("b"))
         .distinct()
     )
-    return possible_pairs(rows, classes, percent).union(block_pairs(named, buckets, classes, percent))
+    return possible_pairs(rows, classes, percent).union(block_pairs(named, buckets, classes, percent, likest))
 
 
-def block_pairs(named: DataFrame, buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def block_pairs(named: DataFrame, buckets: DataFrame, classes: DataFrame, percent: int, likest: bool = False) -> DataFrame:
     """The same for large buckets: classes of the largest component there meet the others in blocks."""
     large = buckets.filter(F.col("held") > SMALL).select(
         "key",
@@ -362,8 +375,8 @@ def block_pairs(named: DataFrame, buckets: DataFrame, classes: DataFrame, percen
             lambda j: F.struct((-1 - F.least(j, F.col("chunk"))).alias("i"), F.greatest(j, F.col("chunk")).alias("j")),
         ),
     ).otherwise(F.expr("CAST(array() AS ARRAY<STRUCT<i: BIGINT, j: BIGINT>>)"))
-    units = rows.select("key", "id", "label", "ours", F.explode(F.concat(with_main, among)).alias("unit")).select(
-        "key", "id", "label", "ours", "unit.i", "unit.j"
+    units = rows.select("key", "id", "label", "ours", "chunk", F.explode(F.concat(with_main, among)).alias("unit")).select(
+        "key", "id", "label", "ours", "chunk", "unit.i", "unit.j"
     )
     payload = classes.select("id", *PAYLOAD)
 
@@ -372,7 +385,7 @@ def block_pairs(named: DataFrame, buckets: DataFrame, classes: DataFrame, percen
 
         key, first = rows["key"].iloc[0], rows["i"].iloc[0]
         ids, labels = rows["id"].to_numpy(), rows["label"].to_numpy()
-        ours = rows["ours"].to_numpy(dtype=bool)
+        ours, chunks = rows["ours"].to_numpy(dtype=bool), rows["chunk"].to_numpy()
         side = {
             "n": rows["n"].to_numpy(dtype=np.int64),
             "sketch": np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1),
@@ -380,19 +393,29 @@ def block_pairs(named: DataFrame, buckets: DataFrame, classes: DataFrame, percen
         }
         keys = np.stack(rows["keys"].to_numpy())
         band = int(np.flatnonzero(keys[0] == key)[0])
-        found = []
+        found, alike = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
         for k in np.flatnonzero(~ours).tolist():
-            # the others meet the main chunk; among themselves they meet in the unit of the first main chunk
-            meets = (labels != labels[k]) & (ours | ((first <= 0) & (ids > ids[k])))
+            # the others meet the main chunk; a chunk of others meets itself in the unit of the first
+            # main chunk, and another chunk of others in the unit of the two
+            if first < 0:
+                meets = (chunks != chunks[k]) & (ids > ids[k])
+            else:
+                meets = ours | (ids > ids[k]) if first == 0 else ours.copy()
+            meets &= labels != labels[k]
             small, big = np.minimum(side["n"], side["n"][k]), np.maximum(side["n"], side["n"][k])
             meets &= 100 * small >= percent * big
             at = np.flatnonzero(meets)
             at = at[~(keys[at, :band] == keys[k, :band]).any(axis=1)]  # met in an earlier bucket
             if len(at):
                 one = {c: np.repeat(v[k : k + 1], len(at), axis=0) for c, v in side.items()}
-                for x in at[possible(one, {c: v[at] for c, v in side.items()}, percent)].tolist():
-                    found.append((min(ids[k], ids[x]), max(ids[k], ids[x])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                like = likeness(one, {c: v[at] for c, v in side.items()}, percent)
+                at, like = at[like >= 0], like[like >= 0]
+                found.append(np.stack([np.full(len(at), k), at], axis=1))
+                alike.append(like)
+        pairs = np.concatenate(found)
+        if likest:
+            pairs = forest(pairs, np.concatenate(alike), labels)
+        return pd.DataFrame({"a": ids[pairs].min(axis=1, initial=2**63 - 1), "b": ids[pairs].max(axis=1, initial=-1)})
 
     return units.join(payload, "id").groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
 
