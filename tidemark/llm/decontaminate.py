@@ -4,14 +4,16 @@ A window is ``size`` consecutive words of a benchmark item, or a shorter item as
 a whole. Words are ordered by how rare they are in the documents. A document can
 only hold a window if it holds the window's rarest word, so that word is the
 whole prefix that must be joined: documents' words meet the prefix words, the
-place of the word in the window gives the only possible start (which must lie in
-the document, with room for the window), and the words from there are compared
-with the window.
-
-Null texts have no words. Repeated documents, doc_ids or items are judged row by
-row; a null item_id is not listed, but its windows mark words. Documents without
-hits, an empty benchmark and an empty table give zeros or no rows. Only the named
-columns are read, so extra ones cannot clash.
+words beside it must stand beside it in the window, its place in the window gives
+the only possible start (which must lie in the document, with room for the
+window), and the words from there are compared with the window.
+
+Documents are split into words once and told apart by row numbers. Null texts have
+no words, very long ones are rows like others. Repeated documents, doc_ids or items
+are judged row by row; a null item_id is not listed, but its windows mark words.
+Windows of several items at one place all count (no ties are broken). Documents
+without hits, an empty benchmark and an empty table give zeros or no rows. Only the
+named columns are read, so extra ones cannot clash.
 """
 
 from __future__ import annotations
@@ -40,98 +42,96 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     )
 
 
-def prefixes(documents: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (word, window, length, place): each window's rarest word and where it first stands."""
+def split_rows(documents: DataFrame, row: str | None = None) -> DataFrame:
+    """Rows (_row, doc_id, n, w): every document's words, split once; ``row`` is a number they have already."""
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    docs = documents.select(number.alias("_row"), "doc_id", words("text").alias("w"))
+    return staged(docs.withColumn("n", F.size("w").cast("long")), "document-words")
+
+
+def prefixes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (word, window, length, place, before, after): each window's rarest word, where it first stands, and its neighbours."""
     parts = wanted.select("window", "length").distinct().select(
         "window", "length", F.posexplode(F.split("window", " ")).alias("place", "word")
     )
     vocabulary = staged(parts.select("word").distinct(), "benchmark-words")
     counts = (
-        documents.select(F.explode(words("text")).alias("word"))
+        docs.select(F.explode("w").alias("word"))
         .join(sized_broadcast(vocabulary), "word")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("first")
-    return (
-        parts.join(counts, "word", "left")
-        .groupBy("window", "length")
-        .agg(rarest)
-        .select("first.word", "window", "length", "first.place")
+    found = parts.join(counts, "word", "left").groupBy("window", "length").agg(rarest)
+    inside = F.split("window", " ")
+    return found.select(
+        "first.word", "window", "length", "first.place",
+        F.get(inside, F.col("first.place") - 1).alias("before"), F.get(inside, F.col("first.place") + 1).alias("after"),
     )
 
 
-def row_key() -> Column:
-    """Rows with the same key hold the same doc_id and text."""
-    return F.xxhash64(F.col("doc_id"), F.col("text"))
-
-
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """Per document doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return judged(documents, benchmark, size).drop("_key")
+    return judged(split_rows(documents), benchmark, size).drop("_row")
 
 
 def uncontaminated(documents: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
     """The documents, whole rows, in which no window of the benchmark occurs."""
-    found = judged(documents, benchmark, size).filter("contaminated").select("_key").distinct()
-    found = sized_broadcast(staged(found, "contaminated"))
-    return documents.join(found, row_key() == found["_key"], "left_anti")
+    row = "_row"
+    while row in documents.columns:
+        row += "_"
+    numbered = staged(documents.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = judged(split_rows(numbered, row), benchmark, size).filter("contaminated").select(F.col("_row").alias(row))
+    return numbered.join(sized_broadcast(staged(found, "contaminated")), row, "left_anti").drop(row)
 
 
-def judged(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+def judged(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     wanted = staged(windows(benchmark, size), "benchmark-windows")
-    prefix = staged(prefixes(documents, wanted), "benchmark-prefixes")
-    docs = documents.select("doc_id", "text")
-    key = row_key().alias("_key")
-    places = (
-        docs.select(key, words("text").alias("w"))
-        .select("_key", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
-        .join(sized_broadcast(staged(prefix.select("word").distinct(), "benchmark-rare")), "word")
+    prefix = staged(prefixes(docs, wanted), "benchmark-prefixes")
+    # a word with its neighbours: most places of a prefix word are ruled out before they move
+    near = F.transform(
+        "w", lambda word, at: F.struct(at.alias("pos"), word.alias("word"), F.get("w", at - 1).alias("left"), F.get("w", at + 1).alias("right"))
+    )
+    places = docs.select("_row", "n", F.inline(near)).join(sized_broadcast(prefix), "word").filter(
+        (F.col("before").isNull() | (F.col("left") == F.col("before")))
+        & (F.col("after").isNull() | (F.col("right") == F.col("after")))
     )
-    candidates = (
-        places.join(prefix, "word")
-        .withColumn("start", F.col("pos") - F.col("place"))
+    candidates = staged(
+        places.withColumn("start", F.col("pos") - F.col("place"))
         .filter("start >= 0 AND start + length <= n")
-        .groupBy("_key")
-        .agg(F.collect_set(F.struct("start", "length", "window")).alias("found"))
-    )  # a document's own places, at most its words times the windows of a rare word
-    verified = (
-        docs.select("doc_id", key, words("text").alias("w"))
-        .join(candidates, "_key", "left")
+        .groupBy("_row")
+        .agg(F.collect_set(F.struct("start", "length", "window")).alias("found")),  # places of one document
+        "benchmark-candidates",
+    )
+    fits = F.expr("filter(found, f -> array_join(slice(w, f.start + 1, f.length), ' ') = f.window)")
+    covered = F.expr("array_distinct(flatten(transform(found, f -> sequence(f.start, f.start + f.length - 1))))")
+    # the words themselves move only for documents with candidates
+    hits = (
+        docs.select("_row", "w")
+        .join(sized_broadcast(candidates), "_row")
+        .select("_row", fits.alias("found"))
+        .filter(F.size("found") > 0)
         .select(
-            "doc_id",
-            "_key",
-            F.size("w").cast("long").alias("n_words"),
-            F.expr(
-                "filter(found, f -> array_join(slice(w, f.start + 1, f.length), ' ') = f.window)"
-            ).alias("found"),
-        )
-        .withColumn(
-            "n_hit",
-            F.expr(
-                "coalesce(size(array_distinct(flatten(transform(found, f -> sequence(f.start, f.start + f.length - 1))))), 0)"
-            ).cast("long"),
+            "_row",
+            F.size(covered).cast("long").alias("n_hit"),
+            F.array_distinct(F.transform("found", lambda f: f["window"])).alias("held"),
         )
-        .withColumn("n_hit", F.when(F.size("found") > 0, F.col("n_hit")).otherwise(F.lit(0).cast("long")))
-        .withColumn("held", F.array_distinct(F.transform("found", lambda f: f["window"])))
-        .drop("found")
     )
-    verified = staged(verified, "contamination")
-    # rows with the same key hold the same text, and so the same windows
+    hits = staged(hits, "benchmark-hits")
     items = (
-        verified.filter("n_hit > 0")
-        .dropDuplicates(["_key"])
-        .select("_key", F.explode("held").alias("window"))
+        hits.select("_row", F.explode("held").alias("window"))
         .join(wanted.select("item_id", "window").filter("item_id IS NOT NULL"), "window")
-        .groupBy("_key")
+        .groupBy("_row")
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )
-    return verified.join(items, "_key", "left").select(
-        "_key",
+    marked = hits.select("_row", "n_hit").join(items, "_row", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    return docs.select("_row", "doc_id", "n").join(marked, "_row", "left").select(
+        "_row",
         "doc_id",
-        "n_words",
-        "n_hit",
+        F.col("n").alias("n_words"),
+        n_hit.alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        (n_hit > 0).alias("contaminated"),
     )
