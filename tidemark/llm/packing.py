@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_store, staged
+from .common import release_store, small_batches, staged
 from .tokens import CHUNKS_KEPT, default_tokenizer, encoded
 
 PER_GROUP = 4096  # pieces packed together; bounds a task's memory at any input size
@@ -177,4 +177,6 @@ def pack_documents(
 
     ``kept`` chunks of text are remembered per worker: memory against time, never results.
     """
-    return pack(pieces(documents, tokenizer, end_id, capacity, kept), capacity)
+    with small_batches(documents.sparkSession):
+        items = staged(pieces(documents, tokenizer, end_id, capacity, kept), "pieces")
+    return pack(items, capacity)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import release_store
+from .common import release_store, small_batches, staged
 from .word_hash import Words, mixed
 
 SAMPLE = 4096  # labelled documents that vote
@@ -182,6 +182,13 @@ def scorer(model: Model) -> Callable[[Column], Column]:
     return lambda text: score(F.coalesce(text, F.lit("")))
 
 
+def kept_rows(documents: DataFrame, labels: DataFrame, learnable: Column, threshold: float = 0.3) -> DataFrame:
+    """The documents, whole rows, that score ``threshold`` or more, as a written table."""
+    with small_batches(documents.sparkSession):
+        score = scorer(fit(documents, labels, learnable))
+        return staged(documents.filter(score(F.col("text")) >= threshold), "quality-kept")
+
+
 def quality(documents: DataFrame, labels: DataFrame, learnable: Column, threshold: float = 0.3) -> DataFrame:
     """Per document doc_id, score and predicted (1 from ``threshold`` on)."""
     score = scorer(fit(documents, labels, learnable))
