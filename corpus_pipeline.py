@@ -8,7 +8,6 @@ places in sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, near_dup, packing, quality
 from tidemark.llm.common import staged, table
@@ -18,8 +17,7 @@ from tidemark.queries.catalog import Entry
 
 def reject(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Keep documents that the quality classifier scores 0.3 or more."""
-    score = quality.scorer(quality.fit(docs, table(spark, folder, "labels"), fold(5) != 0))
-    return docs.filter(score(F.col("text")) >= 0.3)
+    return quality.kept_rows(docs, table(spark, folder, "labels"), fold(5) != 0)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
