@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 from helpers import event, events_df
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -77,8 +78,27 @@ def test_deep_diff_matches_recursion(spark, pairs):
 
 def test_too_deep_is_an_error(spark):
     nested = lambda v: {"a": {"b": {"c": v}}}
-    with pytest.raises(Exception, match="max_depth"):
-        deep(spark, [(nested({"d": 1}), nested({"d": 2}))], max_depth=3)
+    with pytest.raises(Exception, match="deeper than depth"):
+        deep(spark, [(nested({"d": 1}), nested({"d": 2}))], depth=3)
+
+
+def test_levels_are_counted_outside_of_texts(spark):
+    texts = ['{"a":[1,{"b":"]}}"}]}', "1", '"[[["', "[[[", None, '{"\\"{":[]}', "[" * 30 + "]" * 30, '["\\\\",{"a":"\\"["}]', json.dumps({"long": "\\\"{" * 50_000}), '{"x":"\\\\"}', "[[],{},[[]]]"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in rows.select(diff.nesting(F.col("t"))).collect()] == [3, 0, 0, 0, 0, 2, 30, 2, 1, 1, 3]
+
+
+def test_deep_documents_have_their_patches(spark):
+    def nested(levels, leaf):
+        for i in range(levels):
+            leaf = {"k": leaf} if i % 2 else [leaf]
+        return leaf
+
+    pairs = [(nested(40, 1), nested(40, 2)), (nested(3, 1), nested(9, 1)), ({"a": 1}, {"a": 2})]
+    got = deep(spark, pairs)
+    assert [p[1:] for p in got[0]] == [("changed", 1, 2)] and got[0][0][0].count(".k") == 20
+    for i, (a, b) in enumerate(pairs):
+        assert sorted(got[i], key=str) == sorted(plain_diff(a, b), key=str)
 
 
 def test_aggregates_and_sequences(spark):

@@ -8,7 +8,7 @@ from helpers import event, events_df
 from pyspark.sql import functions as F
 from tidemark.functions.text import instant_text
 from tidemark.operators import detect, export, governance, stats, timeline
-from tidemark.sources.schema import SchemaError, load_event_table, validate_events
+from tidemark.sources.schema import SchemaError, load_event_table, map_event_columns, validate_events
 from tidemark.streaming import tail
 
 
@@ -97,3 +97,48 @@ def test_filters_reach_a_mapped_table(spark, many, tmp_path):
     assert one.count() == load_event_table(spark, "pushed_log").filter("aggregate_id = 'B' AND sequence_number > 5").count()
     with pytest.raises(SchemaError):
         load_event_table(spark, "pushed_log", not_null=("nonsense",))
+
+
+def scanned(df):
+    """What the scan is asked for."""
+    spark = df.sparkSession
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    return next(x for x in plan.split("\n") if "PushedFilters" in x).split("PushedFilters")[1]
+
+
+CONDITIONS = [
+    ("aggregate_id", "=", "B"), ("aggregate_id", "=", ""), ("aggregate_id", "in", ["B", ""]), ("aggregate_id", "<", "A"),
+    ("aggregate_id", "startswith", "A0"), ("aggregate_type", "=", "unknown"), ("sequence_number", ">", 1200),
+    ("sequence_number", "<=", 0), ("timestamp", "<", datetime(2000, 1, 1)), ("timestamp", ">=", datetime(2026, 3, 24, 12)),
+    ("global_position", "in", [0, 5]), ("event_type", "=", "X"),
+]
+
+
+@pytest.mark.parametrize("condition", CONDITIONS, ids=str)
+def test_conditions_reach_a_table_that_may_hold_nulls(spark, many, tmp_path_factory, condition):
+    path = str(tmp_path_factory.getbasetemp() / "with-nulls")
+    nothing = spark.range(1).select(*[F.lit(None).cast(kind).alias(c) for c, kind in many.dtypes])
+    many.union(nothing).write.mode("ignore").parquet(path)
+    table = spark.read.parquet(path)
+    column, comparison, value = condition
+    got = map_event_columns(table, where=[condition])
+    assert f"({column}" in scanned(got) or f"Null({column})" in scanned(got)
+    mapped = map_event_columns(table)
+    test = {"=": lambda c: c == value, "<": lambda c: c < value, "<=": lambda c: c <= value, ">": lambda c: c > value, ">=": lambda c: c >= value,
+            "in": lambda c: c.isin(value), "startswith": lambda c: c.startswith(value)}[comparison]
+    expected = mapped.filter(test(F.col(column)))
+    assert got.count() == expected.count() and got.exceptAll(expected).count() == 0
+
+
+def test_conditions_on_other_kinds_of_columns(spark):
+    rows = spark.createDataFrame([(1, 7, "x", "12", "{}"), (2, None, "y", "zz", "{}"), (3, 8, "z", "3", "{}")], "event_id long, aggregate_id int, event_type string, sequence_number string, payload string")
+    ids = lambda *where: sorted(r.event_id for r in map_event_columns(rows, where=where).collect())
+    assert ids(("aggregate_id", "=", "7")) == ["1"] and ids(("aggregate_id", "in", ["8", "07", ""])) == ["2", "3"]
+    assert ids(("aggregate_id", "=", "x")) == [] and ids(("sequence_number", ">=", 3)) == ["1", "3"]
+    assert ids(("sequence_number", "=", 0), ("event_type", ">", "x")) == ["2"]
+    with pytest.raises(SchemaError):
+        map_event_columns(rows, where=[("aggregate_id", "like", "7")])

@@ -41,12 +41,12 @@ def narrow_writes(events: DataFrame, fields: Iterable[str]) -> DataFrame:
 
 
 def field_history(
-    events: DataFrame, fields: Iterable[str], width: int = DEFAULT_WIDTH, numbered: bool = False
+    events: DataFrame, fields: Iterable[str], width: int = DEFAULT_WIDTH, numbered: bool = False, keep_chunks: bool = False
 ) -> DataFrame:
     """Every event with the value each named field has after it, as ``f_<field>``.
 
     ``numbered`` adds the event's index from 1 (``step``) and the aggregate's
-    event count (``steps``).
+    event count (``steps``). ``keep_chunks`` is as in ``running``.
     """
     fields = list(dict.fromkeys(fields))
     narrow = narrow_writes(events, fields)
@@ -59,14 +59,17 @@ def field_history(
         sums=one,
         latest={f"f_{f}": F.col(f"w_{f}") for f in fields},
         totals={"steps": F.lit(1).cast("long")} if numbered else {},
+        keep_chunks=keep_chunks,
     )
     return history.drop(*[f"w_{f}" for f in fields])
 
 
-def condition_history(events: DataFrame, condition: str | Condition, width: int = DEFAULT_WIDTH) -> DataFrame:
+def condition_history(
+    events: DataFrame, condition: str | Condition, width: int = DEFAULT_WIDTH, keep_chunks: bool = False
+) -> DataFrame:
     """Every event, numbered, with whether the state after it satisfies the condition."""
     condition = compile_condition(condition) if isinstance(condition, str) else condition
-    history = field_history(events, [condition.field], width, numbered=True)
+    history = field_history(events, [condition.field], width, numbered=True, keep_chunks=keep_chunks)
     return history.withColumn("holds", condition.holds(F.col(f"f_{condition.field}"))).drop(f"f_{condition.field}")
 
 
@@ -128,7 +131,7 @@ def _probe(low: Column, high: Column, rounds: Column, flag_at: Callable[[Column]
 
     def step(s: Column, _: Column) -> Column:
         middle = _middle(s["low"], s["high"])
-        hit = flag_at(middle)["holds"]
+        hit = F.coalesce(flag_at(middle)["holds"], F.lit(False))
         return F.when(s["low"] > s["high"], s).otherwise(
             F.struct(
                 F.when(hit, s["low"]).otherwise(middle + 1).alias("low"),
@@ -147,6 +150,11 @@ def _probe(low: Column, high: Column, rounds: Column, flag_at: Callable[[Column]
     return F.aggregate(F.sequence(F.lit(1), rounds), start, step)
 
 
+def _probes_without_hit(size: Column) -> Column:
+    """How many probes a search through ``size`` events takes that never hits; no search takes more."""
+    return F.floor(F.log2(size)).cast("int") + 1
+
+
 def bisect(
     events: DataFrame,
     condition: str | Condition,
@@ -160,20 +168,27 @@ def bisect(
     exactly, so a condition that comes and goes gives the same event as probing
     would. ``asked(aggregate_id)`` adds aggregates without events to the result.
 
-    The search tree over a history is cut into parts of at most ``part`` events
-    that are searched independently; the search above the parts then picks the
-    one that counts. No task holds more than one part of a history.
+    The flags of a history are kept as runs: only the events at which the flag turns
+    are held. A probe looks for the last turn at or before it. The search tree over
+    a history is cut into parts of at most ``part`` events that are searched
+    independently; the search above the parts then picks the one that counts. A
+    search enters a part only behind a probe without a hit (or at the first event,
+    which is always a turn), so a part begins unsatisfied unless it turns at once,
+    one without turns has no hit, and what a search ends at is always a turn.
     """
     condition = compile_condition(condition) if isinstance(condition, str) else condition
-    history = condition_history(events, condition, width)
-    placed = history.withColumn("__node", _search_node(part)).select(
-        "aggregate_id", *ORDER, "steps", "step", "holds", "__node.low", "__node.high"
+    history = condition_history(events, condition, width, keep_chunks=True)
+    # the same chunks again: no new shuffle of the rows
+    turning = running(history, ["aggregate_id"], ORDER, None, previous={"before": F.col("holds")})
+    placed = turning.withColumn("__node", _search_node(part)).select(
+        "aggregate_id", *ORDER, "steps", "step", "holds", "__node.low", "__node.high", "before"
     )
+    # besides the turns only the probes above the parts, one per part at most
+    placed = placed.filter(~F.col("before").eqNullSafe(F.col("holds")) | (F.col("low") == F.col("high")))
     flags = placed.groupBy("aggregate_id", "steps", "low", "high").agg(
         F.array_sort(F.collect_list(F.struct("step", "holds", *ORDER))).alias("flags"),
         F.max_by("holds", "step").alias("last_holds"),
     )
-    depth = F.ceil(F.log2(F.size("flags") + 1)).cast("int") + 1
     searched = flags.select(
         "aggregate_id",
         "steps",
@@ -183,8 +198,8 @@ def bisect(
         _probe(
             F.col("low"),
             F.col("high"),
-            depth,
-            lambda i: F.get("flags", (i - F.col("low")).cast("int")),
+            _probes_without_hit(F.col("high") - F.col("low") + 1) + 1,
+            lambda i: F.try_element_at(F.filter("flags", lambda f: f["step"] <= i + 1), F.lit(-1)),
         ).alias("hit"),
     ).select("aggregate_id", "steps", "low", "high", "last_holds", "hit.found", "hit.probes")
     # above the parts: a map from a part's first index to its result
@@ -205,7 +220,7 @@ def bisect(
             (s["high"] + 1).alias("low"),
             s["high"].alias("high"),
             F.coalesce(whole["found"], s["found"]).alias("found"),
-            (s["probes"] + whole["probes"]).alias("probes"),
+            (s["probes"] + F.coalesce(whole["probes"], _probes_without_hit(s["high"] - s["low"] + 1))).alias("probes"),
         )
         above = F.struct(
             F.when(hit, s["low"]).otherwise(middle + 1).alias("low"),

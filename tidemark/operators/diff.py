@@ -72,13 +72,33 @@ def diff_at_sequences(events: DataFrame, requests: DataFrame) -> DataFrame:
     return sides.filter(_changed(F.col("old_json"), F.col("new_json")))
 
 
-def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], max_depth: int = 16) -> DataFrame:
+def nesting(text: Column) -> Column:
+    """How many levels of objects and arrays a JSON text has; 0 for what is no JSON."""
+    unescaped = F.regexp_replace(text, r"\\.", "")
+    brackets = F.regexp_replace(F.regexp_replace(unescaped, r'"[^"]*+"', ""), r"[^\[\]{}]+", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(s: Column, sign: Column) -> Column:
+        now = s["now"] + F.when(sign.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(s["most"], now).alias("most"))
+
+    signs = F.filter(F.split(brackets, ""), lambda c: c != "")
+    return F.when(F.try_parse_json(text).isNotNull(), F.aggregate(signs, start, step)["most"]).otherwise(F.lit(0))
+
+
+def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], depth: int | None = None) -> DataFrame:
     """Patches ``path, kind, old_json, new_json`` that turn one JSON document into the other.
 
     Objects are compared by key and arrays by index, level by level inside the
-    row: each level is one explode, so there is no shuffle. Documents nested
-    deeper than ``max_depth`` raise an error.
+    row: each level is one explode, so there is no shuffle. There are as many
+    levels as the documents need: without ``depth``, a bound that the caller knows,
+    one pass over the texts asks for the deepest pair first. A pair with more levels
+    than ``depth`` is an error.
     """
+    if depth is None:
+        # nothing below the shallower of the two can be compared
+        levels = F.least(nesting(F.col(left)), nesting(F.col(right)))
+        depth = documents.agg(F.max(levels).alias("most")).first().most or 0
 
     def node(path: Column, old: Column, new: Column) -> Column:
         return F.struct(path.alias("path"), old.alias("old"), new.alias("new"))
@@ -107,7 +127,7 @@ def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], max_
     nodes = documents.select(
         *keep, node(F.lit("$"), F.try_parse_json(left), F.try_parse_json(right)).alias("__node")
     )
-    for _ in range(max_depth):
+    for _ in range(depth):
         # taken apart in a step of its own: members and items look into the parts many times
         nodes = nodes.select(
             *keep,
@@ -128,7 +148,7 @@ def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], max_
     too_deep = shape(old) == shape(new)
     gone = lambda t: t.isNull() | (t == "null")
     kind = (
-        F.when(too_deep, F.raise_error(F.lit("documents are nested deeper than max_depth")).cast("string"))
+        F.when(too_deep, F.raise_error(F.lit("documents are nested deeper than depth")).cast("string"))
         .when(gone(old_text), "added")
         .when(gone(new_text), "removed")
         .otherwise("changed")

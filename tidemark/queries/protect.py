@@ -14,7 +14,7 @@ from ..session import run_folder
 from ..sources import registry
 from ..sources.layout import read_event_table, write_event_table
 from ..sources.sample_logs import activity_log, conversation_log, document_log, order_log, read_sample
-from ..sources.schema import EVENT_COLUMNS, event_time, load_event_table
+from ..sources.schema import EVENT_COLUMNS, event_time, load_event_table, map_event_columns
 from ..sources.stream_records import parse_stream_records, split_malformed
 from .catalog import query
 from .sql_logs import (
@@ -582,6 +582,19 @@ def _load(spark, folder):
     return events.select("event_id", "aggregate_id", "sequence_number", "event_type")
 
 
+@query(
+    "events_where",
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, CAST(user_id AS VARCHAR) AS aggregate_id, event_id AS sequence_number, event_type
+    FROM events WHERE user_id IN (7, 11) AND event_id >= 100""",
+)
+def _where(spark, folder):
+    """Two aggregates of a table with its own column names and kinds; the conditions reach the scan."""
+    names = {"aggregate_id": "user_id", "sequence_number": "event_id", "timestamp": "ts", "payload": "props"}
+    asked = [("aggregate_id", "in", ["7", "11"]), ("sequence_number", ">=", 100)]
+    events = map_event_columns(read_sample(spark, folder, "events"), names, where=asked)
+    return events.select("event_id", "aggregate_id", "sequence_number", "event_type")
+
+
 @query(
     "event_time",
     f"SELECT o_orderkey AS id, {iso('o_orderdate')} AS stated, {iso('o_orderdate')} AS recorded FROM orders",

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Collection, Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .schema import map_event_columns
+from .schema import Wanted, map_event_columns
 
 QUERY_TIMEOUT_SECONDS = 30  # fixed value: default time allowed for a query
 
@@ -41,12 +41,15 @@ def read_jdbc_events(
     fetch_size: int = 10_000,
     query_timeout: int = QUERY_TIMEOUT_SECONDS,
     properties: Mapping[str, str] | None = None,
+    not_null: Collection[str] = (),
+    where: Iterable[Wanted] = (),
 ) -> DataFrame:
     """A table of a PostgreSQL, MySQL or other JDBC database as events.
 
     With ``partition_column`` (and ``bounds``, its lowest and highest value, else
-    asked of the database) the table is read in ranges, in parallel; filters and
-    columns are pushed into the queries either way.
+    asked of the database) the table is read in ranges, in parallel. Columns are
+    pushed into the queries either way, and so is ``where``; filters on the result
+    only for columns in ``not_null``, as in ``map_event_columns``.
     """
     reader = (
         spark.read.format("jdbc")
@@ -65,4 +68,4 @@ def read_jdbc_events(
             .option("upperBound", bounds[1])
             .option("numPartitions", partitions)
         )
-    return map_event_columns(reader.load(), overrides)
+    return map_event_columns(reader.load(), overrides, not_null, where)

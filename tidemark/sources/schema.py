@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import operator
 import re
-from collections.abc import Collection, Mapping
+from collections.abc import Collection, Iterable, Mapping
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,16 +87,87 @@ def _instant(df: DataFrame, physical: str) -> Column:
     return F.col(physical).cast("timestamp")
 
 
+# What a NULL in a column stands for.
+DEFAULTS = {
+    "event_id": "", "aggregate_id": "", "aggregate_type": "unknown", "metadata": "{}",
+    "sequence_number": 0, "global_position": 0, "timestamp": datetime.fromtimestamp(0, timezone.utc),
+}
+COMPARISONS = {
+    "=": operator.eq, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
+    "in": lambda column, values: column.isin(list(values)),
+    "startswith": lambda column, prefix: column.startswith(prefix),
+}
+Wanted = tuple[str, str, object]
+
+
+def _holds(value, comparison: str, wanted) -> bool:
+    """A comparison of plain values."""
+    if comparison == "in":
+        return value in wanted
+    return value.startswith(wanted) if comparison == "startswith" else COMPARISONS[comparison](value, wanted)
+
+
+def physical_filter(df: DataFrame, physical: str | None, logical: str, comparison: str, wanted) -> Column | None:
+    """The condition on a table's own column that says the same as one on the mapped column, where there is one.
+
+    The table's column is compared as it is, so the condition reaches the scan;
+    rows with NULL are taken if what NULL stands for meets the condition.
+    """
+    if physical is None:
+        return None
+    kind, column = df.schema[physical].dataType, F.col(physical)
+    texts = logical not in ("sequence_number", "global_position", "timestamp")
+    numbers = logical in ("sequence_number", "global_position")
+    if texts and isinstance(kind, T.IntegralType) and comparison in ("=", "in"):
+        # a text of a whole number is that number's only form
+        asked = [wanted] if comparison == "=" else list(wanted)
+        whole = [int(w) for w in asked if re.fullmatch(r"0|-?[1-9][0-9]{0,17}", w)]
+        condition = column.isin(whole) if whole else F.lit(False)
+    elif (
+        texts and isinstance(kind, T.StringType)
+        or numbers and isinstance(kind, T.IntegralType)
+        or logical == "timestamp" and isinstance(kind, T.TimestampType)
+    ):
+        condition = COMPARISONS[comparison](column, wanted)
+    else:
+        return None
+    default = DEFAULTS.get(logical)
+    if default is not None and logical == "timestamp":
+        zoned = lambda t: t if t.tzinfo else t.astimezone()
+        wanted = [zoned(t) for t in wanted] if comparison == "in" else zoned(wanted)
+    return condition | column.isNull() if default is not None and _holds(default, comparison, wanted) else condition
+
+
 def map_event_columns(
-    df: DataFrame, overrides: Mapping[str, str] | None = None, not_null: Collection[str] = ()
+    df: DataFrame,
+    overrides: Mapping[str, str] | None = None,
+    not_null: Collection[str] = (),
+    where: Iterable[Wanted] = (),
 ) -> DataFrame:
     """Project a physical table onto the event schema; one narrow select.
 
-    NULLs become defaults. A logical column that is named in ``not_null``, or
-    that the table's schema declares so, needs none: where its type fits too it
-    stays bare, and filters on it reach the scan.
+    NULLs become defaults. ``where`` keeps rows by conditions (logical column,
+    comparison, value), all of which must hold, such as ``("aggregate_id", "=",
+    "A-1")``; they are put to the table's own columns, so that they reach the scan
+    although NULLs may stand there. Filters on the result reach it only for columns
+    that need no default: those named in ``not_null``, or declared so by the table's
+    schema, whose type fits too.
     """
     at = resolve_columns(df.columns, overrides)
+    where = list(where)
+    for logical, comparison, _ in where:
+        if logical not in COLUMN_CANDIDATES or comparison not in COMPARISONS:
+            raise SchemaError(f"no condition '{comparison}' on '{logical}'")
+    reached = [physical_filter(df, at[c] or (at["event_id"] if c == "global_position" else None), c, *rest) for c, *rest in where]
+    for condition in reached:
+        df = df if condition is None else df.filter(condition)
+    mapped = _mapped(df, at, not_null)
+    for (logical, comparison, wanted), condition in zip(where, reached):
+        mapped = mapped if condition is not None else mapped.filter(COMPARISONS[comparison](F.col(logical), wanted))
+    return mapped
+
+
+def _mapped(df: DataFrame, at: Mapping[str, str | None], not_null: Collection[str]) -> DataFrame:
     unknown = set(not_null) - set(COLUMN_CANDIDATES)
     if unknown:
         raise SchemaError(f"unknown logical columns {sorted(unknown)}")
@@ -145,15 +218,16 @@ def load_event_table(
     name: str | None = None,
     overrides: Mapping[str, str] | None = None,
     not_null: Collection[str] = (),
+    where: Iterable[Wanted] = (),
 ) -> DataFrame:
-    """The named table, or the first candidate table that exists, as events."""
+    """The named table, or the first candidate table that exists, as events; ``where`` as in ``map_event_columns``."""
     if name is not None:
         if not spark.catalog.tableExists(name):
             raise SchemaError(f"table or view '{name}' not found")
-        return map_event_columns(spark.table(name), overrides, not_null)
+        return map_event_columns(spark.table(name), overrides, not_null, where)
     for candidate in TABLE_CANDIDATES:
         if spark.catalog.tableExists(candidate):
-            return map_event_columns(spark.table(candidate), overrides, not_null)
+            return map_event_columns(spark.table(candidate), overrides, not_null, where)
     raise SchemaError(f"no event table found; searched {TABLE_CANDIDATES}")
 
 
