@@ -80,10 +80,12 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sized_broadcast(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
-    """Mark a staged table for broadcast if its measured text is small, else leave the join to Spark."""
-    texts = [c for c, kind in df.dtypes if kind == "string"]
+    """Mark a staged table for broadcast if all it holds is measured to be small, else leave the join to Spark."""
     width = F.lit(16 * len(df.columns))
-    for column in texts:
-        width = width + F.coalesce(F.octet_length(column), F.lit(0))
+    for column, kind in df.dtypes:
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0))
     size = df.agg(F.sum(width)).first()[0] or 0
     return F.broadcast(df) if size <= most_bytes else df

@@ -105,10 +105,10 @@ def judged(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     )
     fits = F.expr("filter(found, f -> array_join(slice(w, f.start + 1, f.length), ' ') = f.window)")
     covered = F.expr("array_distinct(flatten(transform(found, f -> sequence(f.start, f.start + f.length - 1))))")
-    # the words themselves move only for documents with candidates
+    # the words themselves move only for documents with candidates: first their numbers, then what they may hold
+    asked = docs.select("_row", "w").join(sized_broadcast(candidates.select("_row")), "_row", "left_semi")
     hits = (
-        docs.select("_row", "w")
-        .join(sized_broadcast(candidates), "_row")
+        asked.join(sized_broadcast(candidates), "_row")
         .select("_row", fits.alias("found"))
         .filter(F.size("found") > 0)
         .select(
