@@ -154,6 +154,11 @@ def test_page_text_leaves_clutter_out():
     assert page_text.vote(PAGE.replace("{n}", "7"))[0] == page_text.vote(PAGE.replace("{n}", "12"))[0]
     assert page_text.extract("", None) == page_text.extract("<p></p>", "x") == ""
     assert page_text.extract("<article><p>unfinished <script>x", None) == "unfinished"
+    kept = (
+        "<article><p>Let <math><mi>x</mi></math> be real. <object>Fallback words</object> <svg><title>t</title><text>label</text></svg> "
+        "<button>Send</button>End.</p><noscript><p>Shown text.</p></noscript></article>"
+    )
+    assert page_text.extract(kept, None) == "Let x be real. Fallback words label End.\n\nShown text."
 
 
 def test_host_paths_are_voted(spark):

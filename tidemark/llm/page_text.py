@@ -8,7 +8,12 @@ its own best container where the path does not occur.
 A null or empty html gives an empty text; a null or odd url belongs to the host
 ''. Repeated rows vote and are extracted like any others. Broken markup is read
 leniently: an end tag without a start is ignored, an open element ends with its
-parent, an unfinished script swallows the rest. An empty table gives no rows.
+parent, an unfinished script swallows the rest. Formulas, drawings and what stands
+in for objects and scripts are text like other; scripts, styles, titles and controls
+are none. An empty table gives no rows. Of equally good containers of a page the first
+counts, of equally many votes the higher score, then the path that sorts last. Very long
+pages are read whole.
+Only page_id, url and html are read, so extra columns cannot clash.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import sized_broadcast, staged
 
-RAW = r"script|style|textarea|title|noscript|template|iframe|svg|math|select|button|object|canvas|noframes"
+RAW = r"script|style|textarea|title|template|iframe|select|button|noframes"
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?:!\[CDATA\[.*?\]\]>|[!?][^>]*>)"
     rf"|<(?:{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?:{RAW})\s*>|\Z)"
