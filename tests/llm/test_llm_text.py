@@ -31,6 +31,30 @@ def test_elias_fano_round_trip(values):
         assert place == sum(v < wanted for v in values)
 
 
+@pytest.mark.parametrize("n, top", [(1, 0), (1000, 10), (5000, 5000), (70_000, 2**62), (40_000, 2**40), (4096, 0)])
+def test_elias_fano_select_and_successor_match_a_plain_search(n, top):
+    draw = np.random.default_rng(n)
+    values = np.sort(draw.integers(0, top + 1, n, dtype=np.uint64))
+    data = elias_fano.encode(values)
+    coded = elias_fano.EliasFano(b"before" + data + b"\xff" * 9, 6)
+    places = draw.integers(0, n, 500)
+    assert (coded.select(places) == values[places]).all()
+    wanted = np.concatenate([draw.integers(0, top + 2, 2000, dtype=np.uint64), values[:300], values[-1:] + np.uint64(1)])
+    lo = draw.integers(0, n + 1, len(wanted))
+    hi = np.maximum(lo, draw.integers(0, n + 1, len(wanted)))
+    expected = np.clip(np.searchsorted(values, wanted, side="left"), lo, hi)
+    assert (coded.successor(lo, hi, wanted) == expected).all()
+
+
+def test_an_opened_elias_fano_sequence_keeps_samples_alone():
+    values = np.cumsum(np.random.default_rng(5).integers(0, 9000, 300_000)).astype(np.uint64)
+    data = elias_fano.encode(values)
+    coded = elias_fano.EliasFano(data)
+    own = [x for x in vars(coded).values() if isinstance(x, np.ndarray) and x.base is None]
+    assert sum(x.nbytes for x in own) * 8 <= coded.words.nbytes + 64 * 8
+    assert np.concatenate(list(coded.runs(1000))).tolist() == values.tolist()
+
+
 def test_trie_finds_exactly_what_it_holds():
     contexts = np.array([3, 9, 2**63 + 5], dtype=np.uint64)
     successors = np.array([1, 4, 2, 0, 2**40 - 1], dtype=np.uint64)

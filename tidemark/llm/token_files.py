@@ -63,8 +63,12 @@ class TokenFile:
         self.doc_ids = ids
         self.ids = np.frombuffer(buffer, f"<u{self.width}", self.tokens, at)
 
-    def bounds(self) -> np.ndarray:
-        return np.concatenate([[0], self.ends.all().astype(np.int64)])
+    def bounds(self):
+        """Where consecutive documents begin and the last of them ends, a run of documents at a time."""
+        at = 0
+        for ends in self.ends.runs():
+            yield np.concatenate([[at], ends.astype(np.int64)])
+            at = int(ends[-1])
 
     def document(self, index: int) -> np.ndarray:
         start = int(self.ends.select([index - 1])[0]) if index else 0
@@ -115,21 +119,22 @@ def read_token_index(spark: SparkSession, path: str) -> DataFrame:
                 if len(data) < HEAD_SIZE:  # a partition without rows
                     continue
                 file = TokenFile(data)
-                bounds = file.bounds()
-                wide = file.ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1], bounds[1:])]
-                n = file.documents
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([file.partition] * n, pa.int64()),
-                        pa.array([file.number] * n, pa.int64()),
-                        pa.array(file.doc_ids, pa.int64()),
-                        pa.array(bounds[:-1], pa.int64()),
-                        pa.array(np.diff(bounds), pa.int64()),
-                        pa.array(crc, pa.int64()),
-                    ],
-                    ["part", "number", "doc_id", "local", "n_tokens", "ids_crc32"],
-                )
+                done = 0
+                for bounds in file.bounds():
+                    n = len(bounds) - 1
+                    crc = [zlib.crc32(file.ids[a:b].astype("<u4")) for a, b in zip(bounds[:-1], bounds[1:])]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([file.partition] * n, pa.int64()),
+                            pa.array([file.number] * n, pa.int64()),
+                            pa.array(file.doc_ids[done : done + n], pa.int64()),
+                            pa.array(bounds[:-1], pa.int64()),
+                            pa.array(np.diff(bounds), pa.int64()),
+                            pa.array(crc, pa.int64()),
+                        ],
+                        ["part", "number", "doc_id", "local", "n_tokens", "ids_crc32"],
+                    )
+                    done += n
 
     rows = staged(
         read_files(spark, path).mapInArrow(
