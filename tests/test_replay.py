@@ -1,5 +1,8 @@
 import json
 import random
+from datetime import timedelta
+
+from pyspark.sql import functions as F
 
 from helpers import canonical_events, event, events_df, fold
 from tidemark.operators import replay
@@ -82,6 +85,63 @@ def test_current_state_and_state_at(spark):
     assert len(got) == len({t for t in [(a, 5) for a in groups] + [("HOT", 40)]})
 
 
+def test_many_targets_of_one_aggregate_are_one_sweep(spark, monkeypatch):
+    """Every sequence and many times of a hot aggregate, in blocks smaller than their number."""
+    monkeypatch.setattr(replay, "BLOCK_TARGETS", 7)
+    rows = [(*r[:7], r[7] if i % 5 else r[7] - timedelta(minutes=30), r[8]) for i, r in enumerate(random_log(7, 220))]
+    df = events_df(spark, rows)
+    groups = by_aggregate(rows)
+    asked = [("HOT", t) for t in range(-1, 200)] + [("A-1", 3), ("A-1", 3), ("none", 4), ("HOT", None), (None, 1)]
+    targets = spark.createDataFrame(asked, "aggregate_id string, target long")
+    states = replay.state_at(df, targets)
+    got = {
+        (r.aggregate_id, r.at_sequence): json.loads(r.state)
+        for r in replay.state_map(states, ["aggregate_id", "at_sequence"]).collect()
+    }
+    expected = {}
+    for aggregate, target in {a for a in asked if None not in a}:
+        reached = [s for row, _, s in fold(groups.get(aggregate, [])) if row[3] <= target]
+        if reached:
+            expected[(aggregate, target)] = reached[-1]
+    assert got == expected
+
+    # times out of step with the sequences: the last sequence among the events until then counts
+    times = sorted({r[7] for r in groups["HOT"]})[::3]
+    asked = spark.createDataFrame([("HOT", t) for t in times], "aggregate_id string, as_of timestamp")
+    got = {
+        r.at: json.loads(r.state)
+        for r in replay.state_map(
+            replay.state_as_of(df, asked).withColumn("at", F.unix_micros("as_of")), ["aggregate_id", "at"]
+        ).collect()
+    }
+    expected = {
+        int(t.timestamp()) * 1_000_000: fold([r for r in groups["HOT"] if r[7] <= t])[-1][2] for t in times
+    }
+    assert got == expected
+
+
+def test_a_sweep_reads_and_returns_each_event_once(spark):
+    """A hundred targets on one aggregate do not multiply its events."""
+    rows = [event("HOT", "T", i, "Set", {"v": i, f"f{i % 3}": 1}, i) for i in range(1, 601)]
+    df = events_df(spark, rows)
+    parsed = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            parsed.add(batch.num_rows)
+            yield batch
+
+    targets = spark.createDataFrame([("HOT", 6 * i) for i in range(1, 101)], "aggregate_id string, target long")
+    original = replay.packed_writes
+    replay.packed_writes = lambda events, keep=(): original(events.mapInArrow(count, events.schema), keep)
+    try:
+        states = replay.state_at(df, targets).filter("key = 'v'").collect()
+    finally:
+        replay.packed_writes = original
+    assert sorted((r.at_sequence, int(r.value_json), r.set_at) for r in states) == [(6 * i, 6 * i, 6 * i) for i in range(1, 101)]
+    assert parsed.value == 600
+
+
 def test_canonical_set(spark):
     df = canonical_events(spark)
     state = {r.aggregate_id: json.loads(r.state) for r in replay.state_map(replay.current_state(df)).collect()}

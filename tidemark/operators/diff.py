@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json_values import FIELD_MAP
 from ..sources.schema import ORDER
-from .replay import current_state, packed_writes, unpacked
+from .replay import current_state, swept_writes, unpacked
 
 
 def _changed(old: Column, new: Column) -> Column:
@@ -52,24 +52,26 @@ def diff_aggregates(events: DataFrame, pairs: DataFrame) -> DataFrame:
 def diff_at_sequences(events: DataFrame, requests: DataFrame) -> DataFrame:
     """State at ``from_sequence`` against ``to_sequence``, both inclusive, per request.
 
-    One aggregation finds both last writes of a field; a third of all rows in
-    one aggregate folds on the map side.
+    Both ends of all requests are targets of one sweep over the events.
     """
     by = ["aggregate_id", "from_sequence", "to_sequence"]
     asked = requests.select(*by).distinct()
-    reached = events.join(asked, "aggregate_id").filter(
-        F.col("sequence_number") <= F.greatest("from_sequence", "to_sequence")
+    sides = asked.select(
+        *by,
+        F.inline(
+            F.array(
+                F.struct(F.lit(True).alias("is_from"), F.col("from_sequence").cast("long").alias("at")),
+                F.struct(F.lit(False).alias("is_from"), F.col("to_sequence").cast("long").alias("at")),
+            )
+        ),
     )
-    order = F.struct(*ORDER)
-
-    def last_until(limit: str) -> Column:
-        return F.max_by("w", F.when(F.col("sequence_number") <= F.col(limit), order))
-
-    packed = packed_writes(reached, keep=by[1:]).groupBy(*by, "key", "is_book").agg(
-        last_until("from_sequence").alias("w_old"), last_until("to_sequence").alias("w_new")
+    states = swept_writes(events, sides, "at", "sequence_number")
+    packed = sides.join(states, ["aggregate_id", "at"]).groupBy(*by, "key", "is_book").agg(
+        F.max(F.when(F.col("is_from"), F.col("w"))).alias("w_old"),
+        F.max(F.when(~F.col("is_from"), F.col("w"))).alias("w_new"),
     )
-    sides = unpacked(packed, {"w_old": "old_json", "w_new": "new_json"})
-    return sides.filter(_changed(F.col("old_json"), F.col("new_json")))
+    sides_apart = unpacked(packed, {"w_old": "old_json", "w_new": "new_json"})
+    return sides_apart.filter(_changed(F.col("old_json"), F.col("new_json")))
 
 
 def nesting(text: Column) -> Column:

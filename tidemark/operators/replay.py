@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json_values import field_json, field_of, json_string, object_fields, object_text
@@ -27,6 +27,8 @@ BOOKKEEPING = ["_version", "_lastEventType", "_lastUpdated"]
 
 KEYS = ["aggregate_id", *ORDER]
 
+BLOCK_TARGETS = 256  # targets of one aggregate that are looked through together
+
 
 def closes(event_type: Column) -> Column:
     """Whether an event type ends the life; opening words are tested first."""
@@ -209,16 +211,73 @@ def transition_states(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFram
 
 def state_at(events: DataFrame, targets: DataFrame) -> DataFrame:
     """State after the last event up to ``targets(aggregate_id, target)``, long form."""
-    asked = targets.select("aggregate_id", F.col("target").alias("at_sequence")).distinct()
-    reached = events.join(asked, "aggregate_id").filter(F.col("sequence_number") <= F.col("at_sequence"))
-    return _last_writes(reached, ["aggregate_id", "at_sequence"])
+    asked = targets.select("aggregate_id", F.col("target").alias("at_sequence"))
+    return unpacked(swept_writes(events, asked, "at_sequence", "sequence_number"), {"w": "value_json"}).select(
+        "aggregate_id", "at_sequence", "key", "value_json", "set_at"
+    )
 
 
 def state_as_of(events: DataFrame, targets: DataFrame) -> DataFrame:
     """State at a point in time, ``targets(aggregate_id, as_of)``, long form."""
-    asked = targets.select("aggregate_id", "as_of").distinct()
-    reached = events.join(asked, "aggregate_id").filter(F.col("timestamp") <= F.col("as_of"))
-    return _last_writes(reached, ["aggregate_id", "as_of"])
+    return unpacked(swept_writes(events, targets, "as_of", "timestamp"), {"w": "value_json"}).select(
+        "aggregate_id", "as_of", "key", "value_json", "set_at"
+    )
+
+
+def swept_writes(events: DataFrame, targets: DataFrame, at: str, place: str) -> DataFrame:
+    """Last write of every field up to each ``targets(aggregate_id, at)``, packed, with ``set_at``.
+
+    The targets of an aggregate cut its history into intervals. Every event falls
+    into one of them, is read and parsed once, and leaves its interval's last
+    writes on the map side; only these are carried on from target to target. Work
+    is linear in the events plus the rows returned; finding the interval costs one
+    comparison per ``BLOCK_TARGETS`` targets of the aggregate and a look into one
+    block. Events and targets without a place (NULL) take no part.
+    """
+    per = Window.partitionBy("aggregate_id")
+    line = per.orderBy(at)
+    numbered = (
+        targets.select("aggregate_id", at)
+        .filter(F.col(at).isNotNull())
+        .distinct()
+        .select(
+            "aggregate_id", at, F.row_number().over(line).alias("__n"), F.lag(at).over(line).alias("__since"),
+            F.count(F.lit(1)).over(per).cast("int").alias("__total"),
+        )
+    )
+    blocks = numbered.groupBy(
+        F.col("aggregate_id").alias("__id"), F.floor((F.col("__n") - 1) / BLOCK_TARGETS).alias("__block")
+    ).agg(
+        F.array_sort(F.collect_list(at)).alias("__ends"),  # at most BLOCK_TARGETS
+        F.min("__n").alias("__first"),
+        F.min_by("__since", "__n").alias("__since"),
+        F.max(at).alias("__until"),
+        F.max("__total").alias("__total"),
+    )
+    inside = (F.col(place) <= F.col("__until")) & (F.col("__since").isNull() | (F.col(place) > F.col("__since")))
+    number = F.col("__first") + F.size(F.filter("__ends", lambda end: end < F.col(place)))
+    reached = events.join(blocks, (F.col("aggregate_id") == F.col("__id")) & inside).select(
+        *events.columns, number.alias("__n"), "__total"
+    )
+    field = ["aggregate_id", "key", "is_book"]
+    last = packed_writes(reached, ["__n", "__total"]).groupBy(*field, "__n", "__total").agg(
+        F.max(F.struct(*ORDER, "w")).alias("__last")
+    )
+    # at most one row per target of the aggregate is left in a field's window
+    along = Window.partitionBy(*field).orderBy("__n")
+    carried = last.select(
+        *field,
+        "__n",
+        F.max("__last").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__last"),
+        (F.coalesce(F.lead("__n").over(along), F.col("__total") + 1) - 1).alias("__upto"),
+    )
+    spread = carried.select(
+        *field,
+        F.col("__last.w").alias("w"),
+        F.col("__last.sequence_number").alias("set_at"),
+        F.explode(F.sequence("__n", "__upto")).alias("__n"),
+    )
+    return spread.join(numbered.select("aggregate_id", "__n", at), ["aggregate_id", "__n"]).drop("__n")
 
 
 def _last_writes(events: DataFrame, group: list[str]) -> DataFrame:
