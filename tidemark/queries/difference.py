@@ -148,10 +148,33 @@ def _diff_rows(spark, folder):
 
 @query(
     "changed_keys",
-    "WITH " + DEEP_DOCUMENTS.lstrip() + " SELECT id, 'account' AS key FROM doc_pairs",
+    "WITH "
+    + DEEP_DOCUMENTS.lstrip()
+    + """
+    SELECT id, 'lines' AS key FROM doc_pairs WHERE n % 2 = 1
+    UNION ALL SELECT id, 'priority' FROM doc_pairs WHERE priority <> '2-HIGH'
+    UNION ALL SELECT id, 'open' FROM doc_pairs WHERE qty >= 100
+    UNION ALL SELECT id, 'delivery' FROM doc_pairs WHERE qty > 0""",
 )
 def _changed_keys(spark, folder):
-    return diff.changed_keys(diff.deep_diff(_deep_pairs(spark, folder), "before", "after", ["id"]), ["id"])
+    """Orders as placed and as delivered: keys that stay, change, come, go, and a nested one."""
+    lines = read_sample(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("qty")
+    )
+    orders = read_sample(spark, folder, "orders")
+    joined = orders.join(lines, orders.o_orderkey == lines.l_orderkey, "left")
+    n, qty = F.coalesce("n", F.lit(0)), F.coalesce("qty", F.lit(0))
+    cust = F.col("o_custkey").alias("cust")
+    before = F.struct(cust, n.alias("lines"), F.col("o_orderpriority").alias("priority"), F.lit(True).alias("open"))
+    after = F.struct(
+        cust,
+        (n + n % 2).alias("lines"),
+        F.lit("2-HIGH").alias("priority"),
+        F.when(qty < 100, True).alias("open"),
+        F.when(qty > 0, F.struct(F.array(qty).alias("parts"))).alias("delivery"),
+    )
+    pairs = joined.select(F.col("o_orderkey").alias("id"), F.to_json(before).alias("before"), F.to_json(after).alias("after"))
+    return diff.changed_keys(diff.deep_diff(pairs, "before", "after", ["id"]), ["id"])
 
 
 @query(

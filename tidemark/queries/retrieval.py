@@ -11,7 +11,7 @@ from ..functions.text import encode_cursor, instant_text
 from ..operators import timeline as ops
 from ..sources.sample_logs import activity_log, conversation_log, order_log, read_sample
 from .catalog import query
-from .sql_logs import activity, conversation, iso, order
+from .sql_logs import ACTIVITY, CONVERSATIONS, ORDERS, activity, conversation, iso, order, with_logs
 
 EVENT_SQL = (
     "event_id, aggregate_id, aggregate_type, sequence_number, event_type, payload, metadata, "
@@ -166,7 +166,11 @@ def _count(spark, folder):
 
 @query(
     "aggregate_types",
-    "SELECT 'USER' AS aggregate_type UNION SELECT 'CONVERSATION' UNION SELECT 'ORDER'",
+    with_logs(
+        ACTIVITY, CONVERSATIONS, ORDERS,
+        body="""SELECT aggregate_type FROM activity UNION SELECT aggregate_type FROM conversation_log
+        UNION SELECT aggregate_type FROM order_log""",
+    ),
 )
 def _types(spark, folder):
     events = activity_log(spark, folder).unionByName(conversation_log(spark, folder))

