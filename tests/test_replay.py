@@ -1,5 +1,6 @@
 import json
 import random
+import re
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -204,3 +205,20 @@ def test_a_hot_aggregate_is_spread_over_tasks(spark):
     finally:
         for k, v in saved.items():
             spark.conf.set(k, v)
+
+
+def test_short_histories_move_once_and_long_ones_are_cut(spark):
+    from tidemark.plans.running import event_chunks
+
+    rows = [event("HOT", "T", i, "X", {"v": i % 3, f"k{i % 2}": i}, position=i) for i in range(1, 40)]
+    rows += [event(f"A{n}", "T", i, "X", {"v": n}, position=100 * n + i) for n in range(1, 5) for i in range(1, 4)]
+    df = events_df(spark, rows)
+    cut = {r.aggregate_id for r in event_chunks(df, 4)(df).filter("__chunk IS NOT NULL").collect()}
+    assert cut == {"HOT"}
+    whole, parts = (sorted(map(tuple, replay.transitions(df, w).collect()), key=repr) for w in (65_536, 4))
+    assert whole == parts
+    # where nothing is long, writes are not shuffled and no summaries are left
+    out = replay.transitions(df)
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "__last_old_w" not in plan and not re.search(r"Exchange hashpartitioning\([^)]*key", plan)

@@ -170,7 +170,8 @@ def replay_mergeable(events: DataFrame, reducer: MergeableFold, width: int = DEF
             yield pd.DataFrame(out, columns=[*part, "__before"])
 
     before = (
-        ends.select(*part, "state")
+        ends.filter(F.col("sequence").isNotNull())  # long aggregates only, the others are whole
+        .select(*part, "state")
         .repartition("aggregate_id")
         .sortWithinPartitions(*part)
         .mapInPandas(carry, "aggregate_id string, stretch long, sequence long, stored long, __before string")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.json_values import field_json, field_of, json_string, object_fields, object_text
 from ..functions.text import has_any_word, instant_text
-from ..plans.running import DEFAULT_WIDTH, Assign, event_chunks, running
+from ..plans.running import CHUNK, DEFAULT_WIDTH, Assign, event_chunks, running, running_inside
 from ..sources.schema import ORDER
 
 # Words in event types that open or end an aggregate's life.
@@ -99,38 +99,41 @@ def packed_writes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
             for name in BOOKKEEPING
         ]
     )
-    no_book = F.lit(None).cast("array<string>")
-
-    def row(key: Column, value: Column, book: Column) -> Column:
-        return F.struct(key.alias("key"), value.alias("value_json"), book.alias("book"))
-
-    written = F.transform(
-        F.map_entries("__fields"),
-        lambda e: row(e["key"], F.coalesce(F.to_json(e["value"]), F.lit("null")), no_book),
-    )
     closed = closes(F.col("event_type")) & ~F.map_contains_key("__fields", F.lit("status"))
-    none = F.array().cast("array<struct<key:string,value_json:string,book:array<string>>>")
-    status = row(F.lit("status"), json_string(F.lit(DELETED_STATUS)), no_book)
-    own = row(F.lit(""), F.lit(None).cast("string"), book)
-    rows = F.concat(F.array(own), F.when(closed, F.array(status)).otherwise(none), written)
-    is_book = F.col("book").isNotNull()
-    return (
-        parsed.select(*KEYS, *keep, F.inline(rows))
-        .filter(is_book | ~F.col("key").isin(*BOOKKEEPING))
-        .select(*KEYS, *keep, "key", is_book.alias("is_book"), F.struct("value_json", "book").alias("w"))
+    # rows are numbered: -2 for the status of an end, -1 for the bookkeeping, then the fields;
+    # what a row holds is taken out behind the generator, once per row and in generated code
+    at = F.col("__at")
+    numbered = parsed.select(
+        *KEYS, *keep, F.map_entries("__fields").alias("__entries"), book.alias("__book"), closed.alias("__closed")
+    ).select(
+        *KEYS, *keep, "__entries", "__book",
+        F.explode(F.sequence(F.when(F.col("__closed"), -2).otherwise(-1), F.size("__entries") - 1)).alias("__at"),
+    )
+    entry = F.get("__entries", at)
+    rows = numbered.select(
+        *KEYS, *keep, "__entries", "__book", "__at",
+        F.when(at == -1, "").when(at == -2, "status").otherwise(entry["key"]).alias("key"),
+    ).filter((at == -1) | ~F.col("key").isin(*BOOKKEEPING))
+    value = (
+        F.when(at == -2, json_string(F.lit(DELETED_STATUS)))
+        .when(at >= 0, F.coalesce(F.to_json(entry["value"]), F.lit("null")))
     )
+    w = F.struct(value.alias("value_json"), F.when(at == -1, F.col("__book")).alias("book"))
+    return rows.select(*KEYS, *keep, "key", (at == -1).alias("is_book"), w.alias("w"))
 
 
 def unpacked(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """Turn packed write columns (name to new name) back into one row per field."""
     rest = [c for c in df.columns if c not in ("key", "is_book", *columns)]
-
-    def row(key: Column, value) -> Column:
-        return F.struct(key.alias("key"), *[value(F.col(c)).alias(n) for c, n in columns.items()])
-
-    plain = F.array(row(F.col("key"), lambda w: w["value_json"]))
-    apart = F.array(*[row(F.lit(n), lambda w, i=i: w["book"][i]) for i, n in enumerate(BOOKKEEPING)])
-    return df.select(*rest, F.inline(F.when(F.col("is_book"), apart).otherwise(plain)))
+    numbers = F.when(F.col("is_book"), F.sequence(F.lit(0), F.lit(len(BOOKKEEPING) - 1))).otherwise(F.array(F.lit(0)))
+    apart = df.select("*", F.explode(numbers).alias("__at"))
+    at, own = F.col("__at"), F.col("is_book")
+    names = F.array(*[F.lit(n) for n in BOOKKEEPING])
+    return apart.select(
+        *rest,
+        F.when(own, F.get(names, at)).otherwise(F.col("key")).alias("key"),
+        *[F.when(own, F.get(F.col(f"{c}.book"), at)).otherwise(F.col(f"{c}.value_json")).alias(n) for c, n in columns.items()],
+    )
 
 
 def _differs(old: Column, new: Column) -> Column:
@@ -138,13 +141,19 @@ def _differs(old: Column, new: Column) -> Column:
     return F.coalesce(old, null) != F.coalesce(new, null)
 
 
+def _kept_writes(events: DataFrame) -> DataFrame:
+    """``packed_writes`` that leave the chunk in, where there is one."""
+    return packed_writes(events, [c for c in events.columns if c == CHUNK])
+
+
 def _stepped(events: DataFrame, assign: Assign) -> DataFrame:
     """Every write with the value it replaces (NULL for a new field)."""
-    stepped = running(
-        packed_writes(events),
-        ["aggregate_id", "key", "is_book"],
+    stepped = running_inside(
+        assign(events.select(*KEYS, "event_type", "timestamp", "payload")),
+        _kept_writes,
+        ["aggregate_id"],
+        ["key", "is_book"],
         ORDER,
-        assign,
         previous={"old_w": F.col("w")},
     )
     return unpacked(stepped, {"old_w": "old_json", "w": "value_json"})

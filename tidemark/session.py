@@ -12,6 +12,10 @@ SETTINGS = {
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # tasks by measured size: many partitions are planned and joined up to the advised size,
+    # so that a task's memory does not grow with the tables; events unfold to many rows in a task
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "512",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     # split a hot join partition even where that costs one more shuffle after it
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # a grouping by (aggregate, field) must not settle for partitioning by aggregate

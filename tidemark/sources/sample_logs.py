@@ -79,16 +79,18 @@ def order_log(spark: SparkSession, folder: str) -> DataFrame:
             F.sum(_cents(F.col("l_extendedprice"))).alias("cents"),
             F.max("l_partkey").alias("part"),
         )
-        .select(
-            F.col("l_orderkey").alias("order_key"),
-            (F.col("l_linenumber") + 1).cast("long").alias("sequence_number"),
-            F.lit("LINE_ITEM_ADDED").alias("event_type"),
-            _json(
-                '{"part":', _text("part"), ',"qty":', _text("qty"), ',"line_cents":', _text("cents"), "}"
-            ).alias("payload"),
-        )
+        .withColumnRenamed("l_orderkey", "order_key")
+    )
+    # numbers go through the join, the texts are made behind it
+    order_lines = lines.join(orders.select("order_key", "placed_at"), "order_key").select(
+        "order_key",
+        "placed_at",
+        (F.col("l_linenumber") + 1).cast("long").alias("sequence_number"),
+        F.lit("LINE_ITEM_ADDED").alias("event_type"),
+        _json(
+            '{"part":', _text("part"), ',"qty":', _text("qty"), ',"line_cents":', _text("cents"), "}"
+        ).alias("payload"),
     )
-    order_lines = lines.join(orders.select("order_key", "placed_at"), "order_key")
     placed = orders.select(
         "order_key",
         "placed_at",
