@@ -14,13 +14,13 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from ..operators.detect import SNAPSHOT_RULE, Rule, narrow_writes, tag_anomalies
-from ..operators.replay import BOOKKEEPING, KEYS, field_changes
+from ..operators.replay import BOOKKEEPING, KEYS, packed_writes, unpacked
 from ..session import stateful
 from ..sources.schema import ORDER
 
@@ -55,11 +55,14 @@ class _Release(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         behind = timerValues.getCurrentWatermarkInMs()
         soonest, passed = None, False
+        # each call of the state is a round trip: a key that had nothing waiting is not asked row by row
+        before, new = self.waiting.exists(), set()
         for row in rows:
             order, rest = tuple(row[c] for c in ORDER), tuple(row[c] for c in self.rest)
-            if self.waiting.containsKey(order):
+            if order in new or (before and self.waiting.containsKey(order)):
                 yield self.told(key, order, rest, late=True)
                 continue
+            new.add(order)
             self.waiting.updateValue(order, rest)
             ms = _ms(row["__us"], behind)
             if ms < behind:
@@ -85,10 +88,13 @@ class _Release(StatefulProcessor):
                 soonest = ms
         if not ready:
             return
+        if soonest is None:
+            self.waiting.clear()
         known = self.last.get()
         applied, last = (tuple(known[:3]), list(known[3:])) if known is not None else (None, [None] * len(self.names))
         for order, rest in sorted(ready, key=lambda r: _place(r[0])):
-            self.waiting.removeKey(order)
+            if soonest is not None:
+                self.waiting.removeKey(order)
             late = applied is not None and _place(order) <= _place(applied)
             yield self.told(key, order, rest, late, last)
             if not late:
@@ -124,16 +130,27 @@ def stream_replay(events: DataFrame, delay: str | None = "10 minutes") -> DataFr
     """Field diffs as events arrive, equal to ``transitions`` on the events so far.
 
     Keyed by aggregate and field, the smallest unit whose order matters, so a
-    busy aggregate is spread over its fields. A stream that has a watermark already,
-    such as one of ``drop_resent_stream``, is given with ``delay`` None.
+    busy aggregate is spread over its fields; the fields that every event writes
+    go together as one. A stream that has a watermark already, such as one of
+    ``drop_resent_stream``, is given with ``delay`` None.
     """
-    writes = field_changes(events, keep=["timestamp"])
-    stepped = _carried(writes, ["aggregate_id", "key"], ["value_json"], [], delay)
-    null = F.lit("null")
-    changed = F.coalesce("last_value_json", null) != F.coalesce("value_json", null)
-    return stepped.filter(changed | F.col("late")).select(
-        *KEYS, "key", F.col("last_value_json").alias("old_json"), F.col("value_json").alias("new_json"), "late"
+    book = [f"book_{n}" for n in range(len(BOOKKEEPING))]
+    writes = packed_writes(events, keep=["timestamp"]).select(
+        *KEYS, "timestamp", "key", "is_book", "w.value_json", *[F.get("w.book", F.lit(n)).alias(c) for n, c in enumerate(book)]
     )
+    carried = _carried(writes, ["aggregate_id", "key", "is_book"], ["value_json", *book], [], delay)
+
+    def packed(prefix: str) -> Column:
+        values = F.array(*[F.col(f"{prefix}{c}") for c in book])
+        return F.struct(F.col(f"{prefix}value_json").alias("value_json"), values.alias("book"))
+
+    stepped = unpacked(
+        carried.select(*KEYS, "key", "is_book", "late", packed("last_").alias("old_w"), packed("").alias("w")),
+        {"old_w": "old_json", "w": "new_json"},
+    )
+    null = F.lit("null")
+    changed = F.coalesce("old_json", null) != F.coalesce("new_json", null)
+    return stepped.filter(changed | F.col("late")).select(*KEYS, "key", "old_json", "new_json", "late")
 
 
 def stream_field_history(
