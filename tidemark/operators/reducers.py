@@ -151,7 +151,9 @@ def replay_mergeable(events: DataFrame, reducer: MergeableFold, width: int = DEF
     along each aggregate, and every event adds what came before its chunk.
     """
     merge = reducer.merge
-    chunked = event_chunks(events, width)(events).select("*", f"{CHUNK}.*")
+    # aggregates that are not cut are one chunk; the fold tells groups apart by values, so it has no NULL
+    one = F.struct(*[F.lit(-1).cast("long").alias(c) for c in CHUNK_FIELDS])
+    chunked = event_chunks(events, width)(events).withColumn(CHUNK, F.coalesce(CHUNK, one)).select("*", f"{CHUNK}.*")
     part = ["aggregate_id", *CHUNK_FIELDS]
     local = _fold_groups(chunked, part, reducer.fold, 5_000)
     ends = local.groupBy(*part).agg(F.max_by("state", F.struct(*ORDER)).alias("state"))
@@ -170,8 +172,7 @@ def replay_mergeable(events: DataFrame, reducer: MergeableFold, width: int = DEF
             yield pd.DataFrame(out, columns=[*part, "__before"])
 
     before = (
-        ends.filter(F.col("sequence").isNotNull())  # long aggregates only, the others are whole
-        .select(*part, "state")
+        ends.select(*part, "state")
         .repartition("aggregate_id")
         .sortWithinPartitions(*part)
         .mapInPandas(carry, "aggregate_id string, stretch long, sequence long, stored long, __before string")
