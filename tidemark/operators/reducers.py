@@ -151,8 +151,11 @@ def replay_mergeable(events: DataFrame, reducer: MergeableFold, width: int = DEF
     along each aggregate, and every event adds what came before its chunk.
     """
     merge = reducer.merge
-    # aggregates that are not cut are one chunk; the fold tells groups apart by values, so it has no NULL
-    one = F.struct(*[F.lit(-1).cast("long").alias(c) for c in CHUNK_FIELDS])
+    # aggregates that are not cut are one chunk; the fold tells groups apart by values, so it has no NULL;
+    # events without an aggregate fold by stretch
+    none = F.lit(-1).cast("long")
+    stretch = F.when(F.col("aggregate_id").isNull(), F.floor(F.col("sequence_number") / F.lit(width))).otherwise(none)
+    one = F.struct(stretch.alias("stretch"), none.alias("sequence"), none.alias("stored"))
     chunked = event_chunks(events, width)(events).withColumn(CHUNK, F.coalesce(CHUNK, one)).select("*", f"{CHUNK}.*")
     part = ["aggregate_id", *CHUNK_FIELDS]
     local = _fold_groups(chunked, part, reducer.fold, 5_000)

@@ -109,6 +109,9 @@ def running(
     columns = [c for c in df.columns if c != CHUNK]
     group, order, part = list(group), list(order), [*group, CHUNK]
 
+    known = F.lit(True)  # a group with NULL has no totals
+    for c in group:
+        known = known & F.col(c).isNotNull()
     rows = Window.partitionBy(*part).orderBy(*order)
     upto = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = rows.rowsBetween(Window.unboundedPreceding, -1)
@@ -117,7 +120,7 @@ def running(
         *[F.sum(v).over(upto).alias(n) for n, v in sums.items()],
         *[F.last(v, ignorenulls=True).over(upto).alias(n) for n, v in latest.items()],
         *[F.last(v, ignorenulls=True).over(before).alias(n) for n, v in previous.items()],
-        *[F.sum(v).over(Window.partitionBy(*part)).alias(f"__own_{n}") for n, v in totals.items()],
+        *[F.when(known, F.sum(v).over(Window.partitionBy(*part))).alias(f"__own_{n}") for n, v in totals.items()],
     )
 
     summaries = chunked.filter(F.col(CHUNK).isNotNull()).groupBy(*part).agg(
