@@ -222,3 +222,37 @@ def test_short_histories_move_once_and_long_ones_are_cut(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert "__last_old_w" not in plan and not re.search(r"Exchange hashpartitioning\([^)]*key", plan)
+
+
+def test_columns_of_events_equal_a_row_per_write(spark, monkeypatch):
+    """Copies, NULLs among the keys and cut aggregates: both ways of replay give the same rows."""
+    rows = random_log(11, 120)
+    rows += rows[5:20] + [event(None, "T", 1, "X", {"a": 1}, 900, "n1")]
+    rows += [event("A-1", "T", 3, "X", {"a": 2}, 901, "n2", minutes=3)[:3] + (None, *event("A-1", "T", 3, "X", {"a": 2}, 901, "n2")[4:])]
+    df = events_df(spark, rows)
+    marks = df.filter("sequence_number % 3 = 0")
+
+    def results(width):
+        out = [
+            replay.transitions(df, width), replay.event_diffs(replay.transitions(df, width, grouped=True)),
+            replay.states_at_events(df, marks, width), replay.transition_states(df, width),
+            replay.event_changes(df, width, ["event_type"]).filter("size(diff) > 0").drop("step"),
+        ]
+        return [sorted(map(repr, o.select(*sorted(o.columns)).collect())) for o in out]
+
+    columns = results(65_536), results(4)
+    monkeypatch.setattr(replay, "MOST_FIELDS", 0)
+    assert columns == (results(65_536), results(65_536))
+
+
+def test_diffs_and_states_of_events_are_not_shuffled_again(spark):
+    """Only events move, by aggregate: neither a row per field nor the diffs of an event are dealt again."""
+    df = events_df(spark, random_log(12, 60))
+    for out in (
+        replay.event_diffs(replay.transitions(df, grouped=True)),
+        replay.transition_states(df),
+        replay.event_changes(df),
+    ):
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert re.findall(r"Exchange hashpartitioning\(([^,]*)#", plan) == ["aggregate_id"], plan

@@ -14,7 +14,7 @@ from ..functions.text import SEVERITY_LABELS, instant_text, severity_label
 from ..plans.running import DEFAULT_WIDTH, event_chunks, running
 from ..plans.small import broadcast_rows
 from ..sources.schema import ORDER
-from .replay import KEYS, state_map, states_at_events, transitions, written_value
+from .replay import KEYS, state_map, states_at_events, survey, transitions, written_value
 from .timeline import chosen_limit, recent_events
 
 # The built-in rule and the listing limits.
@@ -276,8 +276,8 @@ def bisect_transitions(events: DataFrame, found: DataFrame, width: int = DEFAULT
     """Field diffs of the culprit events of ``bisect``."""
     culprits = found.filter(F.col("sequence_number").isNotNull()).select(*KEYS)
     affected = events.join(culprits.select("aggregate_id"), "aggregate_id", "left_semi")
-    # the cut of the whole log holds for a part of it; planning one from the part would repeat the search
-    return transitions(affected, assign=event_chunks(events, width)).join(culprits, KEYS, "left_semi")
+    # the survey of the whole log holds for a part of it; one of the part would repeat the search
+    return transitions(affected, plan=survey(events, width)).join(culprits, KEYS, "left_semi")
 
 
 @dataclass(frozen=True)
@@ -376,7 +376,7 @@ def attach_states(events: DataFrame, anomalies: DataFrame, width: int = DEFAULT_
     marks = anomalies.select(*KEYS).distinct()
     affected = events.join(marks.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
     # as in bisect_transitions, so that the scan behind the anomalies is not repeated
-    return states_at_events(affected, marks, assign=event_chunks(events, width))
+    return states_at_events(affected, marks, plan=survey(events, width))
 
 
 def report_states(events: DataFrame, anomalies: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:

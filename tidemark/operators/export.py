@@ -17,7 +17,7 @@ from ..functions.text import csv_field, identifier, instant_text, source_string
 from ..plans.running import DEFAULT_WIDTH, event_chunks, number_rows, running
 from ..sources.schema import ORDER
 from .governance import DEFAULT_MASKS, MaskRule, mask_payload
-from .replay import KEYS, transitions
+from .replay import event_changes
 from .timeline import count_events
 
 # The CSV head, and a line number behind all others.
@@ -116,23 +116,19 @@ def export_markdown(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
         F.inline(F.array(*[F.struct(F.lit(i - 4).cast("long").alias("line_no"), t.alias("line")) for i, t in enumerate(titles)])),
     )
 
-    def shown(value: str) -> Column:
-        return F.coalesce(text(F.col(value)), F.lit("null"))
+    def shown(value: Column) -> Column:
+        return F.coalesce(text(value), F.lit("null"))
 
-    change = F.concat("key", F.lit(": "), shown("old_json"), F.lit(" → "), shown("new_json"))
-    changes = (
-        transitions(events, width)
-        .groupBy(*KEYS)
-        .agg(F.array_join(F.array_sort(F.collect_list(change)), ", ").alias("changes"))
+    body = event_changes(events, width, ["event_type", "timestamp"])
+    texts = F.transform(
+        "diff", lambda d: F.concat(d["key"], F.lit(": "), shown(d["old_json"]), F.lit(" → "), shown(d["new_json"]))
     )
-    body = number_rows(
-        events.select(*KEYS, "event_type", "timestamp"), ["aggregate_id"], ORDER, event_chunks(events, width), "step"
-    ).join(changes, KEYS, "left")
+    changes = F.when(F.size("diff") > 0, F.array_join(F.array_sort(texts), ", "))
     row = F.concat(
         F.lit("| "), F.col("sequence_number").cast("string"),
         F.lit(" | "), F.coalesce("event_type", F.lit("null")),
         F.lit(" | "), instant_text(F.col("timestamp")),
-        F.lit(" | "), F.coalesce("changes", F.lit("—")), F.lit(" |"),
+        F.lit(" | "), F.coalesce(changes, F.lit("—")), F.lit(" |"),
     )
     return head.unionByName(_lines(body, F.col("step"), row))
 

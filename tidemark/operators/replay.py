@@ -7,14 +7,17 @@ after an event is the last value written to it. That makes replay a matter of
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.json_values import field_json, field_of, json_string, object_fields, object_text
 from ..functions.text import has_any_word, instant_text
-from ..plans.running import CHUNK, DEFAULT_WIDTH, Assign, event_chunks, running, running_inside
+from ..plans.running import (
+    CHUNK, DEFAULT_WIDTH, Assign, cuts, event_chunks, id_bucket, maybe_long, running, running_inside,
+)
 from ..sources.schema import ORDER
 
 # Words in event types that open or end an aggregate's life.
@@ -28,6 +31,7 @@ BOOKKEEPING = ["_version", "_lastEventType", "_lastUpdated"]
 KEYS = ["aggregate_id", *ORDER]
 
 BLOCK_TARGETS = 256  # targets of one aggregate that are looked through together
+MOST_FIELDS = 64  # a log of so many fields is replayed with a column for each
 
 
 def closes(event_type: Column) -> Column:
@@ -155,40 +159,198 @@ def _stepped(events: DataFrame, assign: Assign) -> DataFrame:
         ["key", "is_book"],
         ORDER,
         previous={"old_w": F.col("w")},
+        cut=cuts(assign),
     )
     return unpacked(stepped, {"old_w": "old_json", "w": "value_json"})
 
 
-def transitions(events: DataFrame, width: int = DEFAULT_WIDTH, assign: Assign | None = None) -> DataFrame:
-    """Field diffs of a full replay: one row per (event, changed field).
+@dataclass(frozen=True)
+class Survey:
+    """What a pass over a log tells: how it is cut, and all fields its events write (NULL if too many)."""
+
+    assign: Assign
+    fields: list[str] | None
+
+
+def survey(events: DataFrame, width: int = DEFAULT_WIDTH) -> Survey:
+    """One pass over ids and payloads, so that the replay itself can be planned as columns of events.
 
-    ``assign`` is the cut of a log that ``events`` is part of; without it one is
-    planned from ``events``, which costs a pass over whatever made them.
+    It holds for every part of the log too.
     """
-    stepped = _stepped(events, assign or event_chunks(events, width))
-    return stepped.filter(_differs(F.col("old_json"), F.col("value_json"))).select(
-        *KEYS, "key", "old_json", F.col("value_json").alias("new_json")
+    names = F.map_keys(object_fields("payload"))
+    shapes = (
+        events.select(id_bucket().alias("__bucket"), names.alias("__names"))
+        .groupBy("__bucket", "__names")
+        .agg(F.count(F.lit(1)).alias("__size"))
+    )
+    sizes = shapes.filter(F.col("__bucket").isNotNull()).groupBy("__bucket").agg(F.sum("__size").alias("__size"))
+    # the filter keeps the sizes, so that both sides read the same shuffle
+    fields = shapes.filter(F.col("__size") > 0).select(F.explode("__names").alias("name")).distinct()
+    found = (
+        sizes.agg(F.max("__size").alias("most"))
+        .select(F.lit(None).cast("string").alias("name"), "most")
+        .unionByName(fields.limit(MOST_FIELDS + 1).select("name", F.lit(None).cast("long").alias("most")))
+        .collect()
+    )
+    written = {r.name for r in found if r.name is not None}
+    most = max((r.most for r in found if r.most is not None), default=0)
+    assign = event_chunks(events, width, maybe_long(most, width))
+    return Survey(assign, sorted(written | set(_system_values())) if len(written) <= MOST_FIELDS else None)
+
+
+def _by_aggregate(events: DataFrame, assign: Assign) -> DataFrame:
+    """Events dealt by aggregate before they are parsed, where none is cut: only they move, once."""
+    return events if cuts(assign) else events.repartition("aggregate_id")
+
+
+def _write_columns(events: DataFrame, fields: Sequence[str], keep: Sequence[str], is_event: Column | None = None) -> DataFrame:
+    """What each event writes to each field, as ``w_<number of the field>``."""
+    system = _system_values()
+
+    def written(name: str) -> Column:
+        value = F.try_element_at("__texts", F.lit(name))
+        value = F.coalesce(value, system[name]) if name in system else value
+        return value if is_event is None else F.when(is_event, value)
+
+    texts = F.transform_values(object_fields("payload"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
+    parsed = events.withColumn("__texts", texts)
+    return parsed.select(*KEYS, *keep, *[written(name).alias(f"w_{i}") for i, name in enumerate(fields)])
+
+
+def _entries(fields: Sequence[str], holds: Callable[[Column], Column], **values: Callable[[int], Column]) -> Column:
+    """Array of ``key`` and named values (by the field's number): the entries that ``holds`` accepts."""
+    every = [
+        F.struct(F.lit(name).alias("key"), *[v(i).alias(n) for n, v in values.items()]) for i, name in enumerate(fields)
+    ]
+    # told apart behind the array: a test per field in one row's code would be too large to be compiled
+    return F.filter(F.array(*every), holds)
+
+
+def _column(prefix: str) -> Callable[[int], Column]:
+    return lambda i: F.col(f"{prefix}_{i}")
+
+
+def _changed_columns(events: DataFrame, plan: Survey, keep: Sequence[str] = (), numbered: bool = False) -> DataFrame:
+    """Every event with its field changes as an array (``__diff``), and numbered by ``step`` if asked."""
+    fields = plan.fields
+    source = events.select(*dict.fromkeys([*KEYS, "event_type", "timestamp", "payload"]))
+    stepped = running(
+        _write_columns(_by_aggregate(source, plan.assign), fields, keep),
+        ["aggregate_id"],
+        ORDER,
+        plan.assign,
+        sums={"step": F.lit(1).cast("long")} if numbered else {},
+        previous={f"p_{i}": F.col(f"w_{i}") for i in range(len(fields))},
+        keep_chunks=True,
     )
+    written, before = _column("w"), _column("p")
+    diff = _entries(
+        fields,
+        lambda e: e["new_json"].isNotNull() & _differs(e["old_json"], e["new_json"]),
+        old_json=before,
+        new_json=written,
+    )
+    chunk = [c for c in stepped.columns if c == CHUNK]
+    return stepped.select(*KEYS, *keep, *(["step"] if numbered else []), *chunk, diff.alias("__diff"))
+
+
+def copies(rows: DataFrame) -> WindowSpec:
+    """The rows of the same event (equal ``KEYS``); they lie side by side in the windows before."""
+    line = Window.partitionBy("aggregate_id", *[c for c in rows.columns if c == CHUNK]).orderBy(*ORDER)
+    return line.rangeBetween(Window.currentRow, Window.currentRow)
+
+
+def first_copies(rows: DataFrame) -> DataFrame:
+    """One row of each event."""
+    line = Window.partitionBy("aggregate_id", *[c for c in rows.columns if c == CHUNK]).orderBy(*ORDER)
+    first = F.row_number().over(line) == F.rank().over(line)
+    return rows.withColumn("__first", first).filter("__first").drop("__first")
+
+
+def event_changes(events: DataFrame, width: int = DEFAULT_WIDTH, keep: Sequence[str] = ()) -> DataFrame:
+    """Every event, numbered (``step``), with the changes of all its copies (``diff``, may be empty).
+
+    The changes are put together where the events already are; NULL ``diff`` stands
+    for events with a NULL among their keys.
+    """
+    plan = survey(events, width)
+    if plan.fields is None:
+        numbered = running(
+            events.select(*dict.fromkeys([*KEYS, *keep])), ["aggregate_id"], ORDER, plan.assign,
+            sums={"step": F.lit(1).cast("long")},
+        )
+        return numbered.join(event_diffs(transitions(events, plan=plan)), KEYS, "left")
+    rows = _changed_columns(events, plan, keep, numbered=True)
+    merged = rows.withColumn("diff", F.flatten(F.collect_list("__diff").over(copies(rows))))
+    known = ~F.greatest(*[F.col(c).isNull() for c in KEYS])
+    return merged.select(*KEYS, *keep, "step", F.when(known, F.array_sort("diff")).alias("diff"))
+
+
+def transitions(
+    events: DataFrame, width: int = DEFAULT_WIDTH, plan: Survey | None = None, grouped: bool = False
+) -> DataFrame:
+    """Field diffs of a full replay: one row per (event, changed field).
+
+    ``plan`` is the survey of a log that ``events`` is part of; without it one is
+    made of ``events``, which costs a pass over whatever made them. A log of few
+    fields (``MOST_FIELDS``) has a column for each, so that only events are moved and
+    sorted; one with more goes by a row per write. ``grouped`` leaves the diffs of
+    an event in one row, for ``event_diffs``.
+    """
+    plan = plan or survey(events, width)
+    if plan.fields is None:
+        stepped = _stepped(events, plan.assign)
+        changed = stepped.filter(_differs(F.col("old_json"), F.col("value_json"))).select(
+            *KEYS, "key", "old_json", F.col("value_json").alias("new_json")
+        )
+        return event_diffs(changed) if grouped else changed
+    rows = _changed_columns(events, plan)
+    if not grouped:
+        return rows.select(*KEYS, F.inline("__diff"))
+    merged = rows.withColumn("diff", F.flatten(F.collect_list("__diff").over(copies(rows))))
+    return first_copies(merged).filter(F.size("diff") > 0).select(*KEYS, F.array_sort("diff").alias("diff"))
 
 
 def event_diffs(changed: DataFrame) -> DataFrame:
-    """Transitions regrouped per event: array of (key, old, new), sorted by key."""
+    """Transitions regrouped per event: array of (key, old, new), sorted by key.
+
+    ``transitions(grouped=True)`` come grouped: nothing is shuffled for them.
+    """
+    if "diff" in changed.columns:
+        return changed.select(*KEYS, "diff")
     return changed.groupBy(*KEYS).agg(
         F.array_sort(F.collect_list(F.struct("key", "old_json", "new_json"))).alias("diff")
     )
 
 
 def states_at_events(
-    events: DataFrame, marks: DataFrame, width: int = DEFAULT_WIDTH, assign: Assign | None = None
+    events: DataFrame, marks: DataFrame, width: int = DEFAULT_WIDTH, plan: Survey | None = None
 ) -> DataFrame:
     """State after each marked event ``marks(aggregate_id, sequence_number, …order)``, long form.
 
-    Each mark becomes one empty write per field of its aggregate, placed right
-    after the event, and picks up the last value: work is linear in the writes
-    plus the rows returned, whatever the number of marks per aggregate.
-    ``assign`` is as in ``transitions``.
+    A mark is an event that writes nothing, placed right after its event, and picks
+    up the last values: work is linear in the events plus the rows returned, whatever
+    the number of marks per aggregate. In logs of many fields each mark becomes one
+    empty write per field of its aggregate. ``plan`` is as in ``transitions``.
     """
-    assign = assign or event_chunks(events, width)
+    plan = plan or survey(events, width)
+    if plan.fields is not None:
+        names = ["event_type", "timestamp", "payload"]
+        asked = marks.filter(F.col("aggregate_id").isNotNull()).select(*KEYS).distinct()
+        both = events.select(*KEYS, *names, F.lit(0).alias("__mark")).unionByName(
+            asked.withColumn("__mark", F.lit(1)), allowMissingColumns=True
+        )
+        moved = _by_aggregate(both, plan.assign)
+        filled = running(
+            _write_columns(moved, plan.fields, ["__mark"], F.col("__mark") == 0),
+            ["aggregate_id"],
+            [*ORDER, "__mark"],
+            plan.assign,
+            latest={f"l_{i}": F.col(f"w_{i}") for i in range(len(plan.fields))},
+        )
+        last = _column("l")
+        state = _entries(plan.fields, lambda e: e["value_json"].isNotNull(), value_json=last)
+        return filled.filter("__mark = 1").select(*KEYS, F.inline(state))
     writes = packed_writes(events)
     field = ["aggregate_id", "key", "is_book"]
     names = writes.select(*field).distinct()
@@ -198,16 +360,61 @@ def states_at_events(
     both = writes.select(*columns, "w", F.lit(0).alias("__mark")).unionByName(
         asked.select(*columns, nothing.alias("w"), F.lit(1).alias("__mark"))
     )
-    filled = running(both, field, [*ORDER, "__mark"], assign, latest={"last_w": F.col("w")})
+    filled = running(both, field, [*ORDER, "__mark"], plan.assign, latest={"last_w": F.col("w")})
     at_marks = filled.filter((F.col("__mark") == 1) & F.col("last_w").isNotNull()).select(*columns, "last_w")
     return unpacked(at_marks, {"last_w": "value_json"}).select(*KEYS, "key", "value_json")
 
 
 def transition_states(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """State maps before and after every event, as JSON objects."""
-    assign = event_chunks(events, width)
-    states = states_at_events(events, events, assign=assign)
-    written = _stepped(events, assign).select(*KEYS, "key", "old_json", F.lit(True).alias("__written"))
+    plan = survey(events, width)
+    if plan.fields is None:
+        return _joined_states(events, plan)
+    numbers = range(len(plan.fields))
+    source = events.filter(F.col("aggregate_id").isNotNull()).select(*KEYS, "event_type", "timestamp", "payload")
+    rows = running(
+        _write_columns(_by_aggregate(source, plan.assign), plan.fields, []),
+        ["aggregate_id"],
+        ORDER,
+        plan.assign,
+        sums={"step": F.lit(1).cast("long")},
+        latest={f"l_{i}": F.col(f"w_{i}") for i in numbers},
+        previous={f"p_{i}": F.col(f"w_{i}") for i in numbers},
+        keep_chunks=True,
+    )
+    written, before, last = _column("w"), _column("p"), _column("l")
+    known = ~F.greatest(*[F.col(c).isNull() for c in KEYS])
+    made = rows.select(
+        *KEYS, "step", *[c for c in rows.columns if c == CHUNK],
+        _entries(plan.fields, lambda e: e["value_json"].isNotNull(), value_json=last).alias("__after"),
+        F.transform(
+            _entries(plan.fields, lambda e: known & e["written"].isNotNull(), written=written, value_json=before),
+            lambda e: F.struct(e["key"].alias("key"), e["value_json"].alias("value_json")),
+        ).alias("__replaced"),
+    )
+    # an event that was stored several times replaces a value with each copy
+    per_event = first_copies(
+        made.withColumn("__state", F.max_by("__after", "step").over(copies(made)))
+        .withColumn("__written", F.flatten(F.collect_list("__replaced").over(copies(made))))
+    )
+    replaced = F.transform("__written", lambda e: e["key"])
+    kept = F.filter("__state", lambda e: ~F.array_contains(replaced, e["key"]))
+    state = F.map_from_entries("__state")
+    again = F.transform(
+        "__written", lambda e: F.struct(e["key"].alias("key"), F.try_element_at(state, e["key"]).alias("value_json"))
+    )
+    once = F.size(F.array_distinct(replaced)) == F.size(replaced)
+    return per_event.select(
+        *KEYS,
+        object_text(F.concat(kept, F.filter("__written", lambda e: e["value_json"].isNotNull()))).alias("state_before"),
+        object_text(F.when(once, F.col("__state")).otherwise(F.concat(kept, again))).alias("state_after"),
+    )
+
+
+def _joined_states(events: DataFrame, plan: Survey) -> DataFrame:
+    """``transition_states`` of a log of many fields: states joined with what each event replaces."""
+    states = states_at_events(events, events, plan=plan)
+    written = _stepped(events, plan.assign).select(*KEYS, "key", "old_json", F.lit(True).alias("__written"))
     joined = states.join(written, [*KEYS, "key"], "left")
     before = F.when(F.col("__written"), F.col("old_json")).otherwise(F.col("value_json"))
     return joined.groupBy(*KEYS).agg(

@@ -27,7 +27,7 @@ def _runs(events: DataFrame, width: int) -> DataFrame:
     starts = F.col("before").isNull() | starts
     flagged = placed.select(
         "aggregate_id", *ORDER, "event_type", "step",
-        F.when(starts, F.col("step")).alias("start_step"), CHUNK,
+        F.when(starts, F.col("step")).alias("start_step"), *[c for c in placed.columns if c == CHUNK],
     )
     return running(
         flagged,

@@ -26,6 +26,7 @@ DEFAULT_WIDTH = 65_536
 # An aggregate counts as long and a stretch as heavy beyond so many widths, and beyond this share of all rows.
 HEAVY_WIDTHS = 4
 MAX_HEAVY = 100_000
+BUCKETS = 16_384  # hash buckets of ids that are counted to see whether an aggregate can be long
 
 Assign = Callable[[DataFrame], DataFrame]
 
@@ -49,7 +50,22 @@ def long_aggregates(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     return _beyond(events.groupBy("aggregate_id").agg(F.count(F.lit(1)).alias("__size")), width)
 
 
-def event_chunks(events: DataFrame, width: int = DEFAULT_WIDTH) -> Assign:
+def id_bucket() -> Column:
+    """The hash bucket of an aggregate; events without one are in none."""
+    return F.when(F.col("aggregate_id").isNotNull(), F.pmod(F.xxhash64("aggregate_id"), F.lit(BUCKETS)))
+
+
+def maybe_long(largest_bucket: int | None, width: int) -> bool:
+    """Whether an aggregate can be long, by the size of the largest bucket of ids."""
+    return (largest_bucket or 0) > HEAVY_WIDTHS * width
+
+
+def _largest_bucket(events: DataFrame) -> int | None:
+    sizes = events.groupBy(id_bucket().alias("__bucket")).agg(F.count(F.lit(1)).alias("__size"))
+    return sizes.filter(F.col("__bucket").isNotNull()).agg(F.max("__size").alias("most")).first().most
+
+
+def event_chunks(events: DataFrame, width: int = DEFAULT_WIDTH, cut: bool | None = None) -> Assign:
     """How rows made from ``events`` are cut: long aggregates into stretches of ``width`` sequences.
 
     A stretch is small as long as (aggregate, sequence) is unique. Where copies
@@ -57,7 +73,21 @@ def event_chunks(events: DataFrame, width: int = DEFAULT_WIDTH) -> Assign:
     counted first, and heavy stretches among their rows; both lists are short (each
     entry has more than ``HEAVY_WIDTHS`` widths of rows) and broadcast. Rows of all
     other aggregates get no chunk.
+
+    A pass over the ids comes first: where no hash bucket of them is as large as a long
+    aggregate, nothing is cut and nothing is planned for it. ``cut`` is what a caller
+    knows of that already.
     """
+    if cut is None:
+        cut = maybe_long(_largest_bucket(events), width)
+    if not cut:
+        nothing = F.lit(None).cast("struct<stretch:bigint,sequence:bigint,stored:bigint>")
+
+        def leave(df: DataFrame) -> DataFrame:
+            return df.withColumn(CHUNK, nothing)
+
+        leave.cut = False
+        return leave
     stretch = _cut("sequence_number", width)
     long = long_aggregates(events, width)
     sizes = (
@@ -84,6 +114,11 @@ def event_chunks(events: DataFrame, width: int = DEFAULT_WIDTH) -> Assign:
     return assign
 
 
+def cuts(assign: Assign | None) -> bool:
+    """Whether an assignment gives any row a chunk."""
+    return assign is not None and getattr(assign, "cut", True)
+
+
 def running(
     df: DataFrame,
     group: Sequence[str],
@@ -101,13 +136,16 @@ def running(
     ``sums``: sum up to and including the row. ``latest``: last non-NULL value
     up to and including the row. ``previous``: last non-NULL value before the
     row. ``totals``: sum over the whole group. ``keep_chunks`` leaves the chunk
-    in, so a second pass (without ``assign``) needs no new shuffle of the rows.
+    in, so a second pass (without ``assign``) needs no new shuffle of the rows; where
+    nothing is cut there is none.
     """
     sums, latest, previous, totals = (dict(x or {}) for x in (sums, latest, previous, totals))
     carried = {**latest, **previous}
-    chunked = df if assign is None else assign(df)
+    chunked = assign(df) if cuts(assign) else df
+    is_cut = CHUNK in chunked.columns
     columns = [c for c in df.columns if c != CHUNK]
-    group, order, part = list(group), list(order), [*group, CHUNK]
+    group, order = list(group), list(order)
+    part = [*group, CHUNK] if is_cut else group
 
     known = F.lit(True)  # a group with NULL has no totals
     for c in group:
@@ -123,6 +161,11 @@ def running(
         *[F.when(known, F.sum(v).over(Window.partitionBy(*part))).alias(f"__own_{n}") for n, v in totals.items()],
     )
 
+    if not is_cut:
+        return inside.select(
+            *columns, *sums, *carried, *[F.col(f"__own_{n}").alias(n) for n in totals]
+        )
+
     summaries = chunked.filter(F.col(CHUNK).isNotNull()).groupBy(*part).agg(
         F.count(F.lit(1)).alias("__rows"),
         *[F.sum(v).alias(f"__sum_{n}") for n, v in sums.items()],
@@ -163,6 +206,7 @@ def running_inside(
     *,
     latest: Mapping[str, Column] | None = None,
     previous: Mapping[str, Column] | None = None,
+    cut: bool = True,
 ) -> DataFrame:
     """``latest`` and ``previous`` of ``running`` per (group, inner), for rows made from ``chunked`` events.
 
@@ -194,8 +238,10 @@ def running_inside(
         return F.when(same[0], last["__value"]).alias(name)
 
     short = beside.select(*made.columns, *[of_this(n) for n in carried])
-    cut = rows(chunked.filter(F.col(CHUNK).isNotNull()))
-    return short.unionByName(running(cut, [*group, *inner], order, None, latest=latest, previous=previous))
+    if not cut:
+        return short
+    long = rows(chunked.filter(F.col(CHUNK).isNotNull()))
+    return short.unionByName(running(long, [*group, *inner], order, None, latest=latest, previous=previous))
 
 
 def _earlier(group: Sequence[str]):
@@ -217,6 +263,9 @@ def number_rows(
     if upto is None:
         return running(df, group, order, assign, sums={name: F.lit(1).cast("long")})
     group, order, part = list(group), list(order), [*group, CHUNK]
+    if not cuts(assign):
+        first = F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long")
+        return df.select("*", first.alias(name)).filter(F.col(name) <= upto)
     chunked = assign(df)
     starts = (
         chunked.filter(F.col(CHUNK).isNotNull())

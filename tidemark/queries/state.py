@@ -74,7 +74,7 @@ def _transitions_orders(spark, folder):
     ),
 )
 def _event_diffs(spark, folder):
-    grouped = ops.event_diffs(ops.transitions(order_log(spark, folder)))
+    grouped = ops.event_diffs(ops.transitions(order_log(spark, folder), grouped=True))
     line = F.transform(
         "diff",
         lambda d: F.concat(d["key"], F.lit(":"), F.coalesce(d["old_json"], F.lit("-")), F.lit(">"), d["new_json"]),
