@@ -210,6 +210,7 @@ def _write_columns(events: DataFrame, fields: Sequence[str], keep: Sequence[str]
     def written(name: str) -> Column:
         value = F.try_element_at("__texts", F.lit(name))
         value = F.coalesce(value, system[name]) if name in system else value
+        value = F.coalesce(value, F.lit("")) if name in BOOKKEEPING else value
         return value if is_event is None else F.when(is_event, value)
 
     texts = F.transform_values(object_fields("payload"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
@@ -223,7 +224,13 @@ def _entries(fields: Sequence[str], holds: Callable[[Column], Column], **values:
         F.struct(F.lit(name).alias("key"), *[v(i).alias(n) for n, v in values.items()]) for i, name in enumerate(fields)
     ]
     # told apart behind the array: a test per field in one row's code would be too large to be compiled
-    return F.filter(F.array(*every), holds)
+    kept = F.filter(F.array(*every), holds)
+    return F.transform(kept, lambda e: F.struct(e["key"].alias("key"), *[_plain(e[n]).alias(n) for n in values]))
+
+
+def _plain(value: Column) -> Column:
+    """A written value; the empty text, which is no JSON, stands for bookkeeping written as NULL."""
+    return F.nullif(value, F.lit(""))
 
 
 def _column(prefix: str) -> Callable[[int], Column]:
@@ -246,7 +253,7 @@ def _changed_columns(events: DataFrame, plan: Survey, keep: Sequence[str] = (),
     written, before = _column("w"), _column("p")
     diff = _entries(
         fields,
-        lambda e: e["new_json"].isNotNull() & _differs(e["old_json"], e["new_json"]),
+        lambda e: e["new_json"].isNotNull() & _differs(_plain(e["old_json"]), _plain(e["new_json"])),
         old_json=before,
         new_json=written,
     )
@@ -406,7 +413,9 @@ def transition_states(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFram
     once = F.size(F.array_distinct(replaced)) == F.size(replaced)
     return per_event.select(
         *KEYS,
-        object_text(F.concat(kept, F.filter("__written", lambda e: e["value_json"].isNotNull()))).alias("state_before"),
+        object_text(
+            F.filter(F.concat(kept, F.col("__written")), lambda e: e["value_json"].isNotNull())
+        ).alias("state_before"),
         object_text(F.when(once, F.col("__state")).otherwise(F.concat(kept, again))).alias("state_after"),
     )
 
