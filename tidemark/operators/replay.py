@@ -13,7 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.json_values import field_json, field_of, json_string, object_fields, object_text
+from ..functions.json_values import (
+    field_json, field_of, json_string, object_fields, object_parts, object_text, part_json,
+)
 from ..functions.text import has_any_word, instant_text
 from ..plans.running import (
     CHUNK, DEFAULT_WIDTH, Assign, cuts, event_chunks, id_bucket, maybe_long, running, running_inside,
@@ -177,17 +179,20 @@ def survey(events: DataFrame, width: int = DEFAULT_WIDTH) -> Survey:
 
     It holds for every part of the log too.
     """
-    names = F.map_keys(object_fields("payload"))
+    # read by a pass over the text; a name that no document has in the end only makes an empty column
+    names = F.json_object_keys("payload")
     shapes = (
         events.select(id_bucket().alias("__bucket"), names.alias("__names"))
         .groupBy("__bucket", "__names")
         .agg(F.count(F.lit(1)).alias("__size"))
     )
-    sizes = shapes.filter(F.col("__bucket").isNotNull()).groupBy("__bucket").agg(F.sum("__size").alias("__size"))
-    # the filter keeps the sizes, so that both sides read the same shuffle
-    fields = shapes.filter(F.col("__size") > 0).select(F.explode("__names").alias("name")).distinct()
+    sizes = shapes.groupBy("__bucket").agg(F.sum("__size").alias("__size"))
+    # whatever filters the groups' keys would reach the scan of one side only: so that both read the same
+    # shuffle, the sizes are kept, and NULLs go out behind the buckets and the names
+    every = shapes.filter(F.col("__size") > 0).select(F.explode_outer("__names").alias("name")).distinct()
+    fields = every.filter(F.col("name").isNotNull())
     found = (
-        sizes.agg(F.max("__size").alias("most"))
+        sizes.agg(F.max(F.when(F.col("__bucket").isNotNull(), F.col("__size"))).alias("most"))
         .select(F.lit(None).cast("string").alias("name"), "most")
         .unionByName(fields.limit(MOST_FIELDS + 1).select("name", F.lit(None).cast("long").alias("most")))
         .collect()
@@ -206,16 +211,16 @@ def _by_aggregate(events: DataFrame, assign: Assign) -> DataFrame:
 def _write_columns(events: DataFrame, fields: Sequence[str], keep: Sequence[str], is_event: Column | None = None) -> DataFrame:
     """What each event writes to each field, as ``w_<number of the field>``."""
     system = _system_values()
+    parts = object_parts("payload", fields)
 
-    def written(name: str) -> Column:
-        value = F.try_element_at("__texts", F.lit(name))
+    def written(i: int, name: str) -> Column:
+        value = part_json("__parts", i, fields)
         value = F.coalesce(value, system[name]) if name in system else value
         value = F.coalesce(value, F.lit("")) if name in BOOKKEEPING else value
         return value if is_event is None else F.when(is_event, value)
 
-    texts = F.transform_values(object_fields("payload"), lambda _, v: F.coalesce(F.to_json(v), F.lit("null")))
-    parsed = events.withColumn("__texts", texts)
-    return parsed.select(*KEYS, *keep, *[written(name).alias(f"w_{i}") for i, name in enumerate(fields)])
+    parsed = events.withColumn("__parts", parts)
+    return parsed.select(*KEYS, *keep, *[written(i, name).alias(f"w_{i}") for i, name in enumerate(fields)])
 
 
 def _entries(fields: Sequence[str], holds: Callable[[Column], Column], **values: Callable[[int], Column]) -> Column:
@@ -342,22 +347,8 @@ def states_at_events(
     """
     plan = plan or survey(events, width)
     if plan.fields is not None:
-        names = ["event_type", "timestamp", "payload"]
         asked = marks.filter(F.col("aggregate_id").isNotNull()).select(*KEYS).distinct()
-        both = events.select(*KEYS, *names, F.lit(0).alias("__mark")).unionByName(
-            asked.withColumn("__mark", F.lit(1)), allowMissingColumns=True
-        )
-        moved = _by_aggregate(both, plan.assign)
-        filled = running(
-            _write_columns(moved, plan.fields, ["__mark"], F.col("__mark") == 0),
-            ["aggregate_id"],
-            [*ORDER, "__mark"],
-            plan.assign,
-            latest={f"l_{i}": F.col(f"w_{i}") for i in range(len(plan.fields))},
-        )
-        last = _column("l")
-        state = _entries(plan.fields, lambda e: e["value_json"].isNotNull(), value_json=last)
-        return filled.filter("__mark = 1").select(*KEYS, F.inline(state))
+        return states_beside(events, asked, plan).select(*KEYS, F.inline("__state"))
     writes = packed_writes(events)
     field = ["aggregate_id", "key", "is_book"]
     names = writes.select(*field).distinct()
@@ -372,6 +363,33 @@ def states_at_events(
     return unpacked(at_marks, {"last_w": "value_json"}).select(*KEYS, "key", "value_json")
 
 
+def states_beside(events: DataFrame, marks: DataFrame, plan: Survey, keep: Sequence[str] = ()) -> DataFrame:
+    """Every row of ``marks(…KEYS, …keep)``, copies too, with the state after its event as an array (``__state``).
+
+    For logs of few fields. Marks and events are dealt together; aggregates without a
+    mark are left out behind that, before anything of them is parsed.
+    """
+    names = ["event_type", "timestamp", "payload"]
+    both = events.select(*KEYS, *names, F.lit(0).alias("__mark")).unionByName(
+        marks.select(*KEYS, *keep, F.lit(1).alias("__mark")), allowMissingColumns=True
+    )
+    moved = _by_aggregate(both, plan.assign)
+    if not cuts(plan.assign):
+        # the frame of the order that comes next: one sort does for both
+        line = Window.partitionBy("aggregate_id").orderBy(*ORDER, "__mark")
+        whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        moved = moved.withColumn("__marked", F.max("__mark").over(whole)).filter("__marked = 1").drop("__marked")
+    filled = running(
+        _write_columns(moved, plan.fields, ["__mark", *keep], F.col("__mark") == 0),
+        ["aggregate_id"],
+        [*ORDER, "__mark"],
+        plan.assign,
+        latest={f"l_{i}": F.col(f"w_{i}") for i in range(len(plan.fields))},
+    )
+    state = _entries(plan.fields, lambda e: e["value_json"].isNotNull(), value_json=_column("l"))
+    return filled.filter("__mark = 1").select(*KEYS, *keep, state.alias("__state"))
+
+
 def transition_states(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """State maps before and after every event, as JSON objects."""
     plan = survey(events, width)
