@@ -5,7 +5,7 @@ from helpers import event, events_df, fold
 from pyspark.sql import functions as F
 from test_replay import by_aggregate, random_log
 from tidemark.functions.conditions import ConditionError, compile_condition
-from tidemark.operators import detect
+from tidemark.operators import detect, replay
 
 
 def plain(condition, state):
@@ -146,3 +146,48 @@ def test_bad_conditions(text):
 
 def test_lenient_condition():
     assert compile_condition("v < -1.5", strict=False).literal == "-1.5"
+
+
+def counted(spark, df):
+    """The rows of ``df``, and how many of them are read."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(count, df.schema), read
+
+
+def test_a_survey_reads_a_log_once(spark):
+    log, read = counted(spark, events_df(spark, random_log(5)))
+    found = replay.survey(log)
+    assert read.value == len(random_log(5))
+    assert {"status", "_version"} <= set(found.fields)
+
+
+def test_reports_take_the_anomalies_once(spark):
+    events = events_df(spark, random_log(5))
+    expected = detect.scan_anomalies(events, detect.load_rules([{"code": "LOW", "condition": "balance < 50"}])[0])
+    expected = expected.unionByName(expected.limit(1)).unionByName(
+        expected.limit(1).withColumn("aggregate_id", F.lit(None).cast("string"))
+    ).localCheckpoint()
+    joined = expected.join(replay.state_map(detect.attach_states(events, expected), replay.KEYS), replay.KEYS, "left")
+    anomalies, read = counted(spark, expected)
+    got = detect.report_states(events, anomalies)
+    assert got.columns == joined.columns
+    rows = sorted(map(repr, got.collect()))
+    assert read.value == len(rows) > 2
+    assert rows == sorted(map(repr, joined.collect()))
+
+
+def test_fields_of_any_name_are_replayed(spark):
+    payloads = [{"e`f": 1, "q'r": None, "$.x": [1.0]}, {"e`f": 2, "": 5}, {"A": 1, "a": 2}, '{"a":1} and more', '{"a":']
+    rows = [event("X", "T", i, "Set", p, i) for i, p in enumerate(payloads, 1)]
+    for kept in (rows[:2], rows):
+        df = events_df(spark, kept)
+        got = {(r.sequence_number, r.key): r.value_json for r in replay.states_at_events(df, df).collect()}
+        last = {k: v for (n, k), v in got.items() if n == len(kept) and not k.startswith("_")}
+        fields = {"e`f": "2", "q'r": "null", "$.x": "[1]", "": "5"}
+        assert last == (fields if len(kept) == 2 else {**fields, "A": "1", "a": "1"})

@@ -9,12 +9,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import Condition, ConditionError, compile_condition
-from ..functions.json_values import number, variant
+from ..functions.json_values import number, object_text, variant
 from ..functions.text import SEVERITY_LABELS, instant_text, severity_label
-from ..plans.running import DEFAULT_WIDTH, event_chunks, running
+from ..plans.running import DEFAULT_WIDTH, cuts, event_chunks, running
 from ..plans.small import broadcast_rows
 from ..sources.schema import ORDER
-from .replay import KEYS, state_map, states_at_events, survey, transitions, written_value
+from .replay import (
+    KEYS, Survey, state_map, states_at_events, states_beside, survey, transitions, written_value,
+)
 from .timeline import chosen_limit, recent_events
 
 # The built-in rule and the listing limits.
@@ -373,16 +375,36 @@ def tag_anomalies(history: DataFrame, rules: Iterable[Rule], untested: Sequence[
 
 def attach_states(events: DataFrame, anomalies: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
     """Long-form state at each anomalous event, one row per field."""
+    # as in bisect_transitions, the survey is of the whole log: the scan behind the anomalies is not repeated
+    return _attached(events, anomalies, survey(events, width))
+
+
+def _attached(events: DataFrame, anomalies: DataFrame, plan: Survey) -> DataFrame:
     marks = anomalies.select(*KEYS).distinct()
-    affected = events.join(marks.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
-    # as in bisect_transitions, so that the scan behind the anomalies is not repeated
-    return states_at_events(affected, marks, plan=survey(events, width))
+    if plan.fields is None or cuts(plan.assign):
+        events = events.join(marks.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
+    return states_at_events(events, marks, plan=plan)
 
 
 def report_states(events: DataFrame, anomalies: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Anomaly rows with the whole state at the event as a JSON object (``state``)."""
-    states = state_map(attach_states(events, anomalies, width), KEYS)
-    return anomalies.join(states, KEYS, "left")
+    """Anomaly rows with the whole state at the event as a JSON object (``state``).
+
+    The rows themselves go through the replay of a log of few fields as its marks, so
+    what made them runs once.
+    """
+    plan = survey(events, width)
+    if plan.fields is None or cuts(plan.assign):
+        return anomalies.join(state_map(_attached(events, anomalies, plan), KEYS), KEYS, "left")
+    rest = [c for c in anomalies.columns if c not in KEYS]
+    marks = anomalies.select(*KEYS, F.struct(F.lit(True).alias("__is"), *rest).alias("__row"))
+    beside = states_beside(events, marks, plan, ["__row"])
+    # an event with a NULL among its keys is no row's event
+    known = ~F.greatest(*[F.col(c).isNull() for c in KEYS])
+    return beside.select(
+        *KEYS,
+        *[F.col("__row").getField(c).alias(c) for c in rest],
+        F.when(known & (F.size("__state") > 0), object_text(F.col("__state"))).alias("state"),
+    )
 
 
 def recent_aggregates(
