@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from helpers import event, events_df
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from tidemark.operators import diff
+from tidemark.plans.running import event_chunks
 
 
 def plain_diff(left, right, path="$"):
@@ -130,3 +132,16 @@ def test_field_diff_and_rows(spark):
     assert {r.key for r in changes.collect()} == {"balance", "status", "email"}
     assert {r.kind for r in diff.diff_rows(changes, ["aggregate_id"]).collect()} == {"changed"}
     assert diff.diff_counts(changes, ["aggregate_id"]).first().changes == 3
+
+
+def test_ends_of_requests_are_paired_where_they_lie(spark, monkeypatch):
+    rows = [event(f"A-{i % 7}", "T", i // 7 + 1, "Set", {f"f{i % 3}": i % 5}, i) for i in range(140)]
+    df = events_df(spark, [*rows, *rows[:9], event(None, "T", 1, "Set", {"f0": 1}, 999)])
+    asked = [(f"A-{i % 8}", a, b) for i in range(8) for a in (None, 0, 1, 5, 30) for b in (None, 0, 5, 6, 30)]
+    requests = spark.createDataFrame([*asked, *asked[:3], (None, 1, 2)], "aggregate_id string, from_sequence long, to_sequence long")
+    found = diff.diff_at_sequences(df, requests)
+    got = sorted(map(repr, found.collect()))
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert not re.findall(r"Exchange hashpartitioning\([^)]*key", plan)
+    monkeypatch.setattr(diff, "event_chunks", lambda events: event_chunks(events, 4, True))
+    assert got == sorted(map(repr, diff.diff_at_sequences(df, requests).collect())) and got

@@ -5,8 +5,9 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
-from helpers import canonical_events, event, events_df, fold
+from helpers import T0, canonical_events, event, events_df, fold
 from tidemark.operators import replay
+from tidemark.plans.running import event_chunks
 
 
 def random_log(seed, n=400):
@@ -256,3 +257,25 @@ def test_diffs_and_states_of_events_are_not_shuffled_again(spark):
         out.collect()
         plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert re.findall(r"Exchange hashpartitioning\(([^,]*)#", plan) == ["aggregate_id"], plan
+
+
+def test_a_sweep_deals_events_by_aggregate_and_nothing_else(spark):
+    """Neither writes nor states are dealt by field or target; the result is that of a cut log."""
+    rows = random_log(13, 120)
+    rows += rows[5:20] + [event(None, "T", 1, "X", {"a": 1}, 900, "n1"), event("A-1", "T", 3, "X", {"a": 2}, 901, "n2", 3)]
+    rows += [(*event("A-1", "T", 3, "X", {"a": 2}, 902, "n3")[:7], None, 902)]
+    df = events_df(spark, rows)
+    for at, place, kind, values in (
+        ("at", "sequence_number", "long", [None, -1, 0, 2, 3, 3, 50, 10_000, *range(300, 700)]),
+        ("as_of", "timestamp", "timestamp", [None, *[T0 + timedelta(minutes=i) for i in (0, 3, 3, 40, 9_000)]]),
+    ):
+        asked = [(a, v) for a in ("HOT", "A-1", "A-2", "NONE", None) for v in values]
+        targets = spark.createDataFrame(asked, f"aggregate_id string, {at} {kind}")
+        found = replay.swept_writes(df, targets, at, place)
+        cut = replay.swept_writes(df, targets, at, place, event_chunks(df, 4, True))
+        got = sorted(map(repr, found.select(*sorted(found.columns)).collect()))
+        assert got == sorted(map(repr, cut.select(*sorted(cut.columns)).collect())) and got
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        moved = re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)
+        events = [m for m in moved if "key" in m or "__n" in m]
+        assert not events, plan

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json_values import FIELD_MAP
-from ..sources.schema import ORDER
-from .replay import current_state, swept_writes, unpacked
+from ..plans.running import cuts, event_chunks
+from .replay import current_state, dealt_writes, swept_writes, unpacked
 
 
 def _changed(old: Column, new: Column) -> Column:
@@ -65,15 +65,42 @@ def diff_at_sequences(events: DataFrame, requests: DataFrame) -> DataFrame:
             )
         ),
     )
-    states = swept_writes(events, sides, "at", "sequence_number")
-    packed = sides.join(states, ["aggregate_id", "at"]).groupBy(*by, "key", "is_book").agg(
-        F.max(F.when(F.col("is_from"), F.col("w"))).alias("w_old"),
-        F.max(F.when(~F.col("is_from"), F.col("w"))).alias("w_new"),
-    )
+    assign = event_chunks(events)
+    if cuts(assign):
+        states = swept_writes(events, sides, "at", "sequence_number", assign)
+        packed = sides.join(states, ["aggregate_id", "at"]).groupBy(*by, "key", "is_book").agg(
+            F.max(F.when(F.col("is_from"), F.col("w"))).alias("w_old"),
+            F.max(F.when(~F.col("is_from"), F.col("w"))).alias("w_new"),
+        )
+    else:
+        packed = _paired(dealt_writes(events, sides, "at", "sequence_number", [*by[1:], "is_from"]), by)
     sides_apart = unpacked(packed, {"w_old": "old_json", "w_new": "new_json"})
     return sides_apart.filter(_changed(F.col("old_json"), F.col("new_json")))
 
 
+def _paired(states: DataFrame, by: list[str]) -> DataFrame:
+    """Both ends of a request in a row, where they differ; they lie with their aggregate already."""
+    apart = states.select("aggregate_id", "__target.*", "key", "is_book", "w")
+    field = [*by, "key", "is_book"]
+    line = Window.partitionBy("aggregate_id").orderBy(*field[1:], "is_from")
+    own = F.struct(*field)
+    sides = apart.select(
+        *field,
+        "is_from",
+        "w",
+        F.lag(own).over(line).eqNullSafe(own).alias("__second"),
+        F.lead(own).over(line).eqNullSafe(own).alias("__first"),
+        F.lead("w").over(line).alias("__w_from"),
+    )
+    # the end at to_sequence comes first, then the one at from_sequence
+    paired = sides.filter(~F.col("__second")).select(
+        *field,
+        F.when(F.col("is_from"), F.col("w")).when(F.col("__first"), F.col("__w_from")).alias("w_old"),
+        F.when(~F.col("is_from"), F.col("w")).alias("w_new"),
+    )
+    return paired.filter(~F.col("w_old").eqNullSafe(F.col("w_new")))
+
+
 def nesting(text: Column) -> Column:
     """How many levels of objects and arrays a JSON text has; 0 for what is no JSON."""
     unescaped = F.regexp_replace(text, r"\\.", "")

@@ -467,7 +467,9 @@ def state_as_of(events: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def swept_writes(events: DataFrame, targets: DataFrame, at: str, place: str) -> DataFrame:
+def swept_writes(
+    events: DataFrame, targets: DataFrame, at: str, place: str, assign: Assign | None = None
+) -> DataFrame:
     """Last write of every field up to each ``targets(aggregate_id, at)``, packed, with ``set_at``.
 
     The targets of an aggregate cut its history into intervals. Every event falls
@@ -475,8 +477,12 @@ def swept_writes(events: DataFrame, targets: DataFrame, at: str, place: str) ->
     writes on the map side; only these are carried on from target to target. Work
     is linear in the events plus the rows returned; finding the interval costs one
     comparison per ``BLOCK_TARGETS`` targets of the aggregate and a look into one
-    block. Events and targets without a place (NULL) take no part.
+    block. Events and targets without a place (NULL) take no part. Where no aggregate
+    is long, ``dealt_writes`` moves events instead of their writes.
     """
+    if not cuts(assign or event_chunks(events)):
+        states = dealt_writes(events, targets, at, place)
+        return states.select("aggregate_id", "key", "is_book", "w", "set_at", "__target.*")
     per = Window.partitionBy("aggregate_id")
     line = per.orderBy(at)
     numbered = (
@@ -523,6 +529,67 @@ def swept_writes(events: DataFrame, targets: DataFrame, at: str, place: str) ->
     return spread.join(numbered.select("aggregate_id", "__n", at), ["aggregate_id", "__n"]).drop("__n")
 
 
+def dealt_writes(
+    events: DataFrame, targets: DataFrame, at: str, place: str, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``swept_writes`` of a log without long aggregates: a row per target, field and row of ``targets``.
+
+    Events and targets are dealt by aggregate once; numbering, last writes and what is
+    carried on are windows over the same deal, so no write is shuffled. ``__target``
+    holds ``at`` and the ``keep`` columns of one row of the (distinct) targets.
+    """
+    asked = targets.select("aggregate_id", at, *keep).filter(F.col("aggregate_id").isNotNull() & F.col(at).isNotNull()).distinct()
+    numbered = asked.withColumn("__n", F.dense_rank().over(Window.partitionBy("aggregate_id").orderBy(at)))
+    blocks = numbered.groupBy("aggregate_id", F.floor((F.col("__n") - 1) / BLOCK_TARGETS).alias("__block")).agg(
+        F.collect_list(F.struct("__n", F.struct(at, *keep).alias("__target"))).alias("__targets"),
+        F.min("__n").alias("__from"),
+        F.max("__n").alias("__to"),
+    )
+    blocks = blocks.withColumnRenamed("aggregate_id", "__id")
+    # a target comes right after the events of its place
+    names = list(dict.fromkeys([*KEYS, "event_type", "timestamp", "payload"]))
+    ends = asked.select("aggregate_id", F.col(at).alias("__place")).distinct()
+    both = (
+        events.filter(F.col("aggregate_id").isNotNull() & F.col(place).isNotNull())
+        .select(*names, F.col(place).alias("__place"), F.lit(0).alias("__end"))
+        .unionByName(ends.withColumn("__end", F.lit(1)), allowMissingColumns=True)
+        .repartition("aggregate_id")
+    )
+    passing = Window.partitionBy("aggregate_id").orderBy("__place", "__end")
+    so_far = passing.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = passing.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = both.select(
+        "*", F.sum("__end").over(so_far).alias("__passed"), F.sum("__end").over(whole).cast("int").alias("__total")
+    )
+    reached = placed.filter("__end = 0 AND __passed < __total").select(
+        *names, (F.col("__passed") + 1).cast("int").alias("__n"), "__total"
+    )
+    field = ["key", "is_book"]
+    line = Window.partitionBy("aggregate_id").orderBy(*field, "__n", *ORDER)
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    follows = F.lead(F.struct(*field, "__n")).over(line)
+    # fields lie one after the other: the largest of what came so far is one of this field
+    last = (
+        packed_writes(reached, ["__n", "__total"])
+        .select("*", F.max(F.struct(*field, *ORDER, "w")).over(upto).alias("__last"), follows.alias("__next"))
+        .filter(~F.col("__next").eqNullSafe(F.struct(*field, "__n")))
+    )
+    goes_on = F.col("__next").isNotNull() & (F.struct(*[F.col("__next").getField(c) for c in field]) == F.struct(*field))
+    carried = last.select(
+        "aggregate_id",
+        *field,
+        F.col("__last.w").alias("w"),
+        F.col("__last.sequence_number").alias("set_at"),
+        "__n",
+        F.when(goes_on, F.col("__next.__n") - 1).otherwise(F.col("__total")).alias("__upto"),
+    )
+    here = (F.col("aggregate_id") == F.col("__id")) & (F.col("__n") <= F.col("__to")) & (F.col("__upto") >= F.col("__from"))
+    mine = F.filter("__targets", lambda t: t["__n"].between(F.col("__n"), F.col("__upto")))
+    return carried.join(blocks, here).select(
+        "aggregate_id", *field, "w", "set_at", F.explode(F.transform(mine, lambda t: t["__target"])).alias("__target")
+    )
+
+
 def _last_writes(events: DataFrame, group: list[str]) -> DataFrame:
     # partial aggregation runs before the shuffle: a long history shrinks to its fields
     writes = packed_writes(events, [c for c in group if c != "aggregate_id"])
