@@ -8,6 +8,7 @@ from helpers import event, events_df
 from pyspark.sql import functions as F
 from tidemark.functions.text import instant_text
 from tidemark.operators import detect, export, governance, stats, timeline
+from tidemark.sources.sample_logs import order_log
 from tidemark.sources.schema import SchemaError, load_event_table, map_event_columns, validate_events
 from tidemark.streaming import tail
 
@@ -142,3 +143,42 @@ def test_conditions_on_other_kinds_of_columns(spark):
     assert ids(("sequence_number", "=", 0), ("event_type", ">", "x")) == ["2"]
     with pytest.raises(SchemaError):
         map_event_columns(rows, where=[("aggregate_id", "like", "7")])
+
+
+def test_json_documents_come_of_one_pass(spark, many):
+    """One read besides the look at the ids; the lines are those of a log that is cut."""
+    rows = [event("B", "T", i, "X", {"n": i}, 1300 + i) for i in range(1, 40)]
+    rows += [event(f"A{i}", "T", 1, "X", None, i) for i in range(3)] + [rows[4]]
+    rows += [event(None, "T", i, "X", {"n": i}, 2000 + i, f"n{i}") for i in range(3)]
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    plain = events_df(spark, rows)
+    log = plain.mapInArrow(count, plain.schema)
+    for limit in (None, -1, 2, 100):
+        read.value = 0
+        got = sorted(map(repr, export.export_json(log, datetime(2024, 1, 1), limit).collect()))
+        assert read.value <= 2 * len(rows)
+        cut = export.export_json(plain, datetime(2024, 1, 1), limit, width=4)
+        assert got == sorted(map(repr, cut.collect()))
+
+
+def test_order_lines_are_dealt_before_they_are_summed(spark, tmp_path):
+    """The sums of a scan's task would hold as many groups as its split has lines."""
+    lines = [(1, 1, 2.0, 1.5, 7), (1, 1, 3.0, 1.0, 9), (1, 2, 1.0, 4.0, 8), (5, 1, 1.0, 1.0, 1), (None, 1, 1.0, 1.0, 1)]
+    columns = "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_partkey long"
+    spark.createDataFrame(lines, columns).write.parquet(f"{tmp_path}/lineitem.parquet")
+    orders = [(1, 3, "F", 10.0, datetime(1996, 1, 2), "1-URGENT"), (2, 3, "O", 10.0, datetime(1996, 1, 2), "5-LOW")]
+    columns = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, columns).write.parquet(f"{tmp_path}/orders.parquet")
+    log = order_log(spark, str(tmp_path))
+    got = sorted((r.aggregate_id, r.sequence_number, r.payload) for r in log.collect())
+    assert [(a, n) for a, n, _ in got] == [("ORD-1", 1), ("ORD-1", 2), ("ORD-1", 3), ("ORD-1", 20), ("ORD-2", 1)]
+    assert got[1][2] == '{"part":9,"qty":5,"line_cents":250}'
+    plan = log._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(l_orderkey" in line and "l_linenumber" in line]
+    assert dealt and all("REPARTITION_BY_COL" in line for line in dealt)

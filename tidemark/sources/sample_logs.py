@@ -73,6 +73,9 @@ def order_log(spark: SparkSession, folder: str) -> DataFrame:
     )
     lines = (
         read_sample(spark, folder, "lineitem")
+        .select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey")
+        # hardly a line shares its number: sums on the map side would hold a whole split in memory for nothing
+        .repartition("l_orderkey", "l_linenumber")
         .groupBy("l_orderkey", "l_linenumber")
         .agg(
             F.sum(F.col("l_quantity").cast("long")).alias("qty"),
