@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.json_values import json_string, text
 from ..functions.text import csv_field, identifier, instant_text, source_string
-from ..plans.running import DEFAULT_WIDTH, event_chunks, number_rows, running
+from ..plans.running import DEFAULT_WIDTH, cuts, event_chunks, number_rows, running
 from ..sources.schema import ORDER
 from .governance import DEFAULT_MASKS, MaskRule, mask_payload
 from .replay import event_changes
@@ -82,8 +82,6 @@ def export_json(
 
     With a ``limit`` the document holds the first events up to it and names it.
     """
-    if limit is not None:
-        events = first_events(events, limit, width)
     at = F.current_timestamp() if exported_at is None else F.lit(exported_at).cast("timestamp")
     limit_part = "" if limit is None else f',"limit":{limit}'
     opening = F.concat(
@@ -92,6 +90,30 @@ def export_json(
         F.lit(',"eventCount":'), F.col("event_count").cast("string"),
         F.lit(limit_part + ',"events":['),
     )
+    assign = event_chunks(events, width)
+    if not cuts(assign):
+        # no aggregate is long: its first event brings the opening line, its last one the closing line
+        by_order = Window.partitionBy("aggregate_id").orderBy(*ORDER)
+        whole = by_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        placed = events.select(
+            "*", F.row_number().over(by_order).cast("long").alias("step"), F.count(F.lit(1)).over(whole).alias("event_count")
+        )
+        if limit is not None:
+            most = max(1, limit)
+            placed = placed.withColumn("event_count", F.least("event_count", F.lit(most))).filter(F.col("step") <= most)
+        follows = F.col("aggregate_id").isNotNull() & (F.col("step") < F.col("event_count"))
+
+        def line(number: Column, text: Column) -> Column:
+            return F.struct(number.cast("long").alias("line_no"), text.alias("line"))
+
+        lines = F.array(
+            F.when(F.col("step") == 1, line(F.lit(0), opening)),
+            line(F.col("step"), F.concat(event_json(F.col("payload")), F.when(follows, ",").otherwise(""))),
+            F.when(F.col("step") == F.col("event_count"), line(F.lit(LAST_LINE), F.lit("]}"))),
+        )
+        return placed.select("aggregate_id", F.inline(F.array_compact(lines)))
+    if limit is not None:
+        events = first_events(events, limit, width)
     counts = count_events(events)
     body = _numbered(events, width)
     comma = F.when(F.col("step") < F.col("steps"), ",").otherwise("")
