@@ -6,6 +6,7 @@ from datetime import date, datetime, timezone
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from helpers import event, events_df
 from tidemark.operators import id_index, rollups, snapshots
@@ -190,3 +191,19 @@ def test_daily_totals_merge(spark):
     assert trailing[date(2026, 3, 30)].total_events == 1_500
     nothing = rollups.totals_between(rollups.daily_totals(events.limit(0))).first()
     assert tuple(nothing) == (0, 0)
+
+
+def test_an_empty_store_costs_no_read(spark, tmp_path):
+    """What is joined with snapshots that are not there is not computed."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    log = spark.range(50).selectExpr("string(id) AS aggregate_id")
+    stored = snapshots.stored_snapshots(spark, f"{tmp_path}/none")
+    assert stored.schema.simpleString() == StructType.fromDDL(snapshots.SNAPSHOT_SCHEMA).simpleString()
+    assert stored.join(log.mapInArrow(count, log.schema), "aggregate_id").isEmpty()
+    assert read.value == 0

@@ -93,7 +93,9 @@ def _parsed(text: str | None) -> dict:
 
 def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
     for batch in batches:
-        yield from batch.to_dict("records")
+        names = list(batch.columns)
+        for values in zip(*[batch[name].tolist() for name in names]):
+            yield dict(zip(names, values))
 
 
 def _sorted(events: DataFrame, group: list[str]) -> DataFrame:

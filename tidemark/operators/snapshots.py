@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.schema import ORDER
 from .reducers import CARRIED, FoldReducer, ReducerError, _dump, _parsed, _rows
@@ -40,7 +41,10 @@ def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        # known to be empty when the plan is made: what is joined with it is not computed
+        return spark.range(0).filter(F.lit(False)).select(
+            *[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(schema)]
+        )
 
 
 def _place() -> Column:
