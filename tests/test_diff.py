@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from helpers import event, events_df
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from tidemark.operators import diff
+from tidemark.operators import diff, replay
 from tidemark.plans.running import event_chunks
 
 
@@ -145,3 +145,39 @@ def test_ends_of_requests_are_paired_where_they_lie(spark, monkeypatch):
     assert not re.findall(r"Exchange hashpartitioning\([^)]*key", plan)
     monkeypatch.setattr(diff, "event_chunks", lambda events: event_chunks(events, 4, True))
     assert got == sorted(map(repr, diff.diff_at_sequences(df, requests).collect())) and got
+
+
+def test_last_writes_come_from_events_that_move_once(spark, monkeypatch):
+    rows = [
+        event("A", "T", 1, "Set", {"x": 1, "s": "a", "n": None}, 1),
+        event("A", "T", 2, "Set", {"x": None, "_version": "own"}, 2),
+        event("A", "T", 3, "AccountClosed", {"y": {"b": [1, 2.50]}}, 3),
+        event("B", "T", 1, "Set", {"x": 1.0, "status": "OPEN", "_lastUpdated": None}, 4),
+        event("B", "T", 2, "Cancelled", {"status": None}, 5),
+        event("C", "T", 1, None, "no json", 6, minutes=0),
+        event(None, "T", 1, "Set", {"x": 9}, 7),
+    ]
+    df = events_df(spark, [*rows, rows[1]])
+    pairs = spark.createDataFrame(
+        [("A", "B"), ("B", "C"), ("C", "none"), ("none", "A"), ("A", "A"), (None, "A"), ("A", "B")],
+        "left_id string, right_id string",
+    )
+
+    def results():
+        frames = [
+            replay.current_state(df),
+            diff.diff_aggregates(df, pairs),
+        ]
+        return frames, [sorted(map(repr, f.collect())) for f in frames]
+
+    frames, got = results()
+    for f in frames:
+        plan = f._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert not re.findall(r"Exchange hashpartitioning\([^)]*key", plan)
+    # the way by rows: of many fields, and of NULL aggregates that are many
+    for name, value in (("MOST_FIELDS", 0), ("maybe_long", lambda largest, width: (largest or 0) == 1)):
+        with monkeypatch.context() as patch:
+            patch.setattr(replay, name, value)
+            assert not replay.in_columns(replay.survey(df))
+            assert results()[1] == got
+    assert all(got)

@@ -32,14 +32,14 @@ def object_fields(text: Column | str) -> Column:
     )
 
 
-def _alike(names: Sequence[str]) -> bool:
+def alike(names: Sequence[str]) -> bool:
     """Whether names differ in case only; Spark does not tell such members of a STRUCT apart."""
     return len({n.lower() for n in names}) < len(names)
 
 
 def object_parts(text: Column | str, names: Sequence[str]) -> Column:
     """The named top-level fields of a JSON object, taken out in one go, for ``part_json``."""
-    if _alike(names) or not names:
+    if alike(names) or not names:
         return object_fields(text)
     quoted = ",".join(f"`{n.replace('`', '``')}` variant" for n in names)
     return F.try_variant_get(variant(text), "$", f"struct<{quoted}>")
@@ -47,7 +47,7 @@ def object_parts(text: Column | str, names: Sequence[str]) -> Column:
 
 def part_json(parts: str, number: int, names: Sequence[str]) -> Column:
     """Canonical JSON of the field of that number, NULL when absent."""
-    if _alike(names):
+    if alike(names):
         return field_json(F.col(parts), names[number])
     return F.to_json(F.col(parts).getField(names[number]))
 

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.json_values import FIELD_MAP
 from ..plans.running import cuts, event_chunks
-from .replay import current_state, dealt_writes, swept_writes, unpacked
+from .replay import (
+    current_state, dealt_writes, entries, final_columns, in_columns, plain, survey, swept_writes, unpacked,
+)
+
 
 
 def _changed(old: Column, new: Column) -> Column:
@@ -28,8 +31,10 @@ def field_diff(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
 def diff_aggregates(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """Final state of ``left_id`` against ``right_id`` for each row of ``pairs(left_id, right_id)``.
 
-    An id without events has an empty state.
+    An id without events has an empty state. In a log that is ``in_columns`` a state is one
+    row, also where pairs meet; else fields are rows.
     """
+    plan = survey(events)
     asked = pairs.select("left_id", "right_id").distinct()
     sides = asked.select(
         "left_id",
@@ -41,7 +46,10 @@ def diff_aggregates(events: DataFrame, pairs: DataFrame) -> DataFrame:
             )
         ),
     )
-    state = current_state(events.join(sides.select("aggregate_id").distinct(), "aggregate_id", "left_semi"))
+    reached = events.join(sides.select("aggregate_id").distinct(), "aggregate_id", "left_semi")
+    if in_columns(plan):
+        return _paired_columns(sides.join(final_columns(reached, plan), "aggregate_id"), plan.fields)
+    state = current_state(reached, plan)
     fields = sides.join(state, "aggregate_id").groupBy("left_id", "right_id", "key").agg(
         F.max(F.when(F.col("is_left"), F.col("value_json"))).alias("old_json"),
         F.max(F.when(~F.col("is_left"), F.col("value_json"))).alias("new_json"),
@@ -49,6 +57,26 @@ def diff_aggregates(events: DataFrame, pairs: DataFrame) -> DataFrame:
     return fields.filter(_changed(F.col("old_json"), F.col("new_json")))
 
 
+def _paired_columns(sides: DataFrame, fields: list[str]) -> DataFrame:
+    """Changed fields of each pair, of rows that hold one side's values as ``l_<number of the field>``."""
+    values = F.struct(*[F.col(f"l_{i}") for i in range(len(fields))])
+    by = ["left_id", "right_id"]
+    # dealt first: a pair has two rows, so that sums on the map side would sort all for nothing
+    paired = (
+        sides.select(*by, "is_left", values.alias("state"))
+        .repartition(*by)
+        .groupBy(*by)
+        .agg(F.max(F.when(F.col("is_left"), F.col("state"))).alias("old"), F.max(F.when(~F.col("is_left"), F.col("state"))).alias("new"))
+    )
+    changed = entries(
+        fields,
+        lambda e: _changed(plain(e["old_json"]), plain(e["new_json"])),
+        old_json=lambda i: F.col(f"old.l_{i}"),
+        new_json=lambda i: F.col(f"new.l_{i}"),
+    )
+    return paired.select(*by, F.inline(changed))
+
+
 def diff_at_sequences(events: DataFrame, requests: DataFrame) -> DataFrame:
     """State at ``from_sequence`` against ``to_sequence``, both inclusive, per request.
 

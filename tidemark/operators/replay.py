@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.json_values import (
-    field_json, field_of, json_string, object_fields, object_parts, object_text, part_json,
+    alike, field_json, field_of, json_string, object_fields, object_parts, object_text, part_json,
 )
 from ..functions.text import has_any_word, instant_text
 from ..plans.running import (
@@ -168,10 +168,14 @@ def _stepped(events: DataFrame, assign: Assign) -> DataFrame:
 
 @dataclass(frozen=True)
 class Survey:
-    """What a pass over a log tells: how it is cut, and all fields its events write (NULL if too many)."""
+    """What a pass over a log tells: how it is cut, and all fields its events write (NULL if too many).
+
+    ``crowded``: whether events without an aggregate, which are never cut, are as many as those of a long one.
+    """
 
     assign: Assign
     fields: list[str] | None
+    crowded: bool = False
 
 
 def survey(events: DataFrame, width: int = DEFAULT_WIDTH) -> Survey:
@@ -191,16 +195,25 @@ def survey(events: DataFrame, width: int = DEFAULT_WIDTH) -> Survey:
     # shuffle, the sizes are kept, and NULLs go out behind the buckets and the names
     every = shapes.filter(F.col("__size") > 0).select(F.explode_outer("__names").alias("name")).distinct()
     fields = every.filter(F.col("name").isNotNull())
+    nothing = F.lit(None).cast("long")
     found = (
-        sizes.agg(F.max(F.when(F.col("__bucket").isNotNull(), F.col("__size"))).alias("most"))
-        .select(F.lit(None).cast("string").alias("name"), "most")
-        .unionByName(fields.limit(MOST_FIELDS + 1).select("name", F.lit(None).cast("long").alias("most")))
+        sizes.agg(
+            F.max(F.when(F.col("__bucket").isNotNull(), F.col("__size"))).alias("most"),
+            F.max(F.when(F.col("__bucket").isNull(), F.col("__size"))).alias("nameless"),
+        )
+        .select(F.lit(None).cast("string").alias("name"), "most", "nameless")
+        .unionByName(fields.limit(MOST_FIELDS + 1).select("name", nothing.alias("most"), nothing.alias("nameless")))
         .collect()
     )
     written = {r.name for r in found if r.name is not None}
     most = max((r.most for r in found if r.most is not None), default=0)
+    nameless = max((r.nameless for r in found if r.nameless is not None), default=0)
     assign = event_chunks(events, width, maybe_long(most, width))
-    return Survey(assign, sorted(written | set(_system_values())) if len(written) <= MOST_FIELDS else None)
+    return Survey(
+        assign,
+        sorted(written | set(_system_values())) if len(written) <= MOST_FIELDS else None,
+        maybe_long(nameless, width),
+    )
 
 
 def _by_aggregate(events: DataFrame, assign: Assign) -> DataFrame:
@@ -223,17 +236,17 @@ def _write_columns(events: DataFrame, fields: Sequence[str], keep: Sequence[str]
     return parsed.select(*KEYS, *keep, *[written(i, name).alias(f"w_{i}") for i, name in enumerate(fields)])
 
 
-def _entries(fields: Sequence[str], holds: Callable[[Column], Column], **values: Callable[[int], Column]) -> Column:
+def entries(fields: Sequence[str], holds: Callable[[Column], Column], **values: Callable[[int], Column]) -> Column:
     """Array of ``key`` and named values (by the field's number): the entries that ``holds`` accepts."""
     every = [
         F.struct(F.lit(name).alias("key"), *[v(i).alias(n) for n, v in values.items()]) for i, name in enumerate(fields)
     ]
     # told apart behind the array: a test per field in one row's code would be too large to be compiled
     kept = F.filter(F.array(*every), holds)
-    return F.transform(kept, lambda e: F.struct(e["key"].alias("key"), *[_plain(e[n]).alias(n) for n in values]))
+    return F.transform(kept, lambda e: F.struct(e["key"].alias("key"), *[plain(e[n]).alias(n) for n in values]))
 
 
-def _plain(value: Column) -> Column:
+def plain(value: Column) -> Column:
     """A written value; the empty text, which is no JSON, stands for bookkeeping written as NULL."""
     return F.nullif(value, F.lit(""))
 
@@ -256,9 +269,9 @@ def _changed_columns(events: DataFrame, plan: Survey, keep: Sequence[str] = (),
         keep_chunks=True,
     )
     written, before = _column("w"), _column("p")
-    diff = _entries(
+    diff = entries(
         fields,
-        lambda e: e["new_json"].isNotNull() & _differs(_plain(e["old_json"]), _plain(e["new_json"])),
+        lambda e: e["new_json"].isNotNull() & _differs(plain(e["old_json"]), plain(e["new_json"])),
         old_json=before,
         new_json=written,
     )
@@ -386,7 +399,7 @@ def states_beside(events: DataFrame, marks: DataFrame, plan: Survey, keep: Seque
         plan.assign,
         latest={f"l_{i}": F.col(f"w_{i}") for i in range(len(plan.fields))},
     )
-    state = _entries(plan.fields, lambda e: e["value_json"].isNotNull(), value_json=_column("l"))
+    state = entries(plan.fields, lambda e: e["value_json"].isNotNull(), value_json=_column("l"))
     return filled.filter("__mark = 1").select(*KEYS, *keep, state.alias("__state"))
 
 
@@ -411,9 +424,9 @@ def transition_states(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFram
     known = ~F.greatest(*[F.col(c).isNull() for c in KEYS])
     made = rows.select(
         *KEYS, "step", *[c for c in rows.columns if c == CHUNK],
-        _entries(plan.fields, lambda e: e["value_json"].isNotNull(), value_json=last).alias("__after"),
+        entries(plan.fields, lambda e: e["value_json"].isNotNull(), value_json=last).alias("__after"),
         F.transform(
-            _entries(plan.fields, lambda e: known & e["written"].isNotNull(), written=written, value_json=before),
+            entries(plan.fields, lambda e: known & e["written"].isNotNull(), written=written, value_json=before),
             lambda e: F.struct(e["key"].alias("key"), e["value_json"].alias("value_json")),
         ).alias("__replaced"),
     )
@@ -599,9 +612,71 @@ def _last_writes(events: DataFrame, group: list[str]) -> DataFrame:
     return unpacked(last, {"w": "value_json"}).select(*group, "key", "value_json", "set_at")
 
 
-def current_state(events: DataFrame) -> DataFrame:
-    """Final value of every field, and the sequence that last wrote it."""
-    return _last_writes(events, ["aggregate_id"])
+def in_columns(plan: Survey) -> bool:
+    """Whether final states come from a column per field: few fields, and no history too long for one task."""
+    return plan.fields is not None and not cuts(plan.assign) and not plan.crowded
+
+
+def final_columns(events: DataFrame, plan: Survey) -> DataFrame:
+    """A row per aggregate: what was last written to each field and by which sequence (``l_``, ``s_<its number>``).
+
+    For logs that are ``in_columns``. Only events move and are sorted, not their writes.
+    """
+    own = [i for i, name in enumerate(plan.fields) if name not in BOOKKEEPING]
+    line = Window.partitionBy("aggregate_id").orderBy(*ORDER)
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    system, sequence = _system_values(), F.col("sequence_number")
+    rest = {name: value for name, value in system.items() if name not in BOOKKEEPING}
+    # every event writes the bookkeeping: that of the last one stands, and its texts are made for that one only
+    names = [*KEYS, "event_type", "timestamp"]
+    source = events.select(*names, "payload").withColumn("__parts", object_parts("payload", plan.fields))
+    written = source.select(
+        *names,
+        *[
+            (F.coalesce(value, rest[name]) if name in rest else value).alias(f"w_{i}")
+            for i, name in enumerate(plan.fields)
+            for value in [part_json("__parts", i, plan.fields)]
+        ],
+    )
+    passed = written.select(
+        *names,
+        *[F.col(f"w_{i}").alias(f"l_{i}") for i in range(len(plan.fields)) if i not in own],
+        *[F.last(f"w_{i}", ignorenulls=True).over(upto).alias(f"l_{i}") for i in own],
+        *[F.last(F.when(F.col(f"w_{i}").isNotNull(), sequence), ignorenulls=True).over(upto).alias(f"s_{i}") for i in own],
+        F.lead(F.lit(True)).over(line).alias("__goes_on"),
+    )
+    last = passed.filter(F.col("__goes_on").isNull())
+    return last.select(
+        "aggregate_id",
+        *[
+            F.col(f"l_{i}") if i in own else F.coalesce(f"l_{i}", system[name], F.lit("")).alias(f"l_{i}")
+            for i, name in enumerate(plan.fields)
+        ],
+        *[(F.col(f"s_{i}") if i in own else sequence).alias(f"s_{i}") for i in range(len(plan.fields))],
+    )
+
+
+def current_state(events: DataFrame, plan: Survey | None = None, grouped: bool = False) -> DataFrame:
+    """Final value of every field, and the sequence that last wrote it.
+
+    ``plan`` is as in ``transitions``. ``grouped`` leaves the values of an aggregate in one row
+    (``state``, a member for each field of the plan), for ``field_diff``, where the log is
+    ``in_columns`` and no names differ in case only.
+    """
+    plan = plan or survey(events)
+    if not in_columns(plan):
+        return _last_writes(events, ["aggregate_id"])
+    # dealt before they are parsed: texts are shorter than columns
+    last = final_columns(events.select(*KEYS, "event_type", "timestamp", "payload").repartition("aggregate_id"), plan)
+    if grouped and not alike(plan.fields):
+        values = [plain(F.col(f"l_{i}")).alias(name) for i, name in enumerate(plan.fields)]
+        return last.select("aggregate_id", F.struct(*values).alias("state"))
+    every = [
+        F.struct(F.lit(name).alias("key"), F.col(f"l_{i}").alias("value_json"), F.col(f"s_{i}").alias("set_at"))
+        for i, name in enumerate(plan.fields)
+    ]
+    state = last.select("aggregate_id", F.inline(F.filter(F.array(*every), lambda e: e["value_json"].isNotNull())))
+    return state.select("aggregate_id", "key", plain(F.col("value_json")).alias("value_json"), "set_at")
 
 
 def replay_heads(events: DataFrame) -> DataFrame:
