@@ -21,13 +21,30 @@ def _changed(old: Column, new: Column) -> Column:
 def field_diff(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     """Changed, added and removed fields between two long-form states keyed by ``by`` and ``key``.
 
-    Missing and null count as the same.
+    Missing and null count as the same. States that come ``grouped``, a row with all fields
+    (``state``) per ``by``, are compared inside the row: no field is shuffled.
     """
+    if "state" in before.columns and "state" in after.columns:
+        return _grouped_diff(before, after, by)
     old = before.select(*by, "key", F.col("value_json").alias("old_json"))
     new = after.select(*by, "key", F.col("value_json").alias("new_json"))
     return old.join(new, [*by, "key"], "full_outer").filter(_changed(F.col("old_json"), F.col("new_json")))
 
 
+def _grouped_diff(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    old, new = (df.select(*by, F.col("state").alias(f"__{side}")) for side, df in (("old", before), ("new", after)))
+    held = {side: df.schema[f"__{side}"].dataType.names for side, df in (("old", old), ("new", new))}
+    names = list(dict.fromkeys([*held["old"], *held["new"]]))
+
+    def value(side: str):
+        return lambda i: F.col(f"__{side}")[names[i]] if names[i] in held[side] else F.lit(None).cast("string")
+
+    changed = entries(
+        names, lambda e: _changed(e["old_json"], e["new_json"]), old_json=value("old"), new_json=value("new")
+    )
+    return old.join(new, by, "full_outer").select(*by, F.inline(changed))
+
+
 def diff_aggregates(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """Final state of ``left_id`` against ``right_id`` for each row of ``pairs(left_id, right_id)``.
 

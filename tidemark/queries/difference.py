@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import instant_text
 from ..operators import detect, diff
-from ..operators.replay import current_state, transitions
+from ..operators.replay import current_state, survey, transitions
 from ..sources.sample_logs import activity_log, order_log, read_sample
 from .catalog import query
 from .sql_logs import activity, activity_states, iso, order_changes, order_states
@@ -78,8 +78,10 @@ def _diff_at(spark, folder):
 )
 def _field_diff(spark, folder):
     events = order_log(spark, folder)
-    opening = current_state(events.filter(F.col("sequence_number") == 1))
-    return diff.field_diff(opening, current_state(events), ["aggregate_id"])
+    # the survey of the log holds for its first events too
+    plan = survey(events)
+    opening = current_state(events.filter(F.col("sequence_number") == 1), plan, grouped=True)
+    return diff.field_diff(opening, current_state(events, plan, grouped=True), ["aggregate_id"])
 
 
 DEEP_DOCUMENTS = """
