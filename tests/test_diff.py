@@ -147,6 +147,23 @@ def test_ends_of_requests_are_paired_where_they_lie(spark, monkeypatch):
     assert got == sorted(map(repr, diff.diff_at_sequences(df, requests).collect())) and got
 
 
+def test_texts_of_few_brackets_are_not_looked_into(spark):
+    flat = '{"a": [1, {"b": 2}]}'
+    wide = json.dumps({"a": [{"b": i} for i in range(20)], "t": "[[[[{{{{"})
+    rows = [(0, flat, '{"a": [1, {"b": 3}]}'), (1, flat, wide), (2, wide, wide.replace("19", "21")), (3, None, wide), (4, "[[", flat)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    assert [r[0] for r in df.select(diff._brackets(F.col("a"))).collect()] == [3, 3, 30, 0, 2]
+    found = diff.deep_diff(df, "a", "b", ["id"])
+    explodes = found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode")
+    got = {i: [(r.path, r.kind) for r in found.filter(F.col("id") == i).collect()] for i in (0, 2, 3, 4)}
+    assert got[0] == [("$.a[1].b", "changed")] and got[2] == [("$.a[19].b", "changed")]
+    assert got[3] == [("$", "added")] and got[4] == [("$", "added")]
+    assert explodes == 3
+    few = diff.deep_diff(df.filter("id = 0"), "a", "b", ["id"])
+    bound = few._jdf.queryExecution().optimizedPlan().toString()
+    assert bound.count("Generate explode") == 3
+
+
 def test_last_writes_come_from_events_that_move_once(spark, monkeypatch):
     rows = [
         event("A", "T", 1, "Set", {"x": 1, "s": "a", "n": None}, 1),

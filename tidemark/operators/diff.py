@@ -11,6 +11,7 @@ from .replay import (
     current_state, dealt_writes, entries, final_columns, in_columns, plain, survey, swept_writes, unpacked,
 )
 
+FEW_BRACKETS = 4  # a level more than needed costs less than counting the levels of every text
 
 
 def _changed(old: Column, new: Column) -> Column:
@@ -160,6 +161,12 @@ def nesting(text: Column) -> Column:
     return F.when(F.try_parse_json(text).isNotNull(), F.aggregate(signs, start, step)["most"]).otherwise(F.lit(0))
 
 
+def _brackets(text: Column) -> Column:
+    """How many brackets a text opens: no fewer than its levels, and 0 where there is no text."""
+    others = F.replace(F.replace(text, F.lit("{"), F.lit("")), F.lit("["), F.lit(""))
+    return F.coalesce(F.char_length(text) - F.char_length(others), F.lit(0))
+
+
 def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], depth: int | None = None) -> DataFrame:
     """Patches ``path, kind, old_json, new_json`` that turn one JSON document into the other.
 
@@ -170,8 +177,11 @@ def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], dept
     than ``depth`` is an error.
     """
     if depth is None:
-        # nothing below the shallower of the two can be compared
-        levels = F.least(nesting(F.col(left)), nesting(F.col(right)))
+        # nothing below the shallower of the two can be compared; texts of few brackets are not looked into
+        brackets = F.least(_brackets(F.col(left)), _brackets(F.col(right)))
+        levels = F.when(brackets <= FEW_BRACKETS, brackets).otherwise(
+            F.least(nesting(F.col(left)), nesting(F.col(right)))
+        )
         depth = documents.agg(F.max(levels).alias("most")).first().most or 0
 
     def node(path: Column, old: Column, new: Column) -> Column:
@@ -227,7 +237,9 @@ def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], dept
         .when(gone(new_text), "removed")
         .otherwise("changed")
     )
-    return nodes.filter(differs).select(
+    # every level has left out what is equal
+    standing = nodes if depth else nodes.filter(differs)
+    return standing.select(
         *keep,
         F.col("__node.path").alias("path"),
         kind.alias("kind"),
