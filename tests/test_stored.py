@@ -207,3 +207,14 @@ def test_an_empty_store_costs_no_read(spark, tmp_path):
     assert stored.schema.simpleString() == StructType.fromDDL(snapshots.SNAPSHOT_SCHEMA).simpleString()
     assert stored.join(log.mapInArrow(count, log.schema), "aggregate_id").isEmpty()
     assert read.value == 0
+
+
+def test_postings_are_as_many_as_characters(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = [event(a, "T", 1, "Step", {}, i) for i, a in enumerate(["ab", "ABC", "xyzab", "日本語-1", "b"])]
+    id_index.write_id_index(events_df(spark, rows), path)
+    postings = spark.read.parquet(f"{path}/postings")
+    assert sorted(r.gram for r in postings.filter("aggregate_id = 'xyzab'").collect()) == ["ab", "b", "xyz", "yza", "zab"]
+    assert postings.count() == 16
+    for text, ids in {"b": ["ABC", "ab", "b", "xyzab"], "ab": ["ABC", "ab", "xyzab"], "za": ["xyzab"], "語-": ["日本語-1"], "1": ["日本語-1"], "abcd": []}.items():
+        assert [r[0] for r in id_index.search_indexed(spark, path, text).collect()] == ids, text

@@ -1,8 +1,10 @@
 """Substring search over aggregate ids without reading the log: postings of trigrams.
 
-``postings`` has a row for every distinct id and every run of three, two or one
-characters in its lower-case form, sorted by that run, so a look-up skips all other
-row groups. ``sizes`` counts the ids behind each run. A search reads the postings
+``postings`` has a row for every distinct id and every place in its lower-case form: the
+run of three characters that begins there, shorter at the end. Ids stay in the files
+they are dealt to; each file is sorted by that run, so a look-up skips all other row
+groups and pages. Shorter texts begin some run wherever they stand. ``sizes`` counts
+the ids behind each run of three. A search reads the postings
 of the rarest run in the search text only: a posting holds its whole id, so the
 rest of the text is checked on the spot, and the lists of its other runs, which
 could only confirm the same, stay unread. Sizes only choose the list: where a broken
@@ -19,13 +21,13 @@ from pyspark.sql import functions as F
 from .timeline import DEFAULT_SEARCH, chosen_limit, first_event
 
 GRAM = 3
+ROW_GROUP = 8 << 20  # bytes of postings that a look-up skips or opens
 LISTED = 1_000  # ids that a filter on the log may list
 
 
-def _grams(text: Column, length: int) -> Column:
-    last = F.char_length(text) - length + 1
-    runs = F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(length)))
-    return F.when(last >= 1, runs).otherwise(F.array().cast("array<string>"))
+def _grams(text: Column) -> Column:
+    places = F.sequence(F.lit(1), F.char_length(text))
+    return F.array_distinct(F.transform(places, lambda i: F.substring(text, i, F.lit(GRAM))))
 
 
 def write_id_index(events: DataFrame, path: str) -> None:
@@ -35,17 +37,17 @@ def write_id_index(events: DataFrame, path: str) -> None:
     again and found once.
     """
     ids = events.select("aggregate_id").filter(F.col("aggregate_id") != "").distinct()
-    low = F.lower("aggregate_id")
-    grams = F.array_distinct(F.concat(*[_grams(low, n) for n in range(1, GRAM + 1)]))
     batch = f"{path}/postings/batch={uuid.uuid4().hex}"
     (
-        ids.select(F.explode(grams).alias("gram"), "aggregate_id")
-        .repartitionByRange("gram", "aggregate_id")
+        # a list is spread over the files: no posting moves, and a long one is read by many tasks
+        ids.select(F.explode(_grams(F.lower("aggregate_id"))).alias("gram"), "aggregate_id")
         .sortWithinPartitions("gram", "aggregate_id")
-        .write.parquet(batch)
+        .write.option("parquet.block.size", ROW_GROUP)
+        .parquet(batch)
     )
     # counted from what was written, so that ids are taken apart once
-    sizes = events.sparkSession.read.parquet(batch).groupBy("gram").agg(F.count(F.lit(1)).alias("ids"))
+    runs = events.sparkSession.read.parquet(batch).filter(F.char_length("gram") == GRAM)
+    sizes = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("ids"))
     sizes.repartitionByRange("gram").sortWithinPartitions("gram").write.mode("append").parquet(f"{path}/sizes")
 
 
@@ -54,13 +56,15 @@ def indexed_ids(spark: SparkSession, path: str, query: str) -> DataFrame:
     if not query or not query.strip():
         raise ValueError("search text must not be blank")
     low = query.lower()
-    width = min(GRAM, len(low))
-    grams = sorted({low[i : i + width] for i in range(len(low) - width + 1)})
-    # one row per run of the search text at most
-    known = spark.read.parquet(f"{path}/sizes").filter(F.col("gram").isin(grams))
-    sizes = dict(known.groupBy("gram").agg(F.sum("ids")).collect())
-    rarest = min(grams, key=lambda g: (sizes.get(g, 0), g))
-    postings = spark.read.parquet(f"{path}/postings").filter(F.col("gram") == rarest)
+    postings = spark.read.parquet(f"{path}/postings")
+    if len(low) < GRAM:
+        postings = postings.filter(F.col("gram").startswith(low))
+    else:
+        grams = sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
+        # one row per run of the search text at most
+        known = spark.read.parquet(f"{path}/sizes").filter(F.col("gram").isin(grams))
+        sizes = dict(known.groupBy("gram").agg(F.sum("ids")).collect())
+        postings = postings.filter(F.col("gram") == min(grams, key=lambda g: (sizes.get(g, 0), g)))
     found = postings.filter(F.contains(F.lower("aggregate_id"), F.lit(low)))
     return found.select("aggregate_id").distinct()
 
