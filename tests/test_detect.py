@@ -191,3 +191,18 @@ def test_fields_of_any_name_are_replayed(spark):
         last = {k: v for (n, k), v in got.items() if n == len(kept) and not k.startswith("_")}
         fields = {"e`f": "2", "q'r": "null", "$.x": "[1]", "": "5"}
         assert last == (fields if len(kept) == 2 else {**fields, "A": "1", "a": "1"})
+
+
+def test_only_texts_that_may_hold_a_field_are_parsed(spark):
+    rows = [
+        event("A", "T", 1, "Set", '{"x": 1}', 1),
+        event("A", "T", 2, "Set", '{"\\u0078": 2}', 2),
+        event("A", "T", 3, "Set", '{"y": 7, "z": "x"}', 3),
+        event("A", "T", 4, "Set", None, 4),
+        event("A", "T", 5, "Set", "x", 5),
+        event("A", "T", 6, "Set", '{"y": 8}', 6),
+    ]
+    found = detect.narrow_writes(events_df(spark, rows), ["x"])
+    assert [r.w_x for r in found.orderBy("sequence_number").collect()] == ["1", "2", None, None, None, None]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(payload" in plan and "CASE WHEN" in plan

@@ -36,7 +36,12 @@ def filter_states(states: DataFrame, condition: str | Condition) -> DataFrame:
 
 def narrow_writes(events: DataFrame, fields: Iterable[str]) -> DataFrame:
     """Events without payload, but with what each writes to the named fields (``w_<field>``)."""
-    parsed = events.withColumn("__payload", variant("payload"))
+    fields = list(fields)
+    # a member's name stands in the text as it is, or with an escape in it: other texts are not parsed
+    may_hold = F.contains("payload", F.lit("\\"))
+    for f in fields:
+        may_hold = may_hold | F.contains("payload", F.lit(f))
+    parsed = events.withColumn("__payload", F.when(may_hold, variant("payload")))
     return parsed.select(
         *KEYS, "event_type", "timestamp", *[written_value(f, F.col("__payload")).alias(f"w_{f}") for f in fields]
     )
