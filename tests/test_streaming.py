@@ -79,6 +79,33 @@ def test_released_rows_leave_the_state(spark, tmp_path):
     assert max(held) < 4 * 60 and held[-1] < 40
 
 
+def test_waiting_events_lie_in_pages(spark, tmp_path):
+    """Entries of the state are pages of events, not writes; what a page has left goes out as the watermark moves."""
+    rows = [event("A", "T", i, "X", {"n": i // 2, "m": 1}, i, minutes=i) for i in range(1, 1201)]
+    batches = [rows[:900], rows[900:], [event("Z", "T", 1, "X", {}, 9998, minutes=1300)], [event("Z", "T", 2, "X", {}, 9999, minutes=99999)]]
+    stream = as_stream(spark, tmp_path / "in", batches)
+    got, progress = run(carry.stream_replay(stream, "300 minutes"), tmp_path, "out")
+    expected = {key(r) for r in replay.transitions(events_df(spark, rows + batches[2])).collect()}
+    assert {key(r) for r in got} == expected and len(got) == len(expected) and not any(r.late for r in got)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) < 20
+
+
+def test_lanes_of_an_aggregate_are_late_apart(spark, tmp_path):
+    """More fields than are kept together; a copy of an event is late in the fields it shares with it."""
+    wide = {f"f{i}": i for i in range(150)}
+    rows = [event("A", "T", i, "X", {**wide, f"f{i}": -i}, i, minutes=i) for i in range(1, 9)]
+    more = event("A", "T", 3, "X", {"f3": 7, "other": 1}, 3, minutes=3)
+    narrow = event("A", "T", 10, "X", {"f1": 5, "f149": 6}, 10, minutes=500)
+    batches = [rows[:5] + [more], rows[5:], [narrow], [event("Z", "T", 1, "X", {}, 999, minutes=9999)]]
+    stream = as_stream(spark, tmp_path / "in", batches)
+    got, _ = run(carry.stream_replay(stream, "30 minutes"), tmp_path, "out")
+    told = {(r.sequence_number, r.key): (r.old_json, r.new_json) for r in got if not r.late}
+    expected = {(r.sequence_number, r.key): (r.old_json, r.new_json) for r in replay.transitions(events_df(spark, [*rows, narrow])).collect()}
+    assert told == expected | {(3, "other"): (None, "1")}
+    shared = {"f3", "_version", "_lastEventType", "_lastUpdated"}
+    assert sorted(r.key for r in got if r.late) == sorted(shared)
+
+
 def test_late_rows_come_out_apart(spark, tmp_path):
     """Every event is in one of the two outputs, whatever the order of arrival."""
     rows = [event("A", "T", i, "X", {"a": i}, i, minutes=10 * i) for i in range(1, 31)]

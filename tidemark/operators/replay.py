@@ -73,8 +73,8 @@ def parse_payload(events: DataFrame, column: str = "payload") -> DataFrame:
     )
 
 
-def field_changes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """Every field write of every event; a narrow projection without a shuffle."""
+def event_writes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every event with its field writes as an array (``__writes``); a narrow projection without a shuffle."""
     parsed = events.withColumn("__fields", object_fields("payload"))
     written = F.transform(
         F.map_entries("__fields"),
@@ -89,7 +89,12 @@ def field_changes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         system,
         lambda e: e["value_json"].isNotNull() & ~F.map_contains_key(F.col("__fields"), e["key"]),
     )
-    return parsed.select(*KEYS, *keep, F.inline(F.concat(standing, written)))
+    return parsed.select(*KEYS, *keep, F.concat(standing, written).alias("__writes"))
+
+
+def field_changes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Every field write of every event; a narrow projection without a shuffle."""
+    return event_writes(events, keep).select(*KEYS, *keep, F.inline("__writes"))
 
 
 def packed_writes(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
