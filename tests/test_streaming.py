@@ -151,6 +151,20 @@ def test_rules_on_several_fields_equal_batch(spark, tmp_path):
     assert "PAIR" in {r.code for r in got}
 
 
+def test_an_event_waits_once_for_all_rules(spark, tmp_path):
+    """Units of fields share the events that wait, and each gives its own row of every event."""
+    rows = [event("A", "T", i, "X", {"a": i} if i % 2 else {"b": i}, i, minutes=i) for i in range(1, 601)]
+    stream = as_stream(spark, tmp_path / "in", [rows + rows[:1], [event("Z", "T", 1, "X", {}, 9999, minutes=99999)]])
+    history = carry.stream_field_history(stream, [["a"], ["b"], ["a", "b"]], "1000 minutes").filter("aggregate_id = 'A'")
+    got, progress = run(history, tmp_path, "out")
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) < 10
+    seen = {(r.sequence_number, r.unit): (r.f_a, r.f_b) for r in got if not r.late}
+    a = {i: str(i if i % 2 else i - 1) for i in range(1, 601)}
+    b = {i: None if i == 1 else str(i - i % 2) for i in range(1, 601)}
+    assert seen == {(i, u): (a[i] if u != 1 else None, b[i] if u != 0 else None) for i in range(1, 601) for u in range(3)}
+    assert len(got) == 1803 and sorted((r.sequence_number, r.unit, r.f_a) for r in got if r.late) == [(1, u, None) for u in range(3)]
+
+
 def test_resent_stream_equals_batch_and_feeds_replay(spark, tmp_path):
     rows, arrival = shuffled_log(25, 120)
     resent = [(*r[:8], r[8] + 10_000) for r in arrival[:-1:3]]  # the same events at later places of the topic
