@@ -204,3 +204,24 @@ def test_last_writes_come_from_events_that_move_once(spark, monkeypatch):
             assert results()[1] == got
     plain = diff.field_diff(replay.current_state(first), replay.current_state(df), ["aggregate_id"])
     assert sorted(map(repr, plain.collect())) == got[2] and all(got)
+
+
+def test_counts_lie_beside_the_diffs(spark):
+    """Display rows with their counts are those of a join with the counts, and no diff is shuffled for them."""
+    rows = [event(f"A{i % 3}", "T", 1 + i // 6, "X", {"n": i, f"f{i % 4}": i // 5}, i) for i in range(60)]
+    rows += rows[:9] + [(r[0], None, *r[2:]) for r in rows[:4]] + [(*r[:3], None, *r[4:]) for r in rows[4:8]]
+    events, by = events_df(spark, rows), ["aggregate_id", "sequence_number"]
+    long = replay.transitions(events)
+    wanted = diff.diff_rows(long, by).join(diff.diff_counts(long, by), by)
+    grouped = replay.transitions(events, grouped=True)
+    assert sorted(map(tuple, diff.diff_counts(grouped, by).collect()), key=str) == sorted(map(tuple, diff.diff_counts(long, by).collect()), key=str)
+    found = [
+        diff.diff_rows(diff.diff_counts(changes, by, beside=True, dealt=dealt), [*by, "changes"]).select(wanted.columns)
+        for changes in (grouped, long, replay.transitions(events, width=2, grouped=True))
+        for dealt in (None, by[:1])
+    ]
+    for got in found:
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, wanted.collect()), key=str)
+    moved = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    # plans that were not run: a plan that was is shown twice
+    assert moved(found[1].select("*")) == moved(grouped) == 1

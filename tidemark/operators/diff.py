@@ -249,7 +249,12 @@ def deep_diff(documents: DataFrame, left: str, right: str, keep: list[str], dept
 
 
 def diff_rows(changes: DataFrame, by: list[str]) -> DataFrame:
-    """Display rows: patches keep their kind, field diffs all count as changed."""
+    """Display rows: patches keep their kind, field diffs all count as changed.
+
+    Field diffs may come grouped, an array (``diff``) per event, as of ``transitions(grouped=True)``.
+    """
+    if "diff" in changes.columns:
+        changes = changes.select(*by, F.inline("diff"))
     patch = "path" in changes.columns
     return changes.select(
         *by,
@@ -260,8 +265,25 @@ def diff_rows(changes: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def diff_counts(changes: DataFrame, by: list[str]) -> DataFrame:
-    return changes.groupBy(*by).agg(F.count(F.lit(1)).alias("changes"))
+def diff_counts(changes: DataFrame, by: list[str], beside: bool = False, dealt: list[str] | None = None) -> DataFrame:
+    """How many patches or field diffs there are per ``by``; field diffs may come grouped.
+
+    ``beside`` leaves every row of ``changes`` whose ``by`` has no NULL and puts its count
+    (``changes``) beside it: what a join with the counts would give, without moving the rows
+    to one. ``dealt`` are the first columns of ``by``, where rows lie by these already and none of
+    their groups is too long for a task.
+    """
+    size = F.size("diff") if "diff" in changes.columns else F.lit(1)
+    if not beside:
+        return changes.groupBy(*by).agg(F.sum(size.cast("long")).alias("changes"))
+    known = changes.dropna("any", subset=by)
+    if dealt:
+        # rows with the same rest of ``by`` lie side by side in the order that they have within a group
+        line = Window.partitionBy(*dealt).orderBy(*by[len(dealt) :])
+        window = line.rangeBetween(Window.currentRow, Window.currentRow)
+    else:
+        window = Window.partitionBy(*by)
+    return known.withColumn("changes", F.sum(size.cast("long")).over(window))
 
 
 def changed_keys(changes: DataFrame, by: list[str]) -> DataFrame:

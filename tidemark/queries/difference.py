@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import instant_text
 from ..operators import detect, diff
 from ..operators.replay import current_state, survey, transitions
+from ..plans.running import cuts
 from ..sources.sample_logs import activity_log, order_log, read_sample
 from .catalog import query
 from .sql_logs import activity, activity_states, iso, order_changes, order_states
@@ -144,8 +145,12 @@ def _deep_diff(spark, folder):
 )
 def _diff_rows(spark, folder):
     by = ["aggregate_id", "sequence_number"]
-    changed = transitions(order_log(spark, folder))
-    return diff.diff_rows(changed, by).join(diff.diff_counts(changed, by), by)
+    events = order_log(spark, folder)
+    plan = survey(events)
+    changed = transitions(events, plan=plan, grouped=True)
+    counted = diff.diff_counts(changed, by, beside=True, dealt=None if cuts(plan.assign) else by[:1])
+    rows = diff.diff_rows(counted, [*by, "changes"])
+    return rows.select(*by, "field", "kind", "old_json", "new_json", "changes")
 
 
 @query(
