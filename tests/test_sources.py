@@ -4,7 +4,7 @@ import pytest
 from helpers import T0, canonical_events, event, events_df
 from pyspark.sql import functions as F
 from tidemark.functions.text import decode_cursor, encode_cursor, instant_text
-from tidemark.sources import jdbc, layout, registry, schema
+from tidemark.sources import jdbc, layout, registry, sample_logs, schema
 from tidemark.sources.stream_records import parse_stream_records, split_malformed
 
 
@@ -155,3 +155,28 @@ def test_event_table_layout(spark, tmp_path):
     one = layout.read_event_table(spark, path).filter("aggregate_id = 'ACC-001'")
     assert [r.sequence_number for r in one.orderBy("sequence_number").collect()] == [1, 2, 3]
     assert "EqualTo(aggregate_id,ACC-001)" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_lines_are_summed_where_they_are_joined(spark, tmp_path):
+    """Lines that share a number are one event; lines and orders are shuffled once each."""
+    start = datetime(1998, 1, 1)
+    lines = [(1, 10, 1, 2.0, 1.5), (1, 11, 1, 3.0, 2.25), (1, 9, 2, None, 4.0), (2, 5, None, 1.0, 1.0), (2, 6, None, 2.0, 1.0)]
+    lines += [(None, 1, 1, 1.0, 1.0), (7, 1, 1, 1.0, 1.0)]
+    kinds = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lines, kinds).write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(k, 3, s, 10.0, start, "5-LOW") for k, s in ((1, "F"), (2, "O"), (2, "O"), (None, "P"))]
+    kinds = "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string"
+    spark.createDataFrame(orders, kinds).write.parquet(str(tmp_path / "orders.parquet"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        log = sample_logs.order_log(spark, str(tmp_path)).filter("event_type = 'LINE_ITEM_ADDED'")
+        plan = log._jdf.queryExecution().executedPlan().toString()
+        got = [(r.aggregate_id, r.sequence_number, r.payload) for r in log.collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2
+    twice = ("ORD-2", None, '{"part":6,"qty":3,"line_cents":200}')
+    assert sorted(got, key=str) == sorted(
+        [("ORD-1", 2, '{"part":11,"qty":5,"line_cents":375}'), ("ORD-1", 3, None), twice, twice], key=str
+    )

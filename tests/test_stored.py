@@ -1,5 +1,6 @@
 """What is stored between runs: snapshots of folds, the id index, daily totals."""
 
+import re
 import sys
 from datetime import date, datetime, timezone
 
@@ -218,3 +219,26 @@ def test_postings_are_as_many_as_characters(spark, tmp_path):
     assert postings.count() == 16
     for text, ids in {"b": ["ABC", "ab", "b", "xyzab"], "ab": ["ABC", "ab", "xyzab"], "za": ["xyzab"], "語-": ["日本語-1"], "1": ["日本語-1"], "abcd": []}.items():
         assert [r[0] for r in id_index.search_indexed(spark, path, text).collect()] == ids, text
+
+
+def test_snapshots_move_once_to_their_targets(spark, tmp_path):
+    """Snapshots are joined by aggregate alone, and a target without events gets the state of its snapshot."""
+    store = str(tmp_path / "store")
+    events = log(spark, [(a, s, 100 * i + s) for i, a in enumerate("ABC") for s in range(1, 41)])
+    snapshots.advance(events.filter("global_position <= 120"), path_text, store, every=10)
+    snapshots.advance(events, path_text, store, every=10)
+    asked = [(a, t) for a in "ABCD" for t in (0, 5, 10, 20, 33, 99, None)]
+    targets = spark.createDataFrame(asked, "aggregate_id string, target long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = snapshots.stored_state_at(events, targets, path_text, store)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r.aggregate_id, r.target): r.state for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(generation" not in plan and "generation#" not in "".join(re.findall(r"Exchange hashpartitioning\(.*", plan))
+    # nothing is shuffled behind the fold
+    assert "Exchange" not in plan.split("MapInPandas")[0]
+    every = {(r.aggregate_id, r.sequence_number): r.state for r in replay_fold(events, path_text).collect()}
+    assert got == {(a, t): every[a, min(t, 40)] for a in "ABC" for t in (5, 10, 20, 33, 99)}

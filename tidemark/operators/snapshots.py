@@ -54,8 +54,10 @@ def _place() -> Column:
 def stored_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """All snapshots that count; no rows before the first run."""
     rows = _table(spark, f"{path}/snapshots", SNAPSHOT_SCHEMA)
-    newest = rows.groupBy("aggregate_id").agg(F.max("generation").alias("generation"))
-    return rows.join(newest, ["aggregate_id", "generation"], "left_semi").select(*rows.columns)
+    newest = rows.groupBy("aggregate_id").agg(F.max("generation").alias("__newest"))
+    # none is beyond the newest: an equality would be taken as a key of the join, and the rows would
+    # move once more to whoever goes on with them by aggregate
+    return rows.join(newest, "aggregate_id").filter(F.col("generation") >= F.col("__newest")).select(*rows.columns)
 
 
 def stored_mark(spark: SparkSession, path: str) -> int | None:
@@ -71,10 +73,11 @@ def latest_states(spark: SparkSession, path: str) -> DataFrame:
     return last.select("aggregate_id", "__last.*")
 
 
-def _fold(tail: DataFrame, seeds: DataFrame, group: list[str], fold: FoldReducer, every: int, new: int) -> DataFrame:
+def _fold(tail: DataFrame, seeds: DataFrame, group: list[str], fold: FoldReducer, every: int | None, new: int) -> DataFrame:
     """Fold ``tail`` onto ``seeds``, which come as rows ahead of the events they precede.
 
-    A task holds one state and one batch. ``stop`` marks rows to be stored.
+    A task holds one state and one batch. ``stop`` marks rows to be stored. Without ``every``
+    only the last state of each group comes out, that of its seed where it has no events.
     """
     extra = [c for c in group if c not in CARRIED]
     columns = [*KEYS, *extra, "event_type", "state", "events", "generation", "stop"]
@@ -82,17 +85,27 @@ def _fold(tail: DataFrame, seeds: DataFrame, group: list[str], fold: FoldReducer
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out, held, current = [], None, None
         state, events, generation = {}, 0, new
+
+        def last() -> list:
+            shown = held[-3]
+            return [*held[:-3], _dump(shown[0]) if isinstance(shown, list) else shown, *held[-2:], True]
+
         for row in _rows(batches):
             key = [row[c] for c in group]
             if key != current:
                 if held:
-                    out.append([*held, True])
+                    out.append(last())
                 held, current = None, key
                 state, events, generation = {}, 0, new
+                if len(out) >= 5_000:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
             if row["__events"] >= 0:
                 state, events, generation = _parsed(row["__state"]), row["__events"], row["__generation"]
+                if every is None:
+                    held = [row[c] for c in [*KEYS, *extra, "event_type"]] + [row["__state"], events, generation]
                 continue
-            if held:
+            if held and every is not None:
                 out.append([*held, events % every == 0])
             event = {c: row[c] for c in CARRIED}
             try:
@@ -103,12 +116,14 @@ def _fold(tail: DataFrame, seeds: DataFrame, group: list[str], fold: FoldReducer
                     f"of aggregate '{row['aggregate_id']}'"
                 ) from error
             events += 1
-            held = [row[c] for c in [*KEYS, *extra, "event_type"]] + [_dump(state), events, generation]
+            # a state that may not come out has no text yet
+            shown = [state] if every is None else _dump(state)
+            held = [row[c] for c in [*KEYS, *extra, "event_type"]] + [shown, events, generation]
             if len(out) >= 5_000:
                 yield pd.DataFrame(out, columns=columns)
                 out = []
         if held:
-            out.append([*held, True])
+            out.append(last())
         if out:
             yield pd.DataFrame(out, columns=columns)
 
@@ -222,7 +237,4 @@ def stored_state_at(events: DataFrame, targets: DataFrame, fold: FoldReducer, pa
         (F.col("sequence_number") <= F.col("target"))
         & (F.col("__start").isNull() | (_place() > F.col("__start")))
     )
-    folded = _fold(between, seeds, group, fold, 1, 0).select(*group, *ORDER, "state")
-    both = folded.unionByName(seeds.select(*group, *ORDER, "state"))
-    last = both.groupBy(*group).agg(F.max_by("state", _place()).alias("state"))
-    return last.select(*group, "state")
+    return _fold(between, seeds, group, fold, None, 0).select(*group, "state")

@@ -6,7 +6,7 @@ parquet scan.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .schema import EVENT_COLUMNS
@@ -71,18 +71,22 @@ def order_log(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderdate").cast("timestamp").alias("placed_at"),
         F.col("o_orderpriority").alias("priority"),
     )
+    # dealt by order, so that the join with the orders finds the lines where they are summed
+    line = Window.partitionBy("order_key").orderBy("l_linenumber")
+    same = line.rangeBetween(Window.currentRow, Window.currentRow)
     lines = (
         read_sample(spark, folder, "lineitem")
-        .select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey")
-        # hardly a line shares its number: sums on the map side would hold a whole split in memory for nothing
-        .repartition("l_orderkey", "l_linenumber")
-        .groupBy("l_orderkey", "l_linenumber")
-        .agg(
-            F.sum(F.col("l_quantity").cast("long")).alias("qty"),
-            F.sum(_cents(F.col("l_extendedprice"))).alias("cents"),
-            F.max("l_partkey").alias("part"),
+        .select(F.col("l_orderkey").alias("order_key"), "l_linenumber", "l_quantity", "l_extendedprice", "l_partkey")
+        .repartition("order_key")
+        .select(
+            "order_key",
+            "l_linenumber",
+            F.sum(F.col("l_quantity").cast("long")).over(same).alias("qty"),
+            F.sum(_cents(F.col("l_extendedprice"))).over(same).alias("cents"),
+            F.max("l_partkey").over(same).alias("part"),
+            (F.row_number().over(line) == F.rank().over(line)).alias("__first"),
         )
-        .withColumnRenamed("l_orderkey", "order_key")
+        .filter("__first")
     )
     # numbers go through the join, the texts are made behind it
     order_lines = lines.join(orders.select("order_key", "placed_at"), "order_key").select(
