@@ -171,3 +171,22 @@ def test_bulk_export_is_masked_and_limited(spark):
     got = export.bulk_export(df, 4, width=2).orderBy("sequence_number").collect()
     assert [r.sequence_number for r in got] == [0, 1, 2, 3]
     assert {r.payload for r in got} == {'{"mail":"***@***.***"}'}
+
+
+def test_ranged_lines_are_written_without_moving_again(spark, tmp_path):
+    """The same files' text in the same order, whether lines are dealt by ranges before or when they are written."""
+    rows = [event(f"A{i % 23:02d}", "T", i // 23, "X", {"n": i}, i) for i in range(400)]
+    rows += [*rows[:7], event(None, "T", 1, "X", {"n": 1}, 900), event("Z", "T", 1, "X", None, 901)]
+    df = events_df(spark, rows).repartition(5, "event_id")
+    ranged = export.export_csv(df, ranged=True)
+    moved = lambda lines: lines.sortWithinPartitions("aggregate_id", "line_no")._jdf.queryExecution().executedPlan().toString()
+    assert moved(ranged).count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning(aggregate_id" not in moved(ranged)
+    texts = {}
+    for name, lines in (("ranged", ranged), ("plain", export.export_csv(df)), ("cut", export.export_csv(df, width=1, ranged=True))):
+        export.write_lines(lines, str(tmp_path / name))
+        files = sorted((tmp_path / name).glob("part-*"))
+        texts[name] = "".join(f.read_text() for f in files).splitlines()
+    assert texts["ranged"] == texts["plain"] == texts["cut"]
+    assert len(texts["ranged"]) == len(rows) + 25
+    # a relation that was changed is dealt anew
+    assert not getattr(ranged.filter("line_no > 0"), "ranged", False)

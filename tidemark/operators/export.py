@@ -40,9 +40,12 @@ def _lines(df: DataFrame, number: Column, line: Column) -> DataFrame:
     return df.select("aggregate_id", number.cast("long").alias("line_no"), line.alias("line"))
 
 
-def export_csv(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
-    """Header line, then one line per event in sequence order."""
-    ids = events.select("aggregate_id").distinct()
+def export_csv(events: DataFrame, width: int = DEFAULT_WIDTH, ranged: bool = False) -> DataFrame:
+    """Header line, then one line per event in sequence order.
+
+    ``ranged``, for lines that are to be written: where no aggregate is long, events are dealt
+    by ranges of aggregates, and ``write_lines`` need not move their lines again.
+    """
     row = F.concat_ws(
         ",",
         F.col("sequence_number").cast("string"),
@@ -50,7 +53,19 @@ def export_csv(events: DataFrame, width: int = DEFAULT_WIDTH) -> DataFrame:
         csv_field(instant_text(F.col("timestamp"))),
         csv_field(F.col("payload")),
     )
-    body = number_rows(events, ["aggregate_id"], ORDER, event_chunks(events, width), "step")
+    assign = event_chunks(events, width)
+    if not cuts(assign):
+        # the first event of an aggregate brings the header line
+        dealt = events.repartitionByRange("aggregate_id") if ranged else events
+        body = number_rows(dealt, ["aggregate_id"], ORDER, assign, "step")
+        header = F.struct(F.lit(0).cast("long").alias("line_no"), F.lit(CSV_HEADER).alias("line"))
+        own = F.struct(F.col("step").cast("long").alias("line_no"), row.alias("line"))
+        lines = F.array_compact(F.array(F.when(F.col("step") == 1, header), own))
+        made = body.select("aggregate_id", F.inline(lines))
+        made.ranged = ranged
+        return made
+    ids = events.select("aggregate_id").distinct()
+    body = number_rows(events, ["aggregate_id"], ORDER, assign, "step")
     return _lines(ids, F.lit(0), F.lit(CSV_HEADER)).unionByName(_lines(body, F.col("step"), row))
 
 
@@ -198,11 +213,12 @@ def first_events(events: DataFrame, limit: int, width: int = DEFAULT_WIDTH) -> D
 def write_lines(lines: DataFrame, path: str) -> None:
     """Write documents as text, in order within and across files.
 
-    Range partitioning by (aggregate, line) splits a long document over files.
+    Range partitioning by (aggregate, line) splits a long document over files; lines that
+    an export gives ``ranged`` lie in ranges of aggregates already and are only sorted.
     """
+    dealt = lines if getattr(lines, "ranged", False) else lines.repartitionByRange("aggregate_id", "line_no")
     (
-        lines.repartitionByRange("aggregate_id", "line_no")
-        .sortWithinPartitions("aggregate_id", "line_no")
+        dealt.sortWithinPartitions("aggregate_id", "line_no")
         .select("line")
         .write.mode("errorifexists")
         .text(path)

@@ -571,7 +571,7 @@ def _write_json(spark, folder):
 )
 def _write_lines(spark, folder):
     path = run_folder(spark, "csv")
-    export.write_lines(export.export_csv(order_log(spark, folder)), path)
+    export.write_lines(export.export_csv(order_log(spark, folder), ranged=True), path)
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
